@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, bpe_codec, exact_dedup, oracles, packing, quality_rules, token_counts
+from strandflow.llm import bpe, bpe_codec, exact_dedup, oracles, order_minhash, packing, phrase_dedup, quality_rules, token_counts
 from strandflow.llm.common import table
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"  # ENGLISH: the vocabulary of byte_bpe_50k.json as ranks
@@ -39,7 +39,16 @@ def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), bpe.tokenizer_file(ENGLISH)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_bpe_codec, op4_token_counts, op6_bestfit_packing)}
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_bpe_codec, op4_token_counts, op5_order_minhash, op6_bestfit_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
