@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, bpe_codec, exact_dedup, oracles, order_minhash, packing, phrase_dedup, quality_rules, token_counts
+from strandflow.llm import bpe, bpe_codec, exact_dedup, langid, oracles, order_minhash, packing, phrase_dedup, quality_model, quality_rules, token_counts, toxicity, training
 from strandflow.llm.common import table
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"  # ENGLISH: the vocabulary of byte_bpe_50k.json as ranks
@@ -43,12 +43,42 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def _held_out(rows: DataFrame, folds: int, part: int) -> DataFrame:
+    return rows.withColumn("held_out", training.fold(F.col("doc_id"), folds) == part)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = _held_out(toxicity.score_documents(docs, model), toxicity.FOLDS, 0)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = _held_out(langid.predict_documents(docs, langid.fit(docs)), langid.FOLDS, langid.HELD_OUT)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    out = _held_out(quality_model.score_documents(docs, model), quality_model.FOLDS, quality_model.HELD_OUT)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_bpe_codec, op4_token_counts, op5_order_minhash, op6_bestfit_packing, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_exact_dedup, op3_bpe_codec, op4_token_counts, op5_order_minhash, op6_bestfit_packing,
+        op7_toxicity, op8_language_id, op9_quality_classifier, op10_substring_dedup,
+    )
+}
 
 
 def oracle_sql() -> dict[str, str]:
