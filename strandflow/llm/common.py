@@ -33,7 +33,7 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*cols, *(F.col(c) for c in more))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with a function from batch to batch or batches; text batches are cut to SLICE_BYTES before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

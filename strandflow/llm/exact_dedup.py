@@ -65,3 +65,18 @@ def deduplicate(docs: DataFrame, salts: int = SALTS, digest=None) -> DataFrame:
     keepers = rows.where(stays).groupBy(*cols).agg(F.count("*").alias("times"))
     keepers = keepers.select(*cols, F.explode(F.expr("transform(sequence(1L, times), i -> i = 1)")).alias("kept"))
     return rows.where(~stays).select(*cols, F.lit(False).alias("kept")).unionByName(keepers)
+
+
+def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The rows of docs that stay, with all their columns. Only ids and digests of rows that go are joined."""
+    d = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)))
+    d = d.withColumn("__id", F.col("doc_id").cast("long"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    away = settle(deduplicate(docs, salts).where(~F.col("kept")).select("doc_id", "digest", stays.alias("stays")).distinct())
+    away = away.withColumnsRenamed({"doc_id": "__gone", "digest": "__of"})
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__of"))
+    out = d.join(away.where(~F.col("stays")), same, "left_anti")
+    repeated = away.where("stays")
+    if not repeated.isEmpty():
+        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["__id", "__digest"]))
+    return out.drop("__digest", "__id")

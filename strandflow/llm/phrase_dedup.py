@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from strandflow.llm.common import batch_of, id_text, map_batches
@@ -103,8 +104,27 @@ def column(t: pa.Table, name: str) -> pa.Array:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, text (the words that stay, joined by one space) and removed (runs of word places)."""
+    return _located(id_text(docs), window, phrase, shard_bytes).drop("row")
+
+
+def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """docs with all its columns, the text of documents with repeats replaced by the words that stay (n_chars follows)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.col("text").isNull().alias("__null"), F.col("doc_id").alias("__id"), *others)
+    out = _located(id_text(docs.withColumn("__row", row), "__row").withColumnRenamed("__row", "row"), window, phrase, shard_bytes, False)
+    touched = F.col("n_removed") > 0
+    new = {"doc_id": F.col("row.__id"), "text": F.when(~F.col("row.__null"), F.col("text")), **{c: F.col(f"row.`{c}`") for c in others}}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(touched, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new[c].alias(c) for c in docs.columns))
+
+
+def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: bool = True) -> DataFrame:
+    """As remove_repeats, with the column row of d if it has one; unless tidy, a text without repeats stays as it is."""
     phrase = min(phrase, window)
-    d = id_text(docs)
+    if "row" not in d.columns:
+        d = d.withColumn("row", F.lit(0))
+    kind = d.schema["row"].dataType
     total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
@@ -143,7 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         return pa.table({"shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int64()), "keys": pa.array(keys, pa.binary()), "twice": pa.array(twice, pa.binary())})
 
     by_shard = d.groupBy("shard")
-    packs = by_shard.cogroup(repeated.groupBy("shard")).applyInArrow(candidates, "shard int, part long, keys binary, twice binary")
+    packs = d.select("shard", "text").groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(candidates, "shard int, part long, keys binary, twice binary")
 
     def confirm(t: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(k, _KEY) for k in t.column("keys").to_pylist()]
@@ -162,7 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return result(pa.array([], pa.int64()), [], [], [], [], [])
+            return result(left, [], [], [], [], [])
         scan = Scan(column(left, "text"), window, phrase)
         known = np.concatenate([np.zeros(0, _KEY), *(np.frombuffer(k, _KEY) for k in right.column("keys").to_pylist())])
         covered = np.zeros(len(scan.hash) + 1, np.int64)
@@ -174,23 +194,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         gone = np.cumsum(covered[:-1]) > 0
         kept = scan.words.texts(~gone)
         first = scan.words.first
+        if not tidy:
+            touched = np.add.reduceat(np.append(gone, False), first[:-1]) * (np.diff(first) > 0)
+            kept = [k if t else x for k, t, x in zip(kept, touched.tolist(), left.column("text").to_pylist(), strict=True)]
         removed = np.concatenate([[0], np.cumsum(gone)])
         edge = np.r_[True, scan.row[1:] != scan.row[:-1]] if len(gone) else np.zeros(0, bool)
         begin = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]])) if len(gone) else np.zeros(0, np.int64)
         end = np.flatnonzero(gone & (np.r_[edge[1:], True] | ~np.r_[gone[1:], False])) + 1 if len(gone) else begin
         runs = np.searchsorted(begin, first)
         base = first[scan.row[begin]] if len(begin) else begin
-        return result(column(left, "doc_id"), np.diff(first), np.diff(removed[first]), kept, runs, (begin - base, end - base))
+        return result(left, np.diff(first), np.diff(removed[first]), kept, runs, (begin - base, end - base))
 
     confirmed_by = confirmed.groupBy("shard")
-    return by_shard.cogroup(confirmed_by).applyInArrow(locate, "doc_id long, n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>").add("row", kind)
+    return by_shard.cogroup(confirmed_by).applyInArrow(locate, schema)
 
 
-def result(doc_id, n_words, n_removed, kept, runs, spans) -> pa.Table:
+def result(left: pa.Table, n_words, n_removed, kept, runs, spans) -> pa.Table:
     begin, end = spans if len(spans) else ([], [])
     pairs = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["start", "stop"])
     lists = pa.ListArray.from_arrays(pa.array(runs if len(runs) else [0], pa.int32()), pairs)
-    return pa.table({"doc_id": doc_id, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string()), "removed": lists})
+    return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array([k if isinstance(k, bytes) else k.encode() for k in kept], pa.binary()).cast(pa.string()), "removed": lists, "row": left.column("row")})
 
 
 def occurrences(scan: Scan, known: np.ndarray, phrase: int) -> np.ndarray:

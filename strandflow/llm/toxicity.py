@@ -363,3 +363,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     out = map_batches(id_text(docs), run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score below one half, with all their columns."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column(batch.schema.get_field_index("text")).fill_null("")
+        return batch.filter(pa.array(model.scores(text) < 0.5))
+
+    return map_batches(docs, run, docs.schema)
