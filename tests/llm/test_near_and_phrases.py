@@ -147,7 +147,8 @@ def test_near_classes_of_a_whole_table(spark, sf):
     assert sum(r.kept for r in got) == len({r.class_id for r in got})
 
 
-def test_near_classes_of_chains_templates_and_short_texts(spark):
+@pytest.mark.parametrize("how", [om.Sketching(), om.Sketching(block=3), om.Sketching(block=3, refine=4)])
+def test_near_classes_of_chains_templates_and_short_texts(spark, how):
     rnd = random.Random(8)
     vocab = [f"v{i}" for i in range(3000)]
     rows, k = [], 0
@@ -174,5 +175,5 @@ def test_near_classes_of_chains_templates_and_short_texts(spark):
     for _ in range(60):  # a shared passage, but not near
         add([*common, *(rnd.choice(vocab) for _ in range(rnd.choice((25, 35))))])
     rnd.shuffle(rows)
-    got = om.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = om.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == classes_restated(sorted(rows))
