@@ -2,5 +2,547 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandflow.functions import expressions as ex
+from strandflow.operators import detect, stats
+from strandflow.operators import kernels as k
+from strandflow.operators import pipeline as run
+from strandflow.operators import single_steps as step
+from strandflow.operators.dedup import duplication_rate, mark_duplicates
+from strandflow.plans.fixture import oracle, pairs, single
+from strandflow.plans.options import UMI_PLACES, Options
+from strandflow.plans.session import expose
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+R1 = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
+R2 = "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"
+
+
+def query(sql: str | None = None, source=pairs, plain: bool = False, name: str | None = None):
+    """Register a function of a DataFrame of reads; sql is DuckDB SQL over `reads` (the pairs), plain: over the tables."""
+
+    def register(fn):
+        key = name or fn.__name__
+        QUERIES[key] = lambda spark, sf_dir: fn(source(expose(spark), sf_dir))
+        QUERIES[key].__name__ = key
+        if sql:
+            ORACLES[key] = sql if plain else oracle(sql)
+        return fn
+
+    return register
+
+
+# Sources and names
+
+_TAIL = "string_split(substr(name1, 1, length(name1) - 2), ':')[-1]"
+_FIRST = f"CASE WHEN contains({_TAIL}, '+') THEN split_part({_TAIL}, '+', 1) ELSE {_TAIL} || right(name1, 2) END"
+_LAST = "regexp_extract(name2, '[:+]([^:+]*.{2})$', 1)"
+
+
+@query("SELECT pair_id, name1, name2, seq1, qual1, seq2, qual2 FROM reads")
+def reads_pairs(d):
+    return d
+
+
+@query("SELECT pair_id, 1 AS mate, name1 AS name, seq1 AS seq, qual1 AS qual FROM reads UNION ALL SELECT pair_id, 2, name2, seq2, qual2 FROM reads")
+def reads_interleaved(d):
+    mates = F.explode(F.array(*(F.struct(F.lit(m).alias("mate"), *(F.col(f"{c}{m}").alias(c) for c in ("name", "seq", "qual"))) for m in (1, 2))))
+    return d.select("pair_id", mates.alias("r")).select("pair_id", "r.*")
+
+
+@query("SELECT pair_id, reverse(translate(regexp_replace(seq1, '[^ACGTacgt]', 'N', 'g'), 'ACGTNacgt', 'TGCANTGCA')) AS rc1, reverse(translate(seq2, 'ACGTN', 'TGCAN')) AS rc2 FROM reads")
+def reads_revcomp(d):
+    return d.select("pair_id", *(ex.reverse_complement(F.col(f"seq{m}")).alias(f"rc{m}") for m in (1, 2)))
+
+
+@query("SELECT pair_id, array_to_string(list_transform(range(1, length(qual1) + 1), lambda i: chr(greatest(33, ascii(qual1[i]) - 31))), '') AS qual FROM reads")
+def reads_phred64(d):
+    return d.select("pair_id", ex.phred33(F.col("qual1")).alias("qual"))
+
+
+@query("SELECT pair_id FROM reads WHERE pair_id < 100")
+def reads_limit(d):
+    return d.where(F.col("pair_id") < 100).select("pair_id")
+
+
+@query(f"SELECT pair_id, {_FIRST} AS first1, {_LAST} AS last2 FROM reads")
+def name_indexes(d):
+    return d.select("pair_id", ex.first_index(F.col("name1")).alias("first1"), ex.last_index(F.col("name2")).alias("last2"))
+
+
+@query("SELECT pair_id, CASE WHEN pair_id % 3 = 0 THEN '@m' || pair_id ELSE '@m' || pair_id || ' /' || (pair_id % 3) END AS name FROM reads")
+def name_fix_mgi(d):
+    raw = F.when(F.col("pair_id") % 3 == 0, F.concat(F.lit("@m"), "pair_id")).otherwise(F.concat(F.lit("@m"), "pair_id", F.lit("/"), F.col("pair_id") % 3))
+    return d.select("pair_id", ex.fix_mgi(raw).alias("name"))
+
+
+def _umi(loc: str):
+    o = Options(paired=True, umi=True, umi_loc=loc, umi_len=8 if "read" in loc else 0, umi_skip=2 if "read" in loc else 0, umi_prefix="UMI" if "1" in loc else "")
+    first, last = _FIRST, _LAST
+    umi = {"index1": first, "index2": last, "read1": "substr(seq1, 1, 8)", "read2": "substr(seq2, 1, 8)", "per_index": f"({first}) || '_' || {last}", "per_read": "substr(seq1, 1, 8) || '_' || substr(seq2, 1, 8)"}[loc]
+    tag = f"':{o.umi_prefix + '_' if o.umi_prefix else ''}' || ({umi})"
+    cut = lambda m, c: f"substr({c}{m}, 11)" if loc in (f"read{m}", "per_read") else f"{c}{m}"
+    cols = ", ".join(f"substr(name{m}, 1, instr(name{m}, ' ') - 1) || {tag} || substr(name{m}, instr(name{m}, ' ')) AS name{m}, {cut(m, 'seq')} AS seq{m}, {cut(m, 'qual')} AS qual{m}" for m in (1, 2))
+    query(f"SELECT pair_id, {cols} FROM reads", name=f"umi_{loc}")(lambda d: run.with_umis(d, o).select("pair_id", "name1", "seq1", "qual1", "name2", "seq2", "qual2"))
+
+
+for _loc in UMI_PLACES:
+    _umi(_loc)
+
+# Filters. In SQL, as the operators define them: counts by position.
+
+_LOW = "length(qual1) - length(translate(qual1, '!\"#$%&''()*+,-./', ''))"
+_NS = "length(seq1) - length(replace(seq1, 'N', ''))"
+_MEAN = "list_sum(list_transform(range(1, length(qual1) + 1), lambda i: ascii(qual1[i]) - 33)) // length(qual1)"
+_CHANGES = "list_sum(list_transform(range(1, length(seq1)), lambda i: CASE WHEN seq1[i] <> seq1[i + 1] THEN 1 ELSE 0 END))"
+_QUALITY = f"({_LOW}) > 40 * length(seq1) / 100.0"
+_CODE = f"CASE WHEN length(seq1) = 0 THEN 16 WHEN {_QUALITY} THEN 20 WHEN {_NS} > 5 THEN 12 WHEN length(seq1) < 15 THEN 16 ELSE 0 END"
+OFF = {"quality_filter": False, "length_filter": False}
+
+
+def _filter(name: str, o: Options, sql: str):
+    query(f"SELECT pair_id AS read_id, ({sql})::INT AS result FROM reads", single, name=name)(lambda d: step.results(d, o))
+
+
+_filter("filter_quality", Options(n_base_limit=1000, length_filter=False), f"CASE WHEN {_QUALITY} THEN 20 ELSE 0 END")
+_filter("filter_avg_qual", Options(n_base_limit=1000, unqualified_percent=100, average_quality=28, length_filter=False), f"CASE WHEN {_MEAN} < 28 THEN 20 ELSE 0 END")
+_filter("filter_n", Options(unqualified_percent=100, length_filter=False), f"CASE WHEN {_NS} > 5 THEN 12 ELSE 0 END")
+_filter("filter_length", Options(quality_filter=False, length_required=101), "CASE WHEN length(seq1) < 101 THEN 16 ELSE 0 END")
+_filter("filter_too_long", Options(quality_filter=False, length_limit=99), "CASE WHEN length(seq1) > 99 THEN 17 ELSE 0 END")
+_filter("filter_complexity", Options(complexity_filter=True, complexity_percent=45, **OFF), f"CASE WHEN ({_CHANGES})::DOUBLE / (length(seq1) - 1) < 0.45 THEN 24 ELSE 0 END")
+
+
+@query(f"SELECT code::INT AS result, count(*) AS reads FROM (SELECT {_CODE} AS code FROM reads) GROUP BY code", single)
+def filter_result_counts(d):
+    return step.results(d, Options()).groupBy("result").agg(F.count("*").alias("reads"))
+
+
+_CODE2 = _CODE.replace("seq1", "seq2").replace("qual1", "qual2")
+
+
+@query(f"SELECT code::INT AS result, 2 * count(*) AS reads FROM (SELECT greatest({_CODE}, {_CODE2}) AS code FROM reads) GROUP BY code")
+def filter_pair_max(d):
+    o = Options(paired=True, adapter_trimming=False)
+    return run.filter_counts(run.process(d.withColumnRenamed("pair_id", "read_id"), o), o)
+
+
+_BARCODES = ("ACGTACGT", "AAAAAAAA", "CCGT")
+
+
+@query(f"SELECT pair_id FROM (SELECT pair_id, {_FIRST} AS ix FROM reads) WHERE NOT ("
+       + " OR ".join(f"hamming(substr(ix, 1, {len(b)}), substr('{b}', 1, length(ix))) <= 2" for b in _BARCODES) + ")")
+def filter_index_blacklist(d):
+    return d.where(~ex.index_matches(ex.first_index(F.col("name1")), _BARCODES, 2)).select("pair_id")
+
+
+# Trimming. Positions are rows in SQL.
+
+
+@query("SELECT pair_id AS read_id, substr(seq1, 6, length(seq1) - 8) AS seq, substr(qual1, 6, length(seq1) - 8) AS qual FROM reads", single)
+def trim_global(d):
+    return step.quality_cut(d, k.Cut(), 5, 3).select("read_id", "seq", "qual")
+
+
+@query("SELECT pair_id AS read_id, substr(seq1, 1, 60) AS seq FROM reads", single)
+def trim_max_len(d):
+    done = run.process(d.withColumnsRenamed({"name": "name1", "seq": "seq1", "qual": "qual1"}), Options(max_len1=60, adapter_trimming=False, **OFF))
+    return done.select("read_id", F.col("seq1").alias("seq"))
+
+
+_POS = "p AS (SELECT pair_id AS id, length(seq1) AS l, i, ascii(qual1[i + 1]) AS q, seq1[i + 1] AS b FROM reads, unnest(range(0, length(seq1))) AS t(i))"
+_KEPT = "SELECT r.pair_id AS read_id, CASE WHEN x.n > 0 AND x.s < length(seq1) - 1 THEN substr(seq1, x.s + 1, x.n) END AS seq, CASE WHEN x.n > 0 AND x.s < length(seq1) - 1 THEN substr(qual1, x.s + 1, x.n) END AS qual FROM reads r JOIN x ON r.pair_id = x.id"
+_FRONT = (
+    "w AS (SELECT id, l, i, sum(q) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM p), "
+    "f AS (SELECT id, any_value(l) AS l, coalesce(min(i) FILTER (i + 4 < l AND s >= 4 * 53), greatest(any_value(l) - 4, 0)) AS s0 FROM w GROUP BY id), "
+    "g AS (SELECT id, l, CASE WHEN s0 > 0 THEN s0 + 3 ELSE s0 END AS s1 FROM f)"
+)
+
+
+@query(f"SELECT * FROM (WITH {_POS}, {_FRONT}, x AS (SELECT g.id, coalesce(min(p.i) FILTER (p.i >= s1 AND b <> 'N'), any_value(g.l)) AS s, 1000 AS n FROM g JOIN p USING (id) GROUP BY g.id) {_KEPT})", single)
+def cut_front(d):
+    return step.quality_cut(d, k.Cut(front=(4, 20))).select("read_id", "seq", "qual")
+
+
+@query(
+    f"SELECT * FROM (WITH {_POS}, w AS (SELECT id, l, i, b, sum(q) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS s FROM p), "
+    "f AS (SELECT id, any_value(l) AS l, coalesce(max(i) FILTER (i - 4 >= 0 AND s >= 4 * 53), 3) AS t0 FROM w GROUP BY id), "
+    "g AS (SELECT id, l, CASE WHEN t0 < l - 1 THEN t0 - 3 ELSE t0 END AS t FROM f), "
+    f"x AS (SELECT g.id, 0 AS s, coalesce(max(p.i) FILTER (p.i <= t AND b <> 'N'), -1) + 1 AS n FROM g JOIN p USING (id) GROUP BY g.id) {_KEPT})",
+    single,
+)
+def cut_tail(d):
+    return step.quality_cut(d, k.Cut(tail=(4, 20))).select("read_id", "seq", "qual")
+
+
+@query(
+    f"SELECT * FROM (WITH {_POS}, w AS (SELECT id, l, i, q, sum(q) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM p), "
+    "f AS (SELECT id, any_value(l) AS l, min(i) FILTER (i + 4 < l AND s < 4 * 53) AS s0 FROM w GROUP BY id), "
+    "x AS (SELECT f.id, 0 AS s, CASE WHEN any_value(s0) IS NULL THEN any_value(f.l) ELSE least(coalesce(min(p.i) FILTER (p.i >= s0 AND q < 53), any_value(f.l) - 1), any_value(f.l) - 1) END AS n FROM f JOIN p USING (id) GROUP BY f.id) "
+    f"{_KEPT})",
+    single,
+)
+def cut_right(d):
+    return step.quality_cut(d, k.Cut(right=(4, 20))).select("read_id", "seq", "qual")
+
+
+_BACK = "p AS (SELECT pair_id AS id, length(seq1) AS l, i, seq1[length(seq1) - i] AS b FROM reads, unnest(range(0, length(seq1))) AS t(i))"
+
+
+@query(
+    f"SELECT * FROM (WITH {_BACK}, c AS (SELECT *, sum(CASE WHEN b <> 'G' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS m FROM p), "
+    "v AS (SELECT id, any_value(l) AS l, coalesce(min(i) FILTER (m > 5 OR (m > (i + 1) // 8 AND i >= 9)), any_value(l)) AS stop FROM c GROUP BY id) "
+    "SELECT v.id AS read_id, (CASE WHEN any_value(stop) >= 10 THEN any_value(v.l) - 1 - coalesce(max(i) FILTER (b = 'G' AND i <= stop), 0) ELSE any_value(v.l) END)::INT AS trimmed_len FROM v JOIN c USING (id) GROUP BY v.id)",
+    single,
+)
+def trim_polyg(d):
+    return step.trim_poly_g(d)
+
+
+_TALLY = ", ".join(f"sum(CASE WHEN b IN ('{b}', 'N') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS n{b}" for b in "ATCG")
+
+
+@query(
+    f"SELECT * FROM (WITH {_BACK}, c AS (SELECT *, {_TALLY} FROM p), "
+    "v AS (SELECT id, any_value(l) AS l, coalesce(min(i) FILTER (i + 1 - greatest(nA, nT, nC, nG) > least(5, (i + 1) // 8) AND (i >= 8 OR i + 1 >= 9)), any_value(l)) AS stop FROM c GROUP BY id), "
+    "w AS (SELECT v.*, CASE greatest(nA, nT, nC, nG) WHEN nA THEN 'A' WHEN nT THEN 'T' WHEN nC THEN 'C' ELSE 'G' END AS best FROM v JOIN c ON c.id = v.id AND c.i = least(v.stop, v.l - 1)) "
+    "SELECT w.id AS read_id, (CASE WHEN any_value(stop) + 1 >= 10 THEN any_value(w.l) - 1 - coalesce(max(i) FILTER (b = best AND i <= stop), -1) ELSE any_value(w.l) END)::INT AS trimmed_len, "
+    "CASE WHEN any_value(stop) + 1 >= 10 THEN any_value(best) END AS base FROM w JOIN c USING (id) GROUP BY w.id)",
+    single,
+)
+def trim_polyx(d):
+    return step.trim_poly_x(d)
+
+
+# Overlaps: offsets are rows in SQL, the first that fits counts.
+
+_OV = (
+    "rc AS (SELECT pair_id AS id, seq1, qual1, seq2, qual2, reverse(translate(seq2, 'ACGTN', 'TGCAN')) AS s2, length(seq1) AS l1, length(seq2) AS l2 FROM reads), "
+    "o AS (SELECT *, k, CASE WHEN k < 1000 THEN k ELSE 1000 - k END AS off FROM rc, unnest(list_concat(range(0, 70), range(1000, 1070))) AS t(k)), "
+    "c AS (SELECT *, CASE WHEN off >= 0 AND k < 1000 THEN least(l1 - off, l2) ELSE least(l1, l2 + off) END AS ol FROM o WHERE (k < 1000 AND off < l1 - 30) OR (k >= 1000 AND -off < l2 - 30)), "
+    "h AS (SELECT *, substr(seq1, greatest(off, 0) + 1, ol) AS a, substr(s2, greatest(-off, 0) + 1, ol) AS b FROM c), "
+    "m AS (SELECT *, hamming(a, b) AS d, row_number() OVER (PARTITION BY id ORDER BY k) AS rn FROM h WHERE hamming(substr(a, 1, 50), substr(b, 1, 50)) <= least(5, floor(ol * 0.2))), "
+    "ov AS (SELECT id, off, ol, d FROM m WHERE rn = 1)"
+)
+
+
+@query(f"SELECT * FROM (WITH {_OV} SELECT id AS pair_id, off::INT AS \"offset\", ol::INT AS overlap_len, d::INT AS diff FROM ov)")
+def overlap(d):
+    return step.overlaps(d).where("overlapped").drop("overlapped")
+
+
+_SIZE = f"WITH {_OV} SELECT least(512, coalesce(CASE WHEN off > 0 THEN l1 + l2 - ol ELSE ol END, 512))::INT AS insert_size, count(*) AS n FROM rc LEFT JOIN ov USING (id) GROUP BY 1"
+PLAIN = Options(paired=True, **OFF)
+
+
+def _done(d: DataFrame, o: Options) -> DataFrame:
+    return run.process(d.withColumnRenamed("pair_id", "read_id"), o)
+
+
+@query(f"SELECT * FROM ({_SIZE})")
+def overlap_insert_size(d):
+    return stats.insert_sizes(_done(d, PLAIN))
+
+
+@query(f"SELECT * FROM ({_SIZE}) WHERE insert_size < 512 ORDER BY n DESC, insert_size LIMIT 1")
+def insert_size_peak(d):
+    return stats.insert_peak(stats.insert_sizes(_done(d, PLAIN)))
+
+
+_FIX = (
+    f"{_OV}, b AS (SELECT id, greatest(off, 0) + j AS p1, l2 - greatest(0, -off) - 1 - j AS p2 FROM ov JOIN rc USING (id), unnest(range(0, ol)) AS t(j) WHERE d > 0), "
+    "e AS (SELECT id, p1, p2, seq1[p1 + 1] AS x, translate(seq2[p2 + 1], 'ACGTN', 'TGCAN') AS y, qual1[p1 + 1] AS qx, qual2[p2 + 1] AS qy FROM b JOIN rc USING (id)), "
+    "fix AS (SELECT *, CASE WHEN x <> y AND ascii(qx) >= 63 AND ascii(qy) <= 47 THEN 2 WHEN x <> y AND ascii(qy) >= 63 AND ascii(qx) <= 47 THEN 1 ELSE 0 END AS m FROM e)"
+)
+
+
+_CORRECTED = (
+    f"WITH {_FIX}, "
+    "n1 AS (SELECT rc.id, string_agg(coalesce(y, seq1[i + 1]), '' ORDER BY i) AS seq1, string_agg(coalesce(qy, qual1[i + 1]), '' ORDER BY i) AS qual1 FROM rc, unnest(range(0, l1)) AS t(i) LEFT JOIN fix ON fix.id = rc.id AND fix.p1 = i AND m = 1 GROUP BY rc.id), "
+    "n2 AS (SELECT rc.id, string_agg(coalesce(translate(x, 'ACGTN', 'TGCAN'), seq2[i + 1]), '' ORDER BY i) AS seq2, string_agg(coalesce(qx, qual2[i + 1]), '' ORDER BY i) AS qual2 FROM rc, unnest(range(0, l2)) AS t(i) LEFT JOIN fix ON fix.id = rc.id AND fix.p2 = i AND m = 2 GROUP BY rc.id) "
+    "SELECT id AS pair_id, seq1, qual1, seq2, qual2 FROM n1 JOIN n2 USING (id)"
+)
+
+
+@query(f"SELECT pair_id AS read_id, seq1, qual1, seq2, qual2 FROM ({_CORRECTED})")
+def correct_bases(d):
+    return _done(d, Options(paired=True, correction=True, adapter_trimming=False, **OFF)).select("read_id", "seq1", "qual1", "seq2", "qual2")
+
+
+@query(f"SELECT * FROM (WITH {_FIX} SELECT CASE m WHEN 1 THEN x ELSE translate(y, 'ACGTN', 'TGCAN') END AS from_base, CASE m WHEN 1 THEN y ELSE translate(x, 'ACGTN', 'TGCAN') END AS to_base, count(*) AS n FROM fix WHERE m > 0 GROUP BY ALL)")
+def correction_matrix(d):
+    return stats.correction_matrix(_done(d, Options(paired=True, correction=True, adapter_trimming=False, **OFF)))
+
+
+# Adapters
+
+_CUT = f"{_OV}, t AS (SELECT id, seq1, seq2, qual1, qual2, CASE WHEN off < 0 THEN least(l1, ol) ELSE l1 END AS k1, CASE WHEN off < 0 THEN least(l2, ol) ELSE l2 END AS k2, coalesce(off < 0, false) AS hit FROM rc LEFT JOIN ov USING (id))"
+
+
+@query(f"SELECT * FROM (WITH {_CUT} SELECT id AS read_id, substr(seq1, 1, k1) AS seq1, substr(seq2, 1, k2) AS seq2, hit AS trimmed1 FROM t)")
+def adapter_overlap(d):
+    return _done(d, PLAIN).select("read_id", "seq1", "seq2", "trimmed1")
+
+
+@query(f"SELECT * FROM (WITH {_CUT} SELECT substr(seq1, k1 + 1) AS adapter, count(*) AS n FROM t WHERE hit AND k1 < length(seq1) GROUP BY 1)")
+def adapter_counts(d):
+    return stats.adapter_counts(_done(d, PLAIN))
+
+
+@query(
+    f"SELECT * FROM (WITH {_CUT}, a AS (SELECT substr(seq1, k1 + 1) AS adapter, count(*) AS n FROM t WHERE hit AND k1 < length(seq1) GROUP BY 1) "
+    "SELECT CASE WHEN n >= 0.01 * (SELECT sum(n) FROM a) THEN adapter ELSE 'others' END AS adapter, sum(n)::BIGINT AS n FROM a GROUP BY 1)"
+)
+def adapter_report(d):
+    return stats.adapter_report(stats.adapter_counts(_done(d, PLAIN)))
+
+
+def _adapter_sql(adapter: str, seq: str, ids: str) -> str:
+    """The first place where the adapter fits without gaps; a read of which it does not keeps its length."""
+    n = len(adapter)
+    return (
+        f"SELECT {ids}.id, coalesce(min(greatest(i, 0)) FILTER (hamming(substr(s, greatest(i, 0) + 1, cl - greatest(-i, 0)), substr('{adapter}', greatest(-i, 0) + 1, cl - greatest(-i, 0))) <= cl // 8), any_value(length(s))) AS n "
+        f"FROM (SELECT id, {seq} AS s, i, least(length({seq}) - i, {n}) AS cl FROM {ids}, unnest(range(-4, 100)) AS t(i) WHERE i < length({seq}) - 4) AS {ids} GROUP BY {ids}.id"
+    )
+
+
+_SIMPLE = "src AS (SELECT pair_id AS id, seq1 FROM reads)"
+
+
+def _no_gaps(d: DataFrame, adapter: str, least: int = 4) -> DataFrame:
+    """Only comparisons without gaps, which SQL restates."""
+
+    def fn(s, q):
+        r = k.reads(s, q)
+        return {"trimmed_len": pa.array(np.maximum(k.adapter_at(r, adapter.encode(), least, gaps=False), 0), pa.int32())}
+
+    return step.apply(d, ["read_id", "seq", "qual"], fn, "trimmed_len int")
+
+
+@query(f"SELECT id AS read_id, n::INT AS trimmed_len FROM (WITH {_SIMPLE} {_adapter_sql(R1, 'seq1', 'src')})", single)
+def adapter_sequence(d):
+    return _no_gaps(d, R1)
+
+
+@query(None, single)
+def adapter_sequence_gapped(d):
+    return step.trim_adapter(d, [R1])
+
+
+@query(None, single)
+def adapter_fasta(d):
+    return step.trim_adapter(d, sorted(detect.KNOWN_ADAPTERS))
+
+
+@query(f"SELECT * FROM (WITH {_CUT} SELECT id AS read_id FROM t WHERE hit AND least(k1, length(seq1)) <= 45 AND least(k2, length(seq2)) <= 45)")
+def adapter_dimer(d):
+    return _done(d, Options(paired=True, dimer_max_len=45, **OFF)).where("dimer").select("read_id")
+
+
+# Merging and overlapped regions
+
+# Merging corrects first and looks for overlaps again.
+_AGAIN = _OV.replace("FROM reads)", "FROM reads2)")
+_MERGED = (
+    f"WITH reads2 AS (SELECT * FROM ({_CORRECTED})), {_AGAIN} SELECT ov.id AS read_id, substr(seq1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(s2, ol + 1) ELSE '' END AS merged_seq, "
+    "substr(qual1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(reverse(qual2), ol + 1) ELSE '' END AS merged_qual FROM ov JOIN rc USING (id)"
+)
+MERGE = Options(paired=True, merge=True, adapter_trimming=False, **OFF)
+
+
+@query(f"SELECT * FROM ({_MERGED})")
+def merge_pairs(d):
+    return _done(d, MERGE).where("merged_seq is not null").select("read_id", "merged_seq", "merged_qual")
+
+
+@query(f"SELECT count(*) AS pairs, sum(length(merged_seq))::BIGINT AS bases FROM ({_MERGED})")
+def merge_counts(d):
+    return _done(d, MERGE).where("merged_seq is not null").agg(F.count("*").alias("pairs"), F.sum(F.length("merged_seq")).alias("bases"))
+
+
+@query(
+    f"SELECT * FROM (WITH {_OV.replace('least(5, floor(ol * 0.2))', '0')} SELECT id AS read_id, substr(seq1, greatest(off, 0) + 1, ol) AS overlap_seq FROM ov JOIN rc USING (id))"
+)
+def overlapped_region(d):
+    done = _done(d, Options(paired=True, adapter_trimming=False, overlapped_out="x", **OFF))
+    return done.where("overlap_seq is not null").select("read_id", "overlap_seq")
+
+
+# Duplicates
+
+_KEYED = "SELECT pair_id, row_number() OVER (PARTITION BY regexp_replace({}, '[^ACGT]', 'N', 'g') ORDER BY pair_id) > 1 AS is_dup FROM reads"
+
+
+@query(_KEYED.format("seq1 || seq2"))
+def dedup_pairs(d):
+    return mark_duplicates(d.withColumnRenamed("pair_id", "read_id"), ["seq1", "seq2"]).select(F.col("read_id").alias("pair_id"), "is_dup")
+
+
+@query(_KEYED.format("seq1"), single)
+def dedup_single(d):
+    return mark_duplicates(d, ["seq"]).select(F.col("read_id").alias("pair_id"), "is_dup")
+
+
+@query(f"SELECT count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS duplicates, sum(is_dup::BIGINT)::DOUBLE / count(*) AS rate FROM ({_KEYED.format('seq1 || seq2')})")
+def dup_rate(d):
+    return duplication_rate(mark_duplicates(d.withColumnRenamed("pair_id", "read_id"), ["seq1", "seq2"]))
+
+
+# Statistics
+
+_CYC = "SELECT i::INT AS cycle, seq1[i + 1] AS base, count(*) AS n, sum((ascii(qual1[i + 1]) >= 53)::BIGINT)::BIGINT AS q20, sum((ascii(qual1[i + 1]) >= 63)::BIGINT)::BIGINT AS q30, sum(ascii(qual1[i + 1]) - 33)::BIGINT AS qual_sum FROM reads, unnest(range(0, length(seq1))) AS t(i) GROUP BY ALL"
+
+
+@query(_CYC, single)
+def stats_cycle(d):
+    return stats.cycles(d)
+
+
+_PER = lambda b, c: f"sum(CASE WHEN base = '{b}' THEN {c} ELSE 0 END)"
+
+
+@query(f"SELECT cycle, sum(qual_sum)::DOUBLE / sum(n) AS mean, " + ", ".join(f"CASE WHEN {_PER(b, 'n')} > 0 THEN {_PER(b, 'qual_sum')}::DOUBLE / nullif({_PER(b, 'n')}, 0) ELSE sum(qual_sum)::DOUBLE / sum(n) END AS quality_{b}" for b in "ATCGN") + f" FROM ({_CYC}) GROUP BY cycle", single)  # noqa: F541
+def stats_quality_curve(d):
+    return stats.curves(stats.cycles(d)).select("cycle", "mean", *(f"quality_{b}" for b in "ATCGN"))
+
+
+@query("SELECT cycle, " + ", ".join(f"{_PER(b, 'n')}::DOUBLE / sum(n) AS content_{b}" for b in "ATCGN") + f", ({_PER('G', 'n')} + {_PER('C', 'n')})::DOUBLE / sum(n) AS \"content_GC\" FROM ({_CYC}) GROUP BY cycle", single)
+def stats_content_curve(d):
+    return stats.curves(stats.cycles(d)).select("cycle", *(f"content_{b}" for b in ("A", "T", "C", "G", "N", "GC")))
+
+
+@query("SELECT kmer, count(*) AS n FROM (SELECT substr(seq1, i, 5) AS kmer FROM reads, unnest(range(1, length(seq1) - 3)) AS t(i)) WHERE regexp_full_match(kmer, '[ACGT]{5}') GROUP BY kmer", single)
+def stats_kmer5(d):
+    return stats.kmers(d)
+
+
+@query("SELECT (ascii(qual1[i + 1]) - 33)::INT AS q, count(*) AS n FROM reads, unnest(range(0, length(qual1))) AS t(i) GROUP BY 1", single)
+def stats_qual_hist(d):
+    return stats.quality_histogram(d)
+
+
+_SUM = (
+    "SELECT count(*) AS reads, sum(length({s}))::BIGINT AS bases, "
+    + ", ".join(f"sum(list_sum(list_transform(range(1, length({{q}}) + 1), lambda i: CASE WHEN ascii({{q}}[i]) >= {33 + q} THEN 1 ELSE 0 END)))::BIGINT AS q{q}_bases" for q in (20, 30, 40))
+    + ", sum(length({s}) - length(translate({s}, 'GC', '')))::BIGINT AS gc_bases, max(length({s}))::BIGINT AS cycles, (sum(length({s})) // count(*))::BIGINT AS mean_length FROM {t}"
+)
+
+
+@query(_SUM.format(s="seq1", q="qual1", t="reads"), single)
+def stats_summary(d):
+    return stats.summary(d)
+
+
+@query(None, single)
+def overrep_candidates(d):
+    return detect.over_represented_candidates(d, 100)
+
+
+@query(None, single)
+def overrep_counts(d):
+    return stats.over_represented(d, detect.over_represented_candidates(d, 100))
+
+
+# Detection
+
+
+@query("SELECT max(length(seq1)) FILTER (pair_id < 1000)::INT AS seq_len FROM reads", single)
+def detect_seq_len(d):
+    return detect.read_length(d)
+
+
+@query("SELECT true AS two_colour", single, plain=True)
+def detect_two_color(d):
+    return detect.two_colour(d)
+
+
+_TEN = (
+    "SELECT kmer, n FROM (SELECT kmer, count(*) AS n FROM (SELECT substr(seq1, i + 1, 10) AS kmer FROM reads, unnest(range(20, length(seq1) - 10)) AS t(i) WHERE pair_id < 262144) "
+    "WHERE regexp_full_match(kmer, '[ACGT]{10}') GROUP BY kmer) WHERE "
+    + " AND ".join(f"10 - length(replace(kmer, '{b}', '')) < 6" for b in "ACGT")
+    + " AND length(translate(kmer, 'AT', '')) < 8 AND kmer NOT LIKE 'GGGG%' ORDER BY n DESC, translate(kmer, 'ATCG', '0123') DESC LIMIT 10"
+)
+
+
+@query(f"SELECT * FROM ({_TEN})", single)
+def detect_kmer10_top(d):
+    return detect.ten_mers(d)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS adapter, count(*) AS hits, coalesce(sum(d), 0)::BIGINT AS mismatches FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM "
+        f"(SELECT pair_id AS id, i, least(length(seq1) - i, {len(a)}) AS cl, hamming(substr(seq1, i + 1, least(length(seq1) - i, {len(a)})), substr('{a}', 1, least(length(seq1) - i, {len(a)}))) AS d FROM reads, unnest(range(0, length(seq1) - 7)) AS t(i) WHERE pair_id < 100000) WHERE d <= cl // 16) WHERE rn = 1"
+        for a in sorted(detect.KNOWN_ADAPTERS)
+    ),
+    single,
+)
+def detect_known_adapter(d):
+    return detect.adapter_votes(d)
+
+
+# Routing and whole runs
+
+ROUTED = Options(paired=True, adapter_trimming=False, unpaired1="u1", unpaired2="u2", failed_out="f")
+_BOTH = f"SELECT pair_id AS id, {_CODE} AS c1, {_CODE2} AS c2, seq1, qual1, seq2, qual2, name1, name2 FROM reads"
+_WHY = "CASE {} WHEN 12 THEN 'failed_too_many_n_bases' WHEN 16 THEN 'failed_too_short' WHEN 20 THEN 'failed_quality_filter' END"
+
+
+@query(
+    f"SELECT id AS read_id, mate, target FROM (WITH b AS ({_BOTH}) "
+    "SELECT id, 1 AS mate, CASE WHEN c1 = 0 AND c2 = 0 THEN 'out1' WHEN c1 = 0 THEN 'unpaired1' ELSE 'failed' END AS target FROM b UNION ALL "
+    "SELECT id, 2, CASE WHEN c1 = 0 AND c2 = 0 THEN 'out2' WHEN c2 = 0 THEN 'unpaired2' ELSE 'failed' END FROM b)"
+)
+def route_outputs(d):
+    return run.routes(_done(d, ROUTED), ROUTED).select("read_id", "mate", "target")
+
+
+@query(
+    f"SELECT id AS read_id, mate, name, seq FROM (WITH b AS ({_BOTH}) SELECT id, 1 AS mate, name1 || ' ' || {_WHY.format('c1')} AS name, seq1 AS seq FROM b WHERE c1 > 0 UNION ALL SELECT id, 2, name2 || ' ' || {_WHY.format('c2')}, seq2 FROM b WHERE c2 > 0)"
+)
+def route_failed_tags(d):
+    return run.routes(_done(d, ROUTED), ROUTED).where("target = 'failed'").select("read_id", "mate", "name", "seq")
+
+
+@query("SELECT pair_id AS read_id, (ntile(7) OVER (ORDER BY pair_id) - 1)::INT AS split_id, lpad((ntile(7) OVER (ORDER BY pair_id))::VARCHAR, 4, '0') AS split_no FROM reads", single)
+def split_by_files(d):
+    return step.split_by_files(d.select("read_id"), 7)
+
+
+@query("SELECT pair_id AS read_id, ((row_number() OVER (ORDER BY pair_id) - 1) // 1000)::INT AS split_id, lpad((((row_number() OVER (ORDER BY pair_id) - 1) // 1000) + 1)::VARCHAR, 4, '0') AS split_no FROM reads", single)
+def split_by_lines(d):
+    return step.split_by_lines(d.select("read_id"), 4000)
+
+
+def as_single(d: DataFrame) -> DataFrame:
+    return d.withColumnsRenamed({"name": "name1", "seq": "seq1", "qual": "qual1"})
+
+
+@query(f"SELECT pair_id AS read_id, ({_CODE})::INT AS result, seq1 AS seq, is_dup FROM reads JOIN ({_KEYED.format('seq1')}) USING (pair_id)", single)
+def pipeline_se(d):
+    done = run.process(as_single(d), Options(adapter_trimming=False))
+    return done.select("read_id", "result", F.col("seq1").alias("seq"), "is_dup")
+
+
+@query(
+    f"SELECT * FROM (WITH {_CUT}, u AS (SELECT id, substr(seq1, 1, k1) AS seq1, substr(seq2, 1, k2) AS seq2, substr(qual1, 1, k1) AS qual1, substr(qual2, 1, k2) AS qual2, hit, hit AND k1 <= 2 AND k2 <= 2 AS dimer FROM t), "
+    f"dup AS ({_KEYED.format('seq1 || seq2')}) "
+    f"SELECT id AS read_id, seq1, seq2, (CASE WHEN dimer THEN 28 ELSE {_CODE} END)::INT AS result1, (CASE WHEN dimer THEN 28 ELSE {_CODE2} END)::INT AS result2, hit AS trimmed1, is_dup FROM u JOIN dup ON dup.pair_id = u.id)"
+)
+def pipeline_pe(d):
+    return _done(d, Options(paired=True)).select("read_id", "seq1", "seq2", "result1", "result2", "trimmed1", "is_dup")
+
+
+@query(
+    "SELECT 'before' AS phase, * FROM (" + _SUM.format(s="seq1", q="qual1", t="reads") + f") UNION ALL SELECT 'after', * FROM ({_SUM.format(s='seq1', q='qual1', t=f'(SELECT * FROM reads WHERE ({_CODE}) = 0)')})", single
+)
+def report_before_after(d):
+    done = run.process(as_single(d), Options(adapter_trimming=False))
+    after = stats.summary(done.where("result = 0"), "seq1", "qual1")
+    return stats.summary(d).select(F.lit("before").alias("phase"), "*").unionByName(after.select(F.lit("after").alias("phase"), "*"))
+
+
