@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from strandflow.llm import bpe
 from strandflow.llm.common import batch_of, id_text, map_batches
 
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 #: A contraction reaches so far beyond a boundary; one more for the white-space rule.
 _LOOK = 4
 
@@ -49,11 +49,12 @@ def encode_documents(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: i
 
 
 def _encode_long(d: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFrame:
-    rows = d.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    key = ["doc_id", "digest", "k"]
     last = F.expr(f"cast((length(text) - 1) div {chunk} as int)")
-    cut = rows.select("doc_id", F.sha2("text", 256).alias("digest"), "copies", last.alias("last"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    cut = d.select("doc_id", F.sha2("text", 256).alias("digest"), last.alias("last"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     cut = cut.withColumn("text", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})"))
-    cut = cut.repartition("doc_id", "digest", "k")  # the chunks of one document go to different tasks
+    # The texts' only shuffle: the chunks of one document go to different tasks, equal ones of repeated rows become one.
+    cut = cut.groupBy(*key).agg(F.first("text").alias("text"), F.first("last").alias("last"), F.count("*").alias("copies"))
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         heads, tails = [], []
@@ -61,18 +62,19 @@ def _encode_long(d: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFram
             at = np.cumsum([0, *map(len, bpe.pieces(text))])
             heads.append(at[at < overlap].tolist())
             tails.append((at[(at >= chunk) & (at <= len(text) - _LOOK)] - chunk).tolist())
-        arrays = [*batch.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "head", "tail"])
+        own = {c: batch.column(c) for c in (*key, "last", "size")}
+        return batch_of(**own, head=pa.array(heads, pa.list_(pa.int32())), tail=pa.array(tails, pa.list_(pa.int32())))
 
-    names = "doc_id long, digest string, copies long, last int, text string, k int"
-    parts = map_batches(cut, split, f"{names}, head array<int>, tail array<int>")
+    ends = map_batches(cut.select(*key, "last", F.length("text").alias("size"), "text"), split, "doc_id long, digest string, k int, last int, size int, head array<int>, tail array<int>")
     of = Window.partitionBy("doc_id", "digest")
     by_k = of.orderBy("k")
-    parts = parts.withColumns({
+    ends = ends.withColumns({
         "begin": F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(by_k), "head"))),
-        "end": F.when(F.col("k") == F.col("last"), F.length("text")).otherwise(chunk + F.array_min(F.array_intersect("tail", F.lead("head").over(by_k)))),
+        "end": F.when(F.col("k") == F.col("last"), F.col("size")).otherwise(chunk + F.array_min(F.array_intersect("tail", F.lead("head").over(by_k)))),
     })
-    parts = parts.withColumn("stitched", F.min((F.col("begin").isNotNull() & F.col("end").isNotNull()).cast("int")).over(of))
+    ends = ends.withColumn("stitched", F.min((F.col("begin").isNotNull() & F.col("end").isNotNull()).cast("int")).over(of))
+    ends = ends.select(F.col("doc_id").alias("id"), F.col("digest").alias("dg"), F.col("k").alias("kk"), "begin", "end", "stitched")
+    parts = cut.join(ends, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("dg")) & (F.col("k") == F.col("kk")))
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, out = bpe.encoder(ranks), []
@@ -93,7 +95,8 @@ def _encode_long(d: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFram
     joined = joined.select("doc_id", F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids"), "copies")
     joined = joined.select("doc_id", "ids", F.explode(F.expr("sequence(1L, copies)"))).select("doc_id", "ids")
     apart = parts.where("stitched = 0").select("doc_id", "digest").distinct()
-    whole = d.withColumn("digest", F.sha2("text", 256)).join(apart, ["doc_id", "digest"], "left_semi").select("doc_id", "text")
+    apart = apart.withColumnsRenamed({"doc_id": "id", "digest": "dg"})
+    whole = d.join(apart, F.col("doc_id").eqNullSafe(F.col("id")) & (F.sha2("text", 256) == F.col("dg")), "left_semi")
     return joined.unionByName(_encode_rows(whole, ranks))
 
 
