@@ -223,8 +223,11 @@ def _note(out: Overlap, rows: np.ndarray, offset: int, length: np.ndarray, diff:
     out.found[rows], out.offset[rows], out.length[rows], out.diff[rows], out.gap[rows] = True, offset, length, diff, gap
 
 
-def one_insertion(longer: np.ndarray, plain: np.ndarray, length: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """The least mismatches with one base of `longer` left out, -1 where the mismatches before the last base pass the limit."""
+def one_insertion(longer: np.ndarray, plain: np.ndarray, length: np.ndarray, limit: np.ndarray, first: bool = False) -> np.ndarray:
+    """The least mismatches with one base of `longer` left out, -1 where those before some base pass the limit.
+
+    first: it is enough if a place for the base fits before the mismatches pass the limit.
+    """
     wide = longer.shape[1]
     steps = np.arange(wide)
     inside = steps < length[:, None]
@@ -235,9 +238,9 @@ def one_insertion(longer: np.ndarray, plain: np.ndarray, length: np.ndarray, lim
     last = wrong[np.arange(len(length)), np.clip(length - 1, 0, wide - 1)]
     before = np.concatenate([np.zeros_like(left[:, :1]), left[:, :-1]], axis=1)
     use = inside & (steps >= 1)
-    over = ((before + last[:, None] > limit[:, None]) & use).any(axis=1)
-    best = np.where(use, before + right, 1 << 30).min(axis=1, initial=1 << 30)
-    return np.where(over | (best >= 1 << 30), -1, best)
+    over = np.logical_or.accumulate((before + last[:, None] > limit[:, None]) & use, axis=1)
+    best = np.where(use & ~(over & first), before + right, 1 << 30).min(axis=1, initial=1 << 30)
+    return np.where((over.any(axis=1) & (not first)) | (best >= 1 << 30), -1, best)
 
 
 def correct(r1: Reads, r2: Reads, ov: Overlap, good: int = 30, bad: int = 14) -> tuple[Reads, Reads, np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -297,7 +300,7 @@ def adapter_at(r: Reads, adapter: bytes, least: int = 4, literal: bool = False,
             at = 0 if literal else pos
             size = np.minimum(r.length[live] - pos - 1, alen) if kind == "more" else np.minimum(r.length[live] - pos, alen - 1)
             part, whole = s[live, at : at + alen + 1], np.broadcast_to(np.append(ad, 0), (len(live), alen + 1)).astype(np.uint8)
-            d = one_insertion(part, whole, size, size // 8 - 1) if kind == "more" else one_insertion(whole, part, size, size // 8 - 1)
+            d = one_insertion(*((part, whole) if kind == "more" else (whole, part)), size, size // 8 - 1, True)
             note(live[(d >= 0) & (d <= size // 8 - 1)], pos)
     return out
 
