@@ -203,18 +203,20 @@ def overlap(r1: Reads, r2: Reads, limit: int = 5, least: int = 30, percent: floa
                 continue
             ol = np.minimum(n1[live] - o, n2[live]) if forward else np.minimum(n1[live], n2[live] + o)
             most = np.minimum(limit, (ol * percent).astype(np.int64))
-            x, y = s1[live, max(o, 0) : max(o, 0) + wide], s2[live, max(-o, 0) : max(-o, 0) + wide]
+            at1, at2 = max(o, 0), max(-o, 0)
             if gap:
+                x, y = s1[live, at1 : at1 + wide], s2[live, at2 : at2 + wide]
                 d = one_insertion(x, y, ol - 1, most)
                 d = np.where(d < 0, one_insertion(y, x, ol - 1, most), d)
                 ok = (d >= 0) & (d <= most)
                 _note(out, live[ok], o, ol[ok], d[ok], True)
                 continue
-            part = np.minimum(ol, _PROTECTED)
-            head = ((x[:, :_PROTECTED] != y[:, :_PROTECTED]) & (np.arange(min(_PROTECTED, wide)) < part[:, None])).sum(axis=1)
+            near = min(_PROTECTED, wide)
+            head = ((s1[live, at1 : at1 + near] != s2[live, at2 : at2 + near]) & (np.arange(near) < ol[:, None])).sum(axis=1)
             ok = np.flatnonzero(head <= most)
             if len(ok):
-                d = ((x[ok] != y[ok]) & (np.arange(wide) < ol[ok][:, None])).sum(axis=1)
+                x, y = s1[live[ok], at1 : at1 + wide], s2[live[ok], at2 : at2 + wide]
+                d = ((x != y) & (np.arange(wide) < ol[ok][:, None])).sum(axis=1)
                 _note(out, live[ok], o, ol[ok], d, False)
     return out
 

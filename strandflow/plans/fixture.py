@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.plans.session import shared_dir
+from strandflow.plans.session import shared_dir, spread
 
 READS = r"""
 with b as (
@@ -50,7 +50,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = shared_dir(spark)
-        spark.sql(READS.replace("{orders}", f"parquet.`{sf_dir}/orders.parquet`")).write.parquet(path)
+        made = spark.sql(READS.replace("{orders}", f"parquet.`{sf_dir}/orders.parquet`"))
+        spread(made).write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
