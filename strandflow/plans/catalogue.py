@@ -206,18 +206,30 @@ def trim_polyg(d):
 _TALLY = ", ".join(f"sum(CASE WHEN b IN ('{b}', 'N') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS n{b}" for b in "ATCG")
 
 
-@query(
+_POLYX = (
     f"SELECT * FROM (WITH {_BACK}, c AS (SELECT *, {_TALLY} FROM p), "
     "v AS (SELECT id, any_value(l) AS l, coalesce(min(i) FILTER (i + 1 - greatest(nA, nT, nC, nG) > least(5, (i + 1) // 8) AND (i >= 8 OR i + 1 >= 9)), any_value(l)) AS stop FROM c GROUP BY id), "
     "w AS (SELECT v.*, CASE greatest(nA, nT, nC, nG) WHEN nA THEN 'A' WHEN nT THEN 'T' WHEN nC THEN 'C' ELSE 'G' END AS best FROM v JOIN c ON c.id = v.id AND c.i = least(v.stop, v.l - 1)) "
     "SELECT w.id AS read_id, (CASE WHEN any_value(stop) + 1 >= 10 THEN any_value(w.l) - 1 - coalesce(max(i) FILTER (b = best AND i <= stop), -1) ELSE any_value(w.l) END)::INT AS trimmed_len, "
-    "CASE WHEN any_value(stop) + 1 >= 10 THEN any_value(best) END AS base FROM w JOIN c USING (id) GROUP BY w.id)",
-    single,
+    "CASE WHEN any_value(stop) + 1 >= 10 THEN any_value(best) END AS base FROM w JOIN c USING (id) GROUP BY w.id)"
 )
+
+
+@query(_POLYX, single)
 def trim_polyx(d):
     return step.trim_poly_x(d)
 
 
+@query(f"SELECT base, count(*) AS reads, sum(l - trimmed_len)::BIGINT AS bases FROM ({_POLYX}) JOIN (SELECT pair_id AS read_id, length(seq1) AS l FROM reads) USING (read_id) WHERE base IS NOT NULL GROUP BY base", single)
+def polyx_counts(d):
+    return stats.poly_counts(run.process(as_single(d), Options(poly_x=True, adapter_trimming=False, **OFF)))
+
+
+@query(None, single)
+def cut_combined(d):
+    return step.quality_cut(d, k.Cut((4, 20), (4, 20)), 2, 1).select("read_id", "seq", "qual")
+
+
 # Overlaps: offsets are rows in SQL, the first that fits counts.
 
 _OV = (
@@ -293,6 +305,14 @@ def adapter_counts(d):
     return stats.adapter_counts(_done(d, PLAIN))
 
 
+@query(f"SELECT * FROM (WITH {_CUT} SELECT 2 * sum(hit::BIGINT)::BIGINT AS trimmed_reads, sum(length(seq1) - k1 + length(seq2) - k2)::BIGINT AS trimmed_bases FROM t)")
+def adapter_trimmed(d):
+    done = _done(d, PLAIN)
+    bases = F.expr("aggregate(concat(adapters1, adapters2), 0L, (x, a) -> x + length(a))")
+    reads = F.col("trimmed1").cast("long") + F.col("trimmed2").cast("long")
+    return done.agg(F.sum(reads).alias("trimmed_reads"), F.sum(bases).alias("trimmed_bases"))
+
+
 @query(
     f"SELECT * FROM (WITH {_CUT}, a AS (SELECT substr(seq1, k1 + 1) AS adapter, count(*) AS n FROM t WHERE hit AND k1 < length(seq1) GROUP BY 1) "
     "SELECT CASE WHEN n >= 0.01 * (SELECT sum(n) FROM a) THEN adapter ELSE 'others' END AS adapter, sum(n)::BIGINT AS n FROM a GROUP BY 1)"
@@ -485,6 +505,11 @@ def detect_known_adapter(d):
     return detect.adapter_votes(d)
 
 
+@query(None, single)
+def detect_adapter(d):
+    return d.sparkSession.createDataFrame([(detect.find_adapter(d),)], "adapter string")
+
+
 # Routing and whole runs
 
 ROUTED = Options(paired=True, adapter_trimming=False, unpaired1="u1", unpaired2="u2", failed_out="f")
@@ -508,6 +533,12 @@ def route_failed_tags(d):
     return run.routes(_done(d, ROUTED), ROUTED).where("target = 'failed'").select("read_id", "mate", "name", "seq")
 
 
+@query(None)
+def route_merged(d):
+    o = Options(paired=True, merge=True, include_unmerged=True, merged_out="m", failed_out="f")
+    return run.routes(_done(d, o), o.validated())
+
+
 @query("SELECT pair_id AS read_id, (ntile(7) OVER (ORDER BY pair_id) - 1)::INT AS split_id, lpad((ntile(7) OVER (ORDER BY pair_id))::VARCHAR, 4, '0') AS split_no FROM reads", single)
 def split_by_files(d):
     return step.split_by_files(d.select("read_id"), 7)
