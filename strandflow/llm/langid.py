@@ -42,8 +42,8 @@ for _b in (*range(0x61, 0x7B), *range(0x80, 0x100)):
 class Setup:
     bits: int = 14
     grams: tuple[int, ...] = (1, 2, 3, 4)
-    per_class: int = 1500
-    sample_bytes: int = 12 << 20
+    per_class: int = 1000
+    sample_bytes: int = 8 << 20
     epochs: int = 12
     penalty: float = 1e-4
     seed: int = 23
@@ -182,8 +182,8 @@ def train(rows: list[tuple[str, str]], setup: Setup = Setup()) -> Model:
 
 def fit(docs: DataFrame, setup: Setup = Setup()) -> Model:
     """Learn documents' lang from the rows that are not held out."""
-    d = id_text(docs, "lang").withColumn("lang", F.col("lang").cast("string"))
-    rows, _ = training.sample(d, F.col("lang"), training.fold(F.col("doc_id"), FOLDS) == HELD_OUT, setup.per_class, setup.sample_bytes)
+    labels = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
+    rows, _ = training.sample(docs, labels, training.fold(F.col("doc_id"), FOLDS) == HELD_OUT, setup.per_class, setup.sample_bytes)
     return train(rows, setup)
 
 

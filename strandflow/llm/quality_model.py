@@ -42,8 +42,8 @@ class Setup:
     reach: int = 2
     hidden: int = 24
     draw: float = 10.0
-    per_class: int = 3000
-    sample_bytes: int = 24 << 20
+    per_class: int = 2500
+    sample_bytes: int = 12 << 20
     epochs: int = 40
     seed: int = 29
 
@@ -193,8 +193,8 @@ def train(rows: list[tuple[str, int]], vectors: np.ndarray, there: dict | None =
 
 def fit(docs: DataFrame, labels: DataFrame, setup: Setup = Setup()) -> Model:
     """Word vectors of all documents, and labels.quality learned from the rows that are not held out."""
-    rows = training.labelled(docs, labels, "quality")
-    taken, there = training.sample(rows, F.col("label"), training.fold(F.col("doc_id"), FOLDS) == HELD_OUT, setup.per_class, setup.sample_bytes)
+    held_out = training.fold(F.col("doc_id"), FOLDS) == HELD_OUT
+    taken, there = training.sample(docs, training.labels_of(labels, "quality"), held_out, setup.per_class, setup.sample_bytes)
     return train(taken, word_vectors(docs, setup), there, setup)
 
 

@@ -35,6 +35,7 @@ FOLDS = 5
 _INPUTS = 8
 #: Bytes of a word that are read, and the bits of a bucket.
 _BYTES, _BITS = 32, 20
+_AT_ONCE = 1 << 15
 _U = np.uint64
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -46,8 +47,8 @@ class Setup:
     stride: int = 24
     hidden: int = 8
     attention: int = 8
-    per_class: int = 1500
-    sample_bytes: int = 12 << 20
+    per_class: int = 1200
+    sample_bytes: int = 6 << 20
     epochs: int = 12
     grams: tuple[int, int] = (3, 6)
     prior: float = 8.0
@@ -64,36 +65,38 @@ class Vocabulary:
 
     def __init__(self, column: pa.Array, grams: tuple[int, int]):
         words = Words(pc.utf8_lower(column))
-        hashes, at, self.ids = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        _, at, self.ids = np.unique(words.hashes(), return_index=True, return_inverse=True)
         self.first = words.first
         starts, lengths = words.starts[at], (words.ends - words.starts)[at]
-        wide = int(min(lengths.max(initial=1), _BYTES))
-        steps = np.arange(wide)
-        inside = steps < lengths[:, None]
+        self.wide, self.lengths = int(min(lengths.max(initial=1), _BYTES)), grams
+        self.size = np.minimum(lengths, self.wide)
         data = words.data if len(words.data) else np.zeros(1, np.uint8)
-        raw = np.where(inside, data[np.minimum(starts[:, None] + steps, len(data) - 1)], 0)
+        parts = [self._read(data, starts[a : a + _AT_ONCE], lengths[a : a + _AT_ONCE]) for a in range(0, len(at), _AT_ONCE)] or [self._read(data, starts, lengths)]
+        self.core, self.word = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.grams = [np.concatenate(g) for g in zip(*(p[2] for p in parts), strict=True)]
+
+    def _read(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of some words the lengths without outer punctuation, the words' buckets and their n-grams' buckets."""
+        wide, (low, high) = self.wide, self.lengths
+        steps = np.arange(wide)
+        raw = np.where(steps < lengths[:, None], data[np.minimum(starts[:, None] + steps, len(data) - 1)], 0)
         letter = _LETTER[raw]
         some = letter.any(axis=1)
         left = np.where(some, letter.argmax(axis=1), 0)
-        right = np.where(some, wide - letter[:, ::-1].argmax(axis=1), 0)
-        self.core = right - left
-        self.size = np.minimum(lengths, wide)
-        at = left[:, None] + steps
-        body = np.where(steps < self.core[:, None], np.take_along_axis(raw, np.minimum(at, wide - 1), 1), 0)
-        marked = np.zeros((len(at), wide + 2), np.uint64)
+        core = np.where(some, wide - letter[:, ::-1].argmax(axis=1), 0) - left
+        body = np.where(steps < core[:, None], np.take_along_axis(raw, np.minimum(left[:, None] + steps, wide - 1), 1), 0)
+        marked = np.zeros((len(starts), wide + 2), np.uint64)
         marked[:, 0] = 1
         marked[:, 1:-1] = body
-        marked[np.arange(len(at)), self.core + 1] = 2
-        whole = constants(wide + 2, 31)
-        self.word = self._bucket((marked * whole).sum(axis=1, dtype=np.uint64), some)
-        self.grams = []
-        low, high = grams
-        h = marked.copy()
+        marked[np.arange(len(starts)), core + 1] = 2
+        word = self._bucket((marked * constants(wide + 2, 31)).sum(axis=1, dtype=np.uint64), some)
+        grams, h = [], marked
         for n in range(2, high + 1):
             h = h[:, :-1] * _U(0x9FB21C651E98DF25) + marked[:, n - 1 :] if h.shape[1] > 1 else h[:, :0]
             if n >= low:
-                fits = np.arange(h.shape[1]) < (self.core + 3 - n)[:, None]
-                self.grams.append(self._bucket(h + _U(n << 32), fits & some[:, None]))
+                fits = np.arange(h.shape[1]) < (core + 3 - n)[:, None]
+                grams.append(self._bucket(h + _U(n << 32), fits & some[:, None]))
+        return core, word, grams
 
     @staticmethod
     def _bucket(h: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -351,8 +354,8 @@ def windows_of(inputs: list[np.ndarray], chosen: list[tuple[int, int]], setup: S
 
 def fit(docs: DataFrame, labels: DataFrame, setup: Setup = Setup()) -> Model:
     """Learn labels.toxic from the rows that are not held out."""
-    rows = training.labelled(docs, labels, "toxic")
-    return train(*training.sample(rows, F.col("label"), training.fold(F.col("doc_id"), FOLDS) == 0, setup.per_class, setup.sample_bytes), setup)
+    held_out = training.fold(F.col("doc_id"), FOLDS) == 0
+    return train(*training.sample(docs, training.labels_of(labels, "toxic"), held_out, setup.per_class, setup.sample_bytes), setup)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -14,36 +14,39 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, label: Column, held_out: Column, per_class: int, total_bytes: int) -> tuple[list[tuple[str, object]], dict]:
-    """The rows of each label that there are, and (text, label) of at most per_class rows of each label, and about total_bytes / labels of text for each.
+def sample(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int, total_bytes: int) -> tuple[list[tuple[str, object]], dict]:
+    """(text, label) of at most per_class rows of each label, and about total_bytes / labels of text for each; and
+    how many rows of each label there are.
 
-    docs has doc_id, text and what label and held_out read. Rows are taken in the order of a hash of doc_id and
-    text, so the sample does not depend on how the table is stored. Null labels and held-out rows are never taken.
+    labels: doc_id and label. held_out is over doc_id. Rows are taken in the order of a hash of doc_id, so the sample
+    does not depend on how the tables are stored. Null labels, null ids and held-out rows are never taken. Ids and
+    lengths are joined first; texts are only read for the ids chosen, whose number is bounded, and never shuffled.
     """
-    rows = docs.where(~held_out & label.isNotNull()).select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), label.alias("label"), F.xxhash64("doc_id", "text").alias("turn")
-    )
+    sizes = id_text(docs).where(F.col("doc_id").isNotNull() & ~held_out).select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("turn"))
+    known = labels.select("doc_id", "label").where("label is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    rows = sizes.join(known, "doc_id")
     there = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    kinds = sorted(there, key=str)
-    out: list[tuple[str, object]] = []
-    for kind in kinds:
-        own = rows.where(F.col("label") == F.lit(kind))
-        sizes = own.select("turn", F.octet_length("text").alias("n")).orderBy("turn").limit(per_class).collect()
-        room, last = total_bytes // len(kinds), None
-        for r in sizes:
+    chosen: list[tuple[int, object]] = []
+    for kind in sorted(there, key=str):
+        room, taken = total_bytes // len(there), 0
+        for r in rows.where(F.col("label") == F.lit(kind)).orderBy("turn", "doc_id").limit(per_class).select("doc_id", "n").collect():
             room -= r.n
-            if room < 0 and last is not None:
+            if room < 0 and taken:
                 break
-            last = r.turn
-        if last is not None:
-            out += [(r.text, kind) for r in own.where(F.col("turn") <= last).orderBy("turn").limit(per_class).select("text").collect()]
-    return out, there
-
-
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """id_text(docs) with the column of labels; labels of unknown documents and null labels drop out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("label is not null and doc_id is not null")
-    return id_text(docs).join(known.dropDuplicates(["doc_id"]), "doc_id")
+            taken += 1
+            chosen.append((r.doc_id, kind))
+    if not chosen:
+        return [], there
+    of = dict(chosen)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in of], "doc_id long")
+    found = id_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text").limit(2 * len(of)).collect()  # at most per_class ids of each label
+    texts = {r.doc_id: r.text for r in sorted(found, key=lambda r: r.text)}  # of rows with one id one text
+    return [(texts[i], kind) for i, kind in chosen], there
+
+
+def labels_of(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id and label."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
 
 
 class Adam:

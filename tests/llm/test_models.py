@@ -138,9 +138,11 @@ def test_word_vectors_add_up_over_any_partitions(spark):
 
 def test_samples_leave_out_what_is_held_out(spark):
     docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(300)], "doc_id long, text string")
-    rows, there = training.sample(docs, (F.col("doc_id") % 2).cast("int"), training.fold(F.col("doc_id"), 5) == 0, 40, 1 << 20)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    rows, there = training.sample(docs, labels, training.fold(F.col("doc_id"), 5) == 0, 40, 1 << 20)
     ids = [int(t.split()[1]) for t, _ in rows]
     assert len(rows) == 80 and all(crc(i) % 5 for i in ids) and sum(there.values()) == sum(crc(i) % 5 != 0 for i in range(300))
-    few, _ = training.sample(docs, F.lit(1), F.lit(False), 100, 2000)
+    assert all(i % 2 == y for i, (_, y) in zip(ids, rows, strict=True))
+    few, _ = training.sample(docs, labels.withColumn("label", F.lit(1)), F.lit(False), 100, 2000)
     assert 1 <= len(few) < 10
     assert len(ROWS) > 10
