@@ -162,7 +162,8 @@ def train(rows: list[tuple[str, int]], vectors: np.ndarray, there: dict | None =
     y = np.array([int(v == 1) for _, v in rows], float)
     if len(set(y.tolist())) < 2:
         return Model(setup, float(y.mean()) if len(y) else 0.0)
-    x = pooled(pa.array([t for t, _ in rows], pa.string()), vectors, setup)
+    # A few texts at a time: word vectors of the whole sample would fill the driver.
+    x = np.concatenate([pooled(pa.array([t for t, _ in rows[a : a + 64]], pa.string()), vectors, setup) for a in range(0, len(rows), 64)])
     weight = training.weights(y, there)
     rnd = np.random.default_rng(setup.seed)
     order = rnd.permutation(len(y))
