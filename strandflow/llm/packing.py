@@ -2,7 +2,7 @@
 
 A document's ids end in the end token. Only a longer document is cut, into pieces of `capacity` tokens of which
 the first may be shorter. Pieces are dealt over tasks by a hash of their document, and each task packs what it
-gets, in the order of that hash. It has at most `open_bins` open bins, in stacks by free space, and a bitset of
+gets, in the order of that hash, in which of every `BLOCK` pieces the longest come first. It has at most `open_bins` open bins, in stacks by free space, and a bitset of
 the free spaces that occur: a piece goes into the fullest bin it fits, found by the lowest set bit at or above
 its length; if it fits none a bin is opened, for which, when all are open, the fullest is closed first.
 
@@ -28,6 +28,8 @@ from strandflow.llm import bpe
 from strandflow.llm.common import batch_of, id_text, map_batches
 
 CAPACITY, END_ID, OPEN_BINS = 1024, 2, 2048
+#: Pieces that are put in order of length before they arrive.
+BLOCK = 1024
 
 
 class BestFit:
@@ -100,15 +102,36 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
-            ids = pa.array([base + n for n, _ in placed], pa.int64())
-            yield batch_of(**{c: batch.column(c) for c in names}, sequence_id=ids, offset=pa.array([o for _, o in placed], pa.int64()))
+        for block in blocks(batches, BLOCK):
+            length = block.column("length").to_numpy()
+            ids, offsets = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+            for i in np.argsort(-length, kind="stable").tolist():
+                number, offsets[i] = bins.place(int(length[i]))
+                ids[i] = base + number
+            yield batch_of(**{c: block.column(c) for c in names}, sequence_id=pa.array(ids), offset=pa.array(offsets))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
     return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
+def blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows`, the last of fewer."""
+    held, n = [], 0
+    for b in batches:
+        while n + b.num_rows >= rows:
+            yield _joined([*held, b.slice(0, rows - n)])
+            b, held, n = b.slice(rows - n), [], 0
+        held.append(b)
+        n += b.num_rows
+    if n:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    t = pa.Table.from_batches(parts).combine_chunks()
+    return t.to_batches()[0] if t.num_rows else parts[0]
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """sequence_id, length and ids (little-endian unsigned 32-bit) from packed pieces that have their ids."""
     parts = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
