@@ -40,10 +40,10 @@ for _b in (*range(0x61, 0x7B), *range(0x80, 0x100)):
 
 @dataclass(frozen=True)
 class Setup:
-    bits: int = 14
+    bits: int = 12
     grams: tuple[int, ...] = (1, 2, 3, 4)
-    per_class: int = 1000
-    sample_bytes: int = 8 << 20
+    per_class: int = 800
+    sample_bytes: int = 6 << 20
     epochs: int = 12
     penalty: float = 1e-4
     seed: int = 23
@@ -69,7 +69,9 @@ def profiles(column: pa.Array, setup: Setup) -> np.ndarray:
         for n, own in zip(setup.grams, buckets, strict=True):
             if b - a >= n:
                 out[i] += np.bincount(own[a : b - n + 1], minlength=out.shape[1])
-    return unit(np.sqrt(out))
+    np.sqrt(out, out=out)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -80,21 +82,25 @@ def machine(x: np.ndarray, y: np.ndarray, setup: Setup) -> np.ndarray:
     """A linear support vector machine (the last weight is the constant); y is 1 or -1. Classes weigh the same."""
     rnd = np.random.default_rng(setup.seed)
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-6), 0.5 / max((y < 0).mean(), 1e-6))
-    w, mean, steps = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float64), 0
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    w, bias = np.zeros(x.shape[1], np.float32), 0.0
+    mean, mean_bias, steps, counted = np.zeros(x.shape[1]), 0.0, 0, 0
     for epoch in range(setup.epochs):
         order = rnd.permutation(len(y))
         for a in range(0, len(y), 64):
             b = order[a : a + 64]
             steps += 1
             rate = 2.0 / (1 + 0.02 * steps)
-            wrong = b[y[b] * (x[b] @ w) < 1]
+            wrong = b[y[b] * (x[b] @ w + bias) < 1]
             w *= 1 - rate * setup.penalty
             if len(wrong):
-                w += (rate / len(b)) * (x[wrong].T @ (y[wrong] * weight[wrong]).astype(np.float32))
+                push = y[wrong] * weight[wrong] * (rate / len(b))
+                w += x[wrong].T @ push.astype(np.float32)
+                bias += float(push.sum())
             if epoch >= setup.epochs // 2:
                 mean += w
-    return (mean / max(1, steps - steps // 2)).astype(np.float32)
+                mean_bias += bias
+                counted += 1
+    return np.append(mean, mean_bias).astype(np.float32) / max(1, counted)
 
 
 @dataclass
