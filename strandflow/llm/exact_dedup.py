@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import id_text, settle
+from strandflow.llm.common import id_text, if_small, settle
 
 SALTS = 16
 
@@ -75,7 +75,7 @@ def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     away = settle(deduplicate(docs, salts).where(~F.col("kept")).select("doc_id", "digest", stays.alias("stays")).distinct())
     away = away.withColumnsRenamed({"doc_id": "__gone", "digest": "__of"})
     same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__of"))
-    out = d.join(away.where(~F.col("stays")), same, "left_anti")
+    out = d.join(if_small(away.where(~F.col("stays"))), same, "left_anti")
     repeated = away.where("stays")
     if not repeated.isEmpty():
         out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["__id", "__digest"]))
