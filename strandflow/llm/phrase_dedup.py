@@ -231,10 +231,17 @@ def occurrences(scan: Scan, known: np.ndarray, phrase: int) -> np.ndarray:
     if not len(machine):
         return np.zeros(0, np.int64)
     machine.make_automaton()
-    hit, first = [], scan.words.first.tolist()
-    for begin, end in zip(first[:-1], first[1:], strict=True):
-        if end - begin >= scan.window:
-            hit += [begin + e for e, _ in machine.iter(tuple(numbers[begin:end].tolist()))]
+    # An occurrence has words of phrases only, so the stream may leave out what lies between runs of such words.
+    used = np.zeros(int(numbers.max()) + 1, bool)
+    used[numbers[anchors[at][:, None] + np.arange(phrase)]] = True
+    inside = np.concatenate([[False], used[numbers], [False]])
+    edge = np.concatenate([[True], scan.row[1:] != scan.row[:-1], [True]])
+    begin = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
+    end = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
+    long = end - begin >= phrase
+    hit: list[int] = []
+    for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+        hit += [a + e for e, _ in machine.iter(tuple(numbers[a:b].tolist()))]
     near = np.zeros(len(scan.hash) + 1, np.int64)  # the windows that hold an occurrence
     ends = np.array(hit, np.int64)
     np.add.at(near, np.maximum(ends + 1 - scan.window, 0), 1)
