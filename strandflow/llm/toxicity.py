@@ -33,7 +33,7 @@ from strandflow.llm.words import Words, constants, mix
 
 FOLDS = 5
 _INPUTS = 8
-#: Bytes of a word that are read, and the bits of a bucket.
+#: Bytes of a word that are read as one; a longer word is read in parts. And the bits of a bucket.
 _BYTES, _BITS = 32, 20
 _AT_ONCE = 1 << 15
 _U = np.uint64
@@ -59,12 +59,14 @@ class Setup:
 class Vocabulary:
     """The different words of a column, lower-cased and without outer ASCII punctuation, and hashes of their n-grams.
 
-    ids: for each word of the column its place in the vocabulary; first: each row's first word. A word's first
-    _BYTES bytes are read. grams: for each length the n-grams' buckets, -1 where a word is shorter.
+    A word of over _BYTES bytes counts as parts of so many bytes, which overlap by the longest n-gram. ids: for each
+    word of the column its place in the vocabulary; first: each row's first word. grams: for each length the n-grams'
+    buckets, -1 where a word is shorter.
     """
 
     def __init__(self, column: pa.Array, grams: tuple[int, int]):
         words = Words(pc.utf8_lower(column))
+        _split(words, grams[1])
         _, at, self.ids = np.unique(words.hashes(), return_index=True, return_inverse=True)
         self.first = words.first
         starts, lengths = words.starts[at], (words.ends - words.starts)[at]
@@ -108,6 +110,17 @@ class Vocabulary:
         return found[found >= 0]
 
 
+def _split(words: Words, overlap: int) -> None:
+    """Words of over _BYTES bytes become parts of at most so many bytes, each of which begins in the last `overlap` bytes of the one before."""
+    step, length = _BYTES - overlap, words.ends - words.starts
+    parts = 1 + np.maximum(0, -(-(length - _BYTES) // step))
+    if len(parts) and parts.max() > 1:
+        word = np.repeat(np.arange(len(parts)), parts)
+        words.starts = words.starts[word] + step * (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts))
+        words.ends = np.minimum(words.starts + _BYTES, words.ends[word])
+        words.first = np.searchsorted(words.starts, words.offsets)
+
+
 class Evidence:
     """Log-odds of label 1 of words and of n-grams against the base rate, with a prior of `prior` documents at the base rate."""
 
@@ -159,7 +172,7 @@ class Evidence:
                 strong += (odds > 1.5).sum(axis=1)
         return np.stack([
             word[v.word], top, edge, total / np.maximum(count, 1), np.minimum(strong, 8) / 4, np.maximum(top - 2, 0),
-            1 - v.core / np.maximum(v.size, 1), np.minimum(v.core, 24) / 12 - 0.5,
+            1 - v.core / np.maximum(v.size, 1), np.where(v.size < _BYTES, np.minimum(v.core, 24) / 12 - 0.5, 0),  # a part says nothing of length
         ], axis=1).astype(np.float32)
 
 
