@@ -15,8 +15,9 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int, total_bytes: int) -> tuple[list[tuple[str, object]], dict]:
-    """(text, label) of at most per_class rows of each label, and about total_bytes / labels of text for each; and
-    how many rows of each label there are.
+    """(text, label) of at most per_class rows of each label, and at most total_bytes / labels of text for each; and
+    how many rows of each label there are. A text that does not fit in what is left of its label's bytes is passed
+    over; only where all texts of a label are longer than its bytes the shortest is taken, so that none goes missing.
 
     labels: doc_id and label. held_out is over doc_id. Rows are taken in the order of a hash of doc_id, so the sample
     does not depend on how the tables are stored. Null labels, null ids and held-out rows are never taken. Ids and
@@ -28,13 +29,14 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int,
     there = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     chosen: list[tuple[int, object]] = []
     for kind in sorted(there, key=str):
-        room, taken = total_bytes // len(there), 0
-        for r in rows.where(F.col("label") == F.lit(kind)).orderBy("turn", "doc_id").limit(per_class).select("doc_id", "n").collect():
-            room -= r.n
-            if room < 0 and taken:
-                break
-            taken += 1
-            chosen.append((r.doc_id, kind))
+        room, own = total_bytes // len(there), rows.where(F.col("label") == F.lit(kind))
+        fitting = own.where(F.col("n") <= room).orderBy("turn", "doc_id").limit(per_class).select("doc_id", "n").collect()
+        for r in fitting:
+            if r.n <= room:
+                room -= r.n
+                chosen.append((r.doc_id, kind))
+        if not fitting:
+            chosen += [(r.doc_id, kind) for r in own.orderBy("n", "turn", "doc_id").limit(1).select("doc_id").collect()]
     if not chosen:
         return [], there
     of = dict(chosen)
