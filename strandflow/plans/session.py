@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -39,7 +40,48 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Remove the files of tables written by settle() that nothing will read again."""
+    for df in settled:
+        if path := getattr(df, "_settled", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: Bytes of a table, by its number of rows and the width stated for them, up to which it is broadcast.
+BROADCAST_BYTES = 24 << 20
+#: Keys that salted_join() broadcasts at most, and rows of a key from which on it may salt.
+HOT_KEYS, HOT_ROWS = 1 << 17, 256
+
+
+def if_small(df: DataFrame, width: int = 24) -> DataFrame:
+    """df, a written table of `width` bytes a row, marked for broadcast if it is counted to be small; else Spark joins it by shuffling."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, on: str, size: str, spread_by: list[str], width: int = 24, how: str = "inner") -> DataFrame:
+    """rows joined with groups, a written table of one row for each key and of `width` bytes a row, however many rows a key has.
+
+    size is the column of groups with the number of rows of a key. Few groups are broadcast. Else the keys of more than
+    `limit` rows are dealt over as many salts as they have times `limit` rows; limit is such that these keys, which go to
+    all tasks, are HOT_KEYS at most. spread_by: columns of rows (which must be read from a table) that tell apart rows of one key.
+    """
+    total = groups.agg(F.count("*"), F.sum(size)).first()
+    if total[0] * width <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), on, how)
+    limit = max(HOT_ROWS, -(-(total[1] or 0) // HOT_KEYS))
+    copies = F.expr(f"cast(({size} - 1) div {limit} as int)")
+    hot = groups.where(copies > 0).select(on, copies.alias("__copies"))
+    turn = F.pmod(F.xxhash64(*spread_by, F.spark_partition_id()), F.col("__copies") + 1).cast("int")
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(turn, F.lit(0))).drop("__copies")
+    dealt = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies)))
+    return salted.join(dealt, [on, "__salt"], how).drop("__salt")
 
 
 def spread(df: DataFrame) -> DataFrame:
