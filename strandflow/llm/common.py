@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.plans.session import expose, settle, shared_dir, spread  # noqa: F401  (shared by the operators)
+from strandflow.plans.session import discard, expose, if_small, salted_join, settle, shared_dir, spread  # noqa: F401  (shared by the operators)
 
 #: Rows of an Arrow batch that Spark sends to Python. Texts may be long, so batches are short.
 BATCH_ROWS = 512
@@ -84,11 +84,3 @@ def utf8(col: pa.Array):
 def batch_of(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
 
-
-#: Rows of two numbers up to which a table is broadcast; about 32 MB.
-BROADCAST_ROWS = 1 << 20
-
-
-def if_small(df: DataFrame) -> DataFrame:
-    """df, a written table of ids, marked for broadcast if it has few rows; else Spark joins it by shuffling."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
