@@ -5,19 +5,20 @@ elsewhere is removed. Of each window the phrase (of `phrase` words) with the lea
 windows have equal anchors at the same place, and neighbouring windows mostly share theirs.
 
 1. count: anchors are counted over all documents; a window whose anchor occurs once cannot recur;
-2. confirm: documents are dealt into shards of about `shard_bytes` of text by a hash. Each shard sends the
-   digests of its different windows with repeated anchors, packed by digest range, and gets back those that
-   start twice or more in the corpus: the recurring passages;
-3. locate: each shard compiles an automaton of the anchors of its confirmed windows over word numbers, and all
-   its documents stream through it. Around each occurrence the windows are compared with the confirmed ones,
-   and those that agree are removed.
+2. confirm: documents are dealt into shards of about `shard_bytes` of text by a hash. Neighbouring windows of one
+   repeated anchor make a stretch of words; each shard sends its different stretches, dealt by their anchors. Where
+   all stretches of an anchor meet, their windows are counted, and what recurs goes back to the shards it came
+   from, as passages of words with the place of their anchor;
+3. locate: each shard compiles an automaton of its passages' anchors over word numbers, and all its documents stream
+   through it. Every occurrence is extended to both sides, word by word, along the passages with that anchor; where
+   `window` words or more agree, they are removed. Nothing but the automaton says where passages stand.
 
-A shard's counts hold a window once, however often it occurs there, so hot passages travel once for each shard.
-Digests have 96 bits.
+A shard sends a stretch once, however often it occurs there, so hot passages travel once for each shard. Windows are
+counted by digests of 96 bits, and words compared by hashes of 64.
 
 Defined cases: a null or empty text has no words; a text shorter than a window keeps all its words; repeated
-rows are documents of their own, so their windows recur; columns besides doc_id and text are ignored. An empty
-table gives an empty result.
+rows are documents of their own, so their windows recur, and where they are so many that they would fill a shard they
+are counted before they travel; columns besides doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,11 +37,14 @@ from strandflow.llm.common import batch_of, id_text, map_batches
 from strandflow.llm.words import Words, mix, sliding_argmin, window_hashes
 
 WINDOW, PHRASE, SHARD_BYTES = 35, 12, 8 << 20
+#: Parts of the hash range in which text is added up to find rows that repeat very often.
+CELLS = 4096
 _KEY = np.dtype([("w", "<u8"), ("s", "<u4")])
+_AT_ONCE = 1 << 20
 
 
 class Scan:
-    """The words of a column with, for each place where a window starts in one row, the window's digest and its anchor's place."""
+    """The words of a column with, for each place where a window starts in one row, its anchor's place."""
 
     def __init__(self, column: pa.Array, window: int, phrase: int):
         self.words = Words(column)
@@ -51,13 +56,57 @@ class Scan:
         self.anchor = sliding_argmin(self.phrase, window - phrase + 1)[self.starts] if n else self.starts
         self.window = window
 
-    def keys(self, at: np.ndarray | None = None) -> np.ndarray:
-        """The digests of the windows that start at self.starts[at]."""
-        if not hasattr(self, "_w"):
-            self._w = window_hashes(self.hash, self.window, 1)
-            self._s = mix(window_hashes(self.hash, self.window, 3)) >> np.uint64(32)
-        starts = self.starts if at is None else self.starts[at]
-        return key_array(self._w[starts], self._s[starts])
+    def stretches(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last start and the anchor's place of each run of neighbouring windows with one anchor, of the windows in `use`."""
+        start, anchor = self.starts[use], self.anchor[use]
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(start)) - 1
+        return start[first], start[last[: len(first)]], anchor[first]
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Digests of stretches; first and last window overlap, so that they are all of it."""
+        parts = []
+        for seed in (1, 3):
+            w = window_hashes(self.hash, self.window, seed)
+            parts.append(mix(mix(w[first]) + w[last] * np.uint64(0x9FB21C651E98DF25) + (last - first).astype(np.uint64)))
+        return key_array(parts[0], parts[1] >> np.uint64(32))
+
+
+def windows_of(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The digests of the windows that start at the words `at`."""
+    return key_array(window_hashes(h, window, 1)[at], mix(window_hashes(h, window, 3)[at]) >> np.uint64(32))
+
+
+def texts_of(words: Words, first: np.ndarray, stop: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Runs of words as lines of words between single blanks: the bytes of all lines, and where each begins."""
+    count = stop - first
+    ends = np.cumsum(count)
+    word = np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+    starts, size = words.starts[word], (words.ends - words.starts)[word] + 1
+    to = np.concatenate([[0], np.cumsum(size)])
+    out = words.data[np.minimum(np.repeat(starts - to[:-1], size) + np.arange(int(to[-1])), max(len(words.data) - 1, 0))]
+    out[to[1:] - 1] = 0x20
+    out[to[ends] - 1] = 0x0A
+    return out.tobytes(), to[np.concatenate([[0], ends])]
+
+
+def lines_of(packs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The lines of packed texts as a column, and how many lines each pack has."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    raw = [unpack(p) for p in packs]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.flatnonzero(data == 0x0A) + 1
+    offsets = np.concatenate([[0], ends]).astype("<i8")
+    counts = np.array([r.count(b"\n") for r in raw], np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), counts
+
+
+def packed(text: bytes, bounds: np.ndarray) -> list[bytes]:
+    """Slices of text, compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [pack(text[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def key_array(w: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -80,23 +129,6 @@ def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, fresh
 
 
-def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which digests are known; known is in the order of ordered() and without repeats."""
-    out = np.zeros(len(keys), bool)
-    if len(known) and len(keys):
-        kw, ks = np.ascontiguousarray(known["w"]), np.ascontiguousarray(known["s"])
-        w, s = np.ascontiguousarray(keys["w"]), np.ascontiguousarray(keys["s"])
-        at = np.searchsorted(kw, w)
-        while True:
-            live = at < len(kw)
-            live &= kw[np.minimum(at, len(kw) - 1)] == w
-            out |= live & (ks[np.minimum(at, len(kw) - 1)] == s)
-            if not (live & ~out).any():
-                break
-            at = at + 1
-    return out
-
-
 def column(t: pa.Table, name: str) -> pa.Array:
     c = t.column(name).combine_chunks()
     return c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks)
@@ -125,19 +157,27 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
     if "row" not in d.columns:
         d = d.withColumn("row", F.lit(0))
     kind = d.schema["row"].dataType
-    total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cell = F.pmod(F.xxhash64("doc_id", "text"), F.lit(CELLS))
+    cells = {r.c: r.b for r in d.groupBy(cell.alias("c")).agg(F.sum(F.octet_length("text").cast("long")).alias("b")).collect()}
+    total = sum(cells.values())
     shards = max(1, math.ceil(total / shard_bytes))
+    # Only one very long text, or a row that repeats very often, makes a cell stand out so far.
+    full = [c for c, b in cells.items() if b > 8 * total / CELLS + 4 * shard_bytes]
+    d, repeats = d.withColumn("times", F.lit(1).cast("long")), None
+    if full and "map<" not in kind.simpleString():
+        repeats = d.where(cell.isin(full)).groupBy("doc_id", "text", "row").agg(F.count("*").alias("times"))
+        d = d.where(~cell.isin(full)).unionByName(repeats)
     d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
     def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
         scan = Scan(batch.column("text"), window, phrase)
         at = np.unique(scan.anchor)
-        shard = batch.column("shard").to_numpy()[scan.row[at]]
-        return batch_of(phrase=pa.array(scan.phrase[at], pa.int64()), shard=pa.array(shard, pa.int32()))
+        shard, times = (batch.column(c).to_numpy()[scan.row[at]] for c in ("shard", "times"))
+        return batch_of(phrase=pa.array(scan.phrase[at], pa.int64()), shard=pa.array(shard, pa.int32()), n=pa.array(times, pa.int64()))
 
-    seen = map_batches(d.select("shard", "text"), anchors, "phrase long, shard int").groupBy("phrase", "shard").agg(F.count("*").alias("n"))
+    seen = map_batches(d.select("shard", "text", "times"), anchors, "phrase long, shard int, n long").groupBy("phrase", "shard").agg(F.sum("n").alias("n"))
     repeated = seen.withColumn("all", F.sum("n").over(Window.partitionBy("phrase"))).where(F.col("all") > 1).select("shard", "phrase")
-    ranges = max(1, shards // 4)
+    ranges = max(1, shards // 2)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         scan = Scan(column(left, "text"), window, phrase)
@@ -146,51 +186,62 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
             return sent([], [], [], [])
         value = scan.phrase[scan.anchor]
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-        keys = scan.keys(np.flatnonzero(known[at] == value))
-        order, fresh = ordered(keys)
-        first = np.flatnonzero(fresh)
-        times = np.diff(np.append(first, len(keys)))
-        keys, twice = keys[order][first], times > 1
-        part = (keys["w"] % np.uint64(ranges)).astype(np.int64)
+        first, last, anchor = scan.stretches(known[at] == value)
+        times = column(left, "times").to_numpy()[scan.row[first]]
+        order, fresh = ordered(scan.digests(first, last))
+        new = np.flatnonzero(fresh)
+        twice = (np.add.reduceat(times[order], new) > 1) if len(new) else np.zeros(0, bool)
+        first, last, anchor = first[order][new], last[order][new], anchor[order][new]
+        part = (scan.phrase[anchor].view(np.uint64) % np.uint64(ranges)).astype(np.int64)
         by = np.argsort(part, kind="stable")
-        keys, twice, part = keys[by], twice[by], part[by]
+        first, last, anchor, twice, part = first[by], last[by], anchor[by], twice[by], part[by]
         begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        stops = np.append(begin[1:], len(part))
+        bounds = np.append(begin, len(part))
+        text, line = texts_of(scan.words, first, last + window)
+        marks = np.stack([anchor - first, twice], axis=1).astype("<i4")
         shard = left.column("shard")[0].as_py()
-        return sent([shard] * len(begin), part[begin].tolist(), [keys[a:b].tobytes() for a, b in zip(begin, stops, strict=True)], [np.packbits(twice[a:b]).tobytes() for a, b in zip(begin, stops, strict=True)])
+        return sent([shard] * len(begin), part[begin].tolist(), packed(text, line[bounds]), [marks[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
-    def sent(shard: list, part: list, keys: list, twice: list) -> pa.Table:
-        return pa.table({"shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int64()), "keys": pa.array(keys, pa.binary()), "twice": pa.array(twice, pa.binary())})
+    def sent(shard: list, part: list, words: list, marks: list) -> pa.Table:
+        return pa.table({"shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int64()), "words": pa.array(words, pa.binary()), "marks": pa.array(marks, pa.binary())})
 
     by_shard = d.groupBy("shard")
-    packs = d.select("shard", "text").groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(candidates, "shard int, part long, keys binary, twice binary")
+    packs = d.select("shard", "text", "times").groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(candidates, "shard int, part long, words binary, marks binary")
 
     def confirm(t: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(k, _KEY) for k in t.column("keys").to_pylist()]
-        flags = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)) for b, k in zip(t.column("twice").to_pylist(), blobs, strict=True)]
-        keys, times = np.concatenate(blobs), 1 + np.concatenate(flags).astype(np.int64)
-        order, fresh = ordered(keys)
-        first = np.flatnonzero(fresh)
-        enough = np.add.reduceat(times[order], first) > 1
-        confirmed = np.empty(len(keys), bool)
-        confirmed[order] = np.repeat(enough, np.diff(np.append(first, len(keys))))
-        ends = np.cumsum([len(k) for k in blobs])
-        back = [k[confirmed[e - len(k) : e]].tobytes() for k, e in zip(blobs, ends, strict=True)]
-        return pa.table({"shard": t.column("shard"), "keys": pa.array(back, pa.binary())})
-
-    confirmed = packs.groupBy("part").applyInArrow(confirm, "shard int, keys binary").where(F.octet_length("keys") > 0)
+        lines, counts = lines_of(t.column("words").to_pylist())
+        marks = np.concatenate([np.frombuffer(m, "<i4").reshape(-1, 2) for m in t.column("marks").to_pylist()])
+        words = Words(lines)
+        many = words.counts - window + 1  # windows of each stretch
+        of = np.repeat(np.arange(len(many)), many)
+        start = words.first[:-1][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        order, fresh = ordered(windows_of(words.hashes(), start, window))
+        new = np.flatnonzero(fresh)
+        enough = np.add.reduceat(1 + marks[of[order], 1].astype(np.int64), new) > 1
+        again = np.empty(len(of), bool)
+        again[order] = np.repeat(enough, np.diff(np.append(new, len(of))))
+        edge = np.r_[True, of[1:] != of[:-1]]
+        begin = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
+        end = np.flatnonzero(again & (np.r_[edge[1:], True] | ~np.r_[again[1:], False]))
+        text, line = texts_of(words, start[begin], start[end] + window)
+        place = (words.first[:-1][of[begin]] + marks[of[begin], 0] - start[begin]).astype("<i4")
+        bounds = np.searchsorted(of[begin], np.concatenate([[0], np.cumsum(counts)]))
+        back = [place[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"shard": t.column("shard"), "words": pa.array(packed(text, line[bounds]), pa.binary()), "places": pa.array(back, pa.binary())})
+
+    confirmed = packs.groupBy("part").applyInArrow(confirm, "shard int, words binary, places binary").where(F.octet_length("places") > 0)
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return result(left, [], [], [], [], [])
         scan = Scan(column(left, "text"), window, phrase)
-        known = np.concatenate([np.zeros(0, _KEY), *(np.frombuffer(k, _KEY) for k in right.column("keys").to_pylist())])
         covered = np.zeros(len(scan.hash) + 1, np.int64)
-        if len(known):
-            known = known[ordered(known)[0]]
-            starts = occurrences(scan, known, phrase)
-            np.add.at(covered, starts, 1)
-            np.subtract.at(covered, starts + window, 1)
+        if right.num_rows:
+            passages = Words(lines_of(right.column("words").to_pylist())[0])
+            places = np.concatenate([np.frombuffer(b, "<i4") for b in right.column("places").to_pylist()]).astype(np.int64)
+            for begin, end in occurrences(scan, passages, places, phrase):
+                np.add.at(covered, begin, 1)
+                np.subtract.at(covered, end, 1)
         gone = np.cumsum(covered[:-1]) > 0
         kept = scan.words.texts(~gone)
         first = scan.words.first
@@ -206,45 +257,75 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
         return result(left, np.diff(first), np.diff(removed[first]), kept, runs, (begin - base, end - base))
 
     confirmed_by = confirmed.groupBy("shard")
-    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>").add("row", kind)
-    return by_shard.cogroup(confirmed_by).applyInArrow(locate, schema)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>, times long").add("row", kind)
+    out = by_shard.cogroup(confirmed_by).applyInArrow(locate, schema)
+    if repeats is not None:
+        out = out.withColumn("times", F.explode(F.expr("sequence(1L, times)")))
+    return out.drop("times")
 
 
 def result(left: pa.Table, n_words, n_removed, kept, runs, spans) -> pa.Table:
     begin, end = spans if len(spans) else ([], [])
     pairs = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["start", "stop"])
     lists = pa.ListArray.from_arrays(pa.array(runs if len(runs) else [0], pa.int32()), pairs)
-    return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array([k if isinstance(k, bytes) else k.encode() for k in kept], pa.binary()).cast(pa.string()), "removed": lists, "row": left.column("row")})
+    return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array([k if isinstance(k, bytes) else k.encode() for k in kept], pa.binary()).cast(pa.string()), "removed": lists, "times": left.column("times"), "row": left.column("row")})
 
 
-def occurrences(scan: Scan, known: np.ndarray, phrase: int) -> np.ndarray:
-    """The starts of all windows with known digests, found around the occurrences of their anchors by an automaton."""
+def occurrences(scan: Scan, passages: Words, places: np.ndarray, phrase: int):
+    """First words and ends of all stretches of documents, of a window or more, that agree with a passage around its anchor.
+
+    places: for each passage how many of its words come before its anchor.
+    """
     import ahocorasick
 
-    numbers = np.unique(scan.hash, return_inverse=True)[1]
-    own = among(scan.keys(), known)
-    anchors = scan.anchor[own]
-    _, at = np.unique(scan.phrase[anchors], return_index=True)
+    own = passages.hashes()
+    _, numbers = np.unique(np.concatenate([scan.hash, own]), return_inverse=True)
+    numbers, own = numbers[: len(scan.hash)], numbers[len(scan.hash) :]
+    at = passages.first[:-1] + places
+    alike = window_hashes(passages.hashes(), phrase, 2)[at]
+    by = np.argsort(alike, kind="stable")  # passages of one anchor together
+    begin = np.flatnonzero(np.r_[True, alike[by][1:] != alike[by][:-1]])
+    size = np.diff(np.append(begin, len(by)))
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for a in anchors[at].tolist():
-        machine.add_word(tuple(numbers[a : a + phrase].tolist()), a)
-    if not len(machine):
-        return np.zeros(0, np.int64)
+    for k, a in enumerate(at[by[begin]].tolist()):
+        machine.add_word(tuple(own[a : a + phrase].tolist()), k)
     machine.make_automaton()
     # An occurrence has words of phrases only, so the stream may leave out what lies between runs of such words.
-    used = np.zeros(int(numbers.max()) + 1, bool)
-    used[numbers[anchors[at][:, None] + np.arange(phrase)]] = True
+    used = np.zeros(int(max(numbers.max(initial=0), own.max(initial=0))) + 1, bool)
+    used[own[at[by[begin]][:, None] + np.arange(phrase)]] = True
     inside = np.concatenate([[False], used[numbers], [False]])
     edge = np.concatenate([[True], scan.row[1:] != scan.row[:-1], [True]])
-    begin = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
-    end = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
-    long = end - begin >= phrase
-    hit: list[int] = []
-    for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-        hit += [a + e for e, _ in machine.iter(tuple(numbers[a:b].tolist()))]
-    near = np.zeros(len(scan.hash) + 1, np.int64)  # the windows that hold an occurrence
-    ends = np.array(hit, np.int64)
-    np.add.at(near, np.maximum(ends + 1 - scan.window, 0), 1)
-    np.subtract.at(near, np.maximum(ends - phrase + 2, 0), 1)
-    at = np.flatnonzero((np.cumsum(near) > 0)[scan.starts])
-    return scan.starts[at[among(scan.keys(at), known)]]
+    first = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
+    stop = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
+    long = stop - first >= phrase
+    ends: list[int] = []
+    found: list[int] = []
+    for a, b in zip(first[long].tolist(), stop[long].tolist(), strict=True):
+        for e, k in machine.iter(tuple(numbers[a:b].tolist())):
+            ends.append(a + e)
+            found.append(k)
+    hit, kind = np.array(ends, np.int64) - phrase + 1, np.array(found, np.int64)
+    total = np.concatenate([[0], np.cumsum(size[kind])])
+    low, high = scan.words.first[:-1][scan.row[hit]], scan.words.first[1:][scan.row[hit]]
+    i = 0
+    while i < len(hit):  # some hits at a time, each with all passages of its anchor
+        j = max(i + 1, int(np.searchsorted(total, total[i] + _AT_ONCE, "right")) - 1)
+        h = np.repeat(np.arange(i, j), size[kind[i:j]])
+        p = by[begin[kind[h]] + np.arange(len(h)) - (total[h] - total[i])]
+        left = _agree(numbers, own, hit[h], at[p], -1, np.minimum(places[p], hit[h] - low[h]))
+        right = _agree(numbers, own, hit[h] + phrase - 1, at[p] + phrase - 1, 1, np.minimum(passages.first[1:][p] - at[p], high[h] - hit[h]) - phrase)
+        some = left + phrase + right >= scan.window
+        yield (hit[h] - left)[some], (hit[h] + phrase + right)[some]
+        i = j
+
+
+def _agree(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, step: int, most: np.ndarray) -> np.ndarray:
+    """How many entries next to x[i] and y[j], in direction step, agree one by one; `most` bounds them."""
+    out, live = np.zeros(len(i), np.int64), np.flatnonzero(most > 0)
+    n = 1
+    while len(live):
+        live = live[x[i[live] + step * n] == y[j[live] + step * n]]
+        out[live] = n
+        n += 1
+        live = live[most[live] >= n]
+    return out
