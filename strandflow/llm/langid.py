@@ -188,8 +188,8 @@ def train(rows: list[tuple[str, str]], setup: Setup = Setup()) -> Model:
 
 def fit(docs: DataFrame, setup: Setup = Setup()) -> Model:
     """Learn documents' lang from the rows that are not held out."""
-    labels = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    rows, _ = training.sample(docs, labels, training.fold(F.col("doc_id"), FOLDS) == HELD_OUT, setup.per_class, setup.sample_bytes)
+    held_out = training.fold(F.col("doc_id"), FOLDS) == HELD_OUT
+    rows, _ = training.sample(docs.withColumn("label", F.col("lang").cast("string")), None, held_out, setup.per_class, setup.sample_bytes)
     return train(rows, setup)
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandflow.llm.common import id_text
+from strandflow.llm.common import discard, id_text, settle
+
+#: Rows of a sample over all labels, where there are so many labels that per_class would give more.
+MOST_ROWS = 20_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -14,36 +18,54 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int, total_bytes: int) -> tuple[list[tuple[str, object]], dict]:
+def sample(docs: DataFrame, labels: DataFrame | None, held_out: Column, per_class: int, total_bytes: int) -> tuple[list[tuple[str, object]], dict]:
     """(text, label) of at most per_class rows of each label, and at most total_bytes / labels of text for each; and
-    how many rows of each label there are. A text that does not fit in what is left of its label's bytes is passed
+    how many ids of each label there are. A text that does not fit in what is left of its label's bytes is passed
     over; only where all texts of a label are longer than its bytes the shortest is taken, so that none goes missing.
+    Of more than MOST_ROWS / per_class labels each has MOST_ROWS / labels rows at most.
 
-    labels: doc_id and label. held_out is over doc_id. Rows are taken in the order of a hash of doc_id, so the sample
-    does not depend on how the tables are stored. Null labels, null ids and held-out rows are never taken. Ids and
-    lengths are joined first; texts are only read for the ids chosen, whose number is bounded, and never shuffled.
+    labels: doc_id and label; if it is None docs has the column label. held_out is over doc_id. Rows are taken in the
+    order of a hash of doc_id, so the sample does not depend on how the tables are stored. Null labels, null ids and
+    held-out rows are never taken. Rows of one id count once, by the text of the least hash; an id with different
+    labels is left out. Only ids, lengths and hashes are shuffled; texts are read for the ids chosen, whose number is bounded.
     """
-    sizes = id_text(docs).where(F.col("doc_id").isNotNull() & ~held_out).select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("turn"))
-    known = labels.select("doc_id", "label").where("label is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    rows = sizes.join(known, "doc_id")
-    there = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    chosen: list[tuple[int, object]] = []
-    for kind in sorted(there, key=str):
-        room, own = total_bytes // len(there), rows.where(F.col("label") == F.lit(kind))
-        fitting = own.where(F.col("n") <= room).orderBy("turn", "doc_id").limit(per_class).select("doc_id", "n").collect()
-        for r in fitting:
-            if r.n <= room:
-                room -= r.n
-                chosen.append((r.doc_id, kind))
-        if not fitting:
-            chosen += [(r.doc_id, kind) for r in own.orderBy("n", "turn", "doc_id").limit(1).select("doc_id").collect()]
-    if not chosen:
+    own = [] if labels is not None else [F.col("label").alias("label")]
+    ids = id_text(docs, *(["label"] if own else [])).where(F.col("doc_id").isNotNull() & ~held_out)
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("of")
+    both = [F.min("label").alias("label"), F.max("label").alias("other")]
+    if labels is None:
+        rows = ids.groupBy("doc_id").agg(least, *both).where("label = other")
+    else:
+        known = labels.select("doc_id", "label").where("doc_id is not null").groupBy("doc_id").agg(*both).where("label = other").drop("other")
+        rows = ids.groupBy("doc_id").agg(least).join(known, "doc_id")
+    rows = settle(rows.select("doc_id", "label", "of.h", "of.n", F.xxhash64("doc_id").alias("turn")))
+    found = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("n", "turn", "doc_id", "h")).alias("short")).collect()
+    there = {r.label: r.n for r in found}
+    if not there:
         return [], there
-    of = dict(chosen)
-    ids = docs.sparkSession.createDataFrame([(i,) for i in of], "doc_id long")
-    found = id_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text").limit(2 * len(of)).collect()  # at most per_class ids of each label
-    texts = {r.doc_id: r.text for r in sorted(found, key=lambda r: r.text)}  # of rows with one id one text
-    return [(texts[i], kind) for i, kind in chosen], there
+    most, room = max(1, min(per_class, MOST_ROWS // len(there))), total_bytes // len(there)
+    # The first of each label are found in parts of it before they meet, so that no task sorts a label.
+    parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = lambda *c: F.row_number().over(Window.partitionBy("label", *c).orderBy("turn", "doc_id"))
+    first = rows.where(F.col("n") <= room).withColumn("at", by(F.pmod("turn", F.lit(parts)))).where(F.col("at") <= most)
+    first = first.withColumn("at", by()).where(F.col("at") <= most).select("doc_id", "label", "h", "n", "turn").collect()
+    fitting: dict = {}
+    for r in sorted(first, key=lambda r: (r.turn, r.doc_id)):
+        fitting.setdefault(r.label, []).append(r)
+    chosen: list[tuple[int, int, object]] = []
+    for r in sorted(found, key=lambda r: str(r.label)):
+        left = room
+        for x in fitting.get(r.label, []):
+            if x.n <= left:
+                left -= x.n
+                chosen.append((x.doc_id, x.h, r.label))
+        if r.label not in fitting:
+            chosen.append((r.short.doc_id, r.short.h, r.label))
+    wanted = docs.sparkSession.createDataFrame([(i, h) for i, h, _ in chosen], "doc_id long, h long")
+    own_rows = id_text(docs).withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"], "left_semi")
+    texts = {r.doc_id: r.text for r in own_rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    discard(rows)
+    return [(texts[i], kind) for i, _, kind in chosen], there
 
 
 def labels_of(labels: DataFrame, column: str) -> DataFrame:
