@@ -7,8 +7,9 @@ besides its digest, so each stage compares full content:
 2. salted: these rows meet in groups of digest and salt, so that no digest has all its rows in one task;
 3. global: the salts' winners, at most `salts` rows for each text, meet by digest.
 
-The winners' texts are then dropped, and each document finds its group by digest. Should several texts share
-a digest, the documents of such digests find their group by text instead.
+The winners' texts are then dropped, and each document finds its group by digest, for which the digests of large
+groups are salted once more. Should several texts share a digest, the documents of such digests find their group by
+text instead.
 
 Defined cases: a null text counts as empty, and all empty texts are equal. Of equal texts the largest doc_id
 stays; of repeated rows with that doc_id exactly one. A null doc_id is smaller than any other. Columns besides
@@ -22,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import id_text, if_small, settle
+from strandflow.llm.common import id_text, if_small, salted_join, settle
 
 SALTS = 16
 
@@ -56,7 +57,7 @@ def deduplicate(docs: DataFrame, salts: int = SALTS, digest=None) -> DataFrame:
     if digest is not None:
         members = members.withColumn("digest", digest)
     cols = ("doc_id", "keep_id", "group_size", "digest")
-    rows = members.select("doc_id", "digest").join(found.where("texts = 1"), "digest").select(*cols)
+    rows = salted_join(members.select("doc_id", "digest"), found.where("texts = 1"), "digest", "group_size", ["doc_id"], 80).select(*cols)
     several = found.where("texts > 1").select("digest")
     if not several.isEmpty():
         rows = rows.unionByName(members.join(several, "digest", "left_semi").join(full, ["digest", "norm"]).select(*cols))
