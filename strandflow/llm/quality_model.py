@@ -31,7 +31,7 @@ from strandflow.llm.training import Adam, sigmoid
 from strandflow.llm.words import Words, constants, mix
 
 FOLDS, HELD_OUT = 3, 1
-_BLOCKS = 64
+_BLOCKS, _WIDTH = 64, 64
 
 
 @dataclass(frozen=True)
@@ -97,12 +97,16 @@ def word_vectors(docs: DataFrame, setup: Setup = Setup()) -> np.ndarray:
         total = np.zeros((1 << setup.bits) * setup.size // _BLOCKS, np.int64)
         for b in t.column("sums").to_pylist():
             total += np.frombuffer(b, "<i8")
-        return pa.table({"block": t.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    # Two rounds, so that no task adds the sums of all tasks.
-    spread = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(32)))
-    some = spread.groupBy("block", "lot").applyInArrow(lambda t: add(t.select(["block", "sums"])), "block int, sums binary")
-    rows = settle(some.groupBy("block").applyInArrow(add, "block int, sums binary")).collect()
+        return pa.table({"block": t.column("block")[:1], "lot": t.column("lot")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    # A tree of sums, as deep as there are tasks, so that no task adds the sums of more than _WIDTH others.
+    lots = parts.rdd.getNumPartitions()
+    parts = parts.withColumn("lot", F.spark_partition_id())
+    while lots > 1:
+        lots = -(-lots // _WIDTH)
+        lot = F.expr(f"cast(lot div {_WIDTH} as int)")
+        parts = parts.withColumn("lot", lot).groupBy("block", "lot").applyInArrow(add, "block int, lot int, sums binary")
+    rows = settle(parts).collect()
     table = np.zeros((_BLOCKS, (1 << setup.bits) * setup.size // _BLOCKS))
     for r in rows:
         table[r.block] = np.frombuffer(r.sums, "<i8")
