@@ -1,12 +1,14 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-The inputs of a word are drawn from the word itself and from its characters: evidence (log-odds against the
-base rate, by document counts in the training rows) of the word and of its character n-grams, and the shares
-of capitals and symbols. All windows of `window` words, each starting `stride` after the one before, are scored,
-to the end of the text; a document's probability comes from its highest window scores by logistic regression.
+The inputs of a word are a learned vector of the word, the mean of learned vectors of its character n-grams, and
+numbers drawn from both: evidence (log-odds against the base rate, by document counts in the training rows) of the
+word and of its n-grams, and the shares of capitals and symbols. All windows of `window` words, each starting
+`stride` after the one before, are scored, to the end of the text; a document's probability comes from its highest
+window scores by logistic regression.
 
 Training: evidence is counted on one half of the sample and used on the other, so that the network sees inputs
-as they are in unseen texts. Windows with the most evidence stand for toxic documents; of clean documents those
+as they are in unseen texts; vectors are learned with the network, for the words and n-grams of the most documents,
+and left out at random. Windows with the most evidence stand for toxic documents; of clean documents those
 with the most evidence and others are counter-examples. The sample holds at most `per_class` rows of each label
 and `sample_bytes` of text.
 
@@ -53,6 +55,9 @@ class Setup:
     grams: tuple[int, int] = (3, 6)
     prior: float = 8.0
     vocabulary: int = 40_000
+    vector: int = 6  # entries of a word's and of an n-gram's vector
+    vectors: int = 4096  # words, and n-grams, that have one
+    left_out: float = 0.4
     seed: int = 17
 
 
@@ -176,6 +181,65 @@ class Evidence:
         ], axis=1).astype(np.float32)
 
 
+class Vectors:
+    """Learned vectors of words and of n-grams, row 0 of each table for all that have none."""
+
+    def __init__(self, vocabulary: Vocabulary, setup: Setup):
+        docs = np.zeros((2, 1 << _BITS), np.int32)
+        for a, b in zip(vocabulary.first[:-1].tolist(), vocabulary.first[1:].tolist(), strict=True):
+            own = np.unique(vocabulary.ids[a:b])
+            if len(own):
+                w = vocabulary.word[own]
+                docs[0, np.unique(w[w >= 0])] += 1
+                docs[1, vocabulary.buckets(own)] += 1
+        self.kept, self.tables, self.moved = [], [], []
+        rnd = np.random.default_rng(setup.seed + 1)
+        for counts in docs:
+            best = np.argsort(-counts, kind="stable")[: setup.vectors]
+            self.kept.append(best[counts[best] > 2].astype(np.int32))
+            self.tables.append((0.1 * rnd.standard_normal((len(self.kept[-1]) + 1, setup.vector))).astype(np.float32))
+            self.tables[-1][0] = 0
+            self.moved.append(np.full(len(self.tables[-1]), 1e-3, np.float32))
+
+    def __getstate__(self) -> dict:
+        return {"kept": self.kept, "tables": self.tables}
+
+    def rows(self, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word of the vocabulary its row, and the rows of its n-grams that have one, with where each word's begin."""
+        if not hasattr(self, "_at"):
+            self._at = []
+            for kept in self.kept:
+                at = np.zeros((1 << _BITS) + 1, np.int32)
+                at[kept] = np.arange(1, len(kept) + 1)
+                self._at.append(at)
+        found = np.concatenate([self._at[1][g] for g in v.grams], axis=1)
+        some = found > 0
+        return self._at[0][v.word], found[some], np.concatenate([[0], np.cumsum(some.sum(axis=1))])
+
+    def of(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """The two vectors of each word side by side, and what learn() needs."""
+        word, gram, first = rows
+        which = np.arange(len(word)) if which is None else which
+        n = first[which + 1] - first[which]
+        at = gram[np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        of = np.repeat(np.arange(len(which)), n)
+        e = self.tables[1].shape[1]
+        mean = np.stack([np.bincount(of, self.tables[1][at, k], minlength=len(which)) for k in range(e)], axis=1) / np.maximum(n, 1)[:, None]
+        return np.hstack([self.tables[0][word[which]], mean]).astype(np.float32), (word[which], at, of, n)
+
+    def learn(self, taken: tuple, grad: np.ndarray, rate: float, decay: float = 1e-3) -> None:
+        """A step against the gradient of the vectors of()."""
+        word, at, of, n = taken
+        e = grad.shape[1] // 2
+        parts = ((word, grad[:, :e]), (at, (grad[:, e:] / np.maximum(n, 1)[:, None])[of]))
+        for table, moved, (rows, g) in zip(self.tables, self.moved, parts, strict=True):
+            total = np.stack([np.bincount(rows, g[:, k], minlength=len(table)) for k in range(e)], axis=1)
+            total[0] = 0
+            total += decay * table * (total != 0)
+            moved += (total**2).mean(axis=1)
+            table -= (rate * total / np.sqrt(moved)[:, None]).astype(np.float32)
+
+
 class Network:
     """Two gated recurrent passes, attention over both, one logit for each window."""
 
@@ -219,8 +283,8 @@ class Network:
             cache |= {"x": x, "mask": mask, "keeps": keeps, "s": s, "hid": hid, "alpha": alpha, "pooled": pooled}
         return pooled @ self.p["o"] + self.p["k"][0]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The weighted cross-entropy and its gradients."""
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, inputs: bool = False) -> tuple[float, dict[str, np.ndarray]]:
+        """The weighted cross-entropy and its gradients, by the inputs too if asked for."""
         c: dict = {}
         p, h = self.p, self.h
         prob = sigmoid(self.logits(x, mask, cache=c))
@@ -254,6 +318,8 @@ class Network:
                 dx[t] = np.concatenate([dz, dr, dn], axis=1)
             g[f"U{d}"], g[f"c{d}"] = gu, dx.sum(axis=(0, 1))
             g[f"W{d}"] = np.einsum("tni,tnk->ik", x, dx)
+            if inputs:
+                g["inputs"] = g.get("inputs", 0) + dx @ p[f"W{d}"].T
         return loss, g
 
 
@@ -267,6 +333,7 @@ class Model:
     setup: Setup
     base: float
     evidence: Evidence | None = None
+    vectors: Vectors | None = None
     network: Network | None = None
     pool: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
@@ -279,7 +346,7 @@ class Model:
     def window_logits(self, column: pa.Array, at_once: int = 1024) -> list[np.ndarray]:
         s, p = self.setup, self.network.p
         v = Vocabulary(column, s.grams)
-        x = self.evidence.inputs(v)
+        x = np.hstack([self.evidence.inputs(v), self.vectors.of(self.vectors.rows(v))[0]])
         table = np.concatenate([x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]], axis=1)
         table = np.concatenate([table, np.zeros_like(table[:1])] if len(table) else [np.zeros((1, 6 * s.hidden), np.float32)])
         flat = np.append(v.ids, len(table) - 1)
@@ -336,33 +403,45 @@ def train(rows: list[tuple[str, int]], there: dict | None = None, setup: Setup =
         best = np.argsort(-strength, kind="stable")[: 2 if labels[i] else 1]
         more = rnd.choice(len(starts), 0 if labels[i] else min(len(starts), 1), replace=False)
         chosen += [(i, int(starts[k])) for k in {*best.tolist(), *more.tolist()}]
-    x, mask = windows_of(inputs, chosen, setup)
+    x, mask, word = windows_of(inputs, [v.ids[a:b] for a, b in zip(v.first[:-1], v.first[1:], strict=True)], chosen, setup)
     y = np.array([labels[i] for i, _ in chosen], np.float32)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
-    net = Network(_INPUTS, setup)
+    vectors = Vectors(v, setup)
+    rows_of = vectors.rows(v)
+    net = Network(_INPUTS + 2 * setup.vector, setup)
     opt = Adam(net.p, 0.01)
     for epoch in range(setup.epochs):
         opt.rate = 0.01 * (1 - epoch / setup.epochs) + 0.0005
         turn = rnd.permutation(len(y))
         for a in range(0, len(y), 256):
             b = turn[a : a + 256]
-            opt.step(net.gradients(x[:, b], mask[:, b], y[b], weight[b])[1])
-    model = Model(setup, float(labels.mean()), Evidence(v, np.arange(len(order)), labels, setup), net)
-    pooled = []
-    for own in inputs:
-        xs, ms = windows_of([own], [(0, a) for a in window_starts(len(own), setup)], setup)
+            some, at = np.unique(word[:, b], return_inverse=True)
+            own, taken = vectors.of(rows_of, some)
+            in_use = (mask[:, b] * (rnd.random(mask[:, b].shape) >= setup.left_out) / (1 - setup.left_out)).astype(np.float32)
+            at = at.reshape(word[:, b].shape)
+            grads = net.gradients(np.concatenate([x[:, b], own[at] * in_use], axis=2), mask[:, b], y[b], weight[b], True)[1]
+            back = (grads.pop("inputs")[:, :, _INPUTS:] * in_use).reshape(-1, own.shape[1])
+            vectors.learn(taken, np.stack([np.bincount(at.ravel(), back[:, k], minlength=len(some)) for k in range(own.shape[1])], axis=1), 5 * opt.rate)
+            opt.step(grads)
+    model = Model(setup, float(labels.mean()), Evidence(v, np.arange(len(order)), labels, setup), vectors, net)
+    pooled, own = [], vectors.of(rows_of)[0]
+    for i, x in enumerate(inputs):
+        x = np.hstack([x, own[v.ids[v.first[i] : v.first[i + 1]]]])
+        xs, ms, _ = windows_of([x], [np.zeros(len(x), int)], [(0, a) for a in window_starts(len(x), setup)], setup)
         pooled.append(pool_inputs(net.logits(xs, ms)))
     model.pool = training.logistic(np.array(pooled), labels, training.weights(labels, there))
     return model
 
 
-def windows_of(inputs: list[np.ndarray], chosen: list[tuple[int, int]], setup: Setup) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((setup.window, len(chosen), _INPUTS), np.float32)
+def windows_of(inputs: list[np.ndarray], words: list[np.ndarray], chosen: list[tuple[int, int]], setup: Setup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, mask and words of the chosen windows (text, start), by time and window."""
+    x = np.zeros((setup.window, len(chosen), inputs[0].shape[1]), np.float32)
     mask = np.zeros((setup.window, len(chosen), 1), np.float32)
+    word = np.zeros((setup.window, len(chosen)), np.int64)
     for j, (i, a) in enumerate(chosen):
         part = inputs[i][a : a + setup.window]
-        x[: len(part), j], mask[: len(part), j] = part, 1
-    return x, mask
+        x[: len(part), j], mask[: len(part), j], word[: len(part), j] = part, 1, words[i][a : a + setup.window]
+    return x, mask, word
 
 
 def fit(docs: DataFrame, labels: DataFrame, setup: Setup = Setup()) -> Model:
