@@ -1,7 +1,7 @@
 """Byte-level BPE encoding of whole texts in overlapping chunks, and decoding.
 
-A text of at most `chunk` characters is one chunk. A longer one is dealt over tasks as chunks that overlap by
-`overlap` characters:
+Every text is cut into chunks that overlap: where it stands if it has at most `chunk` characters, into chunks of
+`LOCAL` and `LOCAL_OVERLAP` characters; a longer one is dealt over tasks in chunks of `chunk` and `overlap`:
 
 1. each chunk is pre-tokenised by itself;
 2. two neighbours are stitched at the first boundary in their overlap that both have. From a common boundary
@@ -28,29 +28,58 @@ from strandflow.llm import bpe
 from strandflow.llm.common import batch_of, id_text, map_batches
 
 CHUNK, OVERLAP = 32_768, 512
+LOCAL, LOCAL_OVERLAP = 2_048, 256
 #: A contraction reaches so far beyond a boundary; one more for the white-space rule.
 _LOOK = 4
 
 
-def _encode_rows(df: DataFrame, ranks: str) -> DataFrame:
+def boundaries(text: str, pieces: list[str], chunk: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pieces of a chunk begin and end, and which of these may be stitched to the chunk before and, from that one's view, to the one behind."""
+    at = np.cumsum([0, *map(len, pieces)])
+    return at, at[at < overlap], at[(at >= chunk) & (at <= len(text) - _LOOK)] - chunk
+
+
+def encode_chunks(text: str, enc: bpe.Encoder, chunk: int = LOCAL, overlap: int = LOCAL_OVERLAP) -> bytes:
+    """The ids of a text by overlapping chunks."""
+    if len(text) <= chunk + overlap:
+        return enc.encode(text)
+    last = (len(text) - overlap - 1) // chunk
+    ids: list[bytes] = []
+    before, tail, begin = [], np.zeros(1, np.int64), 0
+    for k in range(last + 1):
+        own = text[k * chunk : (k + 1) * chunk + overlap]
+        pieces = bpe.pieces(own)
+        at, head, next_tail = boundaries(own, pieces, chunk, overlap)
+        if k:
+            common = np.intersect1d(tail, head)
+            if not len(common):
+                return enc.encode(text)
+            ids += [enc[p] for p in before[begin : int(np.searchsorted(before_at, chunk + common[0]))]]
+            begin = int(np.searchsorted(at, common[0]))
+        before, before_at, tail = pieces, at, next_tail
+    ids += [enc[p] for p in before[begin:]]
+    return b"".join(ids)
+
+
+def _encode_rows(df: DataFrame, ranks: str, local: tuple[int, int]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = bpe.encoder(ranks).encode
-        ids = [encode(t) for t in batch.column("text").to_pylist()]
+        enc = bpe.encoder(ranks)
+        ids = [encode_chunks(t, enc, *local) for t in batch.column("text").to_pylist()]
         return batch_of(doc_id=batch.column("doc_id"), ids=pa.array(ids, pa.binary()))
 
     return map_batches(df, run, "doc_id long, ids binary")
 
 
-def encode_documents(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: str, chunk: int = CHUNK, overlap: int = OVERLAP, local: tuple[int, int] = (LOCAL, LOCAL_OVERLAP)) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers) of every row of docs, by the rank file `ranks`."""
     d = id_text(docs)
-    short = _encode_rows(d.where(F.length("text") <= chunk), ranks)
-    return short.unionByName(_encode_long(d.where(F.length("text") > chunk), ranks, chunk, overlap))
+    short = _encode_rows(d.where(F.length("text") <= chunk + overlap), ranks, local)
+    return short.unionByName(_encode_long(d.where(F.length("text") > chunk + overlap), ranks, chunk, overlap, local))
 
 
-def _encode_long(d: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFrame:
+def _encode_long(d: DataFrame, ranks: str, chunk: int, overlap: int, local: tuple[int, int]) -> DataFrame:
     key = ["doc_id", "digest", "k"]
-    last = F.expr(f"cast((length(text) - 1) div {chunk} as int)")
+    last = F.expr(f"cast((length(text) - {overlap} - 1) div {chunk} as int)")
     cut = d.select("doc_id", F.sha2("text", 256).alias("digest"), last.alias("last"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     cut = cut.withColumn("text", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})"))
     # The texts' only shuffle: the chunks of one document go to different tasks, equal ones of repeated rows become one.
@@ -59,9 +88,9 @@ def _encode_long(d: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFram
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         heads, tails = [], []
         for text in batch.column("text").to_pylist():
-            at = np.cumsum([0, *map(len, bpe.pieces(text))])
-            heads.append(at[at < overlap].tolist())
-            tails.append((at[(at >= chunk) & (at <= len(text) - _LOOK)] - chunk).tolist())
+            _, head, tail = boundaries(text, bpe.pieces(text), chunk, overlap)
+            heads.append(head.tolist())
+            tails.append(tail.tolist())
         own = {c: batch.column(c) for c in (*key, "last", "size")}
         return batch_of(**own, head=pa.array(heads, pa.list_(pa.int32())), tail=pa.array(tails, pa.list_(pa.int32())))
 
@@ -97,7 +126,7 @@ def _encode_long(d: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFram
     apart = parts.where("stitched = 0").select("doc_id", "digest").distinct()
     apart = apart.withColumnsRenamed({"doc_id": "id", "digest": "dg"})
     whole = d.join(apart, F.col("doc_id").eqNullSafe(F.col("id")) & (F.sha2("text", 256) == F.col("dg")), "left_semi")
-    return joined.unionByName(_encode_rows(whole, ranks))
+    return joined.unionByName(_encode_rows(whole, ranks, local))
 
 
 def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:

@@ -41,12 +41,24 @@ def test_long_pre_tokens_merge_as_the_library_does(library):
 @pytest.mark.parametrize("chunk,overlap", [(bpe_codec.CHUNK, bpe_codec.OVERLAP), (64, 16), (40, 8)])
 def test_round_trip_in_chunks(spark, library, chunk, overlap):
     rows = ROWS if chunk > 1000 else [(i, (t or "")[:900], a, b) for i, t, a, b in ROWS] + [(50, "a  \n" * 90 + "'ll" * 50, "en", "a")]
-    encoded = bpe_codec.encode_documents(fixture(spark, rows), PATH, chunk, overlap)
+    encoded = bpe_codec.encode_documents(fixture(spark, rows), PATH, chunk, overlap, (bpe_codec.LOCAL, 256) if chunk > 1000 else (24, 8))
     got = sorted(((r.doc_id, bytes(r.ids), bytes(r.data)) for r in bpe_codec.decode_documents(encoded, PATH).collect()), key=repr)
     want = sorted(((i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, *_ in rows), key=repr)
     assert got == want
 
 
+def test_texts_in_local_chunks(library):
+    rnd, enc = random.Random(6), bpe.encoder(PATH)
+    parts = ["the", " ", "   ", "'ll", "'s", "1", "é", "\n", "!", " word", "漢字", "x" * 30, "\r\n\n"]
+    for i in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.choice((0, 9, 40, 300))))
+        for chunk, overlap in ((16, 8), (40, 10), (64, 64)):
+            assert ids_of(bpe_codec.encode_chunks(text, enc, chunk, overlap)) == library.encode_ordinary(text), (i, chunk)
+    for n in range(2040, 2320):
+        text = ("some words, " * 400)[:n]
+        assert ids_of(bpe_codec.encode_chunks(text, enc)) == library.encode_ordinary(text)
+
+
 def test_edits_by_counting_anew(library):
     rnd, enc = random.Random(11), bpe.encoder(PATH)
     alphabet = ["the", " ", "  ", "'", "s", "ll", "1", "é", "\n", "!", "word", " word", "漢"]
@@ -64,7 +76,7 @@ def test_edits_by_counting_anew(library):
         for s, e, put in reversed(edits):
             text = text[:s] + put + text[e:]
         assert tree.text == text and tree.total == len(library.encode_ordinary(text)), edits
-        assert all(tree.sums[i] == tree.sums[2 * i] + tree.sums[2 * i + 1] for i in range(1, tree.width))
+        assert all((tree.sums[i] == tree.sums[2 * i] + tree.sums[2 * i + 1]).all() for i in range(1, tree.width))
 
 
 def test_edits_touch_little(spark, library):
