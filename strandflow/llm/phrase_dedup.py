@@ -13,7 +13,7 @@ windows have equal anchors at the same place, and neighbouring windows mostly sh
    through it. Every occurrence is extended to both sides, word by word, along the passages with that anchor; where
    `window` words or more agree, they are removed. Nothing but the automaton says where passages stand.
 
-A shard sends a stretch once, however often it occurs there, so hot passages travel once for each shard. Windows are
+Documents travel to their shards twice, compressed in packs; nothing else of their size does. A shard sends a stretch once, however often it occurs there, so hot passages travel once for each shard. Windows are
 counted by digests of 96 bits, and words compared by hashes of 64.
 
 Defined cases: a null or empty text has no words; a text shorter than a window keeps all its words; repeated
@@ -24,6 +24,7 @@ are counted before they travel; columns besides doc_id and text are ignored. An
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from pyspark.sql.window import Window
 from strandflow.llm.common import batch_of, id_text, map_batches
 from strandflow.llm.words import Words, mix, sliding_argmin, window_hashes
 
-WINDOW, PHRASE, SHARD_BYTES = 35, 12, 8 << 20
+WINDOW, PHRASE, SHARD_BYTES = 35, 8, 8 << 20
+#: Bytes of text that a task deals out over shards at a time.
+DEAL_BYTES = 16 << 20
 #: Parts of the hash range in which text is added up to find rows that repeat very often.
 CELLS = 4096
 _KEY = np.dtype([("w", "<u8"), ("s", "<u4")])
@@ -151,6 +154,44 @@ def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
     return out.select(*(new[c].alias(c) for c in docs.columns))
 
 
+def dealt(d: DataFrame) -> DataFrame:
+    """shard and pack: the rows of d, which has the column shard, a compressed pack for each shard and DEAL_BYTES of text in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= DEAL_BYTES:
+                yield packs(held)
+                held, size = [], 0
+        if held:
+            yield packs(held)
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        shard = t.column("shard").to_numpy()
+        order = np.argsort(shard, kind="stable")
+        t, shard = t.take(pa.array(order)).drop_columns(["shard"]).combine_chunks(), shard[order]
+        begin = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
+        pack, out = zstandard.ZstdCompressor(level=1).compress, []
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(shard)).tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as stream:
+                stream.write_table(t.slice(a, b - a))
+            out.append(pack(sink.getvalue()))
+        return batch_of(shard=pa.array(shard[begin], pa.int32()), pack=pa.array(out, pa.binary()))
+
+    return d.mapInArrow(run, "shard int, pack binary")
+
+
+def rows_of(t: pa.Table) -> pa.Table:
+    """The rows of packs of one shard."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.concat_tables([pa.ipc.open_stream(unpack(p)).read_all() for p in t.column("pack").to_pylist()])
+
+
 def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: bool = True) -> DataFrame:
     """As remove_repeats, with the column row of d if it has one; unless tidy, a text without repeats stays as it is."""
     phrase = min(phrase, window)
@@ -169,22 +210,26 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
         d = d.where(~cell.isin(full)).unionByName(repeats)
     d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
+    # As many bits of the anchors' hashes as tell apart 64 times as many as there may be; a chance repeat is a candidate in vain.
+    drop = np.int64(max(0, 58 - max(1, total // 16).bit_length()))
+
     def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
         scan = Scan(batch.column("text"), window, phrase)
         at = np.unique(scan.anchor)
         shard, times = (batch.column(c).to_numpy()[scan.row[at]] for c in ("shard", "times"))
-        return batch_of(phrase=pa.array(scan.phrase[at], pa.int64()), shard=pa.array(shard, pa.int32()), n=pa.array(times, pa.int64()))
+        return batch_of(phrase=pa.array(scan.phrase[at] >> drop, pa.int64()), shard=pa.array(shard, pa.int32()), n=pa.array(times, pa.int64()))
 
     seen = map_batches(d.select("shard", "text", "times"), anchors, "phrase long, shard int, n long").groupBy("phrase", "shard").agg(F.sum("n").alias("n"))
     repeated = seen.withColumn("all", F.sum("n").over(Window.partitionBy("phrase"))).where(F.col("all") > 1).select("shard", "phrase")
     ranges = max(1, shards // 2)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return sent([], [], [], [])
+        shard, left = left.column("shard")[0].as_py(), rows_of(left)
         scan = Scan(column(left, "text"), window, phrase)
         known = np.sort(column(right, "phrase").to_numpy())
-        if not len(known) or not len(scan.starts):
-            return sent([], [], [], [])
-        value = scan.phrase[scan.anchor]
+        value = scan.phrase[scan.anchor] >> drop
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
         first, last, anchor = scan.stretches(known[at] == value)
         times = column(left, "times").to_numpy()[scan.row[first]]
@@ -199,14 +244,12 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
         bounds = np.append(begin, len(part))
         text, line = texts_of(scan.words, first, last + window)
         marks = np.stack([anchor - first, twice], axis=1).astype("<i4")
-        shard = left.column("shard")[0].as_py()
         return sent([shard] * len(begin), part[begin].tolist(), packed(text, line[bounds]), [marks[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
     def sent(shard: list, part: list, words: list, marks: list) -> pa.Table:
         return pa.table({"shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int64()), "words": pa.array(words, pa.binary()), "marks": pa.array(marks, pa.binary())})
 
-    by_shard = d.groupBy("shard")
-    packs = d.select("shard", "text", "times").groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(candidates, "shard int, part long, words binary, marks binary")
+    packs = dealt(d.select("shard", "text", "times")).groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(candidates, "shard int, part long, words binary, marks binary")
 
     def confirm(t: pa.Table) -> pa.Table:
         lines, counts = lines_of(t.column("words").to_pylist())
@@ -233,7 +276,8 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return result(left, [], [], [], [], [])
+            return result(None, [], [], [], [], [])
+        left = rows_of(left)
         scan = Scan(column(left, "text"), window, phrase)
         covered = np.zeros(len(scan.hash) + 1, np.int64)
         if right.num_rows:
@@ -258,15 +302,17 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
 
     confirmed_by = confirmed.groupBy("shard")
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>, times long").add("row", kind)
-    out = by_shard.cogroup(confirmed_by).applyInArrow(locate, schema)
+    out = dealt(d.select("doc_id", "text", "times", "row", "shard")).groupBy("shard").cogroup(confirmed_by).applyInArrow(locate, schema)
     if repeats is not None:
         out = out.withColumn("times", F.explode(F.expr("sequence(1L, times)")))
     return out.drop("times")
 
 
-def result(left: pa.Table, n_words, n_removed, kept, runs, spans) -> pa.Table:
+def result(left: pa.Table | None, n_words, n_removed, kept, runs, spans) -> pa.Table:
     begin, end = spans if len(spans) else ([], [])
     pairs = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["start", "stop"])
+    if left is None:  # Spark takes no rows without columns of the right kinds
+        return pa.table({})
     lists = pa.ListArray.from_arrays(pa.array(runs if len(runs) else [0], pa.int32()), pairs)
     return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "text": pa.array([k if isinstance(k, bytes) else k.encode() for k in kept], pa.binary()).cast(pa.string()), "removed": lists, "times": left.column("times"), "row": left.column("row")})
 
@@ -279,10 +325,10 @@ def occurrences(scan: Scan, passages: Words, places: np.ndarray, phrase: int):
     import ahocorasick
 
     own = passages.hashes()
-    _, numbers = np.unique(np.concatenate([scan.hash, own]), return_inverse=True)
-    numbers, own = numbers[: len(scan.hash)], numbers[len(scan.hash) :]
     at = passages.first[:-1] + places
-    alike = window_hashes(passages.hashes(), phrase, 2)[at]
+    alike = window_hashes(own, phrase, 2)[at]
+    numbers = pa.array(np.concatenate([scan.hash, own])).dictionary_encode().indices.to_numpy().astype(np.int64)
+    numbers, own = numbers[: len(scan.hash)], numbers[len(scan.hash) :]
     by = np.argsort(alike, kind="stable")  # passages of one anchor together
     begin = np.flatnonzero(np.r_[True, alike[by][1:] != alike[by][:-1]])
     size = np.diff(np.append(begin, len(by)))
