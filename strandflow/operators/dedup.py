@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.expressions import duplicate_key
+from strandflow.plans.session import salted_join, settle
 
 
 def mark_duplicates(df: DataFrame, seqs: list[str]) -> DataFrame:
-    """df with is_dup. Firsts are found by an aggregation that combines within tasks, so no key needs one task for its rows."""
+    """df with is_dup. Keys of several reads are found by an aggregation that combines within tasks, over ids and digests.
+
+    They are few or many: few go to all tasks, so that reads are not shuffled; else reads find them by salted keys, so
+    that a key with a third of all reads needs no single task.
+    """
     keyed = df.withColumn("_key", F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256)))
-    firsts = keyed.groupBy("_key").agg(F.min("read_id").alias("_first"))
-    return keyed.join(firsts, "_key").withColumn("is_dup", F.col("read_id") > F.col("_first")).drop("_key", "_first")
+    firsts = keyed.groupBy("_key").agg(F.min("read_id").alias("_first"), F.count("*").alias("_reads")).where("_reads > 1")
+    out = salted_join(keyed, settle(firsts), "_key", "_reads", ["read_id"], 72, "left")
+    return out.withColumn("is_dup", F.coalesce(F.col("read_id") > F.col("_first"), F.lit(False))).drop("_key", "_first", "_reads")
 
 
 def duplication_rate(marked: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def quality_cut(df: DataFrame, how: k.Cut, front: int = 0, tail: int = 0) -> Dat
     def fn(s, q):
         r, lost, begin = k.cut(k.reads(s, q), front, tail, how)
         gone = pa.array(lost)
-        pick = lambda m: pa.compute.if_else(gone, pa.scalar(None, pa.string()), k.texts(m, r.length))
+        pick = lambda m: pc.if_else(gone, pa.scalar(None, pa.string()), k.texts(m, r.length))
         return {"seq": pick(r.seq), "qual": pick(r.qual), "front": pa.array(np.where(lost, 0, begin), pa.int32())}
 
     return apply(df, ["read_id", "seq", "qual"], fn, "seq string, qual string, front int")

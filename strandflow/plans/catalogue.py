@@ -128,7 +128,7 @@ _CODE2 = _CODE.replace("seq1", "seq2").replace("qual1", "qual2")
 @query(f"SELECT code::INT AS result, 2 * count(*) AS reads FROM (SELECT greatest({_CODE}, {_CODE2}) AS code FROM reads) GROUP BY code")
 def filter_pair_max(d):
     o = Options(paired=True, adapter_trimming=False)
-    return run.filter_counts(run.process(d.withColumnRenamed("pair_id", "read_id"), o), o)
+    return run.filter_counts(_done(d, o, "result"), o)
 
 
 _BARCODES = ("ACGTACGT", "AAAAAAAA", "CCGT")
@@ -150,7 +150,7 @@ def trim_global(d):
 
 @query("SELECT pair_id AS read_id, substr(seq1, 1, 60) AS seq FROM reads", single)
 def trim_max_len(d):
-    done = run.process(d.withColumnsRenamed({"name": "name1", "seq": "seq1", "qual": "qual1"}), Options(max_len1=60, adapter_trimming=False, **OFF))
+    done = run.process(d.withColumnsRenamed({"name": "name1", "seq": "seq1", "qual": "qual1"}), Options(max_len1=60, adapter_trimming=False, **OFF), ("read_id", "seq1"))
     return done.select("read_id", F.col("seq1").alias("seq"))
 
 
@@ -222,7 +222,7 @@ def trim_polyx(d):
 
 @query(f"SELECT base, count(*) AS reads, sum(l - trimmed_len)::BIGINT AS bases FROM ({_POLYX}) JOIN (SELECT pair_id AS read_id, length(seq1) AS l FROM reads) USING (read_id) WHERE base IS NOT NULL GROUP BY base", single)
 def polyx_counts(d):
-    return stats.poly_counts(run.process(as_single(d), Options(poly_x=True, adapter_trimming=False, **OFF)))
+    return stats.poly_counts(run.process(as_single(d), Options(poly_x=True, adapter_trimming=False, **OFF), ("poly1", "poly_len1")))
 
 
 @query(None, single)
@@ -251,18 +251,19 @@ _SIZE = f"WITH {_OV} SELECT least(512, coalesce(CASE WHEN off > 0 THEN l1 + l2 -
 PLAIN = Options(paired=True, **OFF)
 
 
-def _done(d: DataFrame, o: Options) -> DataFrame:
-    return run.process(d.withColumnRenamed("pair_id", "read_id"), o)
+def _done(d: DataFrame, o: Options, *wanted: str) -> DataFrame:
+    """The run's columns `wanted`; without any, all of them."""
+    return run.process(d.withColumnRenamed("pair_id", "read_id"), o, wanted or None)
 
 
 @query(f"SELECT * FROM ({_SIZE})")
 def overlap_insert_size(d):
-    return stats.insert_sizes(_done(d, PLAIN))
+    return stats.insert_sizes(_done(d, PLAIN, "insert_size"))
 
 
 @query(f"SELECT * FROM ({_SIZE}) WHERE insert_size < 512 ORDER BY n DESC, insert_size LIMIT 1")
 def insert_size_peak(d):
-    return stats.insert_peak(stats.insert_sizes(_done(d, PLAIN)))
+    return stats.insert_peak(stats.insert_sizes(_done(d, PLAIN, "insert_size")))
 
 
 _FIX = (
@@ -282,12 +283,12 @@ _CORRECTED = (
 
 @query(f"SELECT pair_id AS read_id, seq1, qual1, seq2, qual2 FROM ({_CORRECTED})")
 def correct_bases(d):
-    return _done(d, Options(paired=True, correction=True, adapter_trimming=False, **OFF)).select("read_id", "seq1", "qual1", "seq2", "qual2")
+    return _done(d, Options(paired=True, correction=True, adapter_trimming=False, **OFF), "read_id", "seq1", "qual1", "seq2", "qual2")
 
 
 @query(f"SELECT * FROM (WITH {_FIX} SELECT CASE m WHEN 1 THEN x ELSE translate(y, 'ACGTN', 'TGCAN') END AS from_base, CASE m WHEN 1 THEN y ELSE translate(x, 'ACGTN', 'TGCAN') END AS to_base, count(*) AS n FROM fix WHERE m > 0 GROUP BY ALL)")
 def correction_matrix(d):
-    return stats.correction_matrix(_done(d, Options(paired=True, correction=True, adapter_trimming=False, **OFF)))
+    return stats.correction_matrix(_done(d, Options(paired=True, correction=True, adapter_trimming=False, **OFF), "corrections"))
 
 
 # Adapters
@@ -297,17 +298,17 @@ _CUT = f"{_OV}, t AS (SELECT id, seq1, seq2, qual1, qual2, CASE WHEN off < 0 THE
 
 @query(f"SELECT * FROM (WITH {_CUT} SELECT id AS read_id, substr(seq1, 1, k1) AS seq1, substr(seq2, 1, k2) AS seq2, hit AS trimmed1 FROM t)")
 def adapter_overlap(d):
-    return _done(d, PLAIN).select("read_id", "seq1", "seq2", "trimmed1")
+    return _done(d, PLAIN, "read_id", "seq1", "seq2", "trimmed1")
 
 
 @query(f"SELECT * FROM (WITH {_CUT} SELECT substr(seq1, k1 + 1) AS adapter, count(*) AS n FROM t WHERE hit AND k1 < length(seq1) GROUP BY 1)")
 def adapter_counts(d):
-    return stats.adapter_counts(_done(d, PLAIN))
+    return stats.adapter_counts(_done(d, PLAIN, "adapters1"))
 
 
 @query(f"SELECT * FROM (WITH {_CUT} SELECT 2 * sum(hit::BIGINT)::BIGINT AS trimmed_reads, sum(length(seq1) - k1 + length(seq2) - k2)::BIGINT AS trimmed_bases FROM t)")
 def adapter_trimmed(d):
-    done = _done(d, PLAIN)
+    done = _done(d, PLAIN, "trimmed1", "trimmed2", "adapters1", "adapters2")
     bases = F.expr("aggregate(concat(adapters1, adapters2), 0L, (x, a) -> x + length(a))")
     reads = F.col("trimmed1").cast("long") + F.col("trimmed2").cast("long")
     return done.agg(F.sum(reads).alias("trimmed_reads"), F.sum(bases).alias("trimmed_bases"))
@@ -318,7 +319,7 @@ def adapter_trimmed(d):
     "SELECT CASE WHEN n >= 0.01 * (SELECT sum(n) FROM a) THEN adapter ELSE 'others' END AS adapter, sum(n)::BIGINT AS n FROM a GROUP BY 1)"
 )
 def adapter_report(d):
-    return stats.adapter_report(stats.adapter_counts(_done(d, PLAIN)))
+    return stats.adapter_report(stats.adapter_counts(_done(d, PLAIN, "adapters1")))
 
 
 def _adapter_sql(adapter: str, seq: str, ids: str) -> str:
@@ -360,7 +361,7 @@ def adapter_fasta(d):
 
 @query(f"SELECT * FROM (WITH {_CUT} SELECT id AS read_id FROM t WHERE hit AND least(k1, length(seq1)) <= 45 AND least(k2, length(seq2)) <= 45)")
 def adapter_dimer(d):
-    return _done(d, Options(paired=True, dimer_max_len=45, **OFF)).where("dimer").select("read_id")
+    return _done(d, Options(paired=True, dimer_max_len=45, **OFF), "read_id", "dimer").where("dimer").select("read_id")
 
 
 # Merging and overlapped regions
@@ -368,28 +369,28 @@ def adapter_dimer(d):
 # Merging corrects first and looks for overlaps again.
 _AGAIN = _OV.replace("FROM reads)", "FROM reads2)")
 _MERGED = (
-    f"WITH reads2 AS (SELECT * FROM ({_CORRECTED})), {_AGAIN} SELECT ov.id AS read_id, substr(seq1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(s2, ol + 1) ELSE '' END AS merged_seq, "
-    "substr(qual1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(reverse(qual2), ol + 1) ELSE '' END AS merged_qual FROM ov JOIN rc USING (id)"
+    f"WITH reads2 AS (SELECT * FROM ({_CORRECTED})), {_AGAIN} SELECT ov.id AS read_id, name1 || ' merged_' || (ol + greatest(off, 0)) || '_' || (CASE WHEN off > 0 THEN l2 - ol ELSE 0 END) AS merged_name, substr(seq1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(s2, ol + 1) ELSE '' END AS merged_seq, "
+    "substr(qual1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(reverse(qual2), ol + 1) ELSE '' END AS merged_qual FROM ov JOIN rc USING (id) JOIN (SELECT pair_id AS id, name1 FROM reads) USING (id)"
 )
 MERGE = Options(paired=True, merge=True, adapter_trimming=False, **OFF)
 
 
 @query(f"SELECT * FROM ({_MERGED})")
 def merge_pairs(d):
-    return _done(d, MERGE).where("merged_seq is not null").select("read_id", "merged_seq", "merged_qual")
+    return _done(d, MERGE, "read_id", "merged_name", "merged_seq", "merged_qual").where("merged_seq is not null")
 
 
 @query(f"SELECT count(*) AS pairs, sum(length(merged_seq))::BIGINT AS bases FROM ({_MERGED})")
 def merge_counts(d):
-    return _done(d, MERGE).where("merged_seq is not null").agg(F.count("*").alias("pairs"), F.sum(F.length("merged_seq")).alias("bases"))
+    return _done(d, MERGE, "merged_seq").where("merged_seq is not null").agg(F.count("*").alias("pairs"), F.sum(F.length("merged_seq")).alias("bases"))
 
 
 @query(
     f"SELECT * FROM (WITH {_OV.replace('least(5, floor(ol * 0.2))', '0')} SELECT id AS read_id, substr(seq1, greatest(off, 0) + 1, ol) AS overlap_seq FROM ov JOIN rc USING (id))"
 )
 def overlapped_region(d):
-    done = _done(d, Options(paired=True, adapter_trimming=False, overlapped_out="x", **OFF))
-    return done.where("overlap_seq is not null").select("read_id", "overlap_seq")
+    done = _done(d, Options(paired=True, adapter_trimming=False, overlapped_out="x", **OFF), "read_id", "overlap_seq")
+    return done.where("overlap_seq is not null")
 
 
 # Duplicates
@@ -512,7 +513,8 @@ def detect_adapter(d):
 
 # Routing and whole runs
 
-ROUTED = Options(paired=True, adapter_trimming=False, unpaired1="u1", unpaired2="u2", failed_out="f")
+ROUTED = Options(paired=True, adapter_trimming=False, unpaired1="u1", unpaired2="u2", failed_out="f", eval_duplication=False)
+ROUTED_COLUMNS = ("read_id", "is_dup", *(f"{c}{m}" for m in (1, 2) for c in ("name", "seq", "qual", "result")))
 _BOTH = f"SELECT pair_id AS id, {_CODE} AS c1, {_CODE2} AS c2, seq1, qual1, seq2, qual2, name1, name2 FROM reads"
 _WHY = "CASE {} WHEN 12 THEN 'failed_too_many_n_bases' WHEN 16 THEN 'failed_too_short' WHEN 20 THEN 'failed_quality_filter' END"
 
@@ -523,14 +525,14 @@ _WHY = "CASE {} WHEN 12 THEN 'failed_too_many_n_bases' WHEN 16 THEN 'failed_too_
     "SELECT id, 2, CASE WHEN c1 = 0 AND c2 = 0 THEN 'out2' WHEN c2 = 0 THEN 'unpaired2' ELSE 'failed' END FROM b)"
 )
 def route_outputs(d):
-    return run.routes(_done(d, ROUTED), ROUTED).select("read_id", "mate", "target")
+    return run.routes(_done(d, ROUTED, *ROUTED_COLUMNS), ROUTED).select("read_id", "mate", "target")
 
 
 @query(
     f"SELECT id AS read_id, mate, name, seq FROM (WITH b AS ({_BOTH}) SELECT id, 1 AS mate, name1 || ' ' || {_WHY.format('c1')} AS name, seq1 AS seq FROM b WHERE c1 > 0 UNION ALL SELECT id, 2, name2 || ' ' || {_WHY.format('c2')}, seq2 FROM b WHERE c2 > 0)"
 )
 def route_failed_tags(d):
-    return run.routes(_done(d, ROUTED), ROUTED).where("target = 'failed'").select("read_id", "mate", "name", "seq")
+    return run.routes(_done(d, ROUTED, *ROUTED_COLUMNS), ROUTED).where("target = 'failed'").select("read_id", "mate", "name", "seq")
 
 
 @query(None)
@@ -555,8 +557,8 @@ def as_single(d: DataFrame) -> DataFrame:
 
 @query(f"SELECT pair_id AS read_id, ({_CODE})::INT AS result, seq1 AS seq, is_dup FROM reads JOIN ({_KEYED.format('seq1')}) USING (pair_id)", single)
 def pipeline_se(d):
-    done = run.process(as_single(d), Options(adapter_trimming=False))
-    return done.select("read_id", "result", F.col("seq1").alias("seq"), "is_dup")
+    done = run.process(as_single(d), Options(adapter_trimming=False), ("read_id", "result", "seq1", "is_dup"))
+    return done.withColumnRenamed("seq1", "seq")
 
 
 @query(
@@ -565,14 +567,14 @@ def pipeline_se(d):
     f"SELECT id AS read_id, seq1, seq2, (CASE WHEN dimer THEN 28 ELSE {_CODE} END)::INT AS result1, (CASE WHEN dimer THEN 28 ELSE {_CODE2} END)::INT AS result2, hit AS trimmed1, is_dup FROM u JOIN dup ON dup.pair_id = u.id)"
 )
 def pipeline_pe(d):
-    return _done(d, Options(paired=True)).select("read_id", "seq1", "seq2", "result1", "result2", "trimmed1", "is_dup")
+    return _done(d, Options(paired=True), "read_id", "seq1", "seq2", "result1", "result2", "trimmed1", "is_dup")
 
 
 @query(
     "SELECT 'before' AS phase, * FROM (" + _SUM.format(s="seq1", q="qual1", t="reads") + f") UNION ALL SELECT 'after', * FROM ({_SUM.format(s='seq1', q='qual1', t=f'(SELECT * FROM reads WHERE ({_CODE}) = 0)')})", single
 )
 def report_before_after(d):
-    done = run.process(as_single(d), Options(adapter_trimming=False))
+    done = run.process(as_single(d), Options(adapter_trimming=False), ("result", "seq1", "qual1"))
     after = stats.summary(done.where("result = 0"), "seq1", "qual1")
     return stats.summary(d).select(F.lit("before").alias("phase"), "*").unionByName(after.select(F.lit("after").alias("phase"), "*"))
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def record_text(strand=None):
-    """A FASTQ record as one string of four lines."""
-    return F.concat_ws("\n", "name", "seq", F.lit("+") if strand is None else strand, "qual")
+def record_text():
+    """A routed record as one string of four lines."""
+    return F.concat_ws("\n", "name", "seq", "strand", "qual")
 
 
 def write_table(routed: DataFrame, path: str, compression: str | None = None, overwrite: bool = False) -> None:
