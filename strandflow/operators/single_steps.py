@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandflow.operators import kernels as k
 from strandflow.plans.options import Options
+from strandflow.plans.session import settle
 
 
 def apply(df: DataFrame, columns: list[str], fn: Callable[..., dict], schema: str) -> DataFrame:
@@ -77,19 +78,40 @@ def results(df: DataFrame, o: Options) -> DataFrame:
     return apply(df, ["read_id", "seq", "qual"], lambda s, q: {"result": pa.array(k.classify(k.reads(s, q), o), pa.int32())}, "result int")
 
 
-def split_by_files(df: DataFrame, files: int, digits: int = 4) -> DataFrame:
-    """Which of `files` runs of equal length by read_id each read is in, and the file's number as text."""
-    from pyspark.sql.window import Window
+def placed(df: DataFrame, by: str = "read_id") -> tuple[DataFrame, int]:
+    """df with `place`, each row's number from 0 in the order of `by`, and the number of rows.
+
+    Rows are dealt into ranges and written; a range's rows are numbered by its own task, and the ranges' sizes, a row
+    for each task, added up.
+    """
+    ranges = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id())
+    ranges = settle(ranges.withColumn("_range", F.shiftright("_at", 33).cast("int")))
+    sizes = sorted((r["_range"], r.n) for r in ranges.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for k, n in sizes:
+        starts.append((k, total))
+        total += n
+    before = df.sparkSession.createDataFrame(starts, "_range int, _before long")
+    inner = F.col("_at").bitwiseAND((1 << 33) - 1)
+    out = ranges.join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + inner)  # as many rows as tasks
+    return out.drop("_at", "_range", "_before"), total
+
 
-    d = df.withColumn("split_id", F.ntile(files).over(Window.orderBy("read_id")) - 1)
+def split_by_files(df: DataFrame, files: int, digits: int = 4) -> DataFrame:
+    """Which of `files` runs of equal length by read_id each read is in, and the file's number as text; the first runs have one more where it does not go up."""
+    d, n = placed(df)
+    size, longer = divmod(n, files)
+    edge, at = longer * (size + 1), F.col("place")
+    first = F.floor(at / F.lit(size + 1))
+    later = longer + F.floor((at - edge) / F.lit(max(size, 1)))
+    d = d.withColumn("split_id", F.when(at < edge, first).otherwise(later).cast("int")).drop("place")
     return d.withColumn("split_no", numbered(F.col("split_id"), digits))
 
 
 def split_by_lines(df: DataFrame, lines: int, digits: int = 4) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.orderBy("read_id")) - 1
-    d = df.withColumn("split_id", F.floor(place / F.lit(lines // 4)).cast("int"))
+    """Runs of so many lines, four of them for each read."""
+    d, _ = placed(df)
+    d = d.withColumn("split_id", F.floor(F.col("place") / F.lit(lines // 4)).cast("int")).drop("place")
     return d.withColumn("split_no", numbered(F.col("split_id"), digits))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from strandflow.operators import kernels as k
 
 #: The order in which k-mers are listed.
 KMER_ORDER = ("ATCG", "0123")
+#: Reads above which over-represented sequences of a length are reported, and of any other length. Fixed values.
+REPORTED, REPORTED_ELSE = {10: 500, 20: 200, 40: 100, 100: 50}, 20
 
 
 def cycles(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -133,28 +136,57 @@ def poly_counts(done: DataFrame, mates: tuple[int, ...] = (1,)) -> DataFrame:
     return out.groupBy("base").agg(F.count("*").alias("reads"), F.sum("len").alias("bases"))
 
 
-def over_represented(df: DataFrame, candidates: DataFrame, seq: str = "seq", sampling: int = 20) -> DataFrame:
-    """seq and n of candidates in every sampling-th read by read_id; behind a hit the search goes on after it."""
-    steps = candidates.select(F.col("seq").alias("cand"), F.length("seq").alias("step"))
-    known = {r.cand: r.step for r in steps.collect()}  # a small set by its making
-    sizes = sorted(set(known.values()))
+def over_represented_places(df: DataFrame, candidates: DataFrame, seq: str = "seq", sampling: int = 20) -> DataFrame:
+    """seq, place and n: where candidates begin in every sampling-th read by read_id; behind a hit the search goes on after it and one base more.
+
+    Windows are found by a rolling hash of all places at once, and hits compared as text; only they are looped over.
+    """
+    known = {r.seq for r in candidates.select("seq").collect()}  # a small set by its making
+    sizes = sorted({len(s) for s in known})
+    factor = np.uint64(0x9E3779B97F4A7C15)
+
+    def hashes(m: np.ndarray, size: int) -> np.ndarray:
+        """A hash of each run of `size` bases, by sums over prefixes modulo 2**64."""
+        power = np.cumprod(np.full(m.shape[1] + 1, factor))
+        total = np.concatenate([np.zeros((len(m), 1), np.uint64), np.cumsum(m.astype(np.uint64) * power[:-1], axis=1)], axis=1)
+        return (total[:, size:] - total[:, :-size]) * power[::-1][: m.shape[1] - size + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[str, int] = {}
-            for s in b.column(0).to_pylist():
-                for size in sizes:
-                    at = 0
-                    while s and at <= len(s) - size:
-                        part = s[at : at + size]
-                        if part in known:
-                            found[part] = found.get(part, 0) + 1
-                            at += size
-                        at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["seq", "n"])
+            m, length = k.matrix(b.column(0))
+            texts, found = b.column(0).to_pylist(), Counter()
+            for size in (z for z in sizes if z <= m.shape[1]):
+                own = sorted(s for s in known if len(s) == size)
+                letters = np.zeros((len(own), m.shape[1]), np.uint8)
+                letters[:, :size] = np.frombuffer("".join(own).encode(), np.uint8).reshape(-1, size)
+                hit = np.isin(hashes(m, size), hashes(letters, size)[:, 0])
+                hit &= np.arange(hit.shape[1]) <= (length - size)[:, None]
+                last, free = -1, 0
+                for row, at in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+                    last, free = (row, 0) if row != last else (last, free)
+                    part = texts[row][at : at + size]
+                    if at >= free and part in known:
+                        found[part, at] += 1
+                        free = at + size + 1
+            cols = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["seq", "place", "n"])
 
     part = df.where(F.col("read_id") % sampling == 0).select(F.col(seq).alias("seq"))
-    return part.mapInArrow(run, "seq string, n long").groupBy("seq").agg(F.sum("n").alias("n"))
+    return part.mapInArrow(run, "seq string, place int, n long").groupBy("seq", "place").agg(F.sum("n").alias("n"))
+
+
+def over_represented(df: DataFrame, candidates: DataFrame, seq: str = "seq", sampling: int = 20) -> DataFrame:
+    """seq and n of candidates in every sampling-th read by read_id."""
+    return over_represented_places(df, candidates, seq, sampling).groupBy("seq").agg(F.sum("n").alias("n"))
+
+
+def over_represented_passed(counts: DataFrame, sampling: int = 20) -> DataFrame:
+    """The sequences whose counts, times the sampling, pass the threshold for their length."""
+    least = F.lit(REPORTED_ELSE)
+    for size, most in REPORTED.items():
+        least = F.when(F.length("seq") == size, most).otherwise(least)
+    n = F.col("n") * sampling
+    return counts.where(n > least)
 
 
 def ranked_kmers(counts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 R1 = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
 R2 = "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"
+#: Adapters that the queries try in turn or vote on.
+FOUR = (R1, R2, "CTGTCTCTTATACACATCT", "TGGAATTCTCGGGTGCCAAGG")
 
 
 def query(sql: str | None = None, source=pairs, plain: bool = False, name: str | None = None):
@@ -225,7 +229,16 @@ def polyx_counts(d):
     return stats.poly_counts(run.process(as_single(d), Options(poly_x=True, adapter_trimming=False, **OFF), ("poly1", "poly_len1")))
 
 
-@query(None, single)
+@query(
+    f"SELECT * FROM (WITH {_POS}, w AS (SELECT *, sum(q) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM p), "
+    "f AS (SELECT id, any_value(l) AS l, coalesce(min(i) FILTER (i >= 2 AND i + 4 < l - 1 AND s >= 4 * 53), greatest(any_value(l) - 5, 2)) + 3 AS s1 FROM w GROUP BY id), "
+    "g AS (SELECT f.id, any_value(f.l) AS l, coalesce(min(i) FILTER (i >= s1 AND b <> 'N'), greatest(any_value(f.l), any_value(s1))) AS st FROM f JOIN p USING (id) GROUP BY f.id), "
+    "h AS (SELECT g.id, any_value(g.l) AS l, any_value(st) AS st, coalesce(max(i + 3) FILTER (i + 3 <= g.l - 2 AND i - 1 >= st AND s >= 4 * 53), least(any_value(g.l) - 2, any_value(st) + 3)) AS t0 FROM g JOIN w USING (id) GROUP BY g.id), "
+    "k AS (SELECT h.id, any_value(h.l) AS l, any_value(st) AS st, coalesce(max(i) FILTER (i <= CASE WHEN t0 < h.l - 1 THEN t0 - 3 ELSE t0 END AND b <> 'N'), -1) AS t FROM h JOIN p USING (id) GROUP BY h.id), "
+    "x AS (SELECT id, st AS s, CASE WHEN l - st - 5 > 0 THEN t - st + 1 ELSE 0 END AS n FROM k) "
+    f"{_KEPT})",
+    single,
+)
 def cut_combined(d):
     return step.quality_cut(d, k.Cut((4, 20), (4, 20)), 2, 1).select("read_id", "seq", "qual")
 
@@ -247,6 +260,21 @@ def overlap(d):
     return step.overlaps(d).where("overlapped").drop("overlapped")
 
 
+_GAPS = (
+    "g AS (SELECT * FROM (SELECT *, least(5, floor(ol * 0.2)) AS most FROM h WHERE id NOT IN (SELECT id FROM ov)) WHERE ol > 1 AND hamming(substr(a, 1, ol::INT - 1), substr(b, 1, ol::INT - 1)) <= most + 5), "
+    "g1 AS (SELECT *, unnest([false, true]) AS swap FROM g), g2 AS (SELECT id, k, off, ol, most, swap, CASE WHEN swap THEN b ELSE a END AS x, CASE WHEN swap THEN a ELSE b END AS y FROM g1), "
+    "g3 AS (SELECT *, (substr(x, ol::INT, 1) <> substr(y, ol::INT - 1, 1))::INT AS last FROM g2 WHERE ol > 2), "
+    "g4 AS (SELECT *, unnest(range(1, ol::INT - 1)) AS j FROM g3 WHERE hamming(substr(x, 1, ol::INT - 2), substr(y, 1, ol::INT - 2)) + last <= most), "
+    "g5 AS (SELECT id, k, swap, any_value(off) AS off, any_value(ol) AS ol, any_value(most) AS most, min(hamming(substr(x, 1, j::INT), substr(y, 1, j::INT)) + hamming(substr(x, j::INT + 2, ol::INT - 1 - j::INT), substr(y, j::INT + 1, ol::INT - 1 - j::INT))) AS d FROM g4 GROUP BY id, k, swap), "
+    "g6 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, swap) AS rn FROM g5 WHERE d <= most)"
+)
+
+
+@query(f"SELECT * FROM (WITH {_OV}, {_GAPS} SELECT id AS pair_id, off::INT AS \"offset\", ol::INT AS overlap_len, d::INT AS diff FROM ov UNION ALL SELECT id, off::INT, ol::INT, d::INT FROM g6 WHERE rn = 1)")
+def overlap_gapped(d):
+    return step.overlaps(d, gaps=True).where("overlapped").drop("overlapped")
+
+
 _SIZE = f"WITH {_OV} SELECT least(512, coalesce(CASE WHEN off > 0 THEN l1 + l2 - ol ELSE ol END, 512))::INT AS insert_size, count(*) AS n FROM rc LEFT JOIN ov USING (id) GROUP BY 1"
 PLAIN = Options(paired=True, **OFF)
 
@@ -344,19 +372,61 @@ def _no_gaps(d: DataFrame, adapter: str, least: int = 4) -> DataFrame:
     return step.apply(d, ["read_id", "seq", "qual"], fn, "trimmed_len int")
 
 
+def _gapped_sql(adapter: str, of: str, name: str) -> str:
+    """CTEs, the last of which is `name`(id, s, n): the place of the adapter in each s of the table `of`(id, s), without gaps, else with a base more in the read, else with one less."""
+    n = len(adapter)
+    plain = f"hamming(substr(s, greatest(i, 0) + 1, cl - greatest(-i, 0)), substr('{adapter}', greatest(-i, 0) + 1, cl - greatest(-i, 0))) <= cl // 8"
+    last = {"more": f"substr(s, i + size + 1, 1) <> substr('{adapter}', size::INT, 1)", "less": f"substr('{adapter}', size::INT + 1, 1) <> substr(s, i + size, 1)"}
+    behind = {"more": f"hamming(substr(s, i + {{j}} + 2, size - {{j}}), substr('{adapter}', {{j}} + 1, size - {{j}}))", "less": f"hamming(substr('{adapter}', {{j}} + 2, size - {{j}}), substr(s, i + {{j}} + 1, size - {{j}}))"}
+    before = f"hamming(substr(s, i + 1, {{j}}), substr('{adapter}', 1, {{j}}))"
+    ctes = [f"{name}_p AS (SELECT id, min(greatest(i, 0)) AS i FROM (SELECT id, s, i, least(length(s) - i, {n}) AS cl FROM {of}, unnest(range(-4, 100)) AS t(i) WHERE i < length(s) - 4) WHERE {plain} GROUP BY id)"]
+    done = [f"{name}_p"]
+    for kind, size, left in (("more", f"least(length(s) - i - 1, {n})", 5), ("less", f"least(length(s) - i, {n - 1})", 4)):
+        out = " ".join(f"AND id NOT IN (SELECT id FROM {x})" for x in done)
+        half = "(size // 2)"
+        at = f"SELECT * FROM (SELECT id, s, i, {size} AS size FROM {of}, unnest(range(0, 100)) AS t(i) WHERE i < length(s) - {left} {out}) WHERE size >= 8 AND ({before.format(j=half)} <= size // 8 - 1 OR {behind[kind].format(j=half)} <= size // 8 - 1)"
+        ctes.append(f"{name}_{kind} AS (SELECT id, min(i) AS i FROM (SELECT *, unnest(range(1, size)) AS j FROM ({at})) WHERE {before.format(j='j')} + ({last[kind]})::INT <= size // 8 - 1 AND {before.format(j='j')} + {behind[kind].format(j='j')} <= size // 8 - 1 GROUP BY id)")
+        done.append(f"{name}_{kind}")
+    joins = " ".join(f"LEFT JOIN {x} ON {x}.id = o.id" for x in done)
+    return ", ".join(ctes) + f", {name} AS (SELECT o.id, s, coalesce({', '.join(f'{x}.i' for x in done)}, length(s)) AS n FROM {of} o {joins})"
+
+
 @query(f"SELECT id AS read_id, n::INT AS trimmed_len FROM (WITH {_SIMPLE} {_adapter_sql(R1, 'seq1', 'src')})", single)
 def adapter_sequence(d):
     return _no_gaps(d, R1)
 
 
-@query(None, single)
+_READS1 = "r0 AS (SELECT pair_id AS id, seq1 AS s FROM reads)"
+
+
+@query(f"SELECT * FROM (WITH {_READS1}, {_gapped_sql(R1, 'r0', 'x')} SELECT id AS read_id, n::INT AS trimmed_len FROM x)", single)
 def adapter_sequence_gapped(d):
     return step.trim_adapter(d, [R1])
 
 
-@query(None, single)
+def _in_turn(adapters: list[str]) -> str:
+    """CTEs from r0 on; the reads after adapter k are r{k}."""
+    return ", ".join(f"{_gapped_sql(a, f'r{i}', f'x{i}')}, r{i + 1} AS (SELECT id, substr(s, 1, n) AS s FROM x{i})" for i, a in enumerate(adapters))
+
+
+@query(f"SELECT * FROM (WITH {_READS1}, {_in_turn(sorted(FOUR))} SELECT id AS read_id, length(s)::INT AS trimmed_len FROM r{len(FOUR)})", single)
 def adapter_fasta(d):
-    return step.trim_adapter(d, sorted(detect.KNOWN_ADAPTERS))
+    return step.trim_adapter(d, sorted(FOUR))
+
+
+_MIXED = (
+    f"WITH {_CUT}, m1 AS (SELECT id, seq1 AS s FROM t WHERE NOT hit), m2 AS (SELECT id, seq2 AS s FROM t WHERE NOT hit), {_gapped_sql(R1, 'm1', 'y1')}, {_gapped_sql(R2, 'm2', 'y2')}, "
+    "b1 AS (SELECT id, substr(seq1, 1, k1) AS s FROM t WHERE hit UNION ALL SELECT id, substr(s, 1, n) FROM y1), b2 AS (SELECT id, substr(seq2, 1, k2) AS s FROM t WHERE hit UNION ALL SELECT id, substr(s, 1, n) FROM y2), "
+    f"{_gapped_sql(FOUR[2], 'b1', 'z1')}, {_gapped_sql(FOUR[2], 'b2', 'z2')} "
+    "SELECT t.id AS read_id, substr(z1.s, 1, z1.n) AS seq1, substr(z2.s, 1, z2.n) AS seq2, hit OR coalesce(y1.n < length(y1.s), false) OR z1.n < length(z1.s) AS trimmed1, hit OR coalesce(y2.n < length(y2.s), false) OR z2.n < length(z2.s) AS trimmed2 "
+    "FROM t JOIN z1 ON z1.id = t.id JOIN z2 ON z2.id = t.id LEFT JOIN y1 ON y1.id = t.id LEFT JOIN y2 ON y2.id = t.id"
+)
+
+
+@query(f"SELECT * FROM ({_MIXED})")
+def adapter_precedence(d):
+    """Overlaps first, the mates' adapters where there is none, listed adapters always."""
+    return _done(d, replace(PLAIN, adapter=R1, adapter_r2=R2, adapter_list=(FOUR[2],)), "read_id", "seq1", "seq2", "trimmed1", "trimmed2")
 
 
 @query(f"SELECT * FROM (WITH {_CUT} SELECT id AS read_id FROM t WHERE hit AND least(k1, length(seq1)) <= 45 AND least(k2, length(seq2)) <= 45)")
@@ -458,16 +528,34 @@ def stats_summary(d):
     return stats.summary(d)
 
 
-@query(None, single)
+_SIZES = {**detect.OVERREP, 98: 3}
+_FREQUENT = (
+    "d AS (SELECT * FROM (SELECT seq1 AS s, coalesce(sum(length(seq1)) OVER (ORDER BY pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM reads) WHERE b < 1510000), c AS (SELECT seq, max(n) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT substr(s, i, {size}) AS seq, count(*) AS n FROM d, unnest(range(1, length(s) - {size - 2})) AS t(i) GROUP BY 1 HAVING count(*) >= {least}" for size, least in _SIZES.items())
+    + ") GROUP BY seq), o AS (SELECT seq, n FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS f WHERE length(f.seq) > length(c.seq) AND contains(f.seq, c.seq) AND c.n // f.n < 10))"
+)
+_HITS = (
+    f"{_FREQUENT}, w AS (SELECT pair_id AS id, z, i, substr(seq1, i + 1, z) AS seq FROM reads, (SELECT DISTINCT length(seq) AS z FROM o), unnest(range(0, length(seq1) - z + 1)) AS t(i) WHERE pair_id % 20 = 0), "
+    "l AS (SELECT id, z, list_reduce(list([i] ORDER BY i), lambda a, b: CASE WHEN b[1] > a[-1] + z THEN list_concat(a, b) ELSE a END) AS places FROM w JOIN o USING (seq) GROUP BY id, z), "
+    "k AS (SELECT id, z, unnest(places) AS i FROM l)"
+)
+
+
+@query(f"SELECT * FROM (WITH {_FREQUENT} SELECT seq, n FROM o)", single)
 def overrep_candidates(d):
     return detect.over_represented_candidates(d, 100)
 
 
-@query(None, single)
+@query(f"SELECT * FROM (WITH {_HITS} SELECT seq, count(*) AS n FROM k JOIN w USING (id, z, i) GROUP BY seq)", single)
 def overrep_counts(d):
     return stats.over_represented(d, detect.over_represented_candidates(d, 100))
 
 
+@query(f"SELECT * FROM (WITH {_HITS} SELECT seq, i::INT AS place, count(*) AS n FROM k JOIN w USING (id, z, i) GROUP BY seq, i)", single)
+def overrep_places(d):
+    return stats.over_represented_places(d, detect.over_represented_candidates(d, 100))
+
+
 # Detection
 
 
@@ -476,7 +564,7 @@ def detect_seq_len(d):
     return detect.read_length(d)
 
 
-@query("SELECT true AS two_colour", single, plain=True)
+@query("SELECT regexp_matches(arg_min(name1, pair_id), '^(" + "|".join(detect.TWO_COLOUR) + ")') AS two_colour FROM reads", single)
 def detect_two_color(d):
     return detect.two_colour(d)
 
@@ -494,21 +582,26 @@ def detect_kmer10_top(d):
     return detect.ten_mers(d)
 
 
-@query(
+_VOTES = (
     " UNION ALL ".join(
         f"SELECT '{a}' AS adapter, count(*) AS hits, coalesce(sum(d), 0)::BIGINT AS mismatches FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM "
         f"(SELECT pair_id AS id, i, least(length(seq1) - i, {len(a)}) AS cl, hamming(substr(seq1, i + 1, least(length(seq1) - i, {len(a)})), substr('{a}', 1, least(length(seq1) - i, {len(a)}))) AS d FROM reads, unnest(range(0, length(seq1) - 7)) AS t(i) WHERE pair_id < 100000) WHERE d <= cl // 16) WHERE rn = 1"
-        for a in sorted(detect.KNOWN_ADAPTERS)
-    ),
-    single,
+        for a in sorted(FOUR)
+    )
 )
+
+
+@query(_VOTES, single)
 def detect_known_adapter(d):
-    return detect.adapter_votes(d)
+    return detect.adapter_votes(d, dict.fromkeys(FOUR, ""))
 
 
-@query(None, single)
+# These reads hold a known adapter, so that the vote decides; growing one from 10-mers is restated in tests.
+@query(
+    f"SELECT CASE WHEN n < 10000 OR NOT (hits > n / 50.0 OR hits > n / 200.0 AND mismatches < hits) THEN '' ELSE adapter END AS adapter FROM ({_VOTES}), (SELECT count(*) AS n FROM reads WHERE pair_id < 100000) ORDER BY hits DESC, adapter LIMIT 1", single
+)
 def detect_adapter(d):
-    return d.sparkSession.createDataFrame([(detect.find_adapter(d),)], "adapter string")
+    return d.sparkSession.createDataFrame([(detect.find_adapter(d, adapters=dict.fromkeys(FOUR, "")),)], "adapter string")
 
 
 # Routing and whole runs
@@ -535,10 +628,28 @@ def route_failed_tags(d):
     return run.routes(_done(d, ROUTED, *ROUTED_COLUMNS), ROUTED).where("target = 'failed'").select("read_id", "mate", "name", "seq")
 
 
-@query(None)
+_TRIMMED = f"SELECT c.pair_id, substr(c.seq1, 1, k1) AS seq1, substr(c.qual1, 1, k1) AS qual1, substr(c.seq2, 1, k2) AS seq2, substr(c.qual2, 1, k2) AS qual2, hit, name1, name2 FROM ({_CORRECTED}) AS c JOIN (SELECT * FROM (WITH {_CUT} SELECT id, k1, k2, hit FROM t)) ON id = c.pair_id JOIN (SELECT pair_id, name1, name2 FROM reads) USING (pair_id)"
+_ROUTE_MERGED = (
+    f"WITH reads3 AS (SELECT * FROM ({_TRIMMED})), {_OV.replace('FROM reads)', 'FROM reads3)')}, "
+    "mm AS (SELECT ov.id, name1 || ' merged_' || (ol + greatest(off, 0)) || '_' || (CASE WHEN off > 0 THEN l2 - ol ELSE 0 END) AS name, substr(r.seq1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(s2, ol + 1) ELSE '' END AS seq1, "
+    "substr(r.qual1, 1, ol + greatest(off, 0)) || CASE WHEN off > 0 THEN substr(reverse(r.qual2), ol + 1) ELSE '' END AS qual1 FROM ov JOIN rc USING (id) JOIN reads3 AS r ON r.pair_id = ov.id), "
+    "un AS (SELECT *, hit AND length(seq1) <= 2 AND length(seq2) <= 2 AS dimer FROM reads3 WHERE pair_id NOT IN (SELECT id FROM ov)) "
+    f"SELECT id AS read_id, 0 AS mate, 'merged' AS target, name, seq1 AS seq, '+' AS strand, qual1 AS qual FROM mm WHERE ({_CODE}) = 0 "
+    f"UNION ALL SELECT pair_id, 1, 'merged', name1, seq1, '+', qual1 FROM un WHERE NOT dimer AND ({_CODE}) = 0 UNION ALL SELECT pair_id, 2, 'merged', name2, seq2, '+', qual2 FROM un WHERE NOT dimer AND ({_CODE2}) = 0"
+)
+
+
+@query(f"SELECT * FROM ({_ROUTE_MERGED})")
 def route_merged(d):
-    o = Options(paired=True, merge=True, include_unmerged=True, merged_out="m", failed_out="f")
-    return run.routes(_done(d, o), o.validated())
+    o = Options(paired=True, merge=True, include_unmerged=True, merged_out="m", failed_out="f", eval_duplication=False).validated()
+    wanted = (*ROUTED_COLUMNS, "lost1", "lost2", *(f"merged_{c}" for c in ("name", "seq", "qual", "result")))
+    return run.routes(_done(d, o, *wanted), o)
+
+
+@query(f"SELECT pair_id AS read_id, 1 AS mate, 'out1' AS target, name1 AS name, seq1 AS seq, qual1 AS qual FROM reads JOIN ({_KEYED.format('seq1')}) USING (pair_id) WHERE NOT is_dup AND ({_CODE}) = 0", single)
+def route_without_duplicates(d):
+    o = Options(adapter_trimming=False, dedup=True, out1="o")
+    return run.routes(run.process(as_single(d), o, ("read_id", "is_dup", "name1", "seq1", "qual1", "result")), o).drop("strand")
 
 
 @query("SELECT pair_id AS read_id, (ntile(7) OVER (ORDER BY pair_id) - 1)::INT AS split_id, lpad((ntile(7) OVER (ORDER BY pair_id))::VARCHAR, 4, '0') AS split_no FROM reads", single)
