@@ -6,7 +6,6 @@ import argparse
 import dataclasses
 import os
 import sys
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,19 +15,19 @@ from strandflow.operators import detect
 from strandflow.operators import pipeline as run
 from strandflow.plans import report
 from strandflow.plans.options import Options
-from strandflow.plans.session import expose, settle
+from strandflow.plans.session import discard_path, expose, settle, shared_dir
 from strandflow.sources import fastq
-from strandflow.sources.sinks import write_files
+from strandflow.sources.sinks import write_files, write_split
 
 
 def parser() -> argparse.ArgumentParser:
     """An option for each field of Options, and the files."""
     p = argparse.ArgumentParser(prog="strandflow")
-    for name in ("in1", "in2", "json", "html", "adapter_fasta", "filter_by_index1", "filter_by_index2", "in_dir", "out_dir", "report_title"):
+    for name in ("in1", "in2", "json", "html", "adapter_fasta", "adapter_table", "filter_by_index1", "filter_by_index2", "in_dir", "out_dir", "report_title"):
         p.add_argument(f"--{name}", default="")
     for f in dataclasses.fields(Options):
         kind = str(f.type)
-        if kind == "bool":
+        if kind.startswith("bool"):
             p.add_argument(f"--{f.name}", action=argparse.BooleanOptionalAction, default=f.default)
         elif "tuple[int, int]" in kind:
             p.add_argument(f"--{f.name}", nargs=2, type=int, metavar=("WINDOW", "QUALITY"), default=f.default)
@@ -45,47 +44,70 @@ def options_of(a: argparse.Namespace) -> Options:
     return dataclasses.replace(o, paired=bool(a.in2) or a.interleaved_in, **lists)
 
 
-def detected(raw, o: Options) -> Options:
+def detected(raw, o: Options, table: str = "") -> Options:
     """Options with what is found out from the reads: adapters (single reads, or pairs on demand) and two-colour chemistry."""
     first = raw.select("read_id", F.col("name1").alias("name"), F.col("seq1").alias("seq"))
-    if detect.two_colour(first).first().two_colour:
+    if o.poly_g is None and detect.two_colour(first).first().two_colour:
         o = dataclasses.replace(o, poly_g=True)
+    known = {s: name for name, s in fastq.read_fasta(table).items()} if table else None
     if o.adapter_trimming and (not o.paired and o.adapter in ("", "auto") or o.paired and o.detect_adapter_for_pe):
-        o = dataclasses.replace(o, adapter=detect.find_adapter(first, literal=o.literal))
+        o = dataclasses.replace(o, adapter=detect.find_adapter(first, adapters=known, literal=o.literal))
         if o.paired:
             second = raw.select("read_id", F.col("seq2").alias("seq"))
-            o = dataclasses.replace(o, adapter_r2=detect.find_adapter(second, literal=o.literal))
+            o = dataclasses.replace(o, adapter_r2=detect.find_adapter(second, adapters=known, literal=o.literal))
     return o
 
 
+def spooled(spark: SparkSession, stream) -> str:
+    """What comes in on stream as a file of the folder that all executors share."""
+    from pyarrow import fs
+
+    path = f"{shared_dir(spark)}.fq"
+    system, inner = fs.FileSystem.from_uri(path)
+    system.create_dir(os.path.dirname(inner), recursive=True)
+    with system.open_output_stream(inner) as out:
+        while block := stream.read(1 << 20):
+            out.write(block)
+    return path
+
+
+def guard(a: argparse.Namespace, o: Options) -> None:
+    """No output may be there if none is to be overwritten."""
+    if o.dont_overwrite:
+        for p in (o.out1, o.out2, o.unpaired1, o.unpaired2, o.failed_out, o.merged_out, o.overlapped_out, a.json, a.html):
+            if p and os.path.exists(p):
+                raise FileExistsError(p)
+
+
 def run_files(spark: SparkSession, a: argparse.Namespace) -> dict:
     o = options_of(a)
     path = a.in1
     if o.stdin:
-        with tempfile.NamedTemporaryFile(delete=False, suffix=".fq") as spool:
-            while block := sys.stdin.buffer.read(1 << 20):
-                spool.write(block)
-        path = spool.name
+        path = spooled(spark, sys.stdin.buffer)
+    guard(a, o)
     read = fastq.read_interleaved if o.interleaved_in else fastq.read_single
     raw = fastq.read_pairs(spark, path, a.in2, o.reads_to_process) if a.in2 else read(spark, path, o.reads_to_process)
     raw = settle(raw)
-    o = (o if o.stdin else detected(raw, o)).validated()
+    o = (o if o.stdin else detected(raw, o, a.adapter_table)).validated()
     done = settle(run.process(raw, o))
-    overrep = None
-    if o.overrep:
-        from strandflow.operators import stats
-
-        reads = raw.select("read_id", F.col("seq1").alias("seq"))
-        overrep = stats.over_represented(reads, detect.over_represented_candidates(reads, detect.read_length(reads).first()[0]), sampling=o.overrep_sampling)
+    overrep = {}
+    for m in ((1, 2) if o.paired else (1,)) if o.overrep else ():
+        reads = raw.select("read_id", F.col(f"seq{m}").alias("seq"))
+        overrep[m] = settle(detect.over_represented_candidates(reads, detect.read_length(reads).first()[0]))
     places = {"out1": o.out1, "out2": o.out2 or o.out1, "unpaired1": o.unpaired1, "unpaired2": o.unpaired2 or o.unpaired1, "failed": o.failed_out, "merged": o.merged_out, "overlapped": o.overlapped_out}
     places = {k: v for k, v in places.items() if v}
     routed = run.routes(done, o)
     if o.stdout:
         kind = ["merged"] if o.merge else ["out1", "out2"]
         for r in routed.where(F.col("target").isin(kind)).orderBy("read_id", "mate").toLocalIterator():
-            sys.stdout.write(f"{r.name}\n{r.seq}\n+\n{r.qual}\n")
-    elif places:
-        write_files(routed, places, o.compression, not o.dont_overwrite)
+            sys.stdout.write(f"{r.name}\n{r.seq}\n{r.strand}\n{r.qual}\n")
+    else:
+        if o.split or o.split_by_lines:
+            write_split(routed, {t: places.pop(t) for t in ("out1", "out2") if t in places}, o)
+        if places:
+            write_files(routed, places, o.compression, not o.dont_overwrite)
+    if o.stdin:
+        discard_path(spark, path)
     out = report.build(raw, done, o, " ".join(sys.argv), overrep)
     if a.json:
         Path(a.json).write_text(report.to_json(out))
@@ -106,7 +128,7 @@ def run_folder(spark: SparkSession, a: argparse.Namespace) -> dict[str, dict]:
         own.json = os.path.join(a.out_dir, f"{one}.json")
         out[one] = run_files(spark, own)
     rows = report.batch_summary(out)
-    Path(a.out_dir, "overall.html").write_text(report.to_html({r["sample"]: r for r in rows}, "All samples"))
+    Path(a.out_dir, "overall.html").write_text(report.to_html({r["sample"]: r for r in rows} | report.batch_curves(out), "All samples"))
     return out
 
 

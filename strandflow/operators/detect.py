@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandflow.operators import kernels as k
+from strandflow.operators.adapters import known_adapters
 
 #: Name prefixes of two-colour instruments. Fixed values.
 TWO_COLOUR = ("@FS", "@MN", "@SH", "@NS", "@NB", "@NDX", "@VL", "@VH", "@A", "@NA", "@LH")
-#: Public adapter sequences that are tried when none is given; more are a parameter. Fixed values.
-KNOWN_ADAPTERS = {
-    "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA": "TruSeq adapter, read 1",
-    "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT": "TruSeq adapter, read 2",
-    "CTGTCTCTTATACACATCT": "Nextera transposase",
-    "TGGAATTCTCGGGTGCCAAGG": "small RNA 3' adapter",
-}
 LENGTH_SAMPLE, ADAPTER_SAMPLE, VOTE_SAMPLE = 1000, 262_144, 100_000
+ADAPTER_BASES, OVERREP_BASES = 151 * 262_144, 151 * 10_000
+#: Bases to which a grown adapter is cut, and bases that are looked at on each side of a 10-mer.
+_MOST, _AROUND = 60, 256
 #: Lengths of candidate sequences and the counts they need. Fixed values.
 OVERREP = {10: 500, 20: 100, 40: 20, 100: 5}
 
@@ -46,36 +50,58 @@ def ten_mers(df: DataFrame, seq: str = "seq", shift_tail: int = 1, top: int | No
     return d.orderBy(F.desc("n"), F.desc(F.translate("kmer", "ATCG", "0123"))).limit(top) if top else d
 
 
-def adapter_votes(df: DataFrame, adapters: dict[str, str] = KNOWN_ADAPTERS, seq: str = "seq") -> DataFrame:
-    """adapter, hits and mismatches: the first place in each sampled read where a known adapter fits over 8 bases or more."""
-    import numpy as np
-    import pyarrow as pa
+def first_bases(df: DataFrame, reads: int, bases: int, seq: str = "seq") -> DataFrame:
+    """The first reads in file order, at most `reads`, up to the one with which they come to `bases` bases."""
+    d = df.where(F.col("read_id") < reads)
+    if (d.agg(F.sum(F.length(seq).cast("long"))).first()[0] or 0) <= bases:
+        return d
+    # The running sum is over a bounded sample.
+    before = F.coalesce(F.sum(F.length(seq).cast("long")).over(Window.orderBy("read_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("_before", before).where(F.col("_before") < bases).drop("_before")
 
-    from strandflow.operators import kernels as k
 
-    items = sorted(adapters)
+def adapter_votes(df: DataFrame, adapters: dict[str, str] | None = None, seq: str = "seq") -> DataFrame:
+    """adapter, hits and mismatches: the first place in each sampled read where a known adapter fits over 8 bases or more, with one mismatch for 16 bases.
 
-    def run(batches):
+    So few mismatches leave one of the adapter's successive 8 bases whole, so that places are looked up by 8 bases.
+    """
+    items = sorted(adapters if adapters is not None else known_adapters())
+    code = np.full(256, 1 << 20, np.int64)
+    code[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    weights = 4 ** np.arange(7, -1, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r = k.reads(b.column(0), b.column(0))
+            wide = max(r.seq.shape[1] - 7, 0)
+            keys = sum(code[r.seq[:, i : i + wide]] * w for i, w in enumerate(weights.tolist())).ravel() if wide else np.zeros(0, np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            hits, wrong = [], []
             for a in items:
                 ad = np.frombuffer(a.encode(), np.uint8)
-                s = np.pad(r.seq, ((0, 0), (0, len(ad))))
-                open_, hits, wrong = np.ones(len(r.length), bool), 0, 0
-                for p in range(max(int(r.length.max(initial=0)) - 7, 0)):
-                    rows = np.flatnonzero(open_ & (r.length - p >= 8))
-                    size = np.minimum(r.length[rows] - p, len(ad))
-                    d = ((s[rows, p : p + len(ad)] != ad) & (np.arange(len(ad)) < size[:, None])).sum(axis=1)
-                    ok = d <= size // 16
-                    hits, wrong = hits + int(ok.sum()), wrong + int(d[ok].sum())
-                    open_[rows[ok]] = False
-                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([hits], pa.int64()), pa.array([wrong], pa.int64())], names=["adapter", "hits", "mismatches"])
+                found = [np.zeros((0, 2), np.int64)]
+                for at in range(0, len(ad) - 7, 8):
+                    key = int((code[ad[at : at + 8]] * weights).sum())
+                    row, place = np.divmod(order[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")], max(wide, 1))
+                    found.append(np.stack([row, place - at], axis=1)[place >= at])
+                row, place = np.unique(np.concatenate(found), axis=0).T
+                size = np.minimum(r.length[row] - place, len(ad))
+                s = np.pad(r.seq[row], ((0, 0), (0, len(ad))))
+                part = np.take_along_axis(s, place[:, None] + np.arange(len(ad)), 1)
+                d = ((part != ad) & (np.arange(len(ad)) < size[:, None])).sum(axis=1)
+                ok = (size >= 8) & (d <= size // 16)
+                row, d = row[ok], d[ok]
+                first = np.r_[True, row[1:] != row[:-1]][: len(row)]  # by row and place
+                hits.append(int(first.sum()))
+                wrong.append(int(d[first].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(hits, pa.int64()), pa.array(wrong, pa.int64())], names=["adapter", "hits", "mismatches"])
 
     d = df.where(F.col("read_id") < VOTE_SAMPLE).select(seq).mapInArrow(run, "adapter string, hits long, mismatches long")
     return d.groupBy("adapter").agg(F.sum("hits").alias("hits"), F.sum("mismatches").alias("mismatches"))
 
 
-def known_adapter(df: DataFrame, adapters: dict[str, str] = KNOWN_ADAPTERS, seq: str = "seq") -> str:
+def known_adapter(df: DataFrame, adapters: dict[str, str] | None = None, seq: str = "seq") -> str:
     """The adapter with most hits, if more than one read in 50 has it, or one in 200 almost without mismatches; else ''."""
     n = df.where(F.col("read_id") < VOTE_SAMPLE).count()
     best = adapter_votes(df, adapters, seq).orderBy(F.desc("hits"), "adapter").first()
@@ -83,34 +109,46 @@ def known_adapter(df: DataFrame, adapters: dict[str, str] = KNOWN_ADAPTERS, seq:
     return best.adapter if ok else ""
 
 
-def find_adapter(df: DataFrame, seq: str = "seq", adapters: dict[str, str] = KNOWN_ADAPTERS, literal: bool = False) -> str:
-    """A known adapter, or one grown from a frequent 10-mer; '' if there is neither or there are under 10,000 reads."""
-    sample = df.where(F.col("read_id") < ADAPTER_SAMPLE)
+def find_adapter(df: DataFrame, seq: str = "seq", adapters: dict[str, str] | None = None, literal: bool = False) -> str:
+    """A known adapter, or one grown from a frequent 10-mer; '' if there is neither or there are under 10,000 reads.
+
+    What stands around the 10-mers is gathered for each of them by a task, from the bounded sample, and the adapter is cut to _MOST bases.
+    """
+    sample = first_bases(df, ADAPTER_SAMPLE, ADAPTER_BASES, seq).select("read_id", F.col(seq).alias("seq"))
     if sample.count() < 10_000:
         return ""
-    if known := known_adapter(df, adapters, seq):
+    if known := known_adapter(sample, adapters):
         return known
-    seqs = [r[0] for r in sample.select(seq).collect()]  # the bounded sample
-    total = sum(max(0, len(s) - 31) for s in seqs)
-    for r in ten_mers(df, seq).collect():
-        changes = sum(a != b for a, b in zip(r.kmer, r.kmer[1:], strict=False))
-        if r.n < 10 or r.n * 4**10 < 20 * total or changes < 3:
-            continue
-        after, before, leaf = [], [], True
-        for s in seqs:
-            at = s.find(r.kmer, 20)
-            while at >= 0:
-                after.append(s[at + 10 : len(s) - 1])
-                before.append(s[:at][::-1])
-                at = s.find(r.kmer, at + 1)
-        ahead, leaf = dominant_path(after)
-        back, _ = dominant_path(before)
-        grown = back[::-1] + r.kmer + ahead
-        grown = "" if literal and len(grown) > 60 else grown[:60]
-        for a in sorted(adapters):
+    total = sample.agg(F.sum(F.greatest(F.lit(0), F.length("seq") - 31).cast("long"))).first()[0]
+    changes = lambda s: sum(a != b for a, b in zip(s, s[1:], strict=False))
+    seeds = [r.kmer for r in ten_mers(sample).collect() if r.n >= 10 and r.n * 4**10 >= 20 * total and changes(r.kmer) >= 3]
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[str, str, str]] = []
+            for s in b.column(0).to_pylist():
+                for seed in seeds:
+                    at = s.find(seed, 20) if s else -1
+                    while at >= 0:
+                        rows.append((seed, s[at + 10 : len(s) - 1][:_AROUND], s[max(0, at - _AROUND) : at][::-1]))
+                        at = s.find(seed, at + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kmer", "after", "before"])
+
+    def grow(t: pa.Table) -> pa.Table:
+        ahead, leaf = dominant_path(t.column("after").to_pylist())
+        back, _ = dominant_path(t.column("before").to_pylist())
+        seed = t.column("kmer")[0].as_py()
+        return pa.table({"kmer": [seed], "grown": [back[::-1] + seed + ahead], "leaf": [leaf]})
+
+    found = sample.select("seq").mapInArrow(around, "kmer string, after string, before string").groupBy("kmer").applyInArrow(grow, "kmer string, grown string, leaf boolean")
+    of = {r.kmer: r for r in found.collect()} if seeds else {}
+    known = sorted(adapters if adapters is not None else known_adapters())
+    for r in (of[s] for s in seeds if s in of):
+        grown = "" if literal and len(r.grown) > _MOST else r.grown[:_MOST]
+        for a in known:
             if grown.startswith(a):
                 return a
-        if leaf and grown:
+        if r.leaf and grown:
             return grown
     return ""
 
@@ -134,14 +172,10 @@ def dominant_path(texts: list[str], share: float = 0.95, least: int = 50) -> tup
         live = [t for t in live if len(t) > i and t[i] == best]
 
 
-def over_represented_candidates(df: DataFrame, seq_len: int, seq: str = "seq", bases: int = 151 * 10_000) -> DataFrame:
+def over_represented_candidates(df: DataFrame, seq_len: int, seq: str = "seq", bases: int = OVERREP_BASES) -> DataFrame:
     """seq and n: frequent windows of the first bases, without those inside a longer one that is not much rarer."""
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy("read_id").rowsBetween(Window.unboundedPreceding, -1)
-    # At most `bases` reads can count, so the running sum is over a bounded sample.
-    d = df.where(F.col("read_id") < bases).select("read_id", F.col(seq).alias("s"))
-    d = d.withColumn("before", F.coalesce(F.sum(F.length("s")).over(w), F.lit(0))).where(F.col("before") < bases)
+    # At most `bases` reads can count, as each has a base.
+    d = first_bases(df.where(F.length(seq) > 0), bases, bases, seq).select(F.col(seq).alias("s"))
     sizes = {**OVERREP, **({min(150, seq_len - 2): 3} if seq_len > 12 else {})}
     parts = None
     for size, least in sizes.items():

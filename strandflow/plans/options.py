@@ -53,7 +53,7 @@ class Options:
     dedup: bool = False
     eval_duplication: bool = True
     # homopolymer tails
-    poly_g: bool = False
+    poly_g: bool | None = None  # None: on where names are of a two-colour instrument
     poly_g_min: int = 10
     poly_x: bool = False
     poly_x_min: int = 10
@@ -102,7 +102,7 @@ class Options:
 
     def validated(self) -> Options:
         """These options after the silent overrides; settings that contradict each other raise ValueError."""
-        o = self
+        o = self if self.poly_g is not None else replace(self, poly_g=False)
         need = _need
         if o.merge:
             need(o.paired, "merging needs pairs")

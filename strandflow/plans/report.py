@@ -25,8 +25,8 @@ def _whole(parts: list[dict]) -> dict:
     return out | {"gc_content": rate("gc_bases")}
 
 
-def _block(df: DataFrame, seq: str, qual: str, overrep: DataFrame | None = None) -> dict:
-    """The statistics of one mate in one phase."""
+def _block(df: DataFrame, seq: str, qual: str, candidates: DataFrame | None = None, sampling: int = 20) -> dict:
+    """The statistics of one mate in one phase. What begins with _ is for the pictures only."""
     d = df.where(F.col(seq).isNotNull())
     s = stats.summary(d, seq, qual).first().asDict()
     curves = [r.asDict() for r in stats.curves(stats.cycles(d, seq, qual)).orderBy("cycle").collect()]
@@ -35,22 +35,28 @@ def _block(df: DataFrame, seq: str, qual: str, overrep: DataFrame | None = None)
     out["quality_curves"] = {**{b: line(f"quality_{b}") for b in "ATCG"}, "mean": line("mean")}
     out["content_curves"] = {b: line(f"content_{b}") for b in ("A", "T", "C", "G", "N", "GC")}
     out["kmer_count"] = {r.kmer: r.n for r in stats.kmers(d, seq).orderBy(F.translate("kmer", *stats.KMER_ORDER)).collect()}
-    if overrep is not None:
-        out["overrepresented_sequences"] = {r.seq: r.n for r in overrep.orderBy("seq").collect()}
+    out["_quality_histogram"] = {r.q: r.n for r in stats.quality_histogram(d, qual).orderBy("q").collect()}
+    if candidates is not None:
+        places = stats.over_represented_places(d, candidates, seq, sampling)
+        passed = stats.over_represented_passed(places.groupBy("seq").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at")), sampling)
+        rows = passed.orderBy("seq").collect()  # few: candidates are frequent in a bounded sample
+        out["overrepresented_sequences"] = {r.seq: r.n for r in rows}
+        out["_overrepresented_places"] = {r.seq: dict(r["at"]) for r in rows}
     return {"summary": s, "report": out}
 
 
-def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overrep: DataFrame | None = None) -> dict:
-    """raw: the reads as they came; done: the result of process() over them, best cached or written."""
+def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overrep: dict[int, DataFrame] | None = None) -> dict:
+    """raw: the reads as they came; done: the result of process() over them, best written; overrep: of each mate the candidates to count."""
+    overrep = overrep or {}
     mates = (1, 2) if o.paired else (1,)
     emit = F.lit(True) if not o.dedup else ~F.col("is_dup")
     passed = done.where((F.col("result") == 0) & emit)
-    before = {m: _block(raw, f"seq{m}", f"qual{m}", overrep if m == 1 else None) for m in mates}
+    before = {m: _block(raw, f"seq{m}", f"qual{m}", overrep.get(m), o.overrep_sampling) for m in mates}
     if o.merge:
         kept = done.where("merged_seq is not null and merged_result = 0")
-        after = {1: _block(kept, "merged_seq", "merged_qual")}
+        after = {1: _block(kept, "merged_seq", "merged_qual", overrep.get(1), o.overrep_sampling)}
     else:
-        after = {m: _block(passed, f"seq{m}", f"qual{m}") for m in mates}
+        after = {m: _block(passed, f"seq{m}", f"qual{m}", overrep.get(m), o.overrep_sampling) for m in mates}
     counts = {r.result: r.reads for r in run.filter_counts(done, o).collect()}
     filtering = {}
     for code, name in _FILTERS:
@@ -91,8 +97,8 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
 
 
 def to_json(report: dict) -> str:
-    """Doubles to six digits."""
-    tidy = lambda x: {k: tidy(v) for k, v in x.items()} if isinstance(x, dict) else [tidy(v) for v in x] if isinstance(x, list) else float(f"{x:.6g}") if isinstance(x, float) else x
+    """Doubles to six digits; without what is for the pictures only."""
+    tidy = lambda x: {k: tidy(v) for k, v in x.items() if not str(k).startswith("_")} if isinstance(x, dict) else [tidy(v) for v in x] if isinstance(x, list) else float(f"{x:.6g}") if isinstance(x, float) else x
     return json.dumps(tidy(report), indent=1)
 
 
@@ -109,7 +115,16 @@ def to_html(report: dict, title: str = "Read report") -> str:
             continue
         parts.append(f"<h2>{html.escape(key)}</h2>" + rows(value))
         for name, inner in value.items():
-            if isinstance(inner, dict) and inner and all(isinstance(v, list) for v in inner.values()):
+            if name in ("_quality_histogram", "kmer_count", "_overrepresented_places") or name == "overrepresented_sequences" and "_overrepresented_places" in value:
+                if name == "_quality_histogram" and inner:
+                    parts.append("<h3>quality histogram</h3>" + bars(inner))
+                elif name == "kmer_count" and inner:
+                    parts.append("<h3>5-mers</h3>" + heat_table(inner))
+                elif name == "overrepresented_sequences":
+                    parts.append("<h3>over-represented sequences</h3>" + overrep_table(inner, value["_overrepresented_places"], value.get("total_bases", 0)))
+            elif name == "histogram" and isinstance(inner, list) and any(inner):
+                parts.append("<h3>insert sizes</h3>" + bars(dict(enumerate(inner))))
+            elif isinstance(inner, dict) and inner and all(isinstance(v, list) for v in inner.values()):
                 parts.append(f"<h3>{html.escape(name)}</h3>" + curve_picture(inner))
             elif isinstance(inner, dict):
                 parts.append(f"<h3>{html.escape(name)}</h3>" + rows(inner))
@@ -118,6 +133,54 @@ def to_html(report: dict, title: str = "Read report") -> str:
     return "\n".join(parts)
 
 
+def bars(counts: dict[int, int], width: int = 640, height: int = 160) -> str:
+    """A bar for each number from the least to the largest that occurs."""
+    some = {k: v for k, v in counts.items() if v}
+    low, high, most = min(some), max(some), max(some.values())
+    each = width / (high - low + 1)
+    out = [f'<svg width="{width}" height="{height + 16}" viewBox="0 0 {width} {height + 16}">']
+    for k, v in sorted(some.items()):
+        tall = v / most * (height - 4)
+        out.append(f'<rect x="{(k - low) * each:.1f}" y="{height - tall:.1f}" width="{max(each - 0.5, 0.5):.1f}" height="{tall:.1f}" fill="#1b6ca8"><title>{k}: {v}</title></rect>')
+    return "".join([*out, f'<text x="0" y="{height + 13}" font-size="11">{low}</text><text x="{width}" y="{height + 13}" font-size="11" text-anchor="end">{high}</text></svg>'])
+
+
+def heat_table(counts: dict[str, int]) -> str:
+    """The k-mers by their first two bases and the others; darker is more frequent, the mean is in the middle."""
+    heads, tails = sorted({x[:2] for x in counts}), sorted({x[2:] for x in counts})
+    mean = sum(counts.values()) / max(1, len(counts))
+    rows = []
+    for h in heads:
+        cells = []
+        for t in tails:
+            n = counts.get(h + t, 0)
+            share = min(1.0, n / mean / 2) if mean else 0.0
+            cells.append(f'<td style="background:rgba(27,108,168,{share:.2f})" title="{h}{t}: {n} ({n / mean if mean else 0:.2f} times the mean)">{h}{t}')
+        rows.append(f"<tr><th>{h}" + "".join(cells))
+    return '<table style="font:7px monospace">' + "<tr><th>" + "".join(f"<th>{t}" for t in tails) + "".join(rows) + "</table>"
+
+
+def overrep_table(counts: dict[str, int], places: dict[str, dict[int, int]], bases: int) -> str:
+    """Sequence, count with its share of bases, and where it begins."""
+    rows = ["<tr><th>sequence<th>count (share of bases)<th>places"]
+    for s, n in counts.items():
+        share = 100 * n * len(s) / bases if bases else 0.0
+        rows.append(f"<tr><td><code>{html.escape(s)}</code><td>{n} ({share:.4g}%)<td>{bars(places[s], 240, 40)}")
+    return "<table>" + "".join(rows) + "</table>"
+
+
+def batch_curves(reports: dict[str, dict]) -> dict[str, dict]:
+    """Mean quality and GC content by cycle of all samples, before and after; shorter samples are padded with their last value."""
+    out: dict[str, dict] = {}
+    for block in ("read1_before_filtering", "read2_before_filtering", "read1_after_filtering", "read2_after_filtering", "merged_and_filtered"):
+        for what, curve in (("quality_curves", "mean"), ("content_curves", "GC")):
+            own = {name: r[block][what][curve] for name, r in sorted(reports.items()) if block in r and r[block][what][curve]}
+            if own:
+                most = max(map(len, own.values()))
+                out.setdefault(block, {})[f"{what}: {curve}"] = {name: v + [v[-1]] * (most - len(v)) for name, v in own.items()}
+    return out
+
+
 def curve_picture(curves: dict[str, list], width: int = 640, height: int = 160) -> str:
     most = max((max(v) for v in curves.values() if v), default=0) or 1
     shades = ("#1b6ca8", "#c1442e", "#2e8540", "#8a6d00", "#6b3fa0", "#444")

@@ -49,9 +49,12 @@ def discard(*settled: DataFrame) -> None:
     """Remove the files of tables written by settle() that nothing will read again."""
     for df in settled:
         if path := getattr(df, "_settled", None):
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            discard_path(df.sparkSession, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 #: Bytes of a table, by its number of rows and the width stated for them, up to which it is broadcast.

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import gzip
 import os
+from collections.abc import Iterator
 from contextlib import ExitStack
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.operators.single_steps import split_by_files, split_by_lines
+from strandflow.plans.options import Options
+from strandflow.plans.session import settle
+
 
 def record_text():
     """A routed record as one string of four lines."""
@@ -39,7 +45,47 @@ def write_files(routed: DataFrame, targets: dict[str, str], level: int = 4, over
             opened[targets[r.target]].write(r.value + "\n")
 
 
-def write_split(routed: DataFrame, path: str, compression: str | None = None) -> None:
-    """routed with split_no: a folder for each target and number."""
-    text = routed.sortWithinPartitions("target", "split_no", "read_id", "mate").select("target", "split_no", record_text().alias("value"))
-    text.write.partitionBy("target", "split_no").text(path, compression=compression or "none")
+def split_path(path: str, number: str) -> str:
+    """The number before the file's name: out/a.fq becomes out/0001.a.fq."""
+    return os.path.join(os.path.dirname(path), f"{number}.{os.path.basename(path)}")
+
+
+def write_split(routed: DataFrame, targets: dict[str, str], o: Options) -> list[str]:
+    """The records of targets in files of their own for each number, o.split of them or as many as o.split_by_lines needs.
+
+    Each file is written by one task, several tasks at a time, where all tasks see the folder; of o.split files those
+    without reads are empty. The files' names are returned.
+    """
+    first = routed.where(F.col("target") == next(iter(targets))).select("read_id")
+    numbered = split_by_files(first, o.split, o.split_digits) if o.split else split_by_lines(first, o.split_by_lines, o.split_digits)
+    numbers = settle(numbered.select("read_id", "split_no"))
+    rows = routed.where(F.col("target").isin(list(targets))).join(numbers, "read_id").select("target", "split_no", "read_id", "mate", record_text().alias("value"))
+    rows = rows.repartition("target", "split_no").sortWithinPartitions("target", "split_no", "read_id", "mate")
+    level, overwrite = o.compression, not o.dont_overwrite
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, names = None, None, []
+        for b in batches:
+            for target, number, value in zip(*(b.column(c).to_pylist() for c in ("target", "split_no", "value")), strict=True):
+                if (target, number) != now:
+                    if out:
+                        out.close()
+                    now, path = (target, number), split_path(targets[target], number)
+                    out = gzip.open(path, "wt", level) if path.endswith(".gz") else open(path, "w")  # noqa: SIM115
+                    names.append(path)
+                out.write(value + "\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
+
+    every = sorted({r.split_no for r in numbers.select("split_no").distinct().collect()})
+    if o.split:
+        width = o.split_digits
+        every = [str(i + 1).rjust(width, "0") for i in range(o.split)]
+    files = [split_path(p, n) for p in targets.values() for n in every]
+    if not overwrite and (there := [p for p in files if os.path.exists(p)]):
+        raise FileExistsError(there[0])
+    written = {r.file for r in rows.mapInArrow(write, "file string").collect()}
+    for p in set(files) - written:
+        (gzip.open(p, "wt", level) if p.endswith(".gz") else open(p, "w")).close()  # noqa: SIM115
+    return files

@@ -14,7 +14,7 @@ from strandflow.plans.options import Options
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 8) -> DataFrame:
-    """Parquet files of reads as they arrive in a folder."""
+    """Parquet files of reads as they arrive in a folder; for FASTQ files see sources.fastq.read_stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
