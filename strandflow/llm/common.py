@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from strandflow.plans.session import discard, expose, if_small, salted_join, settle, shared_dir, spread  # noqa: F401  (shared by the operators)
 
-#: Rows of an Arrow batch that Spark sends to Python. Texts may be long, so batches are short.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch that Spark sends to Python: texts may be long.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that numpy code handles at a time; a longer text is handled alone.
 SLICE_BYTES = 1 << 21
 
@@ -19,7 +19,7 @@ SLICE_BYTES = 1 << 21
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the library importable on workers and keep Arrow batches of long texts small."""
     expose(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
