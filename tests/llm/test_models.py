@@ -8,7 +8,7 @@ import pytest
 from strandflow.llm import langid, quality_model, queries, toxicity, training
 from tests.llm.helpers import ROWS, fixture
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def crc(i):
@@ -84,14 +84,23 @@ def test_without_both_labels():
     assert langid.train([("a b", "xx")]).predict(pa.array(["a", "12 !", ""]))[0] == ["xx", "und", "und"]
 
 
-@pytest.mark.parametrize("name,column,least", [("op7_toxicity", "toxic", 0.93), ("op9_quality_classifier", "quality", 0.95)])
-def test_held_out_accuracy(spark, name, column, least):
-    rows = {r.doc_id: r for r in queries.QUERIES[name](spark, SF).collect()}
+def area(labels, scores):
+    """The chance that a row of label 1 scores above one of label 0."""
+    ones, zeros = (np.array([s for y, s in zip(labels, scores, strict=True) if y == k]) for k in (1, 0))
+    return float(np.mean((ones[:, None] > zeros) + 0.5 * (ones[:, None] == zeros)))
+
+
+@pytest.mark.parametrize("name,column", [("op7_toxicity", "toxic"), ("op9_quality_classifier", "quality")])
+def test_held_out_rows(spark, name, column):
+    """Both labels are found among rows that nothing was learned from; the larger label alone would have a recall of 0 for the other."""
+    rows = {r.doc_id: r for r in queries.QUERIES[name](spark, LARGER).collect()}
     folds, part = (5, 0) if column == "toxic" else (3, 1)
-    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert len(rows) == spark.read.parquet(f"{LARGER}/documents.parquet").count()
     assert all(r.held_out == (crc(i) % folds == part) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in rows.items())
-    held = [(r[column], rows[r.doc_id].predicted) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if rows[r.doc_id].held_out]
-    assert np.mean([a == b for a, b in held]) >= least
+    held = [(r[column], rows[r.doc_id]) for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if rows[r.doc_id].held_out]
+    recall = {y: np.mean([r.predicted == y for label, r in held if label == y]) for y in (0, 1)}
+    assert min(recall.values()) >= 0.9, recall
+    assert area([y for y, _ in held], [r.score for _, r in held]) >= 0.95, area([y for y, _ in held], [r.score for _, r in held])
 
 
 def test_languages_are_told_apart(spark):
