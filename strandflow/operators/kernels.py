@@ -184,10 +184,14 @@ class Overlap:
     gap: np.ndarray
 
 
+def no_overlap(n: int) -> Overlap:
+    return Overlap(np.zeros(n, bool), *(np.zeros(n, np.int64) for _ in range(3)), np.zeros(n, bool))
+
+
 def overlap(r1: Reads, r2: Reads, limit: int = 5, least: int = 30, percent: float = 0.2, gaps: bool = False) -> Overlap:
     """The first offset at which the first mate and the second's reverse complement agree: forward offsets, then backward, then with one gap."""
     n = len(r1.length)
-    out = Overlap(np.zeros(n, bool), *(np.zeros(n, np.int64) for _ in range(3)), np.zeros(n, bool))
+    out = no_overlap(n)
     a, b = r1, r2.complemented()
     wide = max(a.seq.shape[1], b.seq.shape[1])
     s1, s2 = (np.pad(m, ((0, 0), (0, 2 * wide - m.shape[1]))) for m in (a.seq, b.seq))

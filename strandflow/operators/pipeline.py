@@ -114,7 +114,8 @@ def _batch(b: pa.RecordBatch, o: Options, wanted: set[str]) -> dict[str, Callabl
     percent = o.overlap_diff_percent / 100.0
     find = lambda limit=percent, gaps=False: _only(k.overlap(r[1], r[2], o.overlap_diff_limit, o.overlap_require, limit, gaps), whole)
     if o.paired:
-        ov = find()
+        in_use = o.correction or o.adapter_trimming or wanted & {"insert_size", "overlapped", "offset", "overlap_len", "diff", "gap"}
+        ov = find() if in_use else k.no_overlap(n)
         size = np.where(ov.offset > 0, r[1].length + r[2].length - ov.length, ov.length) + front[1] + front[2]
         out["insert_size"] = lambda: pa.array(np.where(ov.found, np.minimum(size, 512), 512), pa.int32(), mask=~whole)
         for_adapter = find(gaps=True) if o.gap_overlap else ov
@@ -139,7 +140,7 @@ def _batch(b: pa.RecordBatch, o: Options, wanted: set[str]) -> dict[str, Callabl
                 _by_sequence(r, m, a, whole, k.adapters_least(len(o.adapter_list)), o.literal, adapters, trimmed)
     dimer = whole & np.any([trimmed[m] for m in mates], axis=0) & np.all([r[m].length <= o.dimer_max_len for m in mates], axis=0)
     if o.paired and wanted & {"overlap_seq", "overlap_qual"}:
-        shared = find(0.0) if o.overlapped_out else k.Overlap(*(np.zeros(n, t) for t in (bool, int, int, int, bool)))
+        shared = find(0.0) if o.overlapped_out else k.no_overlap(n)
         start = np.maximum(shared.offset, 0)
         part = r[1].dropped(np.where(shared.found, start, 0)).resized(np.where(shared.found, shared.length, 0))
         out |= {f"overlap_{w}": lambda x=x: _masked(k.texts(x, part.length), ~shared.found) for w, x in (("seq", part.seq), ("qual", part.qual))}

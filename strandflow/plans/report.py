@@ -74,7 +74,7 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
         known = {k: v for k, v in sizes.items() if k < 512}
         peak = min((k for k, v in known.items() if v == max(known.values())), default=0)
         out["insert_size"] = {"peak": peak, "unknown": sizes.get(512, 0), "histogram": [known.get(i, 0) for i in range(512)]}
-    if o.adapter_trimming:
+    if o.adapter_trimming and (o.paired or o.adapter not in ("", "auto")):
         bases = F.aggregate("a", F.lit(0), lambda x, y: x + F.length(y)).cast("long")
         cut = {"adapter_trimmed_reads": 0, "adapter_trimmed_bases": 0}
         for m in mates:
@@ -93,6 +93,8 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
         out[f"read{m}_before_filtering"] = before[m]["report"]
     for m, a in after.items():
         out["merged_and_filtered" if o.merge else f"read{m}_after_filtering"] = a["report"]
+    if o.merge:
+        out["_merged_pairs"] = done.where("merged_seq is not null").count()
     return out | {"command": command}
 
 
@@ -191,15 +193,31 @@ def curve_picture(curves: dict[str, list], width: int = 640, height: int = 160)
     return "".join([*out, "</svg>"])
 
 
+#: Names of blocks and what stands before their figures on a terminal.
+_BLOCKS = {"read1_before_filtering": "Read 1 before filtering", "read2_before_filtering": "Read 2 before filtering", "read1_after_filtering": "Read 1 after filtering", "read2_after_filtering": "Read 2 after filtering", "merged_and_filtered": "Merged and filtered"}
+
+
 def to_text(report: dict) -> str:
-    """A few lines for a terminal."""
+    """The figures of a run in lines for a terminal: each mate before and after, results, duplicates, insert size, merging."""
     lines = []
-    for phase in ("before_filtering", "after_filtering"):
-        s = report["summary"][phase]
-        lines.append(f"{phase.replace('_', ' ')}: {s['total_reads']} reads, {s['total_bases']} bases, Q20 {100 * s['q20_rate']:.4g}%, Q30 {100 * s['q30_rate']:.4g}%")
-    lines += [f"{k.replace('_', ' ')}: {v}" for k, v in report["filtering_result"].items()]
+    for name, title in _BLOCKS.items():
+        if b := report.get(name):
+            lines += [title, f"  reads: {b['total_reads']}", f"  bases: {b['total_bases']}"]
+            lines += [f"  Q{q} bases: {b[f'q{q}_bases']} ({100 * b[f'q{q}_bases'] / b['total_bases'] if b['total_bases'] else 0.0:.4g}%)" for q in (20, 30, 40)]
+    lines.append("Results")
+    lines += [f"  {k.replace('_', ' ')}: {v}" for k, v in report["filtering_result"].items()]
+    if cut := report.get("adapter_cutting"):
+        lines += [f"  {k.replace('_', ' ')}: {cut[k]}" for k in ("adapter_trimmed_reads", "adapter_trimmed_bases")]
+    if poly := report.get("polyx_trimming"):
+        lines += [f"  {k.removeprefix('total_').replace('_', ' ')}: {poly[k]}" for k in ("total_polyx_trimmed_reads", "total_polyx_trimmed_bases")]
     if "duplication" in report:
-        lines.append(f"duplication: {100 * report['duplication']['rate']:.4g}%")
+        lines.append(f"Duplication: {100 * report['duplication']['rate']:.4g}%")
+    if "insert_size" in report:
+        lines.append(f"Insert size peak: {report['insert_size']['peak']}")
+    if "_merged_pairs" in report:
+        pairs, first = report["_merged_pairs"], report["read1_before_filtering"]["total_reads"]
+        kept = report["merged_and_filtered"]["total_reads"]
+        lines.append(f"Pairs merged: {pairs} ({100 * pairs / first if first else 0.0:.4g}% of pairs, {100 * pairs / kept if kept else 0.0:.4g}% of reads after filtering)")
     return "\n".join(lines)
 
 

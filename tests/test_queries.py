@@ -17,6 +17,10 @@ def con(sf):
     return c
 
 
+#: Empty over so few reads; compared on larger tables.
+FEW_READS = {"overrep_counts", "overrep_places", "overrep_candidates", "detect_adapter"}
+
+
 def tidy(v):
     return round(v, 9) if isinstance(v, float) else v
 
@@ -29,11 +33,11 @@ def test_query_equals_sql(spark, con, sf, name):
     assert sorted(cols) == sorted(got.columns)
     want = sorted((tuple(map(tidy, r)) for r in found.fetchall()), key=repr)
     assert sorted((tuple(tidy(r[c]) for c in cols) for r in got.collect()), key=repr) == want
+    assert want or name in FEW_READS, "nothing was compared"
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_query_runs(spark, sf, name):
-    assert catalogue.QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_entry(spark):
