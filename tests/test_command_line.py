@@ -12,7 +12,7 @@ from strandflow import cli
 from strandflow.operators import detect
 from strandflow.operators.adapters import known_adapters
 from strandflow.plans import report
-from tests.test_files import COMP, SEQ, fq
+from tests.test_files import COMP, SEQ
 
 
 def run(spark, *args):
