@@ -176,15 +176,42 @@ def over_represented_candidates(df: DataFrame, seq_len: int, seq: str = "seq", b
     """seq and n: frequent windows of the first bases, without those inside a longer one that is not much rarer."""
     # At most `bases` reads can count, as each has a base.
     d = first_bases(df.where(F.length(seq) > 0), bases, bases, seq).select(F.col(seq).alias("s"))
-    sizes = {**OVERREP, **({min(150, seq_len - 2): 3} if seq_len > 12 else {})}
-    parts = None
-    for size, least in sizes.items():
-        if size < 1:
-            continue
-        p = d.where(F.length("s") >= size).select(F.explode(F.expr(f"transform(sequence(1, length(s) - {size} + 1), i -> substring(s, i, {size}))")).alias("seq"))
-        p = p.groupBy("seq").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        parts = p if parts is None else parts.unionByName(p)
-    c = parts.groupBy("seq").agg(F.max("n").alias("n"))
+    sizes = {z: n for z, n in {**OVERREP, **({min(150, seq_len - 2): 3} if seq_len > 12 else {})}.items() if z > 0}
+
+    def windows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size the hashes of all windows, and where there are windows."""
+        m, length = k.matrix(b.column(0))
+        for size in (z for z in sizes if z <= m.shape[1]):
+            h = k.run_hashes(m, size).view(np.int64)
+            yield size, h, np.arange(h.shape[1]) <= (length - size)[:, None]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for size, h, inside in windows(b):
+                values, n = np.unique(h[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size), pa.int32()), pa.array(values), pa.array(n)], names=["size", "h", "n"])
+
+    least = F.create_map(*(F.lit(x) for item in sizes.items() for x in item))
+    often = d.mapInArrow(counted, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("size")])
+    known = {z: np.sort(np.array([r.h for r in rows], np.int64)) for z, rows in _by_size(often.select("size", "h").collect()).items()}  # of a bounded sample
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reads, found = b.column(0).to_pylist(), []
+            for size, h, inside in windows(b):
+                row, at = np.nonzero(inside & np.isin(h, known.get(size, np.zeros(0, np.int64))))
+                found += [reads[i][j : j + size] for i, j in zip(row.tolist(), at.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["seq"])
+
+    # Counted once more as text, so that equal hashes of different windows do no harm.
+    c = d.mapInArrow(texts, "seq string").groupBy("seq").agg(F.count("*").alias("n")).where(F.col("n") >= least[F.length("seq")])
     longer = c.select(F.col("seq").alias("of"), F.col("n").alias("m"))
     # A theta join of two small sets: windows that pass their thresholds in a bounded sample.
     return c.join(longer, (F.length("of") > F.length("seq")) & F.col("of").contains(F.col("seq")) & (F.expr("n div m") < 10), "left_anti")
+
+
+def _by_size(rows: list) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r.size, []).append(r)
+    return out

@@ -19,6 +19,9 @@ _COMPLEMENT[0] = 0
 POLY_BASES = b"ATCG"
 #: One mismatch for so many bases, and at most so many, in homopolymer tails.
 _ONE_IN, _MOST = 8, 5
+#: An odd number and its inverse modulo 2**64, for hashes of runs.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bases of an overlap in which mismatches are bounded.
 _PROTECTED = 50
 
@@ -89,6 +92,15 @@ def texts(m: np.ndarray, length: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(length), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
 
+def run_hashes(m: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` bases, by sums over prefixes modulo 2**64; the same for matrices of any width."""
+    wide = m.shape[1]
+    up = np.cumprod(np.full(wide + 1, _FACTOR))
+    down = np.cumprod(np.full(wide + 1, _INVERSE))
+    total = np.concatenate([np.zeros((len(m), 1), np.uint64), np.cumsum(m.astype(np.uint64) * up[:-1], axis=1)], axis=1)
+    return (total[:, size:] - total[:, :-size]) * down[: wide - size + 1]
+
+
 def poly_g(r: Reads, least: int) -> np.ndarray:
     """The lengths after G tails are cut: at the leftmost G seen before the mismatches become too many."""
     back = np.take_along_axis(r.seq, np.maximum(r.length[:, None] - 1 - r.steps, 0), 1)

@@ -143,13 +143,6 @@ def over_represented_places(df: DataFrame, candidates: DataFrame, seq: str = "se
     """
     known = {r.seq for r in candidates.select("seq").collect()}  # a small set by its making
     sizes = sorted({len(s) for s in known})
-    factor = np.uint64(0x9E3779B97F4A7C15)
-
-    def hashes(m: np.ndarray, size: int) -> np.ndarray:
-        """A hash of each run of `size` bases, by sums over prefixes modulo 2**64."""
-        power = np.cumprod(np.full(m.shape[1] + 1, factor))
-        total = np.concatenate([np.zeros((len(m), 1), np.uint64), np.cumsum(m.astype(np.uint64) * power[:-1], axis=1)], axis=1)
-        return (total[:, size:] - total[:, :-size]) * power[::-1][: m.shape[1] - size + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,9 +150,8 @@ def over_represented_places(df: DataFrame, candidates: DataFrame, seq: str = "se
             texts, found = b.column(0).to_pylist(), Counter()
             for size in (z for z in sizes if z <= m.shape[1]):
                 own = sorted(s for s in known if len(s) == size)
-                letters = np.zeros((len(own), m.shape[1]), np.uint8)
-                letters[:, :size] = np.frombuffer("".join(own).encode(), np.uint8).reshape(-1, size)
-                hit = np.isin(hashes(m, size), hashes(letters, size)[:, 0])
+                letters = np.frombuffer("".join(own).encode(), np.uint8).reshape(-1, size)
+                hit = np.isin(k.run_hashes(m, size), k.run_hashes(letters, size)[:, 0])
                 hit &= np.arange(hit.shape[1]) <= (length - size)[:, None]
                 last, free = -1, 0
                 for row, at in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
