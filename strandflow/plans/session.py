@@ -58,7 +58,7 @@ def discard_path(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of a table, by its number of rows and the width stated for them, up to which it is broadcast.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 #: Keys that salted_join() broadcasts at most, and rows of a key from which on it may salt.
 HOT_KEYS, HOT_ROWS = 1 << 17, 256
 
