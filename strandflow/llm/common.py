@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from strandflow.plans.session import discard, expose, if_small, salted_join, settle, shared_dir, spread  # noqa: F401  (shared by the operators)
 
 #: Bytes of an Arrow batch that Spark sends to Python: texts may be long.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of text that numpy code handles at a time; a longer text is handled alone.
 SLICE_BYTES = 1 << 21
 
@@ -44,10 +45,44 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
                     yield out
                 else:
                     yield from out
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give free memory back to the system: workers live on from task to task, and their allocators keep what large arrays took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """fn, a function of one group's table, with release() after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            release()
+
+    return run
+
+
+def releasing2(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two tables; Spark counts the parameters."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return fn(left, right)
+        finally:
+            release()
+
+    return run
+
+
 def cut(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts together hold at most `limit` bytes, or one row that alone is longer."""
     import numpy as np

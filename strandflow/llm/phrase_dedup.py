@@ -34,16 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from strandflow.llm.common import batch_of, id_text, map_batches
-from strandflow.llm.words import Words, mix, sliding_argmin, window_hashes
+from strandflow.llm.common import batch_of, id_text, map_batches, releasing, releasing2
+from strandflow.llm.words import Words, gather, mix, sliding_argmin, window_hashes
 
-WINDOW, PHRASE, SHARD_BYTES = 35, 8, 8 << 20
+WINDOW, PHRASE, SHARD_BYTES = 35, 8, 4 << 20
 #: Bytes of text that a task deals out over shards at a time.
-DEAL_BYTES = 16 << 20
+DEAL_BYTES = 8 << 20
 #: Parts of the hash range in which text is added up to find rows that repeat very often.
 CELLS = 4096
 _KEY = np.dtype([("w", "<u8"), ("s", "<u4")])
-_AT_ONCE = 1 << 20
+#: Pairs of an occurrence and a passage that are extended at a time.
+_AT_ONCE = 1 << 18
 
 
 class Scan:
@@ -87,10 +88,7 @@ def texts_of(words: Words, first: np.ndarray, stop: np.ndarray) -> tuple[bytes,
     count = stop - first
     ends = np.cumsum(count)
     word = np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
-    starts, size = words.starts[word], (words.ends - words.starts)[word] + 1
-    to = np.concatenate([[0], np.cumsum(size)])
-    out = words.data[np.minimum(np.repeat(starts - to[:-1], size) + np.arange(int(to[-1])), max(len(words.data) - 1, 0))]
-    out[to[1:] - 1] = 0x20
+    out, to = gather(words.data, words.starts[word], (words.ends - words.starts)[word])
     out[to[ends] - 1] = 0x0A
     return out.tobytes(), to[np.concatenate([[0], ends])]
 
@@ -249,7 +247,7 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
     def sent(shard: list, part: list, words: list, marks: list) -> pa.Table:
         return pa.table({"shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int64()), "words": pa.array(words, pa.binary()), "marks": pa.array(marks, pa.binary())})
 
-    packs = dealt(d.select("shard", "text", "times")).groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(candidates, "shard int, part long, words binary, marks binary")
+    packs = dealt(d.select("shard", "text", "times")).groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(releasing2(candidates), "shard int, part long, words binary, marks binary")
 
     def confirm(t: pa.Table) -> pa.Table:
         lines, counts = lines_of(t.column("words").to_pylist())
@@ -272,7 +270,7 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
         back = [place[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table({"shard": t.column("shard"), "words": pa.array(packed(text, line[bounds]), pa.binary()), "places": pa.array(back, pa.binary())})
 
-    confirmed = packs.groupBy("part").applyInArrow(confirm, "shard int, words binary, places binary").where(F.octet_length("places") > 0)
+    confirmed = packs.groupBy("part").applyInArrow(releasing(confirm), "shard int, words binary, places binary").where(F.octet_length("places") > 0)
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -302,7 +300,7 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
 
     confirmed_by = confirmed.groupBy("shard")
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>, times long").add("row", kind)
-    out = dealt(d.select("doc_id", "text", "times", "row", "shard")).groupBy("shard").cogroup(confirmed_by).applyInArrow(locate, schema)
+    out = dealt(d.select("doc_id", "text", "times", "row", "shard")).groupBy("shard").cogroup(confirmed_by).applyInArrow(releasing2(locate), schema)
     if repeats is not None:
         out = out.withColumn("times", F.explode(F.expr("sequence(1L, times)")))
     return out.drop("times")

@@ -16,6 +16,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
 #: Words over so many bytes are hashed by themselves.
 _LONG = 48
+#: Bytes that gather() copies at a time.
+_AT_ONCE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,6 +38,22 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(steps) | _U(1)
 
 
+def gather(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of these places, a blank behind each, and where each begins; some bytes at a time, as the places of bytes take eight times their room."""
+    size = length + 1
+    to = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(to[-1]), np.uint8)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(to, to[i] + _AT_ONCE, "right")) - 1)
+        place = np.repeat(starts[i:j] - to[i:j] + to[i], size[i:j])
+        place += np.arange(len(place))
+        out[to[i] : to[j]] = data[np.minimum(place, len(data) - 1, out=place)]
+        i = j
+    out[to[1:] - 1] = 0x20
+    return out, to
+
+
 class Words:
     """starts, ends: byte places of the words of all rows; first: the index of each row's first word, and the total."""
 
@@ -87,13 +105,7 @@ class Words:
         """As joined(), with the words of mask only."""
         starts, length = self.starts[mask], (self.ends - self.starts)[mask]
         row_of = np.repeat(np.arange(len(self.first) - 1), self.counts)[mask]
-        size = length + 1
-        to = np.concatenate([[0], np.cumsum(size)])
-        out = np.full(int(to[-1]), 0x20, np.uint8)
-        source = np.repeat(starts - to[:-1], size) + np.arange(int(to[-1]))
-        body = np.ones(int(to[-1]), bool)
-        body[to[1:] - 1] = False
-        out[body] = self.data[source[body]]
+        out, to = gather(self.data, starts, length)
         at = to[np.searchsorted(row_of, np.arange(len(self.first)))]
         return out, at  # each row with words ends in one space, which texts() leaves out
 

@@ -55,3 +55,12 @@ def test_toxic_filter_passes_all_columns(spark):
     docs, labels = fixture(spark), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     assert toxicity.keep_clean(docs, model).columns == docs.columns
+
+
+def test_stages_take_tables_that_became_empty(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(cp.STAGES):
+        docs = settle(stage(spark, docs, sf))
+        assert docs.count() == 0
+        if k < len(cp.STAGES) - 1:
+            assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
