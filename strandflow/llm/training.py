@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +46,12 @@ def sample(docs: DataFrame, labels: DataFrame | None, held_out: Column, per_clas
     if not there:
         return [], there
     most, room = max(1, min(per_class, MOST_ROWS // len(there))), total_bytes // len(there)
-    # The first of each label are found in parts of it before they meet, so that no task sorts a label.
+    # The first of each label are found in parts of it before they meet, in two steps, so that a task sorts few of a label's rows.
     parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = lambda *c: F.row_number().over(Window.partitionBy("label", *c).orderBy("turn", "doc_id"))
-    first = rows.where(F.col("n") <= room).withColumn("at", by(F.pmod("turn", F.lit(parts)))).where(F.col("at") <= most)
+    first = rows.where(F.col("n") <= room)
+    for n in (parts, math.isqrt(parts)):
+        first = first.withColumn("at", by(F.pmod("turn", F.lit(n)))).where(F.col("at") <= most)
     first = first.withColumn("at", by()).where(F.col("at") <= most).select("doc_id", "label", "h", "n", "turn").collect()
     fitting: dict = {}
     for r in sorted(first, key=lambda r: (r.turn, r.doc_id)):
