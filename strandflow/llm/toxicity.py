@@ -209,22 +209,24 @@ class Vectors:
         if not hasattr(self, "_at"):
             self._at = []
             for kept in self.kept:
-                at = np.zeros((1 << _BITS) + 1, np.int32)
+                at = np.zeros((1 << _BITS) + 1, np.uint16)  # `vectors` is below 2**16
                 at[kept] = np.arange(1, len(kept) + 1)
                 self._at.append(at)
         found = np.concatenate([self._at[1][g] for g in v.grams], axis=1)
         some = found > 0
-        return self._at[0][v.word], found[some], np.concatenate([[0], np.cumsum(some.sum(axis=1))])
+        return self._at[0][v.word].astype(np.int64), found[some].astype(np.int64), np.concatenate([[0], np.cumsum(np.count_nonzero(some, axis=1))])
 
     def of(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         """The two vectors of each word side by side, and what learn() needs."""
         word, gram, first = rows
         which = np.arange(len(word)) if which is None else which
         n = first[which + 1] - first[which]
-        at = gram[np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        begin = np.cumsum(n) - n
+        at = gram[np.repeat(first[which] - begin, n) + np.arange(int(n.sum()))]
         of = np.repeat(np.arange(len(which)), n)
-        e = self.tables[1].shape[1]
-        mean = np.stack([np.bincount(of, self.tables[1][at, k], minlength=len(which)) for k in range(e)], axis=1) / np.maximum(n, 1)[:, None]
+        mean = np.zeros((len(which), self.tables[1].shape[1]), np.float32)
+        if len(at):
+            mean[n > 0] = np.add.reduceat(self.tables[1][at], begin[n > 0], axis=0) / n[n > 0, None]
         return np.hstack([self.tables[0][word[which]], mean]).astype(np.float32), (word[which], at, of, n)
 
     def learn(self, taken: tuple, grad: np.ndarray, rate: float, decay: float = 1e-3) -> None:
@@ -259,7 +261,9 @@ class Network:
         out = np.empty((*x.shape[:2], h), x.dtype)
         order = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         for t in order:
-            gates = sigmoid(x[t, :, : 2 * h] + state @ u[:, : 2 * h])
+            gates = np.tanh(0.5 * (x[t, :, : 2 * h] + state @ u[:, : 2 * h]))  # the logistic function, by its half angle
+            gates *= 0.5
+            gates += 0.5
             z, r = gates[:, :h], gates[:, h:]
             new = np.tanh(x[t, :, 2 * h :] + (r * state) @ u[:, 2 * h :])
             if keep is not None:
