@@ -20,6 +20,7 @@ Columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +38,8 @@ FOLDS = 5
 _INPUTS = 8
 #: Bytes of a word that are read as one; a longer word is read in parts. And the bits of a bucket.
 _BYTES, _BITS = 32, 20
-_AT_ONCE = 1 << 15
+#: Different words that are read at once when a model is trained, and when texts are scored.
+_AT_ONCE, _SCORED_AT_ONCE = 1 << 15, 1 << 13
 _U = np.uint64
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -61,29 +63,44 @@ class Setup:
     seed: int = 17
 
 
+@dataclass
+class Spelling:
+    """Of some different words the bytes read, the lengths without outer punctuation, the words' buckets and, for each
+    length of n-grams, the n-grams' buckets, -1 where a word is shorter."""
+
+    size: np.ndarray
+    core: np.ndarray
+    word: np.ndarray
+    grams: list[np.ndarray]
+
+
 class Vocabulary:
     """The different words of a column, lower-cased and without outer ASCII punctuation, and hashes of their n-grams.
 
     A word of over _BYTES bytes counts as parts of so many bytes, which overlap by the longest n-gram. ids: for each
-    word of the column its place in the vocabulary; first: each row's first word. grams: for each length the n-grams'
-    buckets, -1 where a word is shorter.
+    word of the column its place in the vocabulary; first: each row's first word. The n-grams of all words take some
+    hundred times the text's bytes, so that spellings() reads them for some words at a time; whole: read all of them.
     """
 
-    def __init__(self, column: pa.Array, grams: tuple[int, int]):
+    def __init__(self, column: pa.Array, grams: tuple[int, int], whole: bool = True):
         words = Words(pc.utf8_lower(column))
         _split(words, grams[1])
         _, at, self.ids = np.unique(words.hashes(), return_index=True, return_inverse=True)
         self.first = words.first
-        starts, lengths = words.starts[at], (words.ends - words.starts)[at]
-        self.wide, self.lengths = int(min(lengths.max(initial=1), _BYTES)), grams
-        self.size = np.minimum(lengths, self.wide)
-        data = words.data if len(words.data) else np.zeros(1, np.uint8)
-        parts = [self._read(data, starts[a : a + _AT_ONCE], lengths[a : a + _AT_ONCE]) for a in range(0, len(at), _AT_ONCE)] or [self._read(data, starts, lengths)]
-        self.core, self.word = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        self.grams = [np.concatenate(g) for g in zip(*(p[2] for p in parts), strict=True)]
-
-    def _read(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of some words the lengths without outer punctuation, the words' buckets and their n-grams' buckets."""
+        self._starts, self._sizes = words.starts[at], (words.ends - words.starts)[at]
+        self.wide, self.lengths = int(min(self._sizes.max(initial=1), _BYTES)), grams
+        self._data = words.data if len(words.data) else np.zeros(1, np.uint8)
+        if whole:
+            parts = list(self.spellings(_AT_ONCE))
+            self.size, self.core, self.word = (np.concatenate([getattr(p, c) for p in parts]) for c in ("size", "core", "word"))
+            self.grams = [np.concatenate(g) for g in zip(*(p.grams for p in parts), strict=True)]
+
+    def spellings(self, at_once: int) -> Iterator[Spelling]:
+        """Those of all words in order, at least one; each word's numbers are the same whatever at_once is."""
+        for a in range(0, max(1, len(self._starts)), at_once):
+            yield self._read(self._data, self._starts[a : a + at_once], self._sizes[a : a + at_once])
+
+    def _read(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Spelling:
         wide, (low, high) = self.wide, self.lengths
         steps = np.arange(wide)
         raw = np.where(steps < lengths[:, None], data[np.minimum(starts[:, None] + steps, len(data) - 1)], 0)
@@ -103,7 +120,7 @@ class Vocabulary:
             if n >= low:
                 fits = np.arange(h.shape[1]) < (core + 3 - n)[:, None]
                 grams.append(self._bucket(h + _U(n << 32), fits & some[:, None]))
-        return core, word, grams
+        return Spelling(np.minimum(lengths, wide), core, word, grams)
 
     @staticmethod
     def _bucket(h: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -162,8 +179,8 @@ class Evidence:
     def __getstate__(self) -> dict:
         return {"kept": self.kept}
 
-    def inputs(self, v: Vocabulary) -> np.ndarray:
-        """_INPUTS numbers for each word of the vocabulary."""
+    def inputs(self, v: Vocabulary | Spelling) -> np.ndarray:
+        """_INPUTS numbers for each word."""
         word, gram = self.tables()
         n = len(v.core)
         top, total, count, strong, edge = (np.zeros(n, np.float32) for _ in range(5))
@@ -204,8 +221,8 @@ class Vectors:
     def __getstate__(self) -> dict:
         return {"kept": self.kept, "tables": self.tables}
 
-    def rows(self, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word of the vocabulary its row, and the rows of its n-grams that have one, with where each word's begin."""
+    def rows(self, v: Vocabulary | Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its row, and the rows of its n-grams that have one, with where each word's begin."""
         if not hasattr(self, "_at"):
             self._at = []
             for kept in self.kept:
@@ -349,8 +366,8 @@ class Model:
 
     def window_logits(self, column: pa.Array, at_once: int = 1024) -> list[np.ndarray]:
         s, p = self.setup, self.network.p
-        v = Vocabulary(column, s.grams)
-        x = np.hstack([self.evidence.inputs(v), self.vectors.of(self.vectors.rows(v))[0]])
+        v = Vocabulary(column, s.grams, whole=False)
+        x = np.concatenate([np.hstack([self.evidence.inputs(w), self.vectors.of(self.vectors.rows(w))[0]]) for w in v.spellings(_SCORED_AT_ONCE)])
         table = np.concatenate([x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]], axis=1)
         table = np.concatenate([table, np.zeros_like(table[:1])] if len(table) else [np.zeros((1, 6 * s.hidden), np.float32)])
         flat = np.append(v.ids, len(table) - 1)
