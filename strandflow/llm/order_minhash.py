@@ -13,8 +13,8 @@ linked documents.
 Within a bucket (the documents of a sketch) pairs are never listed: all are compared with one leader. Those that
 are not in its class then are compared with each other and with the members of its class, in squares of bounded
 blocks, of which only links that join classes come out; a pair that shares several buckets is compared in one.
-A bucket of more than `refine` documents is split before by a second sketch that its documents share, and if need
-be by a third. Before texts are fetched, pairs are sieved by signatures, which bound the similarity from above.
+That holds for buckets of any size. Before texts are fetched, pairs are sieved by signatures, which bound the
+similarity from above, in larger squares, so that a large bucket is copied fewer times.
 Classes are found by star contraction in tables; nothing about all documents comes to the driver.
 
 Defined cases: equal word sequences are one document from the start, so copies cost one sketch; texts without
@@ -43,12 +43,13 @@ _U = np.uint64
 BINS, DEVIATIONS = 128, 5
 #: Shingles that count as one more document when blocks are dealt out, so that long texts fill a block sooner.
 _WEIGHT = 2048
+#: Pairs whose sketches are compared at a time.
+_PAIRS = 1 << 14
 
 
 @dataclass(frozen=True)
 class Sketching:
-    """Of pairs just at similarity 0.8 about 1e-7 share none of their sketches, 3e-6 only one and 3e-5 only one or two:
-    so many are missed in all buckets, in those of over `refine` documents, and in those that stay so large when split."""
+    """Of pairs just at similarity 0.8 about 1e-7 share none of their sketches: so many are missed, whatever the sizes of buckets."""
 
     shingle: int = 5
     similarity: Fraction = Fraction(4, 5)
@@ -58,8 +59,7 @@ class Sketching:
     small_sample: int = 2
     small: int = 20  # shingles up to which small sketches are used; up to small / similarity both are
     block: int = 256  # documents of a bucket that a task compares with each other or with another block
-    refine: int = 4096  # documents from which on a bucket is split by one more shared sketch
-    splits: int = 2
+    refine: int = 4096  # documents of a bucket that a task sieves by signatures against each other or as many others
 
 
 def shingles(words: Words, size: int) -> list[np.ndarray]:
@@ -154,6 +154,22 @@ def likely(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> np.ndarray:
     return same >= t * some - DEVIATIONS * np.sqrt(t * (1 - t) * some)
 
 
+def likely_pairs(sig: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """likely() of each row with each."""
+    some = (sig > 0).astype(np.float32)
+    count = some.sum(axis=1)
+    either = (count[:, None] + count - some @ some.T).astype(np.int64)
+    if len(sig) <= 32:
+        equal = (sig[:, None] == sig[None, :]).sum(axis=2)
+    else:
+        equal = np.zeros((len(sig), len(sig)), np.uint8)  # BINS is below 256
+        for b in np.ascontiguousarray(sig.T):
+            equal += b[:, None] == b[None, :]
+    t, k = float(similarity), np.arange(BINS + 1)
+    need = np.ceil(t * k - DEVIATIONS * np.sqrt(t * (1 - t) * k)).astype(np.int64)
+    return equal >= (need + BINS - k)[either]  # bins that both lack are equal too
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Signatures as rows of bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
@@ -300,38 +316,40 @@ def compare_rest(entries: DataFrame, own: DataFrame, texts: DataFrame, how: Sket
     Entries that are apart from the leader's class are compared with all of the bucket, in squares of blocks of
     about `block` entries, each square a group, of which only links that join roots come out. Blocks of those
     apart come first; two blocks of the class are never compared. In a first pass over sketches and signatures
-    squares keep only entries that may have a partner; for these the texts are fetched.
+    squares keep only entries that may have a partner; for these the texts are fetched. In that pass a group holds
+    the squares of about `refine` entries, so that a bucket of m entries is copied m / refine times.
     """
+    wide = max(1, how.refine // how.block)  # blocks that are sieved together
     entries = settle(entries)
     nodes = settle(entries.select("node").distinct())
     table = F.expr(f"cast(array_position(keys, key) as int) - 1 + if(n > {how.small}, 0, {how.tables})")
     now = settle(entries.join(own.join(if_small(nodes), "node", "left_semi"), "node").withColumn("at", F.array(table)))
-    parts = []
-    for left in range(how.splits, -1, -1):
-        weight = F.expr(f"1L + n div {_WEIGHT}")
-        sizes = now.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.when(F.col("apart"), weight).otherwise(0)).alias("m"), F.sum(F.when(F.col("apart"), 0).otherwise(weight)).alias("k"), F.min("r").alias("x"), F.max("r").alias("y"))
-        sizes = settle(sizes.where("x < y").drop("x", "y"))
-        large = F.col("m") + F.col("k") > (how.refine if left else 1 << 62)
-        parts.append(salted_join(now, sizes.where(~large), "key", "size", ["node"], 56))
-        if sizes.where(large).isEmpty():
-            break
-        later = F.expr("sequence(0, size(keys) - 1)")
-        place = lambda i: i + F.expr(f"if(n > {how.small}, 0, {how.tables})")
-        later = F.transform(F.filter(later, lambda i: place(i) > F.element_at("at", -1)), lambda i: F.struct(place(i).alias("to"), F.element_at("keys", i + 1).alias("k2")))
-        split = salted_join(now, sizes.where(large).select("key", "size"), "key", "size", ["node"], 48).withColumn("next", F.explode(later))
-        now = settle(split.select(F.xxhash64("key", "next.k2").alias("key"), "node", "r", "apart", "n", "keys", "sig", F.array_append("at", F.col("next.to")).alias("at")))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    both = both.withColumns({"outer": F.expr(f"(m + {how.block - 1}) div {how.block}"), "inner": F.expr(f"(k + {how.block - 1}) div {how.block}"), "turn": F.xxhash64("node", "key")})
+    weight = F.expr(f"1L + n div {_WEIGHT}")
+    sizes = now.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.when(F.col("apart"), weight).otherwise(0)).alias("m"), F.sum(F.when(F.col("apart"), 0).otherwise(weight)).alias("k"), F.min("r").alias("x"), F.max("r").alias("y"))
+    sizes = settle(sizes.where("x < y").drop("x", "y"))
+    both = salted_join(now, sizes, "key", "size", ["node"], 56)
+    both = both.withColumns({"outer": F.expr(f"cast((m + {how.block - 1}) div {how.block} as int)"), "inner": F.expr(f"cast((k + {how.block - 1}) div {how.block} as int)"), "turn": F.xxhash64("node", "key")})
     both = both.withColumn("block", F.expr("cast(if(apart, pmod(turn, outer), outer + pmod(turn, inner)) as int)"))
-    both = both.withColumn("other", F.explode(F.expr("sequence(0, cast(if(apart, outer + inner, outer) as int) - 1)")))
+    own = F.expr(f"block div {wide}").cast("int")
+    last = F.expr(f"(if(own * {wide} < outer, outer + inner, outer) - 1) div {wide}").cast("int")
+    both = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     cols = ("key", "x", "y", "block", "node", "r", "n", "keys", "sig", "at")
-    squares = both.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select(*cols)
+    squares = both.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), *cols[3:], "outer")
 
     def sieve(t: pa.Table) -> pa.Table:
-        may = eligible(t, how)
-        return t.filter(pa.array(may.any(axis=0) | may.any(axis=1)))
+        block, outer = t.column("block").to_numpy(), t.column("outer")[0].as_py()
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        t = t.select(list(cols)).combine_chunks()
+        rows = {b: np.flatnonzero(block == b) for b in np.unique(block).tolist()}
+        found = [t.slice(0, 0)]
+        for a, b in ((a, b) for a in rows for b in rows if a <= b and a < outer and (a // wide, b // wide) == (x, y)):
+            square = t.take(np.concatenate([rows[a], rows[b]]) if a < b else rows[a])
+            for c, v in ((1, a), (2, b)):
+                square = square.set_column(c, cols[c], pa.array(np.full(square.num_rows, v, np.int32)))
+            may = eligible(square, how)
+            if may.any():
+                found.append(square.filter(pa.array(may.any(axis=0) | may.any(axis=1))))
+        return pa.concat_tables(found)
 
     kinds = dict(squares.dtypes)
     some = settle(squares.groupBy("key", "x", "y").applyInArrow(sieve, ", ".join(f"{c} {kinds[c]}" for c in cols)))
@@ -382,20 +400,19 @@ def eligible(t: pa.Table, how: Sketching) -> np.ndarray:
     if t.column("x")[0] != t.column("y")[0]:
         may &= block[:, None] != block[None, :]
     may &= np.minimum(size[:, None], size[None, :]) * sim.denominator >= np.maximum(size[:, None], size[None, :]) * sim.numerator
+    if not may.any():
+        return may
+    may &= likely_pairs(bytes_of(t.column("sig")), sim)
     at = t.column("at")[0].as_py()
     table, has = np.zeros((n, at[-1] + 1), np.int64), np.zeros((n, at[-1] + 1), bool)
-    for i, own in enumerate(t.column("keys").to_pylist()):
+    for i in np.flatnonzero(may.any(axis=0) | may.any(axis=1)).tolist():
         a = 0 if size[i] > how.small else how.tables
-        own = own[: max(0, at[-1] + 1 - a)]
+        own = t.column("keys")[i].as_py()[: max(0, at[-1] + 1 - a)]
         table[i, a : a + len(own)], has[i, a : a + len(own)] = own, True
-    shared = np.zeros((n, n), np.int16)
-    for c in range(at[-1] + 1):
-        shared += (table[:, None, c] == table[None, :, c]) & has[:, None, c] & has[None, :, c]
-    may &= shared == len(at)
-    sig = bytes_of(t.column("sig"))
-    for i in np.flatnonzero(may.any(axis=1)).tolist():
-        j = np.flatnonzero(may[i])
-        may[i, j] = likely(sig[i], sig[j], sim)
+    first, second = np.nonzero(may)
+    for k in range(0, len(first), _PAIRS):
+        i, j = first[k : k + _PAIRS], second[k : k + _PAIRS]
+        may[i, j] = ((table[i] == table[j]) & has[i] & has[j]).sum(axis=1) == len(at)
     return may
 
 
