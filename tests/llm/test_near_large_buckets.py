@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandflow.llm import order_minhash as om
+from strandflow.llm.words import Words
 
 
 def texts_of_one_passage():
@@ -29,6 +31,16 @@ def test_pairs_of_a_large_bucket_need_no_second_sketch(spark):
     assert classes(refine=16, block=8) == whole
 
 
+def test_the_pipelines_stage_drops_copies_from_large_buckets(spark):
+    """Of each two near copies with one sketch the second goes, and nothing else: texts of different own words are no copies."""
+    rows, how = texts_of_one_passage(), om.Sketching(tables=1, refine=16, block=8)
+    marks = [om.labelled(x) for x in om.shingles(Words(pa.array([t for _, t in rows])), how.shingle)]
+    sketch = {d: om.sketch(x, how)[0] for (d, _), x in zip(rows, marks, strict=True)}
+    gone = {d for d, _ in rows if d % 2 and sketch[d] == sketch[d - 1]}
+    kept = om.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()
+    assert len(gone) > 100 and {r.doc_id for r in kept} == {d for d, _ in rows} - gone
+
+
 @pytest.mark.parametrize("n", [1, 9, 150])
 def test_signatures_of_many_pairs_agree_with_those_of_one(n):
     rnd = np.random.default_rng(n)
