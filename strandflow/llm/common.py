@@ -34,8 +34,8 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*cols, *(F.col(c) for c in more))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with a function from batch to batch or batches; text batches are cut to SLICE_BYTES before."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema, after: Callable[[], object] | None = None) -> DataFrame:
+    """mapInArrow with a function from batch to batch or batches; text batches are cut to SLICE_BYTES before. after: called at the end of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,6 +45,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
                     yield out
                 else:
                     yield from out
+        if after:
+            after()
         release()
 
     return df.mapInArrow(run, schema)

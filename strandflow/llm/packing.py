@@ -93,7 +93,8 @@ def pieces(docs: DataFrame, ranks: str, capacity: int = CAPACITY, end_id: int =
         return batch_of(**out, **({"ids": pa.array(kept, pa.binary())} if with_ids else {}))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return map_batches(id_text(docs), run, schema)
+    # Workers outlive the stage: entries left in the cache would stay beside whatever runs in them next.
+    return map_batches(id_text(docs), run, schema, lambda: bpe.encoder(ranks).clear())
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -48,17 +48,19 @@ _AT_ONCE = 1 << 18
 
 
 class Scan:
-    """The words of a column with, for each place where a window starts in one row, its anchor's place."""
+    """The words of a column with, unless anchors is False, for each place where a window starts in one row, its anchor's place."""
 
-    def __init__(self, column: pa.Array, window: int, phrase: int):
+    def __init__(self, column: pa.Array, window: int, phrase: int, anchors: bool = True):
         self.words = Words(column)
         self.hash = self.words.hashes()
         self.row = np.repeat(np.arange(len(column)), self.words.counts)
+        self.window = window
+        if not anchors:
+            return
         self.phrase = window_hashes(self.hash, phrase, 2).view(np.int64)
         n = max(len(self.hash) - window + 1, 0)
         self.starts = np.flatnonzero(self.row[:n] == self.row[window - 1 :][:n])
         self.anchor = sliding_argmin(self.phrase, window - phrase + 1)[self.starts] if n else self.starts
-        self.window = window
 
     def stretches(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last start and the anchor's place of each run of neighbouring windows with one anchor, of the windows in `use`."""
@@ -276,7 +278,7 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
         if not left.num_rows:
             return result(None, [], [], [], [], [])
         left = rows_of(left)
-        scan = Scan(column(left, "text"), window, phrase)
+        scan = Scan(column(left, "text"), window, phrase, anchors=False)
         covered = np.zeros(len(scan.hash) + 1, np.int64)
         if right.num_rows:
             passages = Words(lines_of(right.column("words").to_pylist())[0])
@@ -285,10 +287,12 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
                 np.add.at(covered, begin, 1)
                 np.subtract.at(covered, end, 1)
         gone = np.cumsum(covered[:-1]) > 0
-        kept = scan.words.texts(~gone)
         first = scan.words.first
-        if not tidy:
-            touched = np.add.reduceat(np.append(gone, False), first[:-1]) * (np.diff(first) > 0)
+        if tidy:
+            kept = scan.words.texts(~gone)
+        else:
+            touched = np.add.reduceat(np.append(gone, False), first[:-1]) * (np.diff(first) > 0) > 0
+            kept = scan.words.texts(~gone & touched[scan.row])
             kept = [k if t else x for k, t, x in zip(kept, touched.tolist(), left.column("text").to_pylist(), strict=True)]
         removed = np.concatenate([[0], np.cumsum(gone)])
         edge = np.r_[True, scan.row[1:] != scan.row[:-1]] if len(gone) else np.zeros(0, bool)

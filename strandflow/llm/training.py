@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,7 +66,8 @@ def sample(docs: DataFrame, labels: DataFrame | None, held_out: Column, per_clas
                 chosen.append((x.doc_id, x.h, r.label))
         if r.label not in fitting:
             chosen.append((r.short.doc_id, r.short.h, r.label))
-    wanted = docs.sparkSession.createDataFrame([(i, h) for i, h, _ in chosen], "doc_id long, h long")
+    # From an Arrow table: a list of rows goes through Python workers of another kind, which executors keep beside those of the operators.
+    wanted = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array([i for i, _, _ in chosen], pa.int64()), "h": pa.array([h for _, h, _ in chosen], pa.int64())}))
     own_rows = id_text(docs).withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"], "left_semi")
     texts = {r.doc_id: r.text for r in own_rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
     discard(rows)
