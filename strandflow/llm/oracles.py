@@ -15,6 +15,55 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM n
 """
 
+#: The checksum of doc_id as text, bit by bit.
+_CRC32 = "xor(list_reduce([4294967295::BIGINT] || [ord(c)::BIGINT for c in string_split(doc_id::VARCHAR, '')], lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+#: Levels of nodes by recursion, their siblings to the left and right, then from each leaf up: through its source's tree (kind 0) and the tree of subroots (kind 1).
+OP11 = rf"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_LEAF.format(text='text')} AS leaf,
+             {_LEAF.format(text=f"(CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS candidate FROM documents),
+s AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT tree, 0 AS level, pos, n, leaf AS digest FROM s
+      UNION ALL SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+r AS (SELECT tree, digest AS subroot FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM r) AS n, subroot AS digest FROM r
+      UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 3, n),
+a AS (SELECT 0 AS kind, tree, level, pos, n, digest FROM t UNION ALL SELECT 1, 0, level, pos, n, digest FROM u),
+b AS (SELECT a.kind, a.tree, a.level, a.pos, coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos < a.pos), '') AS before, coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos > a.pos), '') AS after
+      FROM a LEFT JOIN a o ON o.kind = a.kind AND o.tree = a.tree AND o.level = a.level AND o.pos // 3 = a.pos // 3 AND o.pos != a.pos WHERE a.n > 1 GROUP BY ALL),
+p AS (SELECT rid, 0 AS kind, tree, 0 AS level, pos, n, '' AS proof, candidate AS folded FROM s
+      UNION ALL SELECT p.rid, p.kind, p.tree, p.level + 1, p.pos // 3, (p.n + 2) // 3, p.proof || b.before || b.after, sha256(b.before || p.folded || b.after)
+      FROM p JOIN b ON b.kind = p.kind AND b.tree = p.tree AND b.level = p.level AND b.pos = p.pos),
+q AS (SELECT rid, 1 AS kind, 0 AS level, tree AS pos, proof, folded FROM p WHERE n = 1
+      UNION ALL SELECT q.rid, q.kind, q.level + 1, q.pos // 3, q.proof || b.before || b.after, sha256(b.before || q.folded || b.after)
+      FROM q JOIN b ON b.kind = 1 AND b.level = q.level AND b.pos = q.pos),
+f AS (SELECT rid, max_by(proof, level) AS proof, max_by(folded, level) AS folded FROM q GROUP BY rid),
+top AS (SELECT max_by(digest, level) AS root FROM u)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM s JOIN r USING (tree) JOIN f USING (rid), top
+"""
+
+#: Every kept term with every group of its language, then all pairs of sources; q is the part in the whole language.
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.n, 0) + 2 * v.v))::BIGINT AS p,
+             (1 + 1000000000::HUGEINT * (k.n + 2) // (v.n + 2 * v.v))::BIGINT AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
 
 def op1(how: Fences = Fences()) -> str:
     names = [k for k, _, _ in MEASURES]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, bpe_codec, exact_dedup, langid, oracles, order_minhash, packing, phrase_dedup, quality_model, quality_rules, token_counts, toxicity, training
+from strandflow.llm import automaton, bpe, bpe_codec, divergence, exact_dedup, langid, merkle, oracles, order_minhash, packing, phrase_dedup, quality_model, quality_rules, token_counts, toxicity, training
 from strandflow.llm.common import table
 
 MULTI, ENGLISH = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"  # ENGLISH: the vocabulary of byte_bpe_50k.json as ranks
+FILE = "byte_bpe_50k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +73,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    out = merkle.verify(merkle.manifest(docs, {"candidate": merkle.leaf_of({"text": tampered})}), "candidate")
+    proof = F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256")
+    return out.select("doc_id", *(F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")), proof, F.lower(F.hex("folded_root")).alias("folded_root"), "verified")
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compiled = automaton.compiled(bpe.tokenizer_file(FILE))
+    out = automaton.decode_documents(automaton.encode_documents(table(spark, sf_dir, "documents"), compiled), compiled)
+    return out.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_exact_dedup, op3_bpe_codec, op4_token_counts, op5_order_minhash, op6_bestfit_packing,
-        op7_toxicity, op8_language_id, op9_quality_classifier, op10_substring_dedup,
+        op7_toxicity, op8_language_id, op9_quality_classifier, op10_substring_dedup, op11_merkle_manifest, op12_bpe_automaton, op13_source_divergence,
     )
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.op1(), "op2_exact_dedup": oracles.OP2}
+    return {"op1_quality_rules": oracles.op1(), "op2_exact_dedup": oracles.OP2, "op11_merkle_manifest": oracles.OP11, "op13_source_divergence": oracles.OP13}
