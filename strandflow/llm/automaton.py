@@ -11,9 +11,10 @@ each token, and a gadget makes one state at most. Arcs are not stored while gadg
 state has its parent and the token it lost, and a token its two halves. The arcs of a state follow from these, as one row of
 bits for all tokens, which is written out when the state is first met (`row`).
 
-A pre-split word is encoded by transitions from byte to byte: from each place of the word that a token ends at, its state's row and a
-table of tokens' prefixes tell which arcs can be read there. A word has exactly one path to its end, and each of its places
-one path that leads there, so the first arc that gets to a place is the only one; the time is linear in the word's length.
+A pre-split word is encoded by transitions: where a token ends, the row of its state and a table of tokens' prefixes, read from byte
+to byte, tell which arcs can be read on. The longest is taken first, and the next one where that leads nowhere. A word has exactly one
+path to its end, and each of its places at most one path that leads there, so no place is read from twice and the time is linear in
+the word's length.
 
 Strings of special tokens in a text become these tokens (`specials`), as the file states them. Rows are encoded on their own, by words;
 each word is encoded once in a task. Decoding joins the arcs' labels and reads them as UTF-8; what is no UTF-8 becomes U+FFFD.
@@ -69,6 +70,7 @@ class Automaton:
             self.since.append(time)
             self.target[u] = len(self.parent) - 1
         self.tokens = np.flatnonzero(np.array(read, bool)).astype(np.int32)
+        self.longest = max((len(labels[t]) for t in self.tokens.tolist()), default=0)
         self._reset()
 
     def _arc(self, u: int, v: int, gone: dict) -> bool:
@@ -94,6 +96,7 @@ class Automaton:
     def _reset(self) -> None:
         self._rows: dict[int, bytes] = {}
         self._next: dict[int, int] | None = None
+        self._by_left: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -112,26 +115,33 @@ class Automaton:
         return found
 
     def _written(self, state: int) -> bytes:
-        lost = np.full(len(self.labels), _NEVER, np.int32)
+        here = np.zeros(len(self.labels), bool)
+        here[self.tokens] = True
+        without, since = [], []
         while state > 0:
-            lost[self.lost[state]] = self.since[state]
+            without.append(self.lost[state])
+            since.append(self.since[state])
             state = self.parent[state]
-        here = np.zeros(len(self.labels), bool)
-        for layer in self.layers():
-            u = self.left[layer]
-            here[layer] = (u < 0) | (here[u] & (lost[u] > self.time[layer]))
-        return np.packbits(here & (lost == _NEVER), bitorder="little").tobytes()
-
-    def layers(self) -> list[np.ndarray]:
-        """Tokens by the number of left halves below them."""
-        if not hasattr(self, "_layers"):
-            depth = np.zeros(len(self.labels), np.int32)
-            for w in self.tokens[np.argsort(self.time[self.tokens], kind="stable")]:
-                if self.left[w] >= 0:
-                    depth[w] = depth[self.left[w]] + 1
-            own = depth[self.tokens]
-            self._layers = [self.tokens[own == d] for d in range(int(own.max(initial=0)) + 1)]
-        return self._layers
+        without, since = np.array(without, np.int64), np.array(since, np.int64)
+        begin, grown = self._grown()
+        while len(without):
+            here[without] = False
+            # What was made of a token after it was lost has no arc, nor has what was made of that.
+            n = begin[without + 1] - begin[without]
+            of = np.repeat(begin[without] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            made = grown[of]
+            without = made[self.time[made] > np.repeat(since, n)]
+            since = np.full(len(without), -1, np.int64)
+        return np.packbits(here, bitorder="little").tobytes()
+
+    def _grown(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens by their left halves, and where those of each left half begin."""
+        if self._by_left is None:
+            made = self.tokens[self.left[self.tokens] >= 0]
+            grown = made[np.argsort(self.left[made], kind="stable")].astype(np.int64)
+            begin = np.searchsorted(self.left[grown], np.arange(len(self.labels) + 1)).astype(np.int64)
+            self._by_left = begin, grown
+        return self._by_left
 
     def prefixes(self) -> tuple[dict[int, int], list[int]]:
         """The tree of the labels: (node << 8 | byte) to node, and the token that a node is, or -1."""
@@ -150,29 +160,40 @@ class Automaton:
         return self._next, self._token
 
     def encode_word(self, raw: bytes) -> list[int]:
-        """The one path of arcs that spells the word."""
-        step, token = self.prefixes()
-        n, target = len(raw), self.target
-        arc = [-1] * (n + 1)  # that ends at a place
-        for start in range(n):
-            if start and arc[start] < 0:
-                raise ValueError(f"no token for byte {raw[start - 1]}")
-            row = self.row(target[arc[start]] if start else 0)
-            node = 0
-            for stop in range(start, n):
-                node = step.get(node << 8 | raw[stop])
-                if node is None:
-                    break
-                t = token[node]
-                if t >= 0 and row[t >> 3] >> (t & 7) & 1:
-                    arc[stop + 1] = t
-        out, at = [], n
-        while at:
-            if arc[at] < 0:
-                raise ValueError(f"no token for byte {raw[at - 1]}")
-            out.append(arc[at])
-            at -= len(self.labels[arc[at]])
-        return out[::-1]
+        """The one path of arcs that spells the word, looked for by the longest arcs first."""
+        if not raw:
+            return []
+        n, target, labels = len(raw), self.target, self.labels
+        path, starts, open_arcs = [], [0], [self._readable(raw, 0, 0)]
+        while starts:
+            if not open_arcs[-1]:
+                open_arcs.pop()
+                starts.pop()
+                if path:
+                    path.pop()
+                continue
+            t = open_arcs[-1].pop()
+            stop = starts[-1] + len(labels[t])
+            path.append(t)
+            if stop == n:
+                return path
+            starts.append(stop)
+            open_arcs.append(self._readable(raw, stop, target[t]))
+        raise ValueError("the word has a byte without a token")
+
+    def _readable(self, raw: bytes, start: int, state: int) -> list[int]:
+        """The tokens that stand in the word from `start` on and that the state has arcs for, the longest last."""
+        step, token = self._next or self.prefixes()[0], self._token
+        row = self._rows.get(state) or self.row(state)
+        out, node = [], 0
+        for byte in raw[start : start + self.longest]:
+            node = step.get(node << 8 | byte)
+            if node is None:
+                break
+            t = token[node]
+            if t >= 0 and row[t >> 3] >> (t & 7) & 1:
+                out.append(t)
+        return out
 
     def accepts(self, tokens: list[int]) -> bool:
         """Whether the tokens are the encoding of the one word that they spell."""
