@@ -126,11 +126,11 @@ class Automaton:
         begin, grown = self._grown()
         while len(without):
             here[without] = False
-            # What was made of a token after it was lost has no arc, nor has what was made of that.
+            # What was made of a token when it was lost, or after, has no arc, nor has what was made of that.
             n = begin[without + 1] - begin[without]
             of = np.repeat(begin[without] - np.cumsum(n) + n, n) + np.arange(n.sum())
             made = grown[of]
-            without = made[self.time[made] > np.repeat(since, n)]
+            without = made[self.time[made] >= np.repeat(since, n)]
             since = np.full(len(without), -1, np.int64)
         return np.packbits(here, bitorder="little").tobytes()
 
