@@ -17,7 +17,7 @@ from strandflow.plans import report
 from strandflow.plans.options import Options
 from strandflow.plans.session import discard_path, expose, settle, shared_dir
 from strandflow.sources import fastq
-from strandflow.sources.sinks import write_files, write_split
+from strandflow.sources.sinks import exists, write_files, write_split, write_stream, write_text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{f.name}", nargs=2, type=int, metavar=("WINDOW", "QUALITY"), default=f.default)
         elif "tuple" not in kind:
             p.add_argument(f"--{f.name}", type=int if "int" in kind else str, default=f.default)
+    p.add_argument("--join", action=argparse.BooleanOptionalAction, default=True, help="each output as one file; else as a folder of parts in order")
     return p
 
 
@@ -75,16 +76,14 @@ def guard(a: argparse.Namespace, o: Options) -> None:
     """No output may be there if none is to be overwritten."""
     if o.dont_overwrite:
         for p in (o.out1, o.out2, o.unpaired1, o.unpaired2, o.failed_out, o.merged_out, o.overlapped_out, a.json, a.html):
-            if p and os.path.exists(p):
+            if p and exists(p):
                 raise FileExistsError(p)
 
 
 def run_files(spark: SparkSession, a: argparse.Namespace) -> dict:
-    o = options_of(a)
-    path = a.in1
-    if o.stdin:
-        path = spooled(spark, sys.stdin.buffer)
+    o = options_of(a).with_names(a.in1, a.in2)
     guard(a, o)
+    path = spooled(spark, sys.stdin.buffer) if o.stdin else a.in1
     read = fastq.read_interleaved if o.interleaved_in else fastq.read_single
     raw = fastq.read_pairs(spark, path, a.in2, o.reads_to_process) if a.in2 else read(spark, path, o.reads_to_process)
     raw = settle(raw)
@@ -94,25 +93,24 @@ def run_files(spark: SparkSession, a: argparse.Namespace) -> dict:
     for m in ((1, 2) if o.paired else (1,)) if o.overrep else ():
         reads = raw.select("read_id", F.col(f"seq{m}").alias("seq"))
         overrep[m] = settle(detect.over_represented_candidates(reads, detect.read_length(reads).first()[0]))
-    places = {"out1": o.out1, "out2": o.out2 or o.out1, "unpaired1": o.unpaired1, "unpaired2": o.unpaired2 or o.unpaired1, "failed": o.failed_out, "merged": o.merged_out, "overlapped": o.overlapped_out}
+    places = {"out1": o.out1, "out2": o.out2, "unpaired1": o.unpaired1, "unpaired2": o.unpaired2 or o.unpaired1, "failed": o.failed_out, "merged": o.merged_out, "overlapped": o.overlapped_out}
     places = {k: v for k, v in places.items() if v}
     routed = run.routes(done, o)
     if o.stdout:
-        kind = ["merged"] if o.merge else ["out1", "out2"]
-        for r in routed.where(F.col("target").isin(kind)).orderBy("read_id", "mate").toLocalIterator():
-            sys.stdout.write(f"{r.name}\n{r.seq}\n{r.strand}\n{r.qual}\n")
-    else:
-        if o.split or o.split_by_lines:
-            write_split(routed, {t: places.pop(t) for t in ("out1", "out2") if t in places}, o)
-        if places:
-            write_files(routed, places, o.compression, not o.dont_overwrite)
+        write_stream(routed, ["merged"] if o.merge else ["out1", "out2"], sys.stdout.buffer)
+    elif o.split or o.split_by_lines:
+        write_split(routed, {t: places.pop(t) for t in ("out1", "out2") if t in places}, o, a.join)
+    if o.stdout:
+        places = {t: p for t, p in places.items() if t not in ("out1", "out2", "merged")}
+    if places:
+        write_files(routed, places, o.compression, not o.dont_overwrite, a.join)
     if o.stdin:
         discard_path(spark, path)
     out = report.build(raw, done, o, " ".join(sys.argv), overrep)
     if a.json:
-        Path(a.json).write_text(report.to_json(out))
+        write_text(a.json, report.to_json(out))
     if a.html:
-        Path(a.html).write_text(report.to_html(out, a.report_title or "Read report"))
+        write_text(a.html, report.to_html(out, a.report_title or "Read report"))
     print(report.to_text(out), file=sys.stderr)
     return out
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.expressions import duplicate_key
-from strandflow.plans.session import salted_join, settle
+from strandflow.plans.session import free_names, salted_join, settle
 
 
 def mark_duplicates(df: DataFrame, seqs: list[str]) -> DataFrame:
@@ -15,13 +15,26 @@ def mark_duplicates(df: DataFrame, seqs: list[str]) -> DataFrame:
     They are few or many: few go to all tasks, so that reads are not shuffled; else reads find them by salted keys, so
     that a key with a third of all reads needs no single task.
     """
-    keyed = df.withColumn("_key", F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256)))
-    firsts = keyed.groupBy("_key").agg(F.min("read_id").alias("_first"), F.count("*").alias("_reads")).where("_reads > 1")
-    out = salted_join(keyed, settle(firsts), "_key", "_reads", ["read_id"], 72, "left")
-    return out.withColumn("is_dup", F.coalesce(F.col("read_id") > F.col("_first"), F.lit(False))).drop("_key", "_first", "_reads")
+    key, first, reads = free_names(df, "key", "first", "reads")
+    keyed = df.withColumn(key, F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256)))
+    firsts = keyed.groupBy(key).agg(F.min("read_id").alias(first), F.count("*").alias(reads)).where(F.col(reads) > 1)
+    out = salted_join(keyed, settle(firsts), key, reads, ["read_id"], 72, "left")
+    return out.withColumn("is_dup", F.coalesce(F.col("read_id") > F.col(first), F.lit(False))).drop(key, first, reads)
+
+
+def duplicate_counts(df: DataFrame, seqs: list[str]) -> DataFrame:
+    """The same figures of reads that are not marked: all but one of each key are duplicates."""
+    key = F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256))
+    per_key = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    d = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reads"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    return d.withColumn("rate", _rate())
+
+
+def _rate() -> Column:
+    return F.when(F.col("reads") > 0, F.col("duplicates").cast("double") / F.col("reads")).otherwise(0.0)
 
 
 def duplication_rate(marked: DataFrame) -> DataFrame:
     """reads, duplicates and their share (0 without reads)."""
     d = marked.agg(F.count("*").alias("reads"), F.coalesce(F.sum(F.col("is_dup").cast("long")), F.lit(0)).alias("duplicates"))
-    return d.withColumn("rate", F.when(F.col("reads") > 0, F.col("duplicates").cast("double") / F.col("reads")).otherwise(0.0))
+    return d.withColumn("rate", _rate())

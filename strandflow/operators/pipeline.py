@@ -17,13 +17,19 @@ from strandflow.operators.dedup import mark_duplicates
 from strandflow.plans.options import RESULTS, Options
 
 
-def prepared(df: DataFrame, o: Options) -> DataFrame:
-    """The steps before kernels, on read_id, name1, seq1, qual1 (and the same of mate 2), with is_dup."""
-    mates = (1, 2) if o.paired else (1,)
+def taken(df: DataFrame, o: Options) -> DataFrame:
+    """The reads of a run as all steps and statistics see them: the first ones if there is a limit, qualities at the offset 33."""
     if o.reads_to_process:
         df = df.where(F.col("read_id") < o.reads_to_process)
     if o.phred64:
-        df = df.withColumns({f"qual{m}": ex.phred33(F.col(f"qual{m}")) for m in mates})
+        df = df.withColumns({f"qual{m}": ex.phred33(F.col(f"qual{m}")) for m in ((1, 2) if o.paired else (1,))})
+    return df
+
+
+def prepared(df: DataFrame, o: Options) -> DataFrame:
+    """The steps before kernels, on read_id, name1, seq1, qual1 (and the same of mate 2), with is_dup."""
+    mates = (1, 2) if o.paired else (1,)
+    df = taken(df, o)
     df = mark_duplicates(df, [f"seq{m}" for m in mates]) if o.eval_duplication else df.withColumn("is_dup", F.lit(False))
     listed = F.lit(False)
     if o.index_blacklist1:

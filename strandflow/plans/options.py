@@ -145,6 +145,41 @@ class Options:
             o = replace(o, eval_duplication=True)
         return o
 
+    def with_names(self, in1: str = "", in2: str = "") -> Options:
+        """These options after the rules on names of inputs and outputs; names that contradict each other raise ValueError.
+
+        Names that have no use in a run are dropped: outputs of files when all goes to standard output, those that merging
+        with unmerged reads, single reads or split outputs do not have.
+        """
+        o, need = self, _need
+        pairs = bool(in2) or o.interleaved_in
+        need(in1 or o.stdin, "the reads need a file or standard input" if not in2 else "a second input without a first")
+        need(not (in2 and o.interleaved_in), "interleaved reads have no second input")
+        if o.stdout:
+            o = replace(o, out1="", out2="")
+        if o.merge:
+            need(pairs, "merging needs pairs")
+            if not o.merged_out and not o.stdout and o.out1 and not o.out2:
+                o = replace(o, merged_out=o.out1, out1="")
+            if o.include_unmerged:
+                o = replace(o, out1="", out2="", unpaired1="", unpaired2="")
+            need(o.merged_out or o.stdout, "merging needs a merged output or standard output")
+        else:
+            o = replace(o, merged_out="")
+        need(pairs or not o.out2, "a second output needs a second input or interleaved reads")
+        if pairs:
+            need(not o.out1 or o.out2, "pairs need a second output with the first")
+            need(o.out1 or not o.out2 or o.merge, "pairs need a first output with the second")
+        if not pairs:
+            o = replace(o, unpaired1="", unpaired2="", overlapped_out="")
+        if o.split or o.split_by_lines:
+            o = replace(o, unpaired1="", unpaired2="")
+        names = [(n, getattr(o, n)) for n in ("out1", "out2", "unpaired1", "unpaired2", "failed_out", "merged_out", "overlapped_out")]
+        for i, (a, x) in enumerate(names):
+            for b, y in names[i + 1 :]:
+                need(not x or x != y or (a, b) == ("unpaired1", "unpaired2"), f"{a} and {b} need different names")
+        return o
+
 
 def _need(holds, message: str) -> None:
     if not holds:

@@ -87,6 +87,19 @@ def salted_join(rows: DataFrame, groups: DataFrame, on: str, size: str, spread_b
     return salted.join(dealt, [on, "__salt"], how).drop("__salt")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of one's own that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        own, i = f"__{name}", 0
+        while own.lower() in taken:
+            own, i = f"__{name}{i}", i + 1
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores at least: a small table is often one file, which one task would read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

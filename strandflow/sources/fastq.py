@@ -56,14 +56,14 @@ def records(stream) -> Iterator[tuple[str, str, str, str]]:
         yield tuple(x.decode("latin-1") for x in (name, seq, strand, qual or b""))  # type: ignore[misc]
 
 
-def _system(path: str):
+def file_system(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def open_input(path: str):
-    system, inner = _system(path)
+    system, inner = file_system(path)
     return system.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None)
 
 
@@ -111,40 +111,67 @@ class _Reader(DataSourceReader):
         return _batches(partition)
 
 
+#: Files whose time is so much before the latest seen are taken for old ones and passed over; what is younger is remembered by name.
+FILE_AGE = 7 * 24 * 3600
+#: Records of a file that have numbers of their own in a stream; a file's number stands above them.
+_FILE_BITS = 40
+
+
+@dataclass
+class _Arrived(InputPartition):
+    path: str
+    number: int
+
+
 class _Stream(DataSourceStreamReader):
-    """The files of a folder, in the order of their names within what has arrived; a file must be complete when it gets its name."""
+    """The files of a folder as they arrive, in the order of their times and names; a file must be complete when it gets its name.
+
+    An offset is the number of files so far with those that are younger than FILE_AGE, or came since the last committed batch; so it does
+    not grow with the files that ever were. A file keeps its number, which makes the numbers of its records.
+    """
 
     def __init__(self, options):
         self.folder = options["path"]
         self.most = int(options.get("maxFilesPerTrigger", "0"))
-        self.now: dict = {"files": []}
+        self.age = float(options.get("maxFileAge", str(FILE_AGE)))
+        self.now: dict = self.initialOffset()
+        self.committed = 0
 
-    def _there(self) -> list[str]:
+    def _there(self) -> list[tuple[float, str]]:
         from pyarrow import fs
 
-        system, inner = _system(self.folder)
+        system, inner = file_system(self.folder)
         found = system.get_file_info(fs.FileSelector(inner))
         scheme = self.folder.split("://")[0] + "://" if "://" in self.folder else ""
-        return sorted(scheme + f.path for f in found if re.search(r"\.(fq|fastq)(\.gz)?$", f.path))
+        return sorted((f.mtime.timestamp() if f.mtime else 0.0, scheme + f.path) for f in found if re.search(r"\.(fq|fastq)(\.gz)?$", f.path))
 
     def initialOffset(self):
-        return {"files": []}
+        return {"count": 0, "latest": 0.0, "files": []}
 
     def latestOffset(self):
-        new = [f for f in self._there() if f not in set(self.now["files"])]
-        self.now = {"files": self.now["files"] + new[: self.most or None]}
+        known = {path for path, _, _ in self.now["files"]}
+        oldest = self.now["latest"] - self.age
+        new = [(time, path) for time, path in self._there() if path not in known and time >= oldest][: self.most or None]
+        latest = max([self.now["latest"], *(t for t, _ in new)])
+        count = self.now["count"]
+        files = [f for f in self.now["files"] if f[2] >= latest - self.age or f[1] >= self.committed]
+        files += [[path, count + i, time] for i, (time, path) in enumerate(new)]
+        self.now = {"count": count + len(new), "latest": latest, "files": files}
         return self.now
 
     def partitions(self, start, end):
-        self.now = end if len(end["files"]) > len(self.now["files"]) else self.now
-        old = set(start["files"])
-        return [_Files((f,), 0, "") for f in end["files"] if f not in old]
+        if end["count"] > self.now["count"]:  # after a restart
+            self.now = end
+        return [_Arrived(path, number) for path, number, _ in end["files"] if number >= start["count"]]
 
     def read(self, partition):
-        return _batches(partition)
+        for batch in _batches(_Files((partition.path,), 0, "")):
+            at = batch.schema.get_field_index("read_id")
+            ids = pa.array(batch.column(at).to_numpy() + (partition.number << _FILE_BITS), pa.int64())
+            yield batch.set_column(at, "read_id", ids)
 
     def commit(self, end):
-        pass
+        self.committed = max(self.committed, end["count"])
 
 
 class FastqSource(DataSource):
@@ -197,7 +224,7 @@ def read_interleaved(spark: SparkSession, path: str, limit: int = 0) -> DataFram
 
 
 def read_stream(spark: SparkSession, folder: str, files_at_once: int = 0) -> DataFrame:
-    """The records of the FASTQ files that arrive in a folder; read_id counts within each file."""
+    """The records of the FASTQ files that arrive in a folder; read_id is 2**40 times the file's number and counts on within the file."""
     spark.dataSource.register(FastqSource)
     return spark.readStream.format("fastq").option("path", folder).option("maxFilesPerTrigger", str(files_at_once)).load()
 
@@ -206,7 +233,7 @@ class Span:
     """The lines that begin in a part of a file, with the rest of the record that the last of them begins."""
 
     def __init__(self, path: str, start: int, stop: int, extra: int = 4):
-        system, inner = _system(path)
+        system, inner = file_system(path)
         with system.open_input_file(inner) as f:
             size, packed = f.size(), path.endswith(".gz")
             reader = _blocks(f, start, size) if packed else _raw(f, start, stop)
@@ -296,7 +323,7 @@ def spans(spark: SparkSession, path: str, span: int = SPAN_BYTES) -> DataFrame |
     A first pass counts the lines of each span and looks whether its records are whole for any place in a record that
     its first line may have; from the counts follow the places, and the numbers of the records.
     """
-    system, inner = _system(path)
+    system, inner = file_system(path)
     size = system.get_file_info(inner).size
     if not size or size <= span:
         return None

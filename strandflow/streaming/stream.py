@@ -1,8 +1,15 @@
-"""Reads as a stream: the same steps on micro-batches, with duplicates remembered between them."""
+"""Reads as a stream: the same steps on micro-batches, with duplicates remembered between them for a time.
+
+Duplicates are found by keyed state: the digest of a read's sequences is kept for `within` after the batch in which it first came, by
+the batch's own time, so that no read is ever late and the state is bounded by the reads of that time. Copies may come in one batch or in
+several, from one file or many; of those in one batch any one stays. A column of event times can be used instead (`when`);
+then reads that come later than `within` after the latest are dropped, as Spark does with late rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 from strandflow.functions.expressions import duplicate_key
 from strandflow.operators import pipeline as run
 from strandflow.plans.options import Options
+from strandflow.plans.session import free_names
+
+WITHIN = "1 hour"
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 8) -> DataFrame:
@@ -18,16 +28,23 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_at_once: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def without_duplicates(stream: DataFrame, seqs: list[str], when: str | None = None, within: str = "1 hour") -> DataFrame:
-    """The first read of each key. With a column of times, keys are forgotten after `within`, which bounds the state."""
-    keyed = stream.withColumn("_key", F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256)))
-    if when:
-        return keyed.withWatermark(when, within).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
-    return keyed.dropDuplicates(["_key"]).drop("_key")
+def without_duplicates(stream: DataFrame, seqs: list[str], when: str | None = None, within: str = WITHIN) -> DataFrame:
+    """One read of each key; keys are forgotten after `within`, by the time of batches or by the column `when`."""
+    key, time = free_names(stream, "key", "time")
+    keyed = stream.withColumn(key, F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256)))
+    if when is None:
+        keyed = keyed.withColumn(time, F.current_timestamp())
+    return keyed.withWatermark(when or time, within).dropDuplicatesWithinWatermark([key]).drop(key, time)
+
 
+def process_stream(stream: DataFrame, o: Options, checkpoint: str, sink: Callable[[DataFrame, int], None], within: str = WITHIN) -> StreamingQuery:
+    """Run all steps on each micro-batch; sink gets the routed reads and the batch's number. Ends when the input is used up.
 
-def process_stream(stream: DataFrame, o: Options, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Run all steps on each micro-batch; sink gets the routed reads and the batch's number. Ends when the input is used up."""
+    With o.dedup duplicates go before the batches, whatever file or batch they are in.
+    """
+    if o.dedup:
+        stream = without_duplicates(run.taken(stream, o), [f"seq{m}" for m in ((1, 2) if o.paired else (1,))], within=within)
+        o = replace(o, dedup=False, eval_duplication=False, phred64=False, reads_to_process=0)
 
     def each(batch: DataFrame, number: int) -> None:
         sink(run.routes(run.process(batch, o), o), number)
