@@ -19,19 +19,47 @@ KMER_ORDER = ("ATCG", "0123")
 REPORTED, REPORTED_ELSE = {10: 500, 20: 200, 40: 100, 100: 50}, 20
 
 
+def cycle_sums(r: k.Reads) -> tuple[np.ndarray, list[np.ndarray]]:
+    """256 times the cycle plus the base for each that occurs, with the reads, those of quality 20 and 30 and the sum of quality."""
+    wide = r.seq.shape[1]
+    inside = r.steps < r.length[:, None]
+    key = (np.arange(wide) * 256 + r.seq)[inside]
+    q = r.qual[inside].astype(np.int64) - 33
+    sums = [np.bincount(key, w, minlength=wide * 256) for w in (None, q >= 20, q >= 30, q)]
+    at = np.flatnonzero(sums[0])
+    return at, [s[at].astype(np.int64) for s in sums]
+
+
+def kmer_sums(m: np.ndarray, size: int = 5) -> tuple[list[str], np.ndarray]:
+    """The k-mers of A, C, G and T that occur in a matrix of reads, and how often."""
+    code = np.full(256, -1, np.int64)
+    for i, b in enumerate(b"ATCG"):
+        code[b] = i
+    c, total = code[m], np.zeros(4**size, np.int64)
+    if c.shape[1] >= size:
+        key, ok = np.zeros((len(c), c.shape[1] - size + 1), np.int64), np.ones((len(c), c.shape[1] - size + 1), bool)
+        for i in range(size):
+            part = c[:, i : c.shape[1] - size + 1 + i]
+            key, ok = key * 4 + part, ok & (part >= 0)
+        total += np.bincount(key[ok], minlength=len(total))
+    at = np.flatnonzero(total)
+    return ["".join("ATCG"[(x >> 2 * (size - 1 - i)) & 3] for i in range(size)) for x in at.tolist()], total[at]
+
+
+def quality_sums(m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The qualities that occur and how often."""
+    total = np.bincount(m[np.arange(m.shape[1]) < n[:, None]], minlength=256)
+    at = np.flatnonzero(total)
+    return at - 33, total[at].astype(np.int64)
+
+
 def cycles(df: DataFrame, seq: str = "seq", qual: str = "qual") -> DataFrame:
     """cycle, base, n, q20, q30, qual_sum: for each place and base the reads, those of quality 20 and 30 and the sum of quality."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = k.reads(b.column(0), b.column(1))
-            wide = r.seq.shape[1]
-            inside = r.steps < r.length[:, None]
-            key = (np.arange(wide) * 256 + r.seq)[inside]
-            q = r.qual[inside].astype(np.int64) - 33
-            sums = [np.bincount(key, w, minlength=wide * 256) for w in (None, q >= 20, q >= 30, q)]
-            at = np.flatnonzero(sums[0])
-            cols = [pa.array(at // 256, pa.int32()), pa.array([chr(x) for x in (at % 256).tolist()], pa.string()), *(pa.array(s[at].astype(np.int64)) for s in sums)]
+            at, sums = cycle_sums(k.reads(b.column(0), b.column(1)))
+            cols = [pa.array(at // 256, pa.int32()), pa.array([chr(x) for x in (at % 256).tolist()], pa.string()), *map(pa.array, sums)]
             yield pa.RecordBatch.from_arrays(cols, names=["cycle", "base", "n", "q20", "q30", "qual_sum"])
 
     parts = df.select(seq, qual).mapInArrow(run, "cycle int, base string, n long, q20 long, q30 long, qual_sum long")
@@ -53,23 +81,10 @@ def curves(c: DataFrame) -> DataFrame:
 
 def kmers(df: DataFrame, seq: str = "seq", size: int = 5) -> DataFrame:
     """kmer and n: the windows of A, C, G and T only."""
-    code = np.full(256, -1, np.int64)
-    for i, b in enumerate(b"ATCG"):
-        code[b] = i
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, _ = k.matrix(b.column(0))
-            c, total = code[m], np.zeros(4**size, np.int64)
-            if c.shape[1] >= size:
-                key, ok = np.zeros((len(c), c.shape[1] - size + 1), np.int64), np.ones((len(c), c.shape[1] - size + 1), bool)
-                for i in range(size):
-                    part = c[:, i : c.shape[1] - size + 1 + i]
-                    key, ok = key * 4 + part, ok & (part >= 0)
-                total += np.bincount(key[ok], minlength=len(total))
-            at = np.flatnonzero(total)
-            names = ["".join("ATCG"[(x >> 2 * (size - 1 - i)) & 3] for i in range(size)) for x in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total[at])], names=["kmer", "n"])
+            names, total = kmer_sums(k.matrix(b.column(0))[0], size)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total)], names=["kmer", "n"])
 
     return df.select(seq).mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
 
@@ -79,10 +94,8 @@ def quality_histogram(df: DataFrame, qual: str = "qual") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, n = k.matrix(b.column(0))
-            total = np.bincount(m[np.arange(m.shape[1]) < n[:, None]], minlength=256)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at - 33, pa.int32()), pa.array(total[at].astype(np.int64))], names=["q", "n"])
+            at, total = quality_sums(*k.matrix(b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total)], names=["q", "n"])
 
     return df.select(qual).mapInArrow(run, "q int, n long").groupBy("q").agg(F.sum("n").alias("n"))
 
@@ -136,30 +149,35 @@ def poly_counts(done: DataFrame, mates: tuple[int, ...] = (1,)) -> DataFrame:
     return out.groupBy("base").agg(F.count("*").alias("reads"), F.sum("len").alias("bases"))
 
 
-def over_represented_places(df: DataFrame, candidates: DataFrame, seq: str = "seq", sampling: int = 20) -> DataFrame:
-    """seq, place and n: where candidates begin in every sampling-th read by read_id; behind a hit the search goes on after it and one base more.
+def places_of(known: tuple[str, ...], column: pa.Array) -> Counter:
+    """How often each of the sequences begins at each place of the reads; behind a hit the search goes on after it and one base more.
 
     Windows are found by a rolling hash of all places at once, and hits compared as text; only they are looped over.
     """
-    known = {r.seq for r in candidates.select("seq").collect()}  # a small set by its making
-    sizes = sorted({len(s) for s in known})
+    m, length = k.matrix(column)
+    texts, found, all_known = column.to_pylist(), Counter(), set(known)
+    for size in sorted({len(s) for s in known if len(s) <= m.shape[1]}):
+        own = sorted(s for s in all_known if len(s) == size)
+        letters = np.frombuffer("".join(own).encode(), np.uint8).reshape(-1, size)
+        hit = np.isin(k.run_hashes(m, size), k.run_hashes(letters, size)[:, 0])
+        hit &= np.arange(hit.shape[1]) <= (length - size)[:, None]
+        last, free = -1, 0
+        for row, at in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+            last, free = (row, 0) if row != last else (last, free)
+            part = texts[row][at : at + size]
+            if at >= free and part in all_known:
+                found[part, at] += 1
+                free = at + size + 1
+    return found
+
+
+def over_represented_places(df: DataFrame, candidates: DataFrame, seq: str = "seq", sampling: int = 20) -> DataFrame:
+    """seq, place and n: where candidates begin in every sampling-th read by read_id."""
+    known = tuple(sorted({r.seq for r in candidates.select("seq").collect()}))  # a small set by its making
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, length = k.matrix(b.column(0))
-            texts, found = b.column(0).to_pylist(), Counter()
-            for size in (z for z in sizes if z <= m.shape[1]):
-                own = sorted(s for s in known if len(s) == size)
-                letters = np.frombuffer("".join(own).encode(), np.uint8).reshape(-1, size)
-                hit = np.isin(k.run_hashes(m, size), k.run_hashes(letters, size)[:, 0])
-                hit &= np.arange(hit.shape[1]) <= (length - size)[:, None]
-                last, free = -1, 0
-                for row, at in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-                    last, free = (row, 0) if row != last else (last, free)
-                    part = texts[row][at : at + size]
-                    if at >= free and part in known:
-                        found[part, at] += 1
-                        free = at + size + 1
+            found = places_of(known, b.column(0))
             cols = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["seq", "place", "n"])
 
@@ -172,6 +190,11 @@ def over_represented(df: DataFrame, candidates: DataFrame, seq: str = "seq", sam
     return over_represented_places(df, candidates, seq, sampling).groupBy("seq").agg(F.sum("n").alias("n"))
 
 
+def reported(seq: str, n: int, sampling: int = 20) -> bool:
+    """Whether a sequence that was counted in every sampling-th read is frequent enough for its length."""
+    return n * sampling > REPORTED.get(len(seq), REPORTED_ELSE)
+
+
 def over_represented_passed(counts: DataFrame, sampling: int = 20) -> DataFrame:
     """The sequences whose counts, times the sampling, pass the threshold for their length."""
     least = F.lit(REPORTED_ELSE)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from strandflow.operators import pipeline as run
 from strandflow.operators import stats
-from strandflow.operators.dedup import duplication_rate
+from strandflow.operators.dedup import duplicate_counts
+from strandflow.operators.summary import Block, Figures, summarize
 from strandflow.plans.options import Options
+from strandflow.plans.session import discard, settle
 
 VERSION = "1"
 _FILTERS = ((0, "passed_filter_reads"), (20, "low_quality_reads"), (12, "too_many_N_reads"), (24, "low_complexity_reads"), (28, "adapter_dimer_reads"), (16, "too_short_reads"), (17, "too_long_reads"))
@@ -25,79 +27,112 @@ def _whole(parts: list[dict]) -> dict:
     return out | {"gc_content": rate("gc_bases")}
 
 
-def _block(df: DataFrame, seq: str, qual: str, candidates: DataFrame | None = None, sampling: int = 20) -> dict:
-    """The statistics of one mate in one phase. What begins with _ is for the pictures only."""
-    d = df.where(F.col(seq).isNotNull())
-    s = stats.summary(d, seq, qual).first().asDict()
-    curves = [r.asDict() for r in stats.curves(stats.cycles(d, seq, qual)).orderBy("cycle").collect()]
-    line = lambda name: [round(c[name], 6) for c in curves]
-    out = {"total_reads": s["reads"], "total_bases": s["bases"], "q20_bases": s["q20_bases"], "q30_bases": s["q30_bases"], "q40_bases": s["q40_bases"], "total_cycles": s["cycles"]}
-    out["quality_curves"] = {**{b: line(f"quality_{b}") for b in "ATCG"}, "mean": line("mean")}
-    out["content_curves"] = {b: line(f"content_{b}") for b in ("A", "T", "C", "G", "N", "GC")}
-    out["kmer_count"] = {r.kmer: r.n for r in stats.kmers(d, seq).orderBy(F.translate("kmer", *stats.KMER_ORDER)).collect()}
-    out["_quality_histogram"] = {r.q: r.n for r in stats.quality_histogram(d, qual).orderBy("q").collect()}
-    if candidates is not None:
-        places = stats.over_represented_places(d, candidates, seq, sampling)
-        passed = stats.over_represented_passed(places.groupBy("seq").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at")), sampling)
-        rows = passed.orderBy("seq").collect()  # few: candidates are frequent in a bounded sample
-        out["overrepresented_sequences"] = {r.seq: r.n for r in rows}
-        out["_overrepresented_places"] = {r.seq: dict(r["at"]) for r in rows}
+def _block(f: Figures, name: str, sampling: int = 0) -> dict:
+    """The statistics of one mate in one phase. What begins with _ is for the pictures only; sampling: of sequences looked for."""
+    cycles: dict[int, dict[str, tuple]] = {}
+    for (base, at), sums in f.of(name, "cycle").items():
+        cycles.setdefault(at, {})[base] = sums
+    order = [cycles[c] for c in sorted(cycles)]
+    whole = [[sum(v[i] for v in c.values()) for i in range(4)] for c in order]  # reads, of quality 20 and 30, sum of quality
+    n_of = lambda c, b: c[b][0] if b in c else 0
+    quality = {q: v[0] for (_, q), v in sorted(f.of(name, "quality").items())}
+    reads, bases = f.total("reads", block=name), sum(w[0] for w in whole)
+    s = {"reads": reads, "bases": bases, "q20_bases": sum(w[1] for w in whole), "q30_bases": sum(w[2] for w in whole), "q40_bases": sum(n for q, n in quality.items() if q >= 40)}
+    s |= {"gc_bases": sum(n_of(c, b) for c in order for b in "GCgc"), "cycles": len(order), "mean_length": bases // reads if reads else 0}
+    mean = [w[3] / w[0] for w in whole]
+    line = lambda b: [round(c[b][3] / c[b][0] if b in c else m, 6) for c, m in zip(order, mean, strict=True)]
+    share = lambda bs: [round(sum(n_of(c, b) for b in bs) / w[0], 6) for c, w in zip(order, whole, strict=True)]
+    out = {"total_reads": reads, "total_bases": bases, "q20_bases": s["q20_bases"], "q30_bases": s["q30_bases"], "q40_bases": s["q40_bases"], "total_cycles": s["cycles"]}
+    out["quality_curves"] = {**{b: line(b) for b in "ATCG"}, "mean": [round(m, 6) for m in mean]}
+    out["content_curves"] = {**{b: share(b) for b in "ATCGN"}, "GC": share("GC")}
+    kmers = {x: v[0] for (x, _), v in f.of(name, "kmer").items()}
+    out["kmer_count"] = {x: kmers[x] for x in sorted(kmers, key=lambda x: x.translate(str.maketrans(*stats.KMER_ORDER)))}
+    out["_quality_histogram"] = quality
+    if sampling:
+        places: dict[str, dict[int, int]] = {}
+        for (x, at), v in sorted(f.of(name, "frequent").items()):
+            places.setdefault(x, {})[at] = v[0]
+        places = {x: p for x, p in places.items() if stats.reported(x, sum(p.values()), sampling)}
+        out["overrepresented_sequences"] = {x: sum(p.values()) for x, p in places.items()}
+        out["_overrepresented_places"] = places
     return {"summary": s, "report": out}
 
 
 def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overrep: dict[int, DataFrame] | None = None) -> dict:
-    """raw: the reads as they came; done: the result of process() over them, best written; overrep: of each mate the candidates to count."""
-    overrep = overrep or {}
+    """raw: the reads as they came; done: the result of process() over them, best written; overrep: of each mate the candidates to count.
+
+    Each is read once, into a state (operators.summary) that is written before it is looked at; raw once more for the keys of all
+    reads where an index list keeps some from `done`.
+    """
     mates = (1, 2) if o.paired else (1,)
+    known = {m: tuple(sorted({r.seq for r in c.select("seq").collect()})) for m, c in (overrep or {}).items()}  # small sets by their making
+    block = lambda m, seq, qual, where=None: Block(seq, qual, where, known.get(m, ()), o.overrep_sampling)
+    raw = run.taken(raw, o)
     emit = F.lit(True) if not o.dedup else ~F.col("is_dup")
-    passed = done.where((F.col("result") == 0) & emit)
-    before = {m: _block(raw, f"seq{m}", f"qual{m}", overrep.get(m), o.overrep_sampling) for m in mates}
     if o.merge:
-        kept = done.where("merged_seq is not null and merged_result = 0")
-        after = {1: _block(kept, "merged_seq", "merged_qual", overrep.get(1), o.overrep_sampling)}
+        kept = {"merged_and_filtered": block(1, "merged_seq", "merged_qual", F.expr("merged_seq is not null and merged_result = 0"))}
     else:
-        after = {m: _block(passed, f"seq{m}", f"qual{m}", overrep.get(m), o.overrep_sampling) for m in mates}
-    counts = {r.result: r.reads for r in run.filter_counts(done, o).collect()}
+        kept = {f"read{m}_after_filtering": block(m, f"seq{m}", f"qual{m}", (F.col("result") == 0) & emit) for m in mates}
+    states = [settle(summarize(raw, {f"read{m}_before_filtering": block(m, f"seq{m}", f"qual{m}") for m in mates})), settle(summarize(done, kept, o))]
+    first, f = map(Figures, states)
+    before = {m: _block(first, f"read{m}_before_filtering", o.overrep_sampling if m in known else 0) for m in mates}
+    after = {name: _block(f, name, o.overrep_sampling if (2 if name.startswith("read2") else 1) in known else 0) for name in kept}
+    counts = {code: v[0] for (_, code), v in f.of("run", "result").items()}
     filtering = {}
     for code, name in _FILTERS:
         if code == 24 and not o.complexity_filter or code == 28 and not o.adapter_trimming:
             continue
         filtering[name] = counts.get(code, 0)
         if code == 0 and o.paired and o.correction:
-            fixed = done.agg(F.sum(((F.col("corrected1") > 0).cast("int") + (F.col("corrected2") > 0).cast("int")).cast("long")), F.sum((F.col("corrected1") + F.col("corrected2")).cast("long"))).first()
-            filtering |= {"corrected_reads": fixed[0] or 0, "corrected_bases": fixed[1] or 0}
+            filtering |= {"corrected_reads": f.total("corrected"), "corrected_bases": f.total("corrected", 1)}
     out = {"summary": {"version": VERSION, "sequencing": f"{'paired' if o.paired else 'single'} end", "before_filtering": _whole([before[m]["summary"] for m in mates]), "after_filtering": _whole([a["summary"] for a in after.values()])}, "filtering_result": filtering}
     if o.eval_duplication:
-        out["duplication"] = {"rate": duplication_rate(done).first().rate}
+        if o.index_blacklist1 or o.index_blacklist2:
+            rate = duplicate_counts(raw, [f"seq{m}" for m in mates]).first().rate
+        else:
+            rate = f.total("dup") / f.total("dup", 1) if f.total("dup", 1) else 0.0
+        out["duplication"] = {"rate": rate}
     if o.paired:
-        sizes = {r.insert_size: r.n for r in stats.insert_sizes(done).collect()}
-        known = {k: v for k, v in sizes.items() if k < 512}
-        peak = min((k for k, v in known.items() if v == max(known.values())), default=0)
-        out["insert_size"] = {"peak": peak, "unknown": sizes.get(512, 0), "histogram": [known.get(i, 0) for i in range(512)]}
+        sizes = {size: v[0] for (_, size), v in f.of("run", "insert").items()}
+        known_sizes = {k: v for k, v in sizes.items() if k < 512}
+        peak = min((k for k, v in known_sizes.items() if v == max(known_sizes.values())), default=0)
+        out["insert_size"] = {"peak": peak, "unknown": sizes.get(512, 0), "histogram": [known_sizes.get(i, 0) for i in range(512)]}
     if o.adapter_trimming and (o.paired or o.adapter not in ("", "auto")):
-        bases = F.aggregate("a", F.lit(0), lambda x, y: x + F.length(y)).cast("long")
-        cut = {"adapter_trimmed_reads": 0, "adapter_trimmed_bases": 0}
-        for m in mates:
-            t = done.select(F.col(f"trimmed{m}").cast("long").alias("t"), F.col(f"adapters{m}").alias("a")).agg(F.sum("t"), F.sum(bases)).first()
-            cut["adapter_trimmed_reads"] += t[0] or 0
-            cut["adapter_trimmed_bases"] += t[1] or 0
+        cut = {"adapter_trimmed_reads": sum(f.total(f"trimmed{m}") for m in mates), "adapter_trimmed_bases": sum(f.adapter_bases(m) for m in mates)}
         for m in mates:
             cut[f"read{m}_adapter_sequence"] = (o.adapter if m == 1 else o.adapter_r2) or "unspecified"
-            found = stats.adapter_report(stats.adapter_counts(done, m)).orderBy(F.col("adapter") == "others", F.length("adapter"), "adapter")
+            found = stats.adapter_report(f.adapters(m)).orderBy(F.col("adapter") == "others", F.length("adapter"), "adapter")
             cut[f"read{m}_adapter_counts"] = {r.adapter: r.n for r in found.collect()}
         out["adapter_cutting"] = cut
     if o.poly_x:
-        poly = {r.base: r for r in stats.poly_counts(done, mates).collect()}
-        out["polyx_trimming"] = {"total_polyx_trimmed_reads": sum(r.reads for r in poly.values()), "polyx_trimmed_reads": {b: poly[b].reads if b in poly else 0 for b in "ATCG"}, "total_polyx_trimmed_bases": sum(r.bases for r in poly.values()), "polyx_trimmed_bases": {b: poly[b].bases if b in poly else 0 for b in "ATCG"}}
+        poly = {b: v for (b, _), v in f.of("run", "poly").items()}
+        count = lambda i: {b: poly[b][i] if b in poly else 0 for b in "ATCG"}
+        out["polyx_trimming"] = {"total_polyx_trimmed_reads": sum(count(0).values()), "polyx_trimmed_reads": count(0), "total_polyx_trimmed_bases": sum(count(1).values()), "polyx_trimmed_bases": count(1)}
     for m in mates:
         out[f"read{m}_before_filtering"] = before[m]["report"]
-    for m, a in after.items():
-        out["merged_and_filtered" if o.merge else f"read{m}_after_filtering"] = a["report"]
+    for name, a in after.items():
+        out[name] = a["report"]
     if o.merge:
-        out["_merged_pairs"] = done.where("merged_seq is not null").count()
+        out["_merged_pairs"] = f.total("merged")
+    discard(*states)
     return out | {"command": command}
 
 
+#: Reads of more cycles are long; of these the first FULL are drawn, then each that is STEP times as far. Fixed values.
+LONG, FULL, STEP = 300, 40, 1.05
+
+
+def drawn(cycles: int) -> list[int]:
+    """The cycles (from 1) that a picture of curves has: all, or of long reads ever fewer, with the last."""
+    if cycles <= LONG:
+        return list(range(1, cycles + 1))
+    out, at = list(range(1, FULL + 1)), FULL * STEP
+    while at < cycles:
+        out.append(int(at))
+        at *= STEP
+    return out if out[-1] == cycles else [*out, cycles]
+
+
 def to_json(report: dict) -> str:
     """Doubles to six digits; without what is for the pictures only."""
     tidy = lambda x: {k: tidy(v) for k, v in x.items() if not str(k).startswith("_")} if isinstance(x, dict) else [tidy(v) for v in x] if isinstance(x, list) else float(f"{x:.6g}") if isinstance(x, float) else x
@@ -184,6 +219,8 @@ def batch_curves(reports: dict[str, dict]) -> dict[str, dict]:
 
 
 def curve_picture(curves: dict[str, list], width: int = 640, height: int = 160) -> str:
+    """Lines over cycles; of long reads with the cycles that `drawn` names, side by side."""
+    curves = {name: [v[c - 1] for c in drawn(len(v))] for name, v in curves.items()}
     most = max((max(v) for v in curves.values() if v), default=0) or 1
     shades = ("#1b6ca8", "#c1442e", "#2e8540", "#8a6d00", "#6b3fa0", "#444")
     out = [f'<svg width="{width}" height="{height}" viewBox="0 0 {width} {height}">']

@@ -38,7 +38,9 @@ def without_duplicates(stream: DataFrame, seqs: list[str], when: str | None = No
 
 
 def process_stream(stream: DataFrame, o: Options, checkpoint: str, sink: Callable[[DataFrame, int], None], within: str = WITHIN) -> StreamingQuery:
-    """Run all steps on each micro-batch; sink gets the routed reads and the batch's number. Ends when the input is used up.
+    """Run all steps on each micro-batch; sink gets the routed reads and the batch's number. Returns when the input is used up.
+
+    Batches follow each other until there is nothing new, so that a source that gives so many files at a time gives all of them.
 
     With o.dedup duplicates go before the batches, whatever file or batch they are in.
     """
@@ -49,4 +51,9 @@ def process_stream(stream: DataFrame, o: Options, checkpoint: str, sink: Callabl
     def each(batch: DataFrame, number: int) -> None:
         sink(run.routes(run.process(batch, o), o), number)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
