@@ -15,9 +15,12 @@ from strandflow.operators import kernels as k
 from strandflow.operators import pipeline as run
 from strandflow.operators import single_steps as step
 from strandflow.operators.dedup import duplication_rate, mark_duplicates
-from strandflow.plans.fixture import oracle, pairs, single
+from strandflow.operators.summary import Block, summarize
+from strandflow.plans import report
+from strandflow.plans.fixture import oracle, pairs, pairs_folder, single
 from strandflow.plans.options import UMI_PLACES, Options
-from strandflow.plans.session import expose
+from strandflow.plans.session import expose, shared_dir
+from strandflow.streaming import stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -506,12 +509,16 @@ def stats_content_curve(d):
     return stats.curves(stats.cycles(d)).select("cycle", *(f"content_{b}" for b in ("A", "T", "C", "G", "N", "GC")))
 
 
-@query("SELECT kmer, count(*) AS n FROM (SELECT substr(seq1, i, 5) AS kmer FROM reads, unnest(range(1, length(seq1) - 3)) AS t(i)) WHERE regexp_full_match(kmer, '[ACGT]{5}') GROUP BY kmer", single)
+ORACLE_KMER = "SELECT kmer, count(*) AS n FROM (SELECT substr(seq1, i, 5) AS kmer FROM reads, unnest(range(1, length(seq1) - 3)) AS t(i)) WHERE regexp_full_match(kmer, '[ACGT]{5}') GROUP BY kmer"
+ORACLE_QUALITY = "SELECT (ascii(qual1[i + 1]) - 33)::INT AS q, count(*) AS n FROM reads, unnest(range(0, length(qual1))) AS t(i) GROUP BY 1"
+
+
+@query(ORACLE_KMER, single)
 def stats_kmer5(d):
     return stats.kmers(d)
 
 
-@query("SELECT (ascii(qual1[i + 1]) - 33)::INT AS q, count(*) AS n FROM reads, unnest(range(0, length(qual1))) AS t(i) GROUP BY 1", single)
+@query(ORACLE_QUALITY, single)
 def stats_qual_hist(d):
     return stats.quality_histogram(d)
 
@@ -690,3 +697,73 @@ def report_before_after(d):
     return stats.summary(d).select(F.lit("before").alias("phase"), "*").unionByName(after.select(F.lit("after").alias("phase"), "*"))
 
 
+def _state_sql(block: str, t: str) -> str:
+    """The part of a state that is about the reads of a table."""
+    of = lambda sql: "(" + sql.replace("FROM reads", f"FROM {t}") + ")"
+    return (
+        f"SELECT '{block}' AS block, 'reads' AS kind, '' AS key, (-1)::INT AS place, count(*) AS n, 0 AS a, 0 AS b, 0 AS c FROM {t} UNION ALL SELECT '{block}', 'cycle', base, cycle, n, q20, q30, qual_sum FROM {of(_CYC)} "
+        f"UNION ALL SELECT '{block}', 'kmer', kmer, -1, n, 0, 0, 0 FROM {of(ORACLE_KMER)} UNION ALL SELECT '{block}', 'quality', '', q, n, 0, 0, 0 FROM {of(ORACLE_QUALITY)}"
+    )
+
+
+@query(
+    f"SELECT * FROM (WITH kept AS (SELECT * FROM reads WHERE ({_CODE}) = 0) {_state_sql('before', 'reads')} UNION ALL {_state_sql('after', 'kept')} "
+    f"UNION ALL SELECT 'run', 'result', '', ({_CODE})::INT AS code, count(*), 0, 0, 0 FROM reads GROUP BY code UNION ALL SELECT 'run', 'dup', '', -1, sum(is_dup::BIGINT)::BIGINT, count(*), 0, 0 FROM ({_KEYED.format('seq1')}))",
+    single,
+)
+def report_state(d):
+    """All figures of a run's report: one pass over the reads, one over what was done."""
+    o, d = Options(adapter_trimming=False), as_single(d)
+    done = run.process(d, o, ("read_id", "is_dup", "result", "seq1", "qual1"))
+    return summarize(d, {"before": Block("seq1", "qual1")}).unionByName(summarize(done, {"after": Block("seq1", "qual1", F.col("result") == 0)}, o))
+
+
+@query(
+    f"SELECT phase, reads, bases, q20_bases, q30_bases, q40_bases, cycles FROM (SELECT 'before' AS phase, * FROM ({_SUM.format(s='seq1', q='qual1', t='reads')}) "
+    f"UNION ALL SELECT 'after', * FROM ({_SUM.format(s='seq1', q='qual1', t=f'(SELECT * FROM reads WHERE ({_CODE}) = 0)')}))",
+    single,
+)
+def report_phred64(d):
+    """The same reads with qualities at the offset 64: a report has them at 33, before filtering too."""
+    old = "".join(map(chr, range(33, 96)))
+    d = as_single(d).withColumn("qual1", F.translate("qual1", old, "".join(chr(ord(c) + 31) for c in old)))
+    o = Options(adapter_trimming=False, phred64=True)
+    out = report.build(d, run.process(d, o), o)
+    names = ("total_reads", "total_bases", "q20_bases", "q30_bases", "q40_bases", "total_cycles")
+    rows = [(phase, *(out[f"read1_{phase}_filtering"][c] for c in names)) for phase in ("before", "after")]
+    return d.sparkSession.createDataFrame(rows, "phase string, reads long, bases long, q20_bases long, q30_bases long, q40_bases long, cycles long")
+
+
+@query(
+    f"SELECT (SELECT sum(is_dup::BIGINT)::DOUBLE / count(*) FROM ({_KEYED.format('seq1 || seq2')})) AS rate, count(*) AS pairs FROM (SELECT {_FIRST} AS ix FROM reads) WHERE NOT ("
+    + " OR ".join(f"hamming(substr(ix, 1, {len(b)}), substr('{b}', 1, length(ix))) <= 2" for b in _BARCODES) + ")"
+)
+def dup_rate_blacklist(d):
+    """Reads that an index list keeps out count as duplicates too."""
+    d = d.withColumnRenamed("pair_id", "read_id")
+    o = Options(paired=True, adapter_trimming=False, index_blacklist1=_BARCODES, index_threshold=2)
+    out = report.build(d, run.process(d, o), o)
+    kept = sum(out["filtering_result"].values()) // 2
+    return d.sparkSession.createDataFrame([(out["duplication"]["rate"], kept)], "rate double, pairs long")
+
+
+@query(
+    f"SELECT id AS read_id, mate, target FROM (WITH b AS ({_BOTH}), dup AS ({_KEYED.format('seq1 || seq2')}), c AS (SELECT * FROM b JOIN dup ON dup.pair_id = b.id WHERE NOT is_dup) "
+    "SELECT id, 1 AS mate, CASE WHEN c1 = 0 AND c2 = 0 THEN 'out1' WHEN c1 = 0 THEN 'unpaired1' ELSE 'failed' END AS target FROM c UNION ALL "
+    "SELECT id, 2, CASE WHEN c1 = 0 AND c2 = 0 THEN 'out2' WHEN c2 = 0 THEN 'unpaired2' ELSE 'failed' END FROM c)"
+)
+def route_pairs_without_duplicates(d):
+    o = replace(ROUTED, dedup=True, eval_duplication=True)
+    return run.routes(_done(d, o, *ROUTED_COLUMNS), o).select("read_id", "mate", "target")
+
+
+@query("SELECT seq1, seq2, 1 AS copies FROM reads GROUP BY seq1, seq2", pairs_folder)
+def stream_dedup(folder):
+    """The written pairs as a stream of batches of two files: one of each key stays, in whatever batch its copies come."""
+    spark, path = folder
+    source = stream.read_stream(spark, path, "pair_id long, name1 string, name2 string, seq1 string, qual1 string, seq2 string, qual2 string", 2).withColumnRenamed("pair_id", "read_id")
+    o, out = Options(paired=True, dedup=True, adapter_trimming=False, quality_filter=False, length_filter=False), shared_dir(spark)
+    stream.process_stream(source, o, shared_dir(spark), lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+    d = spark.read.parquet(out)
+    both = d.groupBy("read_id").agg(*(F.max(F.when(F.col("mate") == m, F.col("seq"))).alias(f"seq{m}") for m in (1, 2)))
+    return both.groupBy("seq1", "seq2").agg(F.count("*").cast("int").alias("copies"))

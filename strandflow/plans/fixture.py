@@ -47,13 +47,18 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     The derivation stands for a sequencer: it is done once for an application and input and written to the shared
     folder, so that queries scan reads as they would scan a file of them.
     """
+    return spark.read.parquet(pairs_folder(spark, sf_dir)[1])
+
+
+def pairs_folder(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str]:
+    """The session and the folder that the pairs were written to."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = shared_dir(spark)
         made = spark.sql(READS.replace("{orders}", f"parquet.`{sf_dir}/orders.parquet`"))
         spread(made).write.parquet(path)
         _written[key] = path
-    return spark.read.parquet(_written[key])
+    return spark, _written[key]
 
 
 def single(spark: SparkSession, sf_dir: str) -> DataFrame:
