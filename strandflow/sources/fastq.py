@@ -3,31 +3,30 @@
 The source `fastq` has one task for each file or pair of files, gzip (of one or many members) or plain, on any file
 system that pyarrow opens; mates are put together as they are read. Records are numbered in file order; a malformed
 record ends its file, as if it ended there. Large plain files and those of gzip blocks with their sizes are read by
-many tasks (`spans`). As a stream the source takes the files of a folder as they arrive.
+many tasks (module `spans`). As a stream the source takes the files of a folder as they arrive.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-_RECORD = ("name", "seq", "strand", "qual")
+from strandflow.sources.spans import RECORD as _RECORD
+from strandflow.sources.spans import file_system, index, ranges, read_ranges
+
 SCHEMA = "file string, read_id long, " + ", ".join(f"{c} string" for c in _RECORD)
 PAIRS = "file string, read_id long, " + ", ".join(f"{c}{m} string" for m in (1, 2) for c in _RECORD)
 _ROWS = 10_000
 _KEEP = re.compile(r"[^A-Za-z*-]")
-#: Bytes of a file that a task reads, where a file is read by many; the first bytes of a gzip block that states its size.
+#: Bytes of a file that a task reads, where a file is read by many.
 SPAN_BYTES = 64 << 20
-_BLOCK = b"\x1f\x8b\x08\x04"
 
 
 def lines(stream) -> Iterator[bytes]:
@@ -56,12 +55,6 @@ def records(stream) -> Iterator[tuple[str, str, str, str]]:
         yield tuple(x.decode("latin-1") for x in (name, seq, strand, qual or b""))  # type: ignore[misc]
 
 
-def file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def open_input(path: str):
     system, inner = file_system(path)
     return system.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None)
@@ -203,24 +196,26 @@ def read_fastq(spark: SparkSession, *paths: str, limit: int = 0) -> DataFrame:
 
 def read_single(spark: SparkSession, path: str, limit: int = 0, span: int = SPAN_BYTES) -> DataFrame:
     """read_id, name1, seq1, strand1, qual1; a file of over `span` bytes by many tasks where that can be."""
-    whole = None if limit else spans(spark, path, span)
+    whole = spans(spark, path, span, limit)
     d = read_fastq(spark, path, limit=limit) if whole is None else whole
     return d.select("read_id", *(F.col(c).alias(f"{c}1") for c in _RECORD))
 
 
 def read_pairs(spark: SparkSession, path1: str, path2: str, limit: int = 0, span: int = SPAN_BYTES) -> DataFrame:
-    """Mates by place in their files; what only one file has is left out. Where both files can be read by many tasks they are joined by place."""
-    one = None if limit else spans(spark, path1, span)
-    two = None if one is None else spans(spark, path2, span)
+    """Mates by place in their files; what only one file has is left out. Where both files can be read by many tasks, each reads the same records of both."""
+    one = index(spark, path1, span, 4 * limit)
+    two = None if one is None else index(spark, path2, span, 4 * limit)
     if one is None or two is None:
         return _load(spark, (path1, path2), limit, "files").drop("file")
-    one, two = (d.select("read_id", *(F.col(c).alias(f"{c}{m}") for c in _RECORD)) for m, d in ((1, one), (2, two)))
-    return one.join(two, "read_id")
+    return read_ranges(spark, ranges([one, two], span, False, limit), 2).drop("file")
 
 
-def read_interleaved(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+def read_interleaved(spark: SparkSession, path: str, limit: int = 0, span: int = SPAN_BYTES) -> DataFrame:
     """Mates that follow each other in one file; a last record without a mate is left out."""
-    return _load(spark, (path,), limit, "one").drop("file")
+    found = index(spark, path, span, 8 * limit)
+    if found is None:
+        return _load(spark, (path,), limit, "one").drop("file")
+    return read_ranges(spark, ranges([found], span, True, limit), 2).drop("file")
 
 
 def read_stream(spark: SparkSession, folder: str, files_at_once: int = 0) -> DataFrame:
@@ -229,145 +224,10 @@ def read_stream(spark: SparkSession, folder: str, files_at_once: int = 0) -> Dat
     return spark.readStream.format("fastq").option("path", folder).option("maxFilesPerTrigger", str(files_at_once)).load()
 
 
-class Span:
-    """The lines that begin in a part of a file, with the rest of the record that the last of them begins."""
-
-    def __init__(self, path: str, start: int, stop: int, extra: int = 4):
-        system, inner = file_system(path)
-        with system.open_input_file(inner) as f:
-            size, packed = f.size(), path.endswith(".gz")
-            reader = _blocks(f, start, size) if packed else _raw(f, start, stop)
-            own, more = [], []
-            for at, data in reader:
-                if at < stop:
-                    own.append(data)
-                else:
-                    more.append(data)
-                    if b"".join(more).count(b"\n") >= extra:
-                        break
-        own = b"".join(own)
-        self.data, self.own, self.inner = own + b"".join(more), len(own), own.count(b"\n")
-
-    def starts(self, at_line: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Where lines begin that do so in this part, and after them, and where they end; at_line: whether a line begins with the part."""
-        data = np.frombuffer(self.data, np.uint8)
-        ends = np.flatnonzero(data == 0x0A)
-        begin = np.concatenate([np.zeros(1, np.int64) if at_line else ends[:0], ends + 1])
-        stop = np.append(ends if at_line else ends[1:], len(data))
-        some = begin < len(data)
-        begin, stop = begin[some], stop[: len(begin)][some]
-        return begin, stop - ((stop > begin) & (data[np.maximum(stop - 1, 0)] == 0x0D))
-
-    def fits(self, at_line: bool, phase: int) -> bool:
-        """Whether every record that begins here is whole, if the first line is number `phase` of its record."""
-        begin, stop = self.starts(at_line)
-        data, first = np.frombuffer(self.data, np.uint8), (4 - phase) % 4
-        begin, stop = begin[first:], stop[first:]
-        n = int(np.searchsorted(begin[::4], self.own))
-        if n == 0:
-            return True
-        if len(begin) < 4 * n - 1:
-            return False
-        if len(begin) < 4 * n:  # an empty last line
-            begin, stop = np.append(begin, len(data)), np.append(stop, len(data))
-        begin, stop = begin[: 4 * n].reshape(n, 4), stop[: 4 * n].reshape(n, 4)
-        size = stop - begin
-        full = (size[:, 0] > 0) & (size[:, 2] > 0) & (size[:, 1] == size[:, 3])
-        return bool(full.all() and (data[begin[:, 0]] == ord("@")).all() and (data[begin[:, 2]] == ord("+")).all())
-
-
-def _raw(f, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
-    """The bytes up to stop, then what follows."""
-    f.seek(start)
-    yield start, f.read(stop - start)
-    while data := f.read(1 << 16):
-        yield stop, data
-
-
-def _blocks(f, start: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """The gzip blocks that begin at `start` or behind, with their places, unpacked."""
-    at = _first_block(f, start, size)
-    while at is not None and at < size:
-        f.seek(at)
-        length = block_size(f.read(18))
-        if not length:
-            raise ValueError(f"no gzip block at {at}")
-        f.seek(at)
-        yield at, zlib.decompress(f.read(length), wbits=31)
-        at += length
-
-
-def block_size(head: bytes) -> int:
-    """The bytes of the gzip block with this head; 0 if it does not state them."""
-    if len(head) < 18 or not head.startswith(_BLOCK) or head[10:16] != b"\x06\x00BC\x02\x00":
-        return 0
-    return int.from_bytes(head[16:18], "little") + 1
-
-
-def _first_block(f, start: int, size: int) -> int | None:
-    """The place of the first block from `start` on: a head behind which another follows, or the file's end."""
-    f.seek(start)
-    data = f.read(1 << 17)
-    at = data.find(_BLOCK)
-    while at >= 0:
-        length = block_size(data[at : at + 18])
-        if length and (start + at + length == size or block_size(data[at + length : at + length + 18])):
-            return start + at
-        at = data.find(_BLOCK, at + 1)
-    return None
-
-
-def spans(spark: SparkSession, path: str, span: int = SPAN_BYTES) -> DataFrame | None:
-    """The records of a file that many tasks read, each a span of bytes; None if it is small, packed in one go or irregular.
-
-    A first pass counts the lines of each span and looks whether its records are whole for any place in a record that
-    its first line may have; from the counts follow the places, and the numbers of the records.
-    """
-    system, inner = file_system(path)
-    size = system.get_file_info(inner).size
-    if not size or size <= span:
-        return None
-    with system.open_input_file(inner) as f:
-        if path.endswith(".gz") and not block_size(f.read(18)):
-            return None
-    parts = spark.createDataFrame([(k, a, min(a + span, size)) for k, a in enumerate(range(0, size, span))], "part int, start long, stop long")
-    parts = parts.repartition(-(-size // span), "part")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, a, z in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                s = Span(path, a, z)
-                own = s.data[: s.own]
-                ok = [own.count(b"\r") == own.count(b"\r\n") + own.endswith(b"\r") and s.fits(x, p) for x in (False, True) for p in range(4)]
-                cols = [pa.array([k], pa.int32()), pa.array([s.inner], pa.int64()), pa.array([s.own], pa.int64()), pa.array([own.endswith(b"\n")]), pa.array([ok])]
-                yield pa.RecordBatch.from_arrays(cols, names=["part", "lines", "size", "ended", "ok"])
-
-    seen = sorted(parts.mapInArrow(look, "part int, lines long, size long, ended boolean, ok array<boolean>").collect())
-    plan, lines, ended = [], 0, True
-    for r in seen:
-        line = lines if ended else lines + 1  # the number of the first line that begins in the span
-        if r.size and not r.ok[4 * ended + line % 4]:
-            return None
-        plan.append((r.part, ended, line))
-        lines, ended = lines + r.lines, r.ended if r.size else ended
-    known = parts.join(F.broadcast(spark.createDataFrame(plan, "part int, at_line boolean, line long")), "part")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, z, at_line, line in zip(*(b.column(c).to_pylist() for c in ("start", "stop", "at_line", "line")), strict=True):
-                s = Span(path, a, z)
-                begin, stop = s.starts(at_line)
-                first = (4 - line % 4) % 4
-                n = int(np.searchsorted(begin[first:][::4], s.own))
-                text = [s.data[x:y].decode("latin-1") for x, y in zip(begin[first : first + 4 * n].tolist(), stop[first : first + 4 * n].tolist(), strict=True)]
-                text += [""] * (4 * n - len(text))
-                for i in range(0, n, _ROWS):
-                    m = min(n, i + _ROWS)
-                    ids = np.arange(i, m) + (line + first) // 4
-                    cols = [pa.array([path] * (m - i), pa.string()), pa.array(ids, pa.int64()), *(pa.array(text[4 * i + c : 4 * m : 4], pa.string()) for c in range(4))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["file", "read_id", *_RECORD])
-
-    return known.select("start", "stop", "at_line", "line").mapInArrow(read, SCHEMA)
+def spans(spark: SparkSession, path: str, span: int = SPAN_BYTES, limit: int = 0) -> DataFrame | None:
+    """The records of a file that many tasks read, each a range of them; None if it is small, packed in one go or irregular."""
+    found = index(spark, path, span, 4 * limit)
+    return None if found is None else read_ranges(spark, ranges([found], span, False, limit), 1)
 
 
 def read_fasta(path: str) -> dict[str, str]:

@@ -70,7 +70,82 @@ def test_pairs_by_many_tasks(spark, tmp_path):
     cols = ("read_id", "name1", "seq1", "qual1", "name2", "seq2", "qual2")
     want = rows_of(fastq.read_pairs(spark, str(one), str(two)), cols)
     assert len(want) == 180 and rows_of(fastq.read_pairs(spark, str(one), str(two), span=2000), cols) == want
-    assert "Exchange" not in fastq.read_pairs(spark, str(one), str(two))._jdf.queryExecution().toString()
+    for d in (fastq.read_pairs(spark, str(one), str(two)), fastq.read_pairs(spark, str(one), str(two), span=2000)):
+        assert "Exchange" not in d._jdf.queryExecution().toString()
+    assert fastq.read_pairs(spark, str(one), str(two), span=2000).rdd.getNumPartitions() > 3
+    assert rows_of(fastq.read_pairs(spark, str(one), str(two), limit=37, span=900), cols) == want[:37]
+    packed = tmp_path / "2.fq.gz"
+    packed.write_bytes(blocks(two.read_bytes()))
+    assert rows_of(fastq.read_pairs(spark, str(one), str(packed), span=1500), cols) == want
+
+
+@pytest.mark.parametrize("n", [200, 201])
+def test_mates_in_one_file_by_many_tasks(spark, tmp_path, n):
+    cols = ("read_id", "name1", "seq1", "strand1", "qual1", "name2", "seq2", "strand2", "qual2")
+    for name, pack in (("a.fq", bytes), ("a.fq.gz", blocks)):
+        path = tmp_path / name
+        path.write_bytes(pack(text(n).encode()))
+        want = rows_of(fastq.read_interleaved(spark, str(path)), cols)
+        d = fastq.read_interleaved(spark, str(path), span=1500)
+        assert len(want) == 100 and d.rdd.getNumPartitions() > 3 and rows_of(d, cols) == want
+        assert rows_of(fastq.read_interleaved(spark, str(path), limit=7, span=600), cols) == want[:7]
+
+
+def test_a_limit_opens_only_the_spans_it_needs(spark, tmp_path, monkeypatch):
+    from strandflow.sources import spans
+
+    path = tmp_path / "a.fq"
+    data = text(400)
+    path.write_text(data + "@broken\nACGT\n+\nI\n" * 3)  # where nothing is read, nothing is missed
+    seen = []
+    real = spans._looked
+    monkeypatch.setattr(spans, "_looked", lambda spark, path, starts, *more: seen.extend(starts) or real(spark, path, starts, *more))
+    want = rows_of(fastq.read_fastq(spark, str(path), limit=20).withColumnsRenamed({c: f"{c}1" for c in ("name", "seq", "strand", "qual")}))
+    assert rows_of(fastq.read_single(spark, str(path), limit=20, span=1000)) == want
+    assert max(seen) < len(data) // 3
+
+
+def test_a_filter_of_one_plan_does_not_change_another(spark, tmp_path):
+    path = tmp_path / "a.fq"
+    path.write_text(text(300))
+    d = fastq.read_single(spark, str(path), span=1000)
+    assert [d.where("read_id < 41").count(), d.count(), d.where("read_id < 200").count()] == [41, 300, 200]
+
+
+def test_bytes_beyond_ascii_and_lines_over_chunks(spark, tmp_path, monkeypatch):
+    from strandflow.sources import spans
+
+    path = tmp_path / "a.fq"
+    path.write_bytes(b"".join(b"@\xe9%d\nAC\n+\n\xff!\n" % i for i in range(200)))
+    want = rows_of(fastq.read_single(spark, str(path)))
+    assert want[0][1] == "@é0"
+    assert rows_of(fastq.read_single(spark, str(path), span=500)) == want
+    monkeypatch.setattr(spans, "CHUNK", 7)
+    index = spans.index(spark, str(path), 500)
+    got = [r for x in spans.ranges([index], 500, False) for b in x.batches() for r in zip(b.column(1).to_pylist(), *(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)]
+    assert got == want
+    for at in range(0, 60, 11):
+        a, b = spans.look(str(path), 0, at + 1), spans.look(str(path), at + 1, 10_000)
+        assert a.ends + b.ends == 800
+
+
+def test_memory_of_a_large_packed_span(tmp_path):
+    import subprocess
+    import sys
+
+    path = tmp_path / "a.fq.gz"
+    one = text(20_000, seed=9).encode()
+    path.write_bytes(blocks(one, 60_000) * 12)
+    code = f"""
+import resource, sys
+from strandflow.sources import spans
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+s = spans.look({str(path)!r}, 0, {path.stat().st_size})
+n = sum(b.num_rows for b in spans.Range(0, s.ends // 4, [({str(path)!r}, 0, 0)], 4).batches())
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n == 240_000 and mb < 120
 
 
 def test_files_as_a_stream(spark, tmp_path):
