@@ -1,110 +1,19 @@
-"""Public adapter and primer sequences that detection tries: single ones, and those of kits, built from their indexes."""
+"""The adapters and primers that detection tries where no other table is given: a FASTA file, whose path is a parameter.
+
+Fixed values, which must match those that others of these tools try: `adapters.fasta` has one entry for each, sorted by sequence.
+"""
 
 from __future__ import annotations
 
 from functools import lru_cache
+from pathlib import Path
 
-# Fixed values, as the makers publish them.
+from strandflow.sources.fastq import read_fasta
 
-SINGLE = {
-    "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA": "TruSeq adapter, read 1",
-    "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT": "TruSeq adapter, read 2",
-    "GATCGTCGGACTGTAGAACTCTGAACGTGTAGA": "small RNA adapter, read 2",
-    "AATGATACGGCGACCACCGACAGGTTCAGAGTTCTACAGTCCGA": "small RNA PCR primer 2",
-    "AATGATACGGCGACCACCGAGATCTACACGTTCAGAGTTCTACAGTCCGA": "RNA PCR primer",
-    "AATGATACGGCGACCACCGAGATCTACACTCTTTCCCTACACGACGCTCTTCCGATCT": "TruSeq universal adapter",
-    "AATGATACGGCGACCACCGAGATCTACACTCTTTCCCTACACGACGCTCTTCCGATCTAGATCGGAAGAGCGGTTCAGCAGGAATGCCGAGACCGATCTCGTATGCCGTCTTCTGCTTG": "PCR dimer",
-    "AATGATACGGCGACCACCGAGATCTACACTCTTTCCCTACACGACGCTCTTCCGATCTCAAGCAGAAGACGGCATACGAGCTCTTCCGATCT": "PCR primers",
-    "ACACTCTTTCCCTACACGACGCTCTTCCGATCT": "single-end sequencing primer",
-    "AGATCGGAAGAGCACACGTCTGAACTCCAGTCAC": "TruSeq 3 indexed adapter",
-    "AGATCGGAAGAGCACACGTCTGAACTCCAGTCACATCACGATCTCGTATGCCGTCTTCTGCTTG": "reverse adapter",
-    "AGATCGGAAGAGCGGTTCAGCAGGAATGCCGAG": "TruSeq 2 paired-end adapter, reverse",
-    "AGATCGGAAGAGCGGTTCAGCAGGAATGCCGAGACCGATCTCGTATGCCGTCTTCTGCTTG": "PCR primer 2, reverse complement",
-    "AGATCGGAAGAGCGGTTCAGCAGGAATGCCGAGACCGATCTCGTATGCCGTCTTCTGCTTGAAA": "PhiX adapter, read 1",
-    "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGTA": "TruSeq 3 universal adapter",
-    "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGTAGATCTCGGTGGTCGCCGTATCATT": "PCR primer 1, reverse complement",
-    "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGTAGATCTCGGTGGTCGCCGTATCATTAAAAAA": "PhiX adapter, read 2",
-    "AGATCGGAAGAGCTCGTATGCCGTCTTCTGCTTG": "TruSeq 2 single-end adapter",
-    "CAAGCAGAAGACGGCATACGAGATCGGTCTCGGCATTCCTGCTGAACCGCTCTTCCGATCT": "paired-end PCR primer 2",
-    "CAAGCAGAAGACGGCATACGAGCTCTTCCGATCT": "single-end adapter 2",
-    "CCACTACGCCTCCGCTTTCCTCTCTATGGGCAGTCGGTGAT": "SOLiD 3 adapter B",
-    "CCGACAGGTTCAGAGTTCTACAGTCCGACATG": "NlaIII expression sequencing primer",
-    "CGACAGGTTCAGAGTTCTACAGTCCGACGATC": "DpnII expression sequencing primer",
-    "CGGTCTCGGCATTCCTGCTGAACCGCTCTTCCGATCT": "paired-end sequencing primer 2",
-    "CTAATACGACTCACTATAGGGCAAGCAGTGGTATCAACGCAGAGT": "universal primer mix, long",
-    "CTGAGCGGGCTGGCAAGGCAGACCGATCTCGTATGCCGTCTTCTGCTTG": "Nextera i7 adapter without barcode",
-    "CTGATGGCGCGAGGGAGGCGTGTAGATCTCGGTGGTCGCCGTATCATT": "Nextera i5 adapter",
-    "CTGCCCCGGGTTCCTCATTCTCTCAGCAGCATG": "SOLiD 3 adapter A",
-    "CTGTCTCTTATACACATCTCCGAGCCCACGAGAC": "Nextera i7 transposase 1",
-    "CTGTCTCTTATACACATCTCTGAGCGGGCTGGCAAGGC": "Nextera i7 transposase 2",
-    "CTGTCTCTTATACACATCTCTGATGGCGCGAGGGAGGC": "Nextera i5 transposase 2",
-    "CTGTCTCTTATACACATCTGACGCTGCCGACGA": "Nextera i5 transposase 1",
-    "GATCGGAAGAGCACACGTCTGAACTCCAGTCAC": "multiplexing index sequencing primer",
-    "GATCGGAAGAGCGGTTCAGCAGGAATGCCGAG": "paired-end adapter 2",
-    "GATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT": "Nextera mate-pair external adapter, read 2",
-    "GATCGGAAGAGCTCGTATGCCGTCTTCTGCTTG": "single-end adapter 1",
-    "GTCTCGTGGGCTCGGAGATGTGTATAAGAGACAG": "Nextera transposase 2",
-    "GTGACTGGAGTTCAGACGTGTGCTCTTCCGATCT": "multiplexing PCR primer 2.01",
-    "TACACTCTTTCCCTACACGACGCTCTTCCGATCT": "paired-end prefix 1",
-    "TCGGACTGTAGAACTCTGAACGTGTAGATCTCGGTGGTCGCCGTATCATT": "RNA PCR primer RP1",
-    "TCGTCGGCAGCGTCAGATGTGTATAAGAGACAG": "Nextera transposase 1",
-    "TTTTTTTTTTAATGATACGGCGACCACCGAGATCTACAC": "flow cell 1",
-    "TTTTTTTTTTCAAGCAGAAGACGGCATACGA": "flow cell 2",
-    "AAGTCGGAGGCCAAGCGGTCTTAGGAAGACAA": "MGI adapter, forward",
-    "AAGTCGGATCGTAGCCATGTCGTTCTGTGAGCCAAGGAGTTG": "MGI adapter, reverse",
-    "AACTGTAGGCACCATCAAT": "miRNA adapter",
-}
-#: Indexes 1 to 48 of the small RNA kit; the first 12 are also TruSeq's and the multiplexing kit's.
-RNA_INDEXES = (
-    "ATCACG CGATGT TTAGGC TGACCA ACAGTG GCCAAT CAGATC ACTTGA GATCAG TAGCTT GGCTAC CTTGTA AGTCAA AGTTCC ATGTCA CCGTCC "
-    "GTAGAG GTCCGC GTGAAA GTGGCC GTTTCG CGTACG GAGTGG GGTAGC ACTGAT ATGAGC ATTCCT CAAAAG CAACTA CACCGG CACGAT CACTCA "
-    "CAGGCG CATGGC CATTTT CCAACA CGGAAT CTAGCT CTATAC CTCAGA GACGAC TAATCG TACAGC TATAAT TCATTC TCCCGA TCGAAG TCGGCA"
-).split()
-#: TruSeq indexes of 8 bases, and as they stand before CTCGTATGCC in a list of contaminants that is in wide use.
-TRUSEQ_INDEXES = {
-    13: ("AGTCAACA", "AGTCAACT"), 14: ("AGTTCCGT", "AGTTCCGT"), 15: ("ATGTCAGA", "ATGTCAGT"), 16: ("CCGTCCCG", "CCGTCCCT"), 18: ("GTCCGCAC", "GTCCGCAT"), 19: ("GTGAAACG", "GTGAAACT"),
-    20: ("GTGGCCTT", "GTGGCCTT"), 21: ("GTTTCGGA", "GTTTCGGT"), 22: ("CGTACGTA", "CGTACGTT"), 23: ("GAGTGGAT", "CCACTCTT"), 25: ("ACTGATAT", "ACTGATAT"), 27: ("ATTCCTTT", "ATTCCTTT"),
-}
-#: Nextera indexes N701 to N729 and S501 to S522.
-I7_INDEXES = {
-    701: "TAAGGCGA", 702: "CGTACTAG", 703: "AGGCAGAA", 704: "TCCTGAGC", 705: "GGACTCCT", 706: "TAGGCATG", 707: "CTCTCTAC", 708: "CAGAGAGG", 709: "GCTACGCT", 710: "CGAGGCTG",
-    711: "AAGAGGCA", 712: "GTAGAGGA", 714: "GCTCATGA", 715: "ATCTCAGG", 716: "ACTCGCTA", 718: "GGAGCTAC", 719: "GCGTAGTA", 720: "CGGAGCCT", 721: "TACGCTGC", 722: "ATGCGCAG",
-    723: "TAGCGCTC", 724: "ACTGAGCG", 726: "CCTAAGAC", 727: "CGATCAGT", 728: "TGCAGCTA", 729: "TCGACGTC",
-}
-I5_INDEXES = {
-    501: "GCGATCTA", 502: "ATAGAGAG", 503: "AGAGGATA", 504: "TCTACTCT", 505: "CTCCTTAC", 506: "TATGCAGT", 507: "TACTCCTT", 508: "AGGCTTAG", 510: "ATTAGACG", 511: "CGGAGAGA",
-    513: "CTAGTCGA", 515: "AGCTAGAA", 516: "ACTCTAGG", 517: "TCTTACGC", 518: "CTTAATAG", 520: "ATAGCCTT", 521: "TAAGGCTC", 522: "TCGCATAA",
-}
-#: What stands before and behind an index.
-RNA_ADAPTER = ("TGGAATTCTCGGGTGCCAAGGAACTCCAGTCAC", "ATCTCGTATGCCGTCTTCTGCTTG")
-RNA_PRIMER = ("CAAGCAGAAGACGGCATACGAGAT", "GTGACTGGAGTTCCTTGGCACCCGAGAATTCCA")
-PCR_PRIMER = ("CAAGCAGAAGACGGCATACGAGAT", "GTGACTGGAGTTC")
-TRUSEQ = ("GATCGGAAGAGCACACGTCTGAACTCCAGTCAC", "ATCTCGTATGCCGTCTTCTGCTTG")
-TRUSEQ_LISTED = ("GATCGGAAGAGCACACGTCTGAACTCCAGTCAC", "CTCGTATGCCGTCTTCTGCTTG")
-I7 = ("CCGAGCCCACGAGAC", "ATCTCGTATGCCGTCTTCTGCTTG")
-I5 = ("GACGCTGCCGACGA", "GTGTAGATCTCGGTGGTCGCCGTATCATT")
+TABLE = str(Path(__file__).with_name("adapters.fasta"))
 
 
 @lru_cache
-def known_adapters() -> dict[str, str]:
-    """Every sequence with a name."""
-    out = dict(SINGLE)
-
-    def add(around: tuple[str, str], index: str, name: str) -> None:
-        out.setdefault(around[0] + index + around[1], name)
-
-    back = str.maketrans("ACGT", "TGCA")
-    for i, index in enumerate(RNA_INDEXES, 1):
-        add(RNA_ADAPTER, index, f"RNA PCR primer index {i}, adapter side")
-        add(RNA_PRIMER, index[::-1].translate(back), f"RNA PCR primer, index {i}")
-        if i <= 12:
-            add(PCR_PRIMER, index[::-1].translate(back), f"PCR primer, index {i}")
-            add(TRUSEQ, index, f"TruSeq adapter, index {i}")
-    for i, (own, listed) in TRUSEQ_INDEXES.items():
-        add(TRUSEQ, own, f"TruSeq adapter, index {i}")
-        add(TRUSEQ_LISTED, listed, f"TruSeq adapter, index {i}, as listed")
-    for i, index in I7_INDEXES.items():
-        add(I7, index, f"Nextera i7 primer N{i}")
-    for i, index in I5_INDEXES.items():
-        add(I5, index, f"Nextera i5 primer S{i}")
-    return out
+def known_adapters(table: str = TABLE) -> dict[str, str]:
+    """The name of each sequence of a table."""
+    return {seq: name for name, seq in read_fasta(table).items()}

@@ -29,8 +29,8 @@ def read_length(df: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def two_colour(df: DataFrame) -> DataFrame:
-    """Whether the first read's name is of a two-colour instrument."""
-    first = df.agg(F.min_by("name", "read_id").alias("name"))
+    """Whether the first read's name is of a two-colour instrument. Only the first reads are looked at, which a table of reads finds by read_id."""
+    first = df.where(F.col("read_id") < LENGTH_SAMPLE).agg(F.min_by("name", "read_id").alias("name"))
     hit = F.lit(False)
     for p in TWO_COLOUR:
         hit = hit | F.col("name").startswith(p)

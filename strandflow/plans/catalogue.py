@@ -14,6 +14,7 @@ from strandflow.operators import detect, stats
 from strandflow.operators import kernels as k
 from strandflow.operators import pipeline as run
 from strandflow.operators import single_steps as step
+from strandflow.operators.adapters import known_adapters
 from strandflow.operators.dedup import duplication_rate, mark_duplicates
 from strandflow.operators.summary import Block, summarize
 from strandflow.plans import report
@@ -603,6 +604,23 @@ def detect_known_adapter(d):
     return detect.adapter_votes(d, dict.fromkeys(FOUR, ""))
 
 
+#: So few mismatches leave one of an adapter's successive 8 bases whole, by which places are joined.
+_ALL_VOTES = (
+    "WITH a(adapter) AS (VALUES " + ", ".join(f"('{x}')" for x in sorted(known_adapters())) + "), e AS (SELECT adapter, j, substr(adapter, j + 1, 8) AS k FROM a, unnest(range(0, length(adapter) - 7, 8)) AS t(j)), "
+    "p AS (SELECT pair_id AS id, seq1, i, substr(seq1, i + 1, 8) AS k FROM reads, unnest(range(0, length(seq1) - 7)) AS t(i) WHERE pair_id < 100000), "
+    "c AS (SELECT DISTINCT id, adapter, seq1, i - j AS place FROM p JOIN e USING (k) WHERE i >= j), f AS (SELECT *, least(length(seq1) - place, length(adapter)) AS cl FROM c), "
+    "h AS (SELECT id, adapter, place, cl, hamming(substr(seq1, place + 1, cl), substr(adapter, 1, cl)) AS d FROM f), "
+    "w AS (SELECT adapter, d FROM h WHERE cl >= 8 AND d <= cl // 16 QUALIFY row_number() OVER (PARTITION BY id, adapter ORDER BY place) = 1) "
+    "SELECT a.adapter, count(w.adapter) AS hits, coalesce(sum(w.d), 0)::BIGINT AS mismatches FROM a LEFT JOIN w ON w.adapter = a.adapter GROUP BY a.adapter"
+)
+
+
+@query(f"SELECT * FROM ({_ALL_VOTES})", single)
+def detect_known_adapters(d):
+    """The vote of all adapters that detection knows."""
+    return detect.adapter_votes(d)
+
+
 # These reads hold a known adapter, so that the vote decides; growing one from 10-mers is restated in tests.
 @query(
     f"SELECT CASE WHEN n < 10000 OR NOT (hits > n / 50.0 OR hits > n / 200.0 AND mismatches < hits) THEN '' ELSE adapter END AS adapter FROM ({_VOTES}), (SELECT count(*) AS n FROM reads WHERE pair_id < 100000) ORDER BY hits DESC, adapter LIMIT 1", single

@@ -78,7 +78,7 @@ def test_reports_are_guarded_and_drawn(spark, tmp_path):
         run(spark, "--in1", inp, "--json", js, "--dont_overwrite")
 
 
-def test_known_adapters_are_built():
+def test_known_adapters():
     known = known_adapters()
     assert len(known) == 234 and all(set(a) <= set("ACGT") for a in known)
     assert known["GATCGGAAGAGCACACGTCTGAACTCCAGTCACTTAGGCATCTCGTATGCCGTCTTCTGCTTG"] == "TruSeq adapter, index 3"
