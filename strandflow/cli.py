@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import functools
 import os
 import sys
 from pathlib import Path
@@ -15,9 +16,9 @@ from strandflow.operators import detect
 from strandflow.operators import pipeline as run
 from strandflow.plans import report
 from strandflow.plans.options import Options
-from strandflow.plans.session import discard_path, expose, settle, shared_dir
+from strandflow.plans.session import discard, discard_path, expose, settle, shared_dir
 from strandflow.sources import fastq
-from strandflow.sources.sinks import exists, write_files, write_split, write_stream, write_text
+from strandflow.sources.sinks import exists, write_files, write_samples, write_split, write_stream, write_text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -115,11 +116,63 @@ def run_files(spark: SparkSession, a: argparse.Namespace) -> dict:
     return out
 
 
+def detected_by_sample(raw, o: Options, samples: list[str], table: str = "") -> dict[str, Options]:
+    """As detected() for each sample, by the same jobs for all; only a sample without a known adapter is looked at alone, for an unknown one."""
+    out = dict.fromkeys(samples, o)
+    if o.poly_g is None:
+        firsts = raw.where(F.col("read_id") < detect.LENGTH_SAMPLE).groupBy("sample").agg(F.min_by("name1", "read_id").alias("name")).collect()
+        two = {r["sample"]: r.name.startswith(detect.TWO_COLOUR) for r in firsts}
+        out = {s: dataclasses.replace(x, poly_g=True) if two.get(s) else x for s, x in out.items()}
+    known = {s: name for name, s in fastq.read_fasta(table).items()} if table else None
+    if o.adapter_trimming and (not o.paired and o.adapter in ("", "auto") or o.paired and o.detect_adapter_for_pe):
+        for m, field in ((1, "adapter"), (2, "adapter_r2"))[: 1 + o.paired]:
+            reads = raw.select("sample", "read_id", F.col(f"seq{m}").alias("seq"))
+            found = detect.adapters_by_sample(reads, known)
+            for s in samples:
+                own = found.get(s) or detect.find_adapter(reads.where(F.col("sample") == s).drop("sample"), adapters=known, literal=o.literal)
+                out[s] = dataclasses.replace(out[s], **{field: own})
+    return {s: x.validated() for s, x in out.items()}
+
+
+def run_samples(spark: SparkSession, a: argparse.Namespace, samples: dict[str, tuple[str, str]]) -> dict[str, dict]:
+    """Samples that are all single reads, or all pairs, as one run: a sample's name goes with its reads through all steps."""
+    own = argparse.Namespace(**{**vars(a), "in2": next(iter(samples.values()))[1]})
+    place = lambda p: os.path.join(a.out_dir, os.path.basename(p))
+    files = {(s, t): place(p) for s, pair in samples.items() for t, p in zip(("out1", "out2"), pair, strict=True) if p}
+    o = options_of(own)
+    if o.dont_overwrite:
+        for p in (*files.values(), *(place(f"{s}.json") for s in samples)):
+            if exists(p):
+                raise FileExistsError(p)
+    raw = settle(fastq.read_samples(spark, samples, o.reads_to_process))
+    options = detected_by_sample(raw, o, list(samples), a.adapter_table)
+    alike: dict[Options, list[str]] = {}
+    for s, x in options.items():
+        alike.setdefault(x, []).append(s)
+    parts = [run.process(raw.where(F.col("sample").isin(names)), x) for x, names in alike.items()]
+    done = settle(functools.reduce(lambda x, y: x.unionByName(y), parts))
+    write_samples(run.routes(done, next(iter(alike))), files, o.compression, not o.dont_overwrite, a.join)
+    out = report.build_samples(raw, done, options, " ".join(sys.argv))
+    for s, r in out.items():
+        write_text(place(f"{s}.json"), report.to_json(r))
+    discard(raw, done)
+    return out
+
+
 def run_folder(spark: SparkSession, a: argparse.Namespace) -> dict[str, dict]:
-    """Every sample of --in_dir, with outputs and reports in --out_dir."""
+    """Every sample of --in_dir, with outputs and reports in --out_dir: pairs in one run and single reads in another.
+
+    Runs that split outputs, merge mates or count over-represented sequences, whose candidates differ, take one sample after another.
+    """
     out = {}
     Path(a.out_dir).mkdir(parents=True, exist_ok=True)
-    for one, two in fastq.mate_files(os.listdir(a.in_dir)):
+    found = fastq.mate_files(os.listdir(a.in_dir))
+    if not (a.split or a.split_by_lines or a.merge or a.overrep):
+        for paired in (True, False):
+            some = {one: (os.path.join(a.in_dir, one), os.path.join(a.in_dir, two) if two else "") for one, two in found if bool(two) == paired}
+            out |= run_samples(spark, a, some) if some else {}
+        found = []
+    for one, two in found:
         own = argparse.Namespace(**vars(a))
         own.in1, own.in2 = os.path.join(a.in_dir, one), os.path.join(a.in_dir, two) if two else ""
         own.out1, own.out2 = os.path.join(a.out_dir, one), os.path.join(a.out_dir, two) if two else ""

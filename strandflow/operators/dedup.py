@@ -9,24 +9,30 @@ from strandflow.functions.expressions import duplicate_key
 from strandflow.plans.session import free_names, salted_join, settle
 
 
+def _key(df: DataFrame, seqs: list[str]) -> Column:
+    """The digest of a read's sequences, of its sample too if reads of several are together."""
+    own = duplicate_key(*(F.col(s) for s in seqs))
+    return F.unhex(F.sha2(F.concat_ws("\n", "sample", own) if "sample" in df.columns else own, 256))
+
+
 def mark_duplicates(df: DataFrame, seqs: list[str]) -> DataFrame:
-    """df with is_dup. Keys of several reads are found by an aggregation that combines within tasks, over ids and digests.
+    """df with is_dup, within each sample if df has a column `sample`. Keys of several reads are found by an aggregation that combines within tasks, over ids and digests.
 
     They are few or many: few go to all tasks, so that reads are not shuffled; else reads find them by salted keys, so
     that a key with a third of all reads needs no single task.
     """
     key, first, reads = free_names(df, "key", "first", "reads")
-    keyed = df.withColumn(key, F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256)))
+    keyed = df.withColumn(key, _key(df, seqs))
     firsts = keyed.groupBy(key).agg(F.min("read_id").alias(first), F.count("*").alias(reads)).where(F.col(reads) > 1)
     out = salted_join(keyed, settle(firsts), key, reads, ["read_id"], 72, "left")
     return out.withColumn("is_dup", F.coalesce(F.col("read_id") > F.col(first), F.lit(False))).drop(key, first, reads)
 
 
 def duplicate_counts(df: DataFrame, seqs: list[str]) -> DataFrame:
-    """The same figures of reads that are not marked: all but one of each key are duplicates."""
-    key = F.unhex(F.sha2(duplicate_key(*(F.col(s) for s in seqs)), 256))
-    per_key = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
-    d = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reads"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    """The same figures of reads that are not marked, for each sample if there is such a column: all but one of each key are duplicates."""
+    by = ["sample"] if "sample" in df.columns else []
+    per_key = df.groupBy(*by, _key(df, seqs).alias("key")).agg(F.count("*").alias("n"))
+    d = per_key.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reads"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
     return d.withColumn("rate", _rate())
 
 

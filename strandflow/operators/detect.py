@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,8 @@ from strandflow.operators.adapters import known_adapters
 TWO_COLOUR = ("@FS", "@MN", "@SH", "@NS", "@NB", "@NDX", "@VL", "@VH", "@A", "@NA", "@LH")
 LENGTH_SAMPLE, ADAPTER_SAMPLE, VOTE_SAMPLE = 1000, 262_144, 100_000
 ADAPTER_BASES, OVERREP_BASES = 151 * 262_144, 151 * 10_000
+#: Reads below which no adapter is looked for.
+LEAST_READS = 10_000
 #: Bases to which a grown adapter is cut, and bases that are looked at on each side of a 10-mer.
 _MOST, _AROUND = 60, 256
 #: Lengths of candidate sequences and the counts they need. Fixed values.
@@ -70,35 +73,42 @@ def adapter_votes(df: DataFrame, adapters: dict[str, str] | None = None, seq: st
     code[np.frombuffer(b"ACGT", np.uint8)] = range(4)
     weights = 4 ** np.arange(7, -1, -1)
 
+    by = ["sample"] if "sample" in df.columns else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = k.reads(b.column(0), b.column(0))
-            wide = max(r.seq.shape[1] - 7, 0)
-            keys = sum(code[r.seq[:, i : i + wide]] * w for i, w in enumerate(weights.tolist())).ravel() if wide else np.zeros(0, np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            hits, wrong = [], []
-            for a in items:
-                ad = np.frombuffer(a.encode(), np.uint8)
-                found = [np.zeros((0, 2), np.int64)]
-                for at in range(0, len(ad) - 7, 8):
-                    key = int((code[ad[at : at + 8]] * weights).sum())
-                    row, place = np.divmod(order[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")], max(wide, 1))
-                    found.append(np.stack([row, place - at], axis=1)[place >= at])
-                row, place = np.unique(np.concatenate(found), axis=0).T
-                size = np.minimum(r.length[row] - place, len(ad))
-                s = np.pad(r.seq[row], ((0, 0), (0, len(ad))))
-                part = np.take_along_axis(s, place[:, None] + np.arange(len(ad)), 1)
-                d = ((part != ad) & (np.arange(len(ad)) < size[:, None])).sum(axis=1)
-                ok = (size >= 8) & (d <= size // 16)
-                row, d = row[ok], d[ok]
-                first = np.r_[True, row[1:] != row[:-1]][: len(row)]  # by row and place
-                hits.append(int(first.sum()))
-                wrong.append(int(d[first].sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(hits, pa.int64()), pa.array(wrong, pa.int64())], names=["adapter", "hits", "mismatches"])
-
-    d = df.where(F.col("read_id") < VOTE_SAMPLE).select(seq).mapInArrow(run, "adapter string, hits long, mismatches long")
-    return d.groupBy("adapter").agg(F.sum("hits").alias("hits"), F.sum("mismatches").alias("mismatches"))
+            for own in pc.unique(b.column(1)).to_pylist() if by else [None]:
+                out = votes(b.column(0) if own is None else b.column(0).filter(pc.equal(b.column(1), own)))
+                yield out if own is None else out.add_column(0, "sample", pa.array([own] * out.num_rows, pa.string()))
+
+    def votes(column: pa.Array) -> pa.RecordBatch:
+        r = k.reads(column, column)
+        wide = max(r.seq.shape[1] - 7, 0)
+        keys = sum(code[r.seq[:, i : i + wide]] * w for i, w in enumerate(weights.tolist())).ravel() if wide else np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        hits, wrong = [], []
+        for a in items:
+            ad = np.frombuffer(a.encode(), np.uint8)
+            found = [np.zeros((0, 2), np.int64)]
+            for at in range(0, len(ad) - 7, 8):
+                key = int((code[ad[at : at + 8]] * weights).sum())
+                row, place = np.divmod(order[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")], max(wide, 1))
+                found.append(np.stack([row, place - at], axis=1)[place >= at])
+            row, place = np.unique(np.concatenate(found), axis=0).T
+            size = np.minimum(r.length[row] - place, len(ad))
+            s = np.pad(r.seq[row], ((0, 0), (0, len(ad))))
+            part = np.take_along_axis(s, place[:, None] + np.arange(len(ad)), 1)
+            d = ((part != ad) & (np.arange(len(ad)) < size[:, None])).sum(axis=1)
+            ok = (size >= 8) & (d <= size // 16)
+            row, d = row[ok], d[ok]
+            first = np.r_[True, row[1:] != row[:-1]][: len(row)]  # by row and place
+            hits.append(int(first.sum()))
+            wrong.append(int(d[first].sum()))
+        return pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(hits, pa.int64()), pa.array(wrong, pa.int64())], names=["adapter", "hits", "mismatches"])
+
+    d = df.where(F.col("read_id") < VOTE_SAMPLE).select(seq, *by).mapInArrow(run, "sample string, " * len(by) + "adapter string, hits long, mismatches long")
+    return d.groupBy(*by, "adapter").agg(F.sum("hits").alias("hits"), F.sum("mismatches").alias("mismatches"))
 
 
 def known_adapter(df: DataFrame, adapters: dict[str, str] | None = None, seq: str = "seq") -> str:
@@ -109,13 +119,37 @@ def known_adapter(df: DataFrame, adapters: dict[str, str] | None = None, seq: st
     return best.adapter if ok else ""
 
 
+def adapters_by_sample(df: DataFrame, adapters: dict[str, str] | None = None, seq: str = "seq") -> dict[str, str]:
+    """The known adapter of each sample ('' where none has enough votes), of reads with a column `sample`; samples of under 10,000 reads have none.
+
+    As known_adapter() for each, by the same jobs for all: each sample's first reads are counted and voted on.
+    """
+    d = df.where(F.col("read_id") < ADAPTER_SAMPLE).withColumn("_size", F.length(seq).cast("long"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("sample").orderBy("read_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The running sum is over a bounded sample of each sample's reads.
+    first = d.withColumn("_before", before).where(F.col("_before") < ADAPTER_BASES)
+    counts = {r["sample"]: r for r in first.groupBy("sample").agg(F.count("*").alias("n"), F.count_if(F.col("read_id") < VOTE_SAMPLE).alias("voting")).collect()}
+    out = dict.fromkeys(counts, "")
+    votes = adapter_votes(first, adapters, seq)
+    best: dict[str, tuple] = {}
+    for r in votes.collect():  # a row for each known adapter of each sample
+        rank = (-r.hits, r.adapter)
+        if r["sample"] not in best or rank < best[r["sample"]][0]:
+            best[r["sample"]] = rank, r
+    for s, (_, r) in best.items():
+        n = counts[s].voting
+        if counts[s].n >= LEAST_READS and (r.hits > n / 50 or (r.hits > n / 200 and r.mismatches < r.hits)):
+            out[s] = r.adapter
+    return out
+
+
 def find_adapter(df: DataFrame, seq: str = "seq", adapters: dict[str, str] | None = None, literal: bool = False) -> str:
     """A known adapter, or one grown from a frequent 10-mer; '' if there is neither or there are under 10,000 reads.
 
     What stands around the 10-mers is gathered for each of them by a task, from the bounded sample, and the adapter is cut to _MOST bases.
     """
     sample = first_bases(df, ADAPTER_SAMPLE, ADAPTER_BASES, seq).select("read_id", F.col(seq).alias("seq"))
-    if sample.count() < 10_000:
+    if sample.count() < LEAST_READS:
         return ""
     if known := known_adapter(sample, adapters):
         return known

@@ -75,7 +75,7 @@ PAIRED = (
 
 
 def process(df: DataFrame, o: Options, wanted: tuple[str, ...] | None = None) -> DataFrame:
-    """Every read or pair after all steps, with what each step did to it. df as for prepared(), and strand1, strand2 if it has them.
+    """Every read or pair after all steps, with what each step did to it. df as for prepared(), and strand1, strand2 and sample if it has them.
 
     wanted: the only columns to make, in any order; of the rest nothing leaves the pass over Arrow batches, and of names
     and strands nothing enters it.
@@ -84,13 +84,15 @@ def process(df: DataFrame, o: Options, wanted: tuple[str, ...] | None = None) ->
     mates = (1, 2) if o.paired else (1,)
     fields = {f.split()[0]: f for f in (PAIRED if o.paired else SINGLE).split(", ")}
     given = [f"strand{m}" for m in mates if f"strand{m}" in df.columns]
+    if "sample" in df.columns:
+        fields["sample"] = "sample string"
     columns = [c for c in fields if (wanted is None or c in wanted) and (not c.startswith("strand") or c in given)]
     if wanted is not None and (unknown := set(wanted) - set(columns)):
         raise ValueError(f"no such columns: {sorted(unknown)}")
     if wanted is not None and "is_dup" not in wanted and not o.dedup:
         o = replace(o, eval_duplication=False)
     needed = {"read_id", "is_dup", *columns} | ({"name1"} if "merged_name" in columns else set())
-    names = ["read_id", "is_dup", *(f"{c}{m}" for m in mates for c in ("name", "seq", "strand", "qual") if c in ("seq", "qual") or f"{c}{m}" in needed)]
+    names = ["read_id", "is_dup", *(["sample"] if "sample" in columns else []), *(f"{c}{m}" for m in mates for c in ("name", "seq", "strand", "qual") if c in ("seq", "qual") or f"{c}{m}" in needed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,6 +174,8 @@ def _batch(b: pa.RecordBatch, o: Options, wanted: set[str]) -> dict[str, Callabl
             f"lost{m}": lambda m=m: pa.array(lost[m]), f"front{m}": lambda m=m: pa.array(front[m], pa.int32()),
             f"trimmed{m}": lambda m=m: pa.array(trimmed[m]), f"adapters{m}": lambda m=m: pa.array(adapters[m], pa.list_(pa.string())),
         }
+    if "sample" in col:
+        out["sample"] = lambda: col["sample"]
     out |= {"read_id": lambda: col["read_id"], "is_dup": lambda: col["is_dup"], "dimer": lambda: pa.array(dimer)}
     if o.paired:
         out |= {"overlapped": lambda: pa.array(ov.found), "gap": lambda: pa.array(ov.gap), "corrections": lambda: pa.array(changes or [[]] * n, pa.list_(pa.string()))}
@@ -256,7 +260,7 @@ def filter_counts(done: DataFrame, o: Options) -> DataFrame:
 
 
 def routes(done: DataFrame, o: Options) -> DataFrame:
-    """One row for each record written: read_id, mate (0: merged), target, name (with its tag in failed), seq, strand, qual.
+    """One row for each record written: (sample,) read_id, mate (0: merged), target, name (with its tag in failed), seq, strand, qual.
 
     Targets: out1, out2, unpaired1, unpaired2, failed, merged, overlapped. Pairs of which both mates fail go to
     failed too, as documented; with o.literal they are written nowhere.
@@ -290,4 +294,5 @@ def routes(done: DataFrame, o: Options) -> DataFrame:
         if o.overlapped_out:
             part = F.struct(F.lit(1).alias("mate"), F.lit("overlapped").alias("target"), F.col("name1").alias("name"), F.col("overlap_seq").alias("seq"), strand(1), F.col("overlap_qual").alias("qual"))
             rows = F.concat(rows, F.when(F.col("overlap_seq").isNotNull(), F.array(part)).otherwise(none))
-    return done.select("read_id", F.explode(rows).alias("r")).select("read_id", "r.*")
+    own = [c for c in ("sample", "read_id") if c in done.columns]
+    return done.select(*own, F.explode(rows).alias("r")).select(*own, "r.*")

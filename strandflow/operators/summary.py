@@ -14,6 +14,8 @@ A state is rows of block, kind, key and place with four sums. Blocks are groups
 | adapter1, adapter2 | sequence cut off | | reads |
 | trimmed1, trimmed2, dup, corrected, merged | | | reads; corrected: bases in a |
 | poly | base | | reads, bases in a |
+
+Reads of several samples have a column `sample`, and a state of their own for each.
 """
 
 from __future__ import annotations
@@ -54,12 +56,13 @@ def summarize(df: DataFrame, blocks: dict[str, Block], run: Options | None = Non
     """The state of df, added up. run: df is the result of a run with these options, and what it did is counted too."""
     flags = dict(zip(blocks, free_names(df, *(f"in_{b}" for b in blocks)), strict=True))
     facts = _fact_columns(df, run) if run else []
-    columns = list(dict.fromkeys([*(c for b in blocks.values() for c in (b.seq, b.qual)), *facts, *(["read_id"] if any(b.candidates for b in blocks.values()) else [])]))
+    by = ["sample"] if "sample" in df.columns else []
+    columns = list(dict.fromkeys([*by, *(c for b in blocks.values() for c in (b.seq, b.qual)), *facts, *(["read_id"] if any(b.candidates for b in blocks.values()) else [])]))
     rows = df.select(*columns, *(F.coalesce(F.lit(True) if b.where is None else b.where, F.lit(False)).alias(flags[n]) for n, b in blocks.items()))
     plain = {n: (b.seq, b.qual, b.candidates, b.sampling) for n, b in blocks.items()}
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, sample in _samples(batches) if by else ((b, None) for b in batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out: list[pa.RecordBatch] = []
             for name, (seq, qual, candidates, sampling) in plain.items():
@@ -69,12 +72,20 @@ def summarize(df: DataFrame, blocks: dict[str, Block], run: Options | None = Non
                 out += _of_reads(name, *own, ids, candidates, sampling)
             if run:
                 out += _of_run(col, run)
-            yield from out
+            for part in out:
+                yield part if sample is None else part.add_column(0, "sample", pa.array([sample] * part.num_rows, pa.string()))
 
-    added = rows.mapInArrow(partial, SCHEMA).groupBy("block", "kind", "key", "place")
+    added = rows.mapInArrow(partial, "sample string, " * len(by) + SCHEMA).groupBy(*by, "block", "kind", "key", "place")
     return added.agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "c")))
 
 
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, str]]:
+    for batch in batches:
+        own = batch.column(batch.schema.get_field_index("sample"))
+        for sample in pc.unique(own).to_pylist():
+            yield batch.filter(pc.equal(own, sample)), sample
+
+
 def _rows(block: str, kind: str, key=None, place=None, n=None, a=None, b=None, c=None) -> pa.RecordBatch:
     size = len(n)
     texts = lambda x: pa.array([x] * size if isinstance(x, str) else x, pa.string())
@@ -165,13 +176,13 @@ def _counted(*codes: tuple[np.ndarray, int]) -> Counter:
 
 
 class Figures:
-    """A state without its adapters, in the driver: as many rows as cycles, k-mers, qualities, codes and candidates."""
+    """The state of one sample in the driver: as many rows as cycles, k-mers, qualities, codes and candidates, and adapters of a share."""
 
-    def __init__(self, state: DataFrame):
-        self.state = state
+    def __init__(self):
         self.rows: dict[tuple[str, str], dict[tuple[str, int], tuple[int, int, int, int]]] = {}
-        for r in state.where(~F.col("kind").isin("adapter1", "adapter2")).collect():
-            self.rows.setdefault((r.block, r.kind), {})[r.key, r.place] = (r.n, r.a, r.b, r.c)
+        #: By mate: adapters of a hundredth of all that were cut at least, with the rest as others; and the bases cut.
+        self.adapters: dict[int, dict[str, int]] = {1: {}, 2: {}}
+        self.adapter_bases: dict[int, int] = {1: 0, 2: 0}
 
     def of(self, block: str, kind: str) -> dict[tuple[str, int], tuple[int, int, int, int]]:
         return self.rows.get((block, kind), {})
@@ -179,8 +190,21 @@ class Figures:
     def total(self, kind: str, what: int = 0, block: str = "run") -> int:
         return sum(v[what] for v in self.of(block, kind).values())
 
-    def adapters(self, mate: int) -> DataFrame:
-        return self.state.where(F.col("kind") == f"adapter{mate}").select(F.col("key").alias("adapter"), "n")
 
-    def adapter_bases(self, mate: int) -> int:
-        return self.adapters(mate).agg(F.sum(F.length("adapter") * F.col("n"))).first()[0] or 0
+def figures(state: DataFrame, share: float = 0.01) -> dict[str, Figures]:
+    """The figures of each sample of a written state ('' where there are no samples), by two jobs for all of them."""
+    by = ["sample"] if "sample" in state.columns else []
+    out: dict[str, Figures] = {}
+    of = lambda r: out.setdefault(r["sample"] if by else "", Figures())
+    is_adapter = F.col("kind").isin("adapter1", "adapter2")
+    for r in state.where(~is_adapter).collect():
+        of(r).rows.setdefault((r.block, r.kind), {})[r.key, r.place] = (r.n, r.a, r.b, r.c)
+    cut = state.where(is_adapter).select(*by, "kind", "key", "n")
+    totals = cut.groupBy(*by, "kind").agg(F.sum("n").alias("total"), F.sum(F.length("key") * F.col("n")).alias("bases"))  # a row for each mate of a sample
+    name = F.when(F.col("n") >= share * F.col("total"), F.col("key")).otherwise("others")
+    shares = cut.join(totals, [*by, "kind"]).groupBy(*by, "kind", "bases", name.alias("adapter")).agg(F.sum("n").alias("n"))
+    for r in sorted(shares.collect(), key=lambda r: (r.adapter == "others", len(r.adapter), r.adapter)):
+        mate = int(r.kind[-1])
+        of(r).adapters[mate][r.adapter] = r.n
+        of(r).adapter_bases[mate] = r.bases
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandflow.operators import pipeline as run
 from strandflow.operators import stats
 from strandflow.operators.dedup import duplicate_counts
-from strandflow.operators.summary import Block, Figures, summarize
+from strandflow.operators.summary import Block, Figures, figures, summarize
 from strandflow.plans.options import Options
 from strandflow.plans.session import discard, settle
 
@@ -64,6 +64,12 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
     Each is read once, into a state (operators.summary) that is written before it is looked at; raw once more for the keys of all
     reads where an index list keeps some from `done`.
     """
+    return build_samples(raw, done, {"": o}, command, overrep)[""]
+
+
+def build_samples(raw: DataFrame, done: DataFrame, options: dict[str, Options], command: str = "", overrep: dict[int, DataFrame] | None = None) -> dict[str, dict]:
+    """The reports of all samples, by the same jobs as for one. Reads have a column `sample`; the options may differ in what was detected."""
+    o = next(iter(options.values()))
     mates = (1, 2) if o.paired else (1,)
     known = {m: tuple(sorted({r.seq for r in c.select("seq").collect()})) for m, c in (overrep or {}).items()}  # small sets by their making
     block = lambda m, seq, qual, where=None: Block(seq, qual, where, known.get(m, ()), o.overrep_sampling)
@@ -74,7 +80,18 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
     else:
         kept = {f"read{m}_after_filtering": block(m, f"seq{m}", f"qual{m}", (F.col("result") == 0) & emit) for m in mates}
     states = [settle(summarize(raw, {f"read{m}_before_filtering": block(m, f"seq{m}", f"qual{m}") for m in mates})), settle(summarize(done, kept, o))]
-    first, f = map(Figures, states)
+    first, then = map(figures, states)
+    rates = {}
+    if o.eval_duplication and (o.index_blacklist1 or o.index_blacklist2):
+        rates = {r["sample"] if "sample" in raw.columns else "": r.rate for r in duplicate_counts(raw, [f"seq{m}" for m in mates]).collect()}
+    discard(*states)
+    none = Figures()
+    return {s: _report(first.get(s, none), then.get(s, none), own, list(kept), set(known), rates.get(s), command) for s, own in options.items()}
+
+
+def _report(first: Figures, f: Figures, o: Options, kept: list[str], known: set[int], rate: float | None, command: str) -> dict:
+    """The report of one sample from its figures before and after; known: mates of which sequences were looked for; rate: of duplicates, where it is not in the figures."""
+    mates = (1, 2) if o.paired else (1,)
     before = {m: _block(first, f"read{m}_before_filtering", o.overrep_sampling if m in known else 0) for m in mates}
     after = {name: _block(f, name, o.overrep_sampling if (2 if name.startswith("read2") else 1) in known else 0) for name in kept}
     counts = {code: v[0] for (_, code), v in f.of("run", "result").items()}
@@ -87,9 +104,7 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
             filtering |= {"corrected_reads": f.total("corrected"), "corrected_bases": f.total("corrected", 1)}
     out = {"summary": {"version": VERSION, "sequencing": f"{'paired' if o.paired else 'single'} end", "before_filtering": _whole([before[m]["summary"] for m in mates]), "after_filtering": _whole([a["summary"] for a in after.values()])}, "filtering_result": filtering}
     if o.eval_duplication:
-        if o.index_blacklist1 or o.index_blacklist2:
-            rate = duplicate_counts(raw, [f"seq{m}" for m in mates]).first().rate
-        else:
+        if rate is None:
             rate = f.total("dup") / f.total("dup", 1) if f.total("dup", 1) else 0.0
         out["duplication"] = {"rate": rate}
     if o.paired:
@@ -98,11 +113,10 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
         peak = min((k for k, v in known_sizes.items() if v == max(known_sizes.values())), default=0)
         out["insert_size"] = {"peak": peak, "unknown": sizes.get(512, 0), "histogram": [known_sizes.get(i, 0) for i in range(512)]}
     if o.adapter_trimming and (o.paired or o.adapter not in ("", "auto")):
-        cut = {"adapter_trimmed_reads": sum(f.total(f"trimmed{m}") for m in mates), "adapter_trimmed_bases": sum(f.adapter_bases(m) for m in mates)}
+        cut = {"adapter_trimmed_reads": sum(f.total(f"trimmed{m}") for m in mates), "adapter_trimmed_bases": sum(f.adapter_bases[m] for m in mates)}
         for m in mates:
             cut[f"read{m}_adapter_sequence"] = (o.adapter if m == 1 else o.adapter_r2) or "unspecified"
-            found = stats.adapter_report(f.adapters(m)).orderBy(F.col("adapter") == "others", F.length("adapter"), "adapter")
-            cut[f"read{m}_adapter_counts"] = {r.adapter: r.n for r in found.collect()}
+            cut[f"read{m}_adapter_counts"] = f.adapters[m]
         out["adapter_cutting"] = cut
     if o.poly_x:
         poly = {b: v for (b, _), v in f.of("run", "poly").items()}
@@ -114,7 +128,6 @@ def build(raw: DataFrame, done: DataFrame, o: Options, command: str = "", overre
         out[name] = a["report"]
     if o.merge:
         out["_merged_pairs"] = f.total("merged")
-    discard(*states)
     return out | {"command": command}
 
 

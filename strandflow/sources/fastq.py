@@ -218,6 +218,25 @@ def read_interleaved(spark: SparkSession, path: str, limit: int = 0, span: int =
     return read_ranges(spark, ranges([found], span, True, limit), 2).drop("file")
 
 
+def read_samples(spark: SparkSession, samples: dict[str, tuple[str, str]], limit: int = 0, span: int = SPAN_BYTES) -> DataFrame:
+    """sample, read_id, name1, ... of single reads, or of pairs, of many files in one table; large files by many tasks each."""
+    paired = any(two for _, two in samples.values())
+    found, small = [], []
+    for one, two in samples.values():
+        own = [index(spark, p, span, 4 * limit) for p in ((one, two) if paired else (one,))]
+        if None in own:
+            small += [one, two] if paired else [one]
+        else:
+            found += ranges(own, span, False, limit)
+    parts = [_load(spark, tuple(small), limit, "files" if paired else "")] if small else []
+    parts += [read_ranges(spark, found, 2 if paired else 1)] if found else []
+    d = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if not paired:
+        d = d.withColumnsRenamed({c: f"{c}1" for c in _RECORD})
+    names = spark.createDataFrame([(one, s) for s, (one, _) in samples.items()], "file string, sample string")
+    return d.join(F.broadcast(names), "file").drop("file")  # as many rows as samples
+
+
 def read_stream(spark: SparkSession, folder: str, files_at_once: int = 0) -> DataFrame:
     """The records of the FASTQ files that arrive in a folder; read_id is 2**40 times the file's number and counts on within the file."""
     spark.dataSource.register(FastqSource)

@@ -202,7 +202,7 @@ def write_parts(rows: DataFrame, files: list[str], level: int) -> tuple[str, dic
     """Write rows of file, read_id, mate and value; the name of this write and the parts of each file in order."""
     spark, run = rows.sparkSession, uuid.uuid4().hex
     spark.dataSource.register(PartsSink)
-    dealt = rows.repartitionByRange("read_id").sortWithinPartitions("file", "read_id", "mate").select("file", "value")
+    dealt = rows.repartitionByRange("file", "read_id").sortWithinPartitions("file", "read_id", "mate").select("file", "value")
     dealt.write.format("fastq_parts").mode("append").option("run", run).option("level", str(level)).option("files", json.dumps(files)).save()
     system, inner = file_system(os.path.join(_beside(files[0], run), _MANIFEST))
     with system.open_input_stream(inner, compression=None) as f:
@@ -268,6 +268,13 @@ def write_rows(rows: DataFrame, files: list[str], level: int, overwrite: bool, j
     (join_parts if join else keep_parts)(rows.sparkSession, run, order)
 
 
+def write_samples(routed: DataFrame, files: dict[tuple[str, str], str], level: int = 4, overwrite: bool = True, join: bool = True) -> None:
+    """The files of all samples in one write: `files` has the name for each sample and target."""
+    table = routed.sparkSession.createDataFrame([(s, t, f) for (s, t), f in files.items()], "sample string, target string, file string")
+    rows = routed.join(F.broadcast(table), ["sample", "target"]).select("file", "read_id", "mate", record_text().alias("value"))  # as many rows as files
+    write_rows(rows, list(dict.fromkeys(files.values())), level, overwrite, join)
+
+
 def write_files(routed: DataFrame, targets: dict[str, str], level: int = 4, overwrite: bool = True, join: bool = True) -> None:
     """One file for each name in `targets`, of the records of all targets with that name, in the order of reads."""
     name = F.create_map(*(F.lit(x) for t in targets.items() for x in t))[F.col("target")]
