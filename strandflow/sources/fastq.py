@@ -2,8 +2,7 @@
 
 The source `fastq` has one task for each file or pair of files, gzip (of one or many members) or plain, on any file
 system that pyarrow opens; mates are put together as they are read. Records are numbered in file order; a malformed
-record ends its file, as if it ended there. Large plain files and those of gzip blocks with their sizes are read by
-many tasks (module `spans`). As a stream the source takes the files of a folder as they arrive.
+record ends its file, as if it ended there. Large files are read by many tasks (module `spans`). As a stream the source takes the files of a folder as they arrive.
 """
 
 from __future__ import annotations
@@ -18,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from strandflow.sources.places import file_system
 from strandflow.sources.spans import RECORD as _RECORD
-from strandflow.sources.spans import file_system, index, ranges, read_ranges
+from strandflow.sources.spans import index, ranges, read_ranges
 
 SCHEMA = "file string, read_id long, " + ", ".join(f"{c} string" for c in _RECORD)
 PAIRS = "file string, read_id long, " + ", ".join(f"{c}{m} string" for m in (1, 2) for c in _RECORD)

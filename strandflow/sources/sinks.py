@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from strandflow.operators.single_steps import split_by_files, split_by_lines
 from strandflow.plans.options import Options
 from strandflow.plans.session import settle, shared_dir
-from strandflow.sources.fastq import file_system
+from strandflow.sources.places import file_system
 
 _COPY_BYTES = 4 << 20
 _MANIFEST = "_parts.json"

@@ -8,7 +8,8 @@ wanted, spans are looked at in waves, each twice as many as before, until there
 A range of records is read from the last mark before it. So tasks read the same range of two files side by side, or of one file with
 both mates, and nothing is shuffled. Lines become Arrow columns by their offsets, without a Python string for each.
 
-Plain files and gzip files of blocks that state their sizes can be read so.
+Plain files and gzip files of blocks that state their sizes can be read so. A gzip file packed in one go is looked at by one task, which
+writes restart points (module `restart`); the marks are these points, and ranges are read by many tasks as well.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandflow.plans.session import shared_dir
+from strandflow.sources import restart
+from strandflow.sources.places import file_system
+
 #: Bytes of a chunk, unpacked, before which line ends are counted.
 CHUNK = 1 << 20
 #: The first bytes of a gzip block that states its size.
@@ -30,12 +35,6 @@ _BLOCK = b"\x1f\x8b\x08\x04"
 RECORD = ("name", "seq", "strand", "qual")
 
 
-def file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def block_size(head: bytes) -> int:
     """The bytes of the gzip block with this head; 0 if it does not state them."""
     if len(head) < 18 or not head.startswith(_BLOCK) or head[10:16] != b"\x06\x00BC\x02\x00":
@@ -99,12 +98,18 @@ class Look:
 
 
 def look(path: str, start: int, stop: int) -> Look:
+    """The first pass over a span of bytes."""
+    return _look(chunks(path, start, stop), stop)
+
+
+def _look(found: Iterator[tuple[int, bytes]], stop: int) -> Look:
+    """The same of chunks with their places, of which those at `stop` and behind belong to the next span; a place of -1 is no mark."""
     sizes, firsts = [], []  # of the lines, the first may have begun before the span
     marks, ends, size, own_lines, behind = [], 0, 0, 1, 0
     held, first, last = 0, -1, -1  # of the line that has not ended yet: bytes, first and last byte
     odd = ended = False
-    for place, data in chunks(path, start, stop):
-        if place < stop:
+    for place, data in found:
+        if 0 <= place < stop:
             marks.append((place, ends))
         a = np.frombuffer(data, np.uint8)
         at = np.flatnonzero(a == 0x0A)
@@ -161,6 +166,7 @@ class Index:
     marks: list[tuple[int, int]]
     lines: int
     size: int
+    points: str = ""  # the file of restart points that the marks are numbers of
 
     def before(self, line: int) -> tuple[int, int]:
         """A place to read from and the line ends to pass over until the line begins."""
@@ -177,7 +183,7 @@ def index(spark: SparkSession, path: str, span: int, lines: int = 0) -> Index |
         return None
     with system.open_input_file(inner) as f:
         if path.endswith(".gz") and not block_size(f.read(18)):
-            return None
+            return None if lines else _restarts(spark, path, span, size)
     starts = list(range(0, size, span))
     marks, ends, ended, done, wave = [], 0, True, 0, 1 if lines else len(starts)
     while done < len(starts) and (not lines or ends < lines):
@@ -191,6 +197,33 @@ def index(spark: SparkSession, path: str, span: int, lines: int = 0) -> Index |
     return Index(path, marks, ends + (not ended), size)
 
 
+def _restarts(spark: SparkSession, path: str, span: int, size: int) -> Index | None:
+    """The index of a file packed in one go, by one task that unpacks it; its points are some of the span's length apart."""
+    if not restart.available():
+        return None
+    points = shared_dir(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _ in range(b.num_rows):
+                # Points under a name of this attempt's own.
+                from pyspark import TaskContext
+
+                own = f"{points}/points-{TaskContext.get().taskAttemptId()}"
+                try:
+                    s = _look(restart.unpack(path, own, span), 1 << 62)
+                except zlib.error:  # what one task reads up to the error, as it does with any broken file
+                    s = Look(0, 0, True, [], [False] * 8)
+                cols = [pa.array([own]), pa.array([json.dumps([s.ends, s.size, s.ended, s.marks, s.whole])])]
+                yield pa.RecordBatch.from_arrays(cols, names=["points", "look"])
+
+    row = spark.range(0, 1, 1, 1).mapInArrow(run, "points string, look string").first()
+    s = Look(*json.loads(row.look))
+    if not s.size or not s.whole[4]:  # a line begins with the file, the first of its record
+        return None
+    return Index(path, s.marks, s.ends + (not s.ended), size, row.points)
+
+
 def _looked(spark: SparkSession, path: str, starts: list[int], span: int, size: int) -> list[Look]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,10 +237,10 @@ def _looked(spark: SparkSession, path: str, starts: list[int], span: int, size:
     return [Look(*json.loads(r.look)) for r in rows]
 
 
-def lines_from(path: str, place: int, skip: int, count: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def lines_from(path: str, place: int, skip: int, count: int, width: int, points: str = "") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes with the begins and ends of lines, some of `count` lines at a time, always a multiple of `width`; lines behind the file's end are empty."""
     carry, left = b"", count
-    for _, data in chunks(path, place):
+    for data in restart.resumed(path, points, place) if points else (x for _, x in chunks(path, place)):
         if skip:
             at = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A)
             if len(at) < skip:
@@ -252,11 +285,11 @@ def columns(a: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> li
 
 @dataclass
 class Range(InputPartition):
-    """Records first to stop (not included) of one file or of two side by side: file, place, line ends to pass over."""
+    """Records first to stop (not included) of one file or of two side by side: file, place, line ends to pass over, restart points."""
 
     first: int
     stop: int
-    files: list[tuple[str, int, int]]
+    files: list[tuple[str, int, int, str]]
     width: int
 
     def batches(self) -> Iterator[pa.RecordBatch]:
@@ -275,8 +308,8 @@ class Range(InputPartition):
             yield pa.RecordBatch.from_arrays([pa.array([self.files[0][0]] * n, pa.string()), ids, *cols], names=names)
             at += n
 
-    def _columns(self, path: str, place: int, skip: int) -> Iterator[list[pa.Array]]:
-        for a, begin, end in lines_from(path, place, skip, (self.stop - self.first) * self.width, self.width):
+    def _columns(self, path: str, place: int, skip: int, points: str) -> Iterator[list[pa.Array]]:
+        for a, begin, end in lines_from(path, place, skip, (self.stop - self.first) * self.width, self.width, points):
             yield columns(a, begin, end, self.width)
 
 
@@ -288,7 +321,7 @@ def ranges(indexes: list[Index], span: int, mates_in_one: bool, limit: int = 0)
     n = min(records, limit) if limit else records
     tasks = max(1, -(-max(i.size for i in indexes) // span))
     step = max(1, -(-records // tasks))
-    return [Range(a, min(a + step, n), [(i.path, *i.before(a * width)) for i in indexes], width) for a in range(0, n, step)]
+    return [Range(a, min(a + step, n), [(i.path, *i.before(a * width), i.points) for i in indexes], width) for a in range(0, n, step)]
 
 
 class _Reader(DataSourceReader):

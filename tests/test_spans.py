@@ -56,11 +56,56 @@ def test_irregular_files_go_to_one_task(spark, tmp_path):
         path.write_text(data, newline="")
         assert fastq.spans(spark, str(path), 1000) is None
         assert rows_of(fastq.read_single(spark, str(path), span=1000)) == rows_of(fastq.read_single(spark, str(path)))
-    import gzip
 
-    one = tmp_path / "one.fq.gz"
-    one.write_bytes(gzip.compress(ok.encode()))
-    assert fastq.spans(spark, str(one), 500) is None and fastq.read_single(spark, str(one), span=500).count() == 100
+
+def member(data, level=6, every=0):
+    """A gzip member, with a block's end after `every` bytes."""
+    c = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return b"".join(c.compress(data[i : i + every]) + c.flush(zlib.Z_BLOCK) for i in range(0, len(data), every)) + c.flush() if every else c.compress(data) + c.flush()
+
+
+@pytest.mark.parametrize("how", ["one", "blocks", "members", "stored"])
+def test_gzip_packed_in_one_go_by_many_tasks(spark, tmp_path, how):
+    data = text(4000).encode()
+    path = tmp_path / "a.fq.gz"
+    halves = len(data) // 2 + 7
+    path.write_bytes({"one": lambda: member(data), "blocks": lambda: member(data, every=9000), "members": lambda: member(data[:halves], every=20_000) + member(data[halves:], every=7000), "stored": lambda: member(data, 0)}[how]())
+    want = rows_of(fastq.read_single(spark, str(path)))
+    assert len(want) == 4000
+    d = fastq.spans(spark, str(path), 30_000)
+    assert d.rdd.getNumPartitions() > 1 and rows_of(fastq.read_single(spark, str(path), span=30_000)) == want
+    cols = ("read_id", "name1", "seq1", "strand1", "qual1", "name2", "seq2", "strand2", "qual2")
+    assert rows_of(fastq.read_interleaved(spark, str(path), span=30_000), cols) == rows_of(fastq.read_interleaved(spark, str(path)), cols)
+    other = tmp_path / "b.fq"
+    other.write_bytes(data)
+    assert rows_of(fastq.read_pairs(spark, str(path), str(other), span=30_000), cols) == rows_of(fastq.read_pairs(spark, str(path), str(other)), cols)
+
+
+def test_every_restart_point_gives_the_rest(tmp_path):
+    from strandflow.sources import restart
+
+    data = text(3000, seed=4).encode()
+    for k, packed in enumerate((member(data), member(data, every=5000), member(data, 1, 3333) + member(b"") + member(data, 9, 8000) + b"\0" * 9)):
+        path, points = str(tmp_path / f"{k}.gz"), str(tmp_path / f"{k}.points")
+        with open(path, "wb") as f:
+            f.write(packed)
+        whole = data * (2 if k == 2 else 1)
+        at, begun = 0, {}
+        for number, chunk in restart.unpack(path, points, 10_000):
+            if number >= 0:
+                begun[number] = at
+            at += len(chunk)
+        assert at == len(whole) and len(begun) > (1 if k == 0 else 5)
+        for number, start in begun.items():
+            assert b"".join(restart.resumed(path, points, number)) == whole[start:]
+
+
+def test_a_broken_gzip_file_goes_to_one_task(spark, tmp_path):
+    path = tmp_path / "a.fq.gz"
+    packed = bytearray(member(text(2000).encode(), every=4000))
+    packed[len(packed) // 2] ^= 255
+    path.write_bytes(packed)
+    assert fastq.spans(spark, str(path), 9000) is None
 
 
 def test_pairs_by_many_tasks(spark, tmp_path):
@@ -141,7 +186,7 @@ import resource, sys
 from strandflow.sources import spans
 base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 s = spans.look({str(path)!r}, 0, {path.stat().st_size})
-n = sum(b.num_rows for b in spans.Range(0, s.ends // 4, [({str(path)!r}, 0, 0)], 4).batches())
+n = sum(b.num_rows for b in spans.Range(0, s.ends // 4, [({str(path)!r}, 0, 0, '')], 4).batches())
 print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
 """
     n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
