@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from strandflow.sources.places import file_system
 from strandflow.sources.spans import RECORD as _RECORD
-from strandflow.sources.spans import index, ranges, read_ranges
+from strandflow.sources.spans import index, ranges, read_ranges, whole_files
 
 SCHEMA = "file string, read_id long, " + ", ".join(f"{c} string" for c in _RECORD)
 PAIRS = "file string, read_id long, " + ", ".join(f"{c}{m} string" for m in (1, 2) for c in _RECORD)
@@ -83,6 +83,10 @@ def _rows(part: _Files) -> Iterator[tuple]:
 
 
 def _batches(part: _Files) -> Iterator[pa.RecordBatch]:
+    whole = None if part.limit else whole_files(part.paths, part.mates == "one")
+    if whole is not None:
+        yield from whole.batches()
+        return
     names = [f.split()[0] for f in (PAIRS if part.mates else SCHEMA).split(", ")]
     rows = _rows(part)
     while block := list(islice(rows, _ROWS)):

@@ -324,6 +324,22 @@ def ranges(indexes: list[Index], span: int, mates_in_one: bool, limit: int = 0)
     return [Range(a, min(a + step, n), [(i.path, *i.before(a * width), i.points) for i in indexes], width) for a in range(0, n, step)]
 
 
+def whole_files(paths: tuple[str, ...], mates_in_one: bool) -> Range | None:
+    """All records of files that one task reads, if they are regular: it looks at them first, which takes less time than reading them line by line."""
+    found = []
+    for path in paths:
+        # Point 0 of a gzip file is its beginning, for which no file of points is read.
+        points = "-" if path.endswith(".gz") else ""
+        try:
+            s = _look(((-1, d) for d in restart.resumed(path, points, 0)) if points else chunks(path, 0), 1 << 62)
+        except zlib.error:
+            return None
+        if not s.whole[4]:
+            return None
+        found.append(Index(path, [(0, 0)], s.ends + (not s.ended and s.size > 0), s.size, points))
+    return next(iter(ranges(found, 1 << 62, mates_in_one)), Range(0, 0, [], 4))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.ranges = [Range(a, b, [tuple(f) for f in files], width) for a, b, files, width in json.loads(options["ranges"])]
