@@ -10,7 +10,9 @@ edit (text before it cannot see the edit) to the first boundary behind it that t
 both splits read the same characters. The new pre-tokens replace the old ones in their leaves, whose sums go up to
 the root. Only where leaves overflow are they dealt out anew, without encoding.
 
-Edits are (start, stop, replacement) in characters of the text before them, in order and not overlapping.
+Edits are (start, stop, replacement) in characters of the text before them, in order and not overlapping. Of a row whose edits
+are not so (a null edit, a null, negative or reversed place, one behind the text's end or before the edit before) none is applied: its
+text, tree and counts stay, n_edits is 0 and `error` says why. In other rows `error` is null; a null replacement is empty.
 
 Defined cases: a null text counts as empty (no tokens, no edits); an insertion has start = stop; repeated rows
 are counted each by itself; columns besides doc_id, text (and edits, tree) are ignored.
@@ -206,6 +208,22 @@ def _unpacked(stored: bytes) -> list[np.ndarray]:
     return out
 
 
+def fault(edits: list[tuple[int | None, int | None, str]], length: int) -> str | None:
+    """Why edits cannot be applied to a text of so many characters; None if they can."""
+    at = 0
+    for k, (start, stop, _) in enumerate(edits):
+        if start is None or stop is None:
+            return f"edit {k} has no place"
+        if start < 0 or stop < start:
+            return f"edit {k} ends before it starts or starts before the text"
+        if stop > length:
+            return f"edit {k} ends behind the text"
+        if start < at:
+            return f"edit {k} starts before the end of the one before"
+        at = stop
+    return None
+
+
 def build_trees(docs: DataFrame, ranks: str, *more: str) -> DataFrame:
     """doc_id, text, tree and n_tokens of every row, and the columns `more` of docs."""
     d = id_text(docs, *more)
@@ -221,7 +239,7 @@ def build_trees(docs: DataFrame, ranks: str, *more: str) -> DataFrame:
 
 
 def apply_edits(trees: DataFrame, ranks: str, edits_of: Callable[[str], list[Edit]] | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_edits, n_tokens_after, n_pieces, n_reencoded, the edited text and its tree, of rows with text and tree.
+    """doc_id, n_tokens, n_edits, n_tokens_after, n_pieces, n_reencoded, the edited text, its tree and error, of rows with text and tree.
 
     Edits come from the column edits array<struct<start: int, stop: int, put: string>> (null: none), or from edits_of(text).
     """
@@ -232,16 +250,18 @@ def apply_edits(trees: DataFrame, ranks: str, edits_of: Callable[[str], list[Edi
         enc, rows = bpe.encoder(ranks), []
         given = batch.column("edits").to_pylist() if own else None
         for i, (text, stored) in enumerate(zip(batch.column("text").to_pylist(), batch.column("tree").to_pylist(), strict=True)):
-            edits = [(e["start"], e["stop"], e["put"] or "") for e in given[i] or []] if own else edits_of(text)
+            edits = [(e["start"], e["stop"], e["put"] or "") if e else (None, None, "") for e in given[i] or []] if own else edits_of(text)
+            error = fault(edits, len(text))
+            edits = [] if error else edits
             tree = CountTree(text, enc, stored)
             before, pieces = tree.total, tree.pieces
             again = tree.edit(edits)
-            rows.append((before, len(edits), tree.total, pieces, again, tree.text, tree.pack() if edits else stored))
+            rows.append((before, len(edits), tree.total, pieces, again, tree.text, tree.pack() if edits else stored, error))
         cols = list(zip(*rows, strict=True))
         numbers = {n: pa.array(c, pa.int64()) for n, c in zip(("n_tokens", "n_edits", "n_tokens_after", "n_pieces", "n_reencoded"), cols, strict=False)}
-        return batch_of(doc_id=batch.column("doc_id"), **numbers, text=pa.array(cols[5], pa.string()), tree=pa.array(cols[6], pa.binary()))
+        return batch_of(doc_id=batch.column("doc_id"), **numbers, text=pa.array(cols[5], pa.string()), tree=pa.array(cols[6], pa.binary()), error=pa.array(cols[7], pa.string()))
 
-    return map_batches(d, run, "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_pieces long, n_reencoded long, text string, tree binary")
+    return map_batches(d, run, "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_pieces long, n_reencoded long, text string, tree binary, error string")
 
 
 def count_after_edits(docs: DataFrame, ranks: str, edits_of: Callable[[str], list[Edit]] | None = redactions) -> DataFrame:

@@ -66,3 +66,21 @@ def test_tables_of_trees_are_edited_again(spark):
     for r in rows:
         assert r.n_tokens_after == len(enc.encode(r.text)) // 4
     assert sorted(r.text for r in rows)[-1] == "wello wor!!!ld, it's me" or any("!!!" in r.text for r in rows)
+
+
+def test_edits_that_cannot_be_applied(spark):
+    cases = {
+        "null edit": [None], "no start": [(None, 2, "x")], "no stop": [(1, None, "x")], "reversed": [(4, 2, "x")], "negative": [(-1, 2, "x")], "behind": [(3, 12, "x")],
+        "overlap": [(0, 4, "x"), (3, 5, "y")], "out of order": [(6, 7, "x"), (1, 2, "y")], "good": [(0, 5, "we"), (5, 5, None)], "none": [], "null": None,
+    }
+    schema = "doc_id long, text string, name string, edits array<struct<start: int, stop: int, put: string>>"
+    docs = spark.createDataFrame([(i, "hello world", name, edits) for i, (name, edits) in enumerate(cases.items())], schema)
+    out = {r.doc_id: r for r in token_counts.count_after_edits(docs, RANKS, None).collect()}
+    for i, name in enumerate(cases):
+        r = out[i]
+        if name in ("good", "none", "null"):
+            assert r.error is None and r.text == ("we world" if name == "good" else "hello world") and r.n_edits == (2 if name == "good" else 0)
+        else:
+            assert r.error and r.text == "hello world" and (r.n_edits, r.n_reencoded) == (0, 0) and r.n_tokens_after == r.n_tokens
+    null = spark.createDataFrame([(1, None, [(0, 1, "x")]), (2, "", [(0, 0, "new")])], "doc_id long, text string, edits array<struct<start: int, stop: int, put: string>>")
+    assert sorted((r.text, bool(r.error)) for r in token_counts.count_after_edits(null, RANKS, None).collect()) == [("", True), ("new", False)]
