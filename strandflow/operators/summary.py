@@ -11,10 +11,14 @@ A state is rows of block, kind, key and place with four sums. Blocks are groups
 | quality | | quality | bases |
 | frequent | candidate sequence | place in the read | occurrences |
 | result, insert | | code, size | reads or pairs |
-| adapter1, adapter2 | sequence cut off | | reads |
+| adapter1, adapter2 | sequence cut off | | reads, less what the sketch gave up |
+| cut1, cut2 | | | sequences cut off, bases in a, in b what the sketch gave up at most for each |
 | trimmed1, trimmed2, dup, corrected, merged | | | reads; corrected: bases in a |
 | poly | base | | reads, bases in a |
 
+Sequences cut off are many and different, so that each task keeps a sketch of the frequent ones (`Frequent`), which bounds what is
+shuffled. Where sketches gave nothing up the counts are exact; else the few that may have their share are counted again by themselves.
+
 Reads of several samples have a column `sample`, and a state of their own for each.
 """
 
@@ -41,6 +45,31 @@ _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 CELLS = 1 << 23
 
 
+#: Sequences that a sketch keeps; it gives up less than one in so many of all there are.
+ROOM = 400
+
+
+class Frequent:
+    """The frequent ones of many sequences, in bounded space: sketches of parts add up to one of the whole."""
+
+    def __init__(self, room: int = ROOM):
+        self.room, self.counts, self.total, self.bases, self.given_up = room, Counter(), 0, 0, 0
+
+    def add(self, found: Counter) -> None:
+        self.total += sum(found.values())
+        self.bases += sum(len(x) * n for x, n in found.items())
+        self.counts.update(found)
+        if len(self.counts) > 4 * self.room:
+            self.prune()
+
+    def prune(self) -> None:
+        """All counts less the one behind the first `room`; what has none left goes."""
+        if len(self.counts) > self.room:
+            less = sorted(self.counts.values(), reverse=True)[self.room]
+            self.counts = Counter({x: n - less for x, n in self.counts.items() if n > less})
+            self.given_up += less
+
+
 @dataclass(frozen=True)
 class Block:
     """Reads whose statistics are wanted: columns, which rows, and sequences to look for in every sampling-th read."""
@@ -62,6 +91,8 @@ def summarize(df: DataFrame, blocks: dict[str, Block], run: Options | None = Non
     plain = {n: (b.seq, b.qual, b.candidates, b.sampling) for n, b in blocks.items()}
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = lambda part, sample: part if sample is None else part.add_column(0, "sample", pa.array([sample] * part.num_rows, pa.string()))
+        cut: dict[tuple, Frequent] = {}
         for batch, sample in _samples(batches) if by else ((b, None) for b in batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             out: list[pa.RecordBatch] = []
@@ -72,8 +103,14 @@ def summarize(df: DataFrame, blocks: dict[str, Block], run: Options | None = Non
                 out += _of_reads(name, *own, ids, candidates, sampling)
             if run:
                 out += _of_run(col, run)
+                for m in (m for m in (1, 2) if f"adapters{m}" in col):
+                    cut.setdefault((sample, m), Frequent()).add(Counter(a for a in pc.list_flatten(col[f"adapters{m}"]).to_pylist() if a))
             for part in out:
-                yield part if sample is None else part.add_column(0, "sample", pa.array([sample] * part.num_rows, pa.string()))
+                yield named(part, sample)
+        for (sample, m), f in cut.items():
+            f.prune()
+            yield named(_rows("run", f"adapter{m}", list(f.counts), None, list(f.counts.values())), sample)
+            yield named(_rows("run", f"cut{m}", n=[f.total], a=[f.bases], b=[f.given_up]), sample)
 
     added = rows.mapInArrow(partial, "sample string, " * len(by) + SCHEMA).groupBy(*by, "block", "kind", "key", "place")
     return added.agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "c")))
@@ -143,8 +180,6 @@ def _of_run(col: dict[str, pa.Array], o: Options) -> Iterator[pa.RecordBatch]:
     for m in mates:
         if f"trimmed{m}" in col:
             yield _rows("run", f"trimmed{m}", n=[pc.sum(col[f"trimmed{m}"].cast(pa.int64())).as_py() or 0])
-            found = Counter(a for a in pc.list_flatten(col[f"adapters{m}"]).to_pylist() if a)
-            yield _rows("run", f"adapter{m}", list(found), None, list(found.values()))
         if f"poly{m}" in col:
             base, size = col[f"poly{m}"].to_numpy(zero_copy_only=False), col[f"poly_len{m}"].to_numpy(zero_copy_only=False)
             for b in "ATCG":
@@ -191,20 +226,45 @@ class Figures:
         return sum(v[what] for v in self.of(block, kind).values())
 
 
-def figures(state: DataFrame, share: float = 0.01) -> dict[str, Figures]:
-    """The figures of each sample of a written state ('' where there are no samples), by two jobs for all of them."""
+def figures(state: DataFrame, done: DataFrame | None = None, share: float = 0.01) -> dict[str, Figures]:
+    """The figures of each sample of a written state ('' where there are no samples), by two jobs for all of them.
+
+    done: what the state is of; where sketches gave something up its adapters are read once more, for the sequences that may have the share.
+    """
     by = ["sample"] if "sample" in state.columns else []
     out: dict[str, Figures] = {}
     of = lambda r: out.setdefault(r["sample"] if by else "", Figures())
     is_adapter = F.col("kind").isin("adapter1", "adapter2")
     for r in state.where(~is_adapter).collect():
         of(r).rows.setdefault((r.block, r.kind), {})[r.key, r.place] = (r.n, r.a, r.b, r.c)
-    cut = state.where(is_adapter).select(*by, "kind", "key", "n")
-    totals = cut.groupBy(*by, "kind").agg(F.sum("n").alias("total"), F.sum(F.length("key") * F.col("n")).alias("bases"))  # a row for each mate of a sample
-    name = F.when(F.col("n") >= share * F.col("total"), F.col("key")).otherwise("others")
-    shares = cut.join(totals, [*by, "kind"]).groupBy(*by, "kind", "bases", name.alias("adapter")).agg(F.sum("n").alias("n"))
-    for r in sorted(shares.collect(), key=lambda r: (r.adapter == "others", len(r.adapter), r.adapter)):
-        mate = int(r.kind[-1])
-        of(r).adapters[mate][r.adapter] = r.n
-        of(r).adapter_bases[mate] = r.bases
+    mate = F.substring("kind", -1, 1).cast("int").alias("mate")
+    totals = state.where(F.col("kind").isin("cut1", "cut2")).select(*by, mate, F.col("n").alias("total"), F.col("b").alias("given_up"))  # two rows a sample
+    some = state.where(is_adapter).select(*by, mate, "key", "n").join(totals, [*by, "mate"]).where(F.col("n") + F.col("given_up") >= share * F.col("total"))
+    counts: dict[tuple[str, int], dict[str, int]] = {}
+    for r in some.collect():  # of each mate of a sample as many as can have the share
+        counts.setdefault((r["sample"] if by else "", r.mate), {})[r.key] = r.n
+    sure = lambda s, m: not out[s].total(f"cut{m}", 2)
+    if unsure := {k: c for k, c in counts.items() if not sure(*k)}:
+        counts |= _recounted(done, unsure)
+    for s, f in out.items():
+        for m in (1, 2):
+            total = f.total(f"cut{m}")
+            found = {x: n for x, n in counts.get((s, m), {}).items() if n >= share * total}
+            rest = total - sum(found.values())
+            f.adapters[m] = {x: found[x] for x in sorted(found, key=lambda x: (len(x), x))} | ({"others": rest} if rest else {})
+            f.adapter_bases[m] = f.total(f"cut{m}", 1)
+    return out
+
+
+def _recounted(done: DataFrame, unsure: dict[tuple[str, int], dict[str, int]]) -> dict[tuple[str, int], dict[str, int]]:
+    """How often the sequences named were cut off; only these are counted and shuffled, of the columns with adapters."""
+    by = ["sample"] if "sample" in done.columns else []
+    wanted = done.sparkSession.createDataFrame([(s, m, x) for (s, m), c in unsure.items() for x in c], "sample string, mate int, key string")
+    mates = [m for m in (1, 2) if f"adapters{m}" in done.columns]
+    each = [done.select(*by, F.lit(m).alias("mate"), F.explode(f"adapters{m}").alias("key")) for m in mates]
+    rows = each[0] if len(each) == 1 else each[0].unionByName(each[1])
+    found = rows.join(F.broadcast(wanted), [*by, "mate", "key"]).groupBy(*by, "mate", "key").agg(F.count("*").alias("n"))  # under 200 a mate
+    out: dict[tuple[str, int], dict[str, int]] = {k: {} for k in unsure}
+    for r in found.collect():
+        out[r["sample"] if by else "", r.mate][r.key] = r.n
     return out

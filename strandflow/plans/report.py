@@ -80,7 +80,7 @@ def build_samples(raw: DataFrame, done: DataFrame, options: dict[str, Options],
     else:
         kept = {f"read{m}_after_filtering": block(m, f"seq{m}", f"qual{m}", (F.col("result") == 0) & emit) for m in mates}
     states = [settle(summarize(raw, {f"read{m}_before_filtering": block(m, f"seq{m}", f"qual{m}") for m in mates})), settle(summarize(done, kept, o))]
-    first, then = map(figures, states)
+    first, then = figures(states[0]), figures(states[1], done)
     rates = {}
     if o.eval_duplication and (o.index_blacklist1 or o.index_blacklist2):
         rates = {r["sample"] if "sample" in raw.columns else "": r.rate for r in duplicate_counts(raw, [f"seq{m}" for m in mates]).collect()}

@@ -117,3 +117,43 @@ def test_phred64_and_listed_reads_in_reports(spark):
     listed = Options(paired=True, index_blacklist1=("ACGT",))
     out = report.build(raw, run.process(raw, listed), listed)
     assert out["duplication"] == b["duplication"] and out["duplication"]["rate"] > 0 and out["read1_after_filtering"]["total_reads"] == 0
+
+
+def adapters_of(spark, found, parts):
+    """done, as far as adapters go: each read with the sequence cut off."""
+    rows = [(0, False, [x], bool(x)) for x in found]
+    return spark.createDataFrame(rows, "result int, is_dup boolean, adapters1 array<string>, trimmed1 boolean").withColumns({"seq1": F.lit("A"), "qual1": F.lit("I")}).repartition(parts)
+
+
+@pytest.mark.parametrize("room", [400, 120, 101])
+def test_frequent_adapters_of_many_different_ones(spark, monkeypatch, room):
+    monkeypatch.setattr(summary.Frequent.__init__, "__defaults__", (room,))
+    rnd = random.Random(7)
+    tails = ["".join(rnd.choice("ACGT") for _ in range(12)) for _ in range(3000)]
+    found = tails + ["AGATCGG"] * 900 + ["AGAT"] * 52 + ["CTGTC"] * 39 + [""] * 100
+    rnd.shuffle(found)
+    d = adapters_of(spark, found, 3)
+    o = Options(adapter=R1)
+    state = summary.summarize(d, {"x": summary.Block("seq1", "qual1")}, o).cache()
+    f = summary.figures(state, d)[""]
+    total = len(found) - 100
+    assert total == 3991 and f.adapters[1] == {"AGAT": 52, "AGATCGG": 900, "others": total - 952}
+    assert f.adapter_bases[1] == sum(map(len, found))
+    if room < 400:
+        assert f.total("cut1", 2) > 0 and f.total("cut1", 2) <= total / room * 1.01 + 3
+    # What is shuffled is bounded by the sketches' room, not by how many there are.
+    assert state.where("kind = 'adapter1'").agg(F.count("*")).first()[0] <= 3 * room
+    state.unpersist()
+
+
+def test_sketches_bound_what_they_give_up():
+    rnd = random.Random(1)
+    for room in (5, 50):
+        f, true = summary.Frequent(room), summary.Counter()
+        for _ in range(40):
+            part = summary.Counter(str(int(rnd.expovariate(0.05))) for _ in range(300))
+            f.add(part)
+            true.update(part)
+        f.prune()
+        assert f.total == 12_000 and f.given_up <= f.total / room and len(f.counts) <= room
+        assert all(true[x] - f.given_up <= f.counts[x] <= true[x] for x in true)
