@@ -108,6 +108,7 @@ def run_files(spark: SparkSession, a: argparse.Namespace) -> dict:
     if o.stdin:
         discard_path(spark, path)
     out = report.build(raw, done, o, " ".join(sys.argv), overrep)
+    discard(raw, done, *overrep.values())
     if a.json:
         write_text(a.json, report.to_json(out))
     if a.html:
