@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,16 +81,22 @@ def salted_join(rows: DataFrame, groups: DataFrame, on: str, size: str, spread_b
         return rows.join(F.broadcast(groups), on, how)
     limit = max(HOT_ROWS, -(-(total[1] or 0) // HOT_KEYS))
     copies = F.expr(f"cast(({size} - 1) div {limit} as int)")
-    hot = groups.where(copies > 0).select(on, copies.alias("__copies"))
-    turn = F.pmod(F.xxhash64(*spread_by, F.spark_partition_id()), F.col("__copies") + 1).cast("int")
-    salted = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(turn, F.lit(0))).drop("__copies")
-    dealt = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies)))
-    return salted.join(dealt, [on, "__salt"], how).drop("__salt")
+    salt, times = unused({*rows.columns, *groups.columns}, "salt", "copies")
+    hot = groups.where(copies > 0).select(on, copies.alias(times))
+    turn = F.pmod(F.xxhash64(*spread_by, F.spark_partition_id()), F.col(times) + 1).cast("int")
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn(salt, F.coalesce(turn, F.lit(0))).drop(times)
+    dealt = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), copies)))
+    return salted.join(dealt, [on, salt], how).drop(salt)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for columns of one's own that df does not have, in any case of letters."""
-    taken = {c.lower() for c in df.columns}
+    return unused(df.columns, *wanted)
+
+
+def unused(columns: Iterable[str], *wanted: str) -> list[str]:
+    """Names that are not among columns, in any case of letters."""
+    taken = {c.lower() for c in columns}
     out = []
     for name in wanted:
         own, i = f"__{name}", 0
