@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.plans.session import discard, expose, if_small, salted_join, settle, shared_dir, spread  # noqa: F401  (shared by the operators)
+from strandflow.plans.session import discard, expose, free_names, if_small, salted_join, settle, shared_dir, spread  # noqa: F401  (shared by the operators)
 
 #: Bytes of an Arrow batch that Spark sends to Python: texts may be long.
 BATCH_BYTES = 2 << 20

@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import id_text, if_small, salted_join, settle
+from strandflow.llm.common import free_names, id_text, if_small, salted_join, settle
 
 SALTS = 16
 
@@ -70,14 +70,14 @@ def deduplicate(docs: DataFrame, salts: int = SALTS, digest=None) -> DataFrame:
 
 def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns. Only ids and digests of rows that go are joined."""
-    d = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)))
-    d = d.withColumn("__id", F.col("doc_id").cast("long"))
+    digest, own, gone, of, again = free_names(docs, "digest", "id", "gone", "of", "stays")
+    d = docs.withColumn(digest, F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)))
+    d = d.withColumn(own, F.col("doc_id").cast("long"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    away = settle(deduplicate(docs, salts).where(~F.col("kept")).select("doc_id", "digest", stays.alias("stays")).distinct())
-    away = away.withColumnsRenamed({"doc_id": "__gone", "digest": "__of"})
-    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__of"))
-    out = d.join(if_small(away.where(~F.col("stays"))), same, "left_anti")
-    repeated = away.where("stays")
+    away = settle(deduplicate(docs, salts).where(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("digest").alias(of), stays.alias(again)).distinct())
+    same = F.col(own).eqNullSafe(F.col(gone)) & (F.col(digest) == F.col(of))
+    out = d.join(if_small(away.where(~F.col(again))), same, "left_anti")
+    repeated = away.where(again)
     if not repeated.isEmpty():
-        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["__id", "__digest"]))
-    return out.drop("__digest", "__id")
+        out = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([own, digest]))
+    return out.drop(digest, own)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import batch_of, discard, id_text, if_small, map_batches, salted_join, settle
+from strandflow.llm.common import batch_of, discard, free_names, id_text, if_small, map_batches, salted_join, settle
 from strandflow.llm.words import Words, constants, mix, window_hashes
 
 _U = np.uint64
@@ -286,11 +286,12 @@ def near_classes(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
 def keep_one(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     """The rows of docs that stay, with all their columns; rows of one doc_id and text go or stay together."""
     gone = placed_rows(docs, how).where(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("of_text") != F.col("stay_text")))
-    gone = settle(gone.select(F.col("doc_id").alias("__gone"), F.col("of_text").alias("__of")).distinct())
-    d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    d = d.withColumn("__hash", F.xxhash64("__id", "__text"))
-    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__of"))
-    return d.join(if_small(gone), same, "left_anti").drop("__id", "__text", "__hash")
+    own, text, digest, left, of = free_names(docs, "id", "text", "hash", "gone", "of")
+    gone = settle(gone.select(F.col("doc_id").alias(left), F.col("of_text").alias(of)).distinct())
+    d = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    d = d.withColumn(digest, F.xxhash64(own, text))
+    same = F.col(own).eqNullSafe(F.col(left)) & (F.col(digest) == F.col(of))
+    return d.join(if_small(gone), same, "left_anti").drop(own, text, digest)
 
 
 def link(own: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from strandflow.llm.common import batch_of, id_text, map_batches, releasing, releasing2
+from strandflow.llm.common import batch_of, free_names, id_text, map_batches, releasing, releasing2
 from strandflow.llm.words import Words, gather, mix, sliding_argmin, window_hashes
 
 WINDOW, PHRASE, SHARD_BYTES = 35, 8, 4 << 20
@@ -145,10 +145,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs with all its columns, the text of documents with repeats replaced by the words that stay (n_chars follows)."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.col("text").isNull().alias("__null"), F.col("doc_id").alias("__id"), *others)
+    null, own = free_names(docs, "null", "id")
+    row = F.struct(F.col("text").isNull().alias(null), F.col("doc_id").alias(own), *(F.col(f"`{c}`") for c in others))
     out = _located(id_text(docs.withColumn("__row", row), "__row").withColumnRenamed("__row", "row"), window, phrase, shard_bytes, False)
     touched = F.col("n_removed") > 0
-    new = {"doc_id": F.col("row.__id"), "text": F.when(~F.col("row.__null"), F.col("text")), **{c: F.col(f"row.`{c}`") for c in others}}
+    new = {"doc_id": F.col(f"row.{own}"), "text": F.when(~F.col(f"row.{null}"), F.col("text")), **{c: F.col(f"row.`{c}`") for c in others}}
     if "n_chars" in others:
         new["n_chars"] = F.when(touched, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*(new[c].alias(c) for c in docs.columns))

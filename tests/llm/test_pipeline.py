@@ -51,6 +51,20 @@ def test_filters_keep_rows_whole(spark):
     assert exact_dedup.keep_one(docs.limit(0)).count() == 0 and phrase_dedup.clean(docs.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_pass_whole(spark):
+    """Values of columns named as operators would name their own, or with a point, are those of the rows that stay."""
+    names = ("__id", "__ID0", "__digest", "__text", "__hash", "__row", "__null", "__gone", "__of", "__stays", "__salt", "__copies", "stays", "of", "a.b")
+    plain = fixture(spark).drop("digest", "k")
+    docs = plain.select("*", *(F.concat_ws(":", F.lit(n), "doc_id", "text").alias(n) for n in names))
+    for stage in (exact_dedup.keep_one, order_minhash.keep_one, phrase_dedup.clean):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) == stage(plain).count() > 0
+        given = {(i, n, ":".join([n, *(str(v) for v in (i, w) if v is not None)])) for i, w, *_ in ROWS for n in names}
+        assert {(r.doc_id, n, r[n]) for r in rows for n in names} <= given
+
+
 def test_toxic_filter_passes_all_columns(spark):
     docs, labels = fixture(spark), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
