@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from strandflow.operators import kernels as k
 from strandflow.operators.adapters import known_adapters
+from strandflow.plans.session import discard, settle
 
 #: Name prefixes of two-colour instruments. Fixed values.
 TWO_COLOUR = ("@FS", "@MN", "@SH", "@NS", "@NB", "@NDX", "@VL", "@VH", "@A", "@NA", "@LH")
@@ -20,8 +22,8 @@ LENGTH_SAMPLE, ADAPTER_SAMPLE, VOTE_SAMPLE = 1000, 262_144, 100_000
 ADAPTER_BASES, OVERREP_BASES = 151 * 262_144, 151 * 10_000
 #: Reads below which no adapter is looked for.
 LEAST_READS = 10_000
-#: Bases to which a grown adapter is cut, and bases that are looked at on each side of a 10-mer.
-_MOST, _AROUND = 60, 256
+#: Bases to which a grown adapter is cut, bases from which on no 10-mer is looked for, and bases that are looked at on each side of one.
+_MOST, _SEARCHED, _AROUND = 60, 500, 512
 #: Lengths of candidate sequences and the counts they need. Fixed values.
 OVERREP = {10: 500, 20: 100, 40: 20, 100: 5}
 
@@ -146,64 +148,97 @@ def adapters_by_sample(df: DataFrame, adapters: dict[str, str] | None = None, se
 def find_adapter(df: DataFrame, seq: str = "seq", adapters: dict[str, str] | None = None, literal: bool = False) -> str:
     """A known adapter, or one grown from a frequent 10-mer; '' if there is neither or there are under 10,000 reads.
 
-    What stands around the 10-mers is gathered for each of them by a task, from the bounded sample, and the adapter is cut to _MOST bases.
+    A grown adapter is cut to _MOST bases. What follows the 10-mer must end for want of reads, not in a fork; literal: what
+    comes before it too.
     """
     sample = first_bases(df, ADAPTER_SAMPLE, ADAPTER_BASES, seq).select("read_id", F.col(seq).alias("seq"))
     if sample.count() < LEAST_READS:
         return ""
     if known := known_adapter(sample, adapters):
         return known
-    total = sample.agg(F.sum(F.greatest(F.lit(0), F.length("seq") - 31).cast("long"))).first()[0]
+    known = sorted(adapters if adapters is not None else known_adapters())
+    for r in grown_adapters(sample):
+        grown = r["grown"][:_MOST]
+        for a in known:
+            if grown.startswith(a):
+                return a
+        if r["leaf_after"] and (r["leaf_before"] or not literal):
+            return grown
+    return ""
+
+
+def grown_adapters(sample: DataFrame) -> list[dict]:
+    """kmer, grown, leaf_after and leaf_before of each of the at most ten 10-mers that stand out in a sample of reads, the most frequent first.
+
+    grown: the 10-mer between the dominant paths of what stands before and after it; leaf: whether a path ended for want of reads.
+    """
+    all_mers = ten_mers(sample, top=None)
+    total = all_mers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     changes = lambda s: sum(a != b for a, b in zip(s, s[1:], strict=False))
     seeds = [r.kmer for r in ten_mers(sample).collect() if r.n >= 10 and r.n * 4**10 >= 20 * total and changes(r.kmer) >= 3]
+    if not seeds:
+        return []
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple[str, str, str]] = []
+            rows: list[tuple[str, str]] = []
             for s in b.column(0).to_pylist():
                 for seed in seeds:
-                    at = s.find(seed, 20) if s else -1
-                    while at >= 0:
-                        rows.append((seed, s[at + 10 : len(s) - 1][:_AROUND], s[max(0, at - _AROUND) : at][::-1]))
-                        at = s.find(seed, at + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kmer", "after", "before"])
-
-    def grow(t: pa.Table) -> pa.Table:
-        ahead, leaf = dominant_path(t.column("after").to_pylist())
-        back, _ = dominant_path(t.column("before").to_pylist())
-        seed = t.column("kmer")[0].as_py()
-        return pa.table({"kmer": [seed], "grown": [back[::-1] + seed + ahead], "leaf": [leaf]})
-
-    found = sample.select("seq").mapInArrow(around, "kmer string, after string, before string").groupBy("kmer").applyInArrow(grow, "kmer string, grown string, leaf boolean")
-    of = {r.kmer: r for r in found.collect()} if seeds else {}
-    known = sorted(adapters if adapters is not None else known_adapters())
-    for r in (of[s] for s in seeds if s in of):
-        grown = "" if literal and len(r.grown) > _MOST else r.grown[:_MOST]
-        for a in known:
-            if grown.startswith(a):
-                return a
-        if r.leaf and grown:
-            return grown
-    return ""
+                    at = s.find(seed, 20, len(s) - 1) if s else -1
+                    while 0 <= at < _SEARCHED:
+                        rows.append((f"{seed}>", s[at + 10 : len(s) - 1][:_AROUND]))
+                        rows.append((f"{seed}<", s[max(0, at - _AROUND) : at][::-1]))
+                        at = s.find(seed, at + 1, len(s) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["key", "text"])
+
+    texts = settle(sample.select("seq").mapInArrow(around, "key string, text string").withColumn("text", F.substring_index("text", "N", 1)))
+    paths = dominant_paths(texts)
+    discard(texts)
+    none = ("", True)
+    out = []
+    for s in seeds:
+        (ahead, leaf_after), (back, leaf_before) = paths.get(f"{s}>", none), paths.get(f"{s}<", none)
+        out.append({"kmer": s, "grown": back[::-1] + s + ahead, "leaf_after": leaf_after, "leaf_before": leaf_before})
+    return out
 
 
-def dominant_path(texts: list[str], share: float = 0.95, least: int = 50) -> tuple[str, bool]:
-    """The path from the root of the tree of texts along children with a share of their parent's texts, and whether it ended for want of texts."""
-    path, live = "", texts
-    while True:
-        i = len(path)
-        counts: dict[str, int] = {}
-        for t in live:
-            if len(t) > i:
-                counts[t[i]] = counts.get(t[i], 0) + 1
-        total = sum(counts.values())
-        if total < least:
-            return path, True
-        best = max(sorted(counts), key=counts.get)
-        if counts[best] < share * total:
-            return path, False
-        path += best
-        live = [t for t in live if len(t) > i and t[i] == best]
+def dominant_paths(texts: DataFrame, share: float = 0.95, least: int = 50, step: int = 16) -> dict[str, tuple[str, bool]]:
+    """For each key the path from the root of the tree of its texts along children with a share of their parent's texts, and whether it ended for want of texts.
+
+    texts: key (few) and text, a written table. No task and no group holds a tree: from where each path has come to, the nodes of the next `step` levels are counted by
+    an aggregation that combines within tasks, and only nodes with the texts that a path needs come to the driver, until all paths have ended.
+    """
+    some = math.ceil(share * least)
+    paths = {r.key: "" for r in texts.select("key").distinct().collect()}
+    done: dict[str, tuple[str, bool]] = {}
+    while left := sorted(paths.keys() - done.keys()):
+        so_far = F.create_map(*(F.lit(x) for key in left for x in (key, paths[key])))
+        d = texts.withColumn("path", so_far[F.col("key")]).where(F.col("path").isNotNull() & F.col("text").startswith(F.col("path")))
+        d = d.select("key", F.expr(f"substring(text, length(path) + 1, {step})").alias("more"), (F.length("text") - F.length("path")).alias("size"))
+        d = d.select("key", "more", "size", F.explode(F.sequence(F.lit(0), F.length("more"))).alias("level"))
+        d = d.groupBy("key", F.expr("left(more, level)").alias("node")).agg(F.count("*").alias("n"), F.count_if(F.col("size") > F.col("level")).alias("longer"))
+        rows = d.where(F.col("n") >= some).collect()  # of texts of a bounded sample, those that some texts share
+        nodes = {(r.key, r.node): r for r in rows}
+        below: dict[tuple[str, str], list] = {}
+        for r in rows:
+            if r.node:
+                below.setdefault((r.key, r.node[:-1]), []).append(r)
+        for key in left:
+            at = ""
+            while True:
+                here = nodes.get((key, at))
+                if here is None or here.longer < least:
+                    done[key] = paths[key] + at, True
+                    break
+                if len(at) == step:
+                    paths[key] += at
+                    break
+                best = next((r for r in below.get((key, at), []) if r.n >= share * here.longer), None)
+                if best is None:
+                    done[key] = paths[key] + at, False
+                    break
+                at = best.node
+    return done
 
 
 def over_represented_candidates(df: DataFrame, seq_len: int, seq: str = "seq", bases: int = OVERREP_BASES) -> DataFrame:

@@ -621,7 +621,7 @@ def detect_known_adapters(d):
     return detect.adapter_votes(d)
 
 
-# These reads hold a known adapter, so that the vote decides; growing one from 10-mers is restated in tests.
+# These reads hold a known adapter, so that the vote decides; detect_unlisted_adapter grows one from 10-mers.
 @query(
     f"SELECT CASE WHEN n < 10000 OR NOT (hits > n / 50.0 OR hits > n / 200.0 AND mismatches < hits) THEN '' ELSE adapter END AS adapter FROM ({_VOTES}), (SELECT count(*) AS n FROM reads WHERE pair_id < 100000) ORDER BY hits DESC, adapter LIMIT 1", single
 )
@@ -629,6 +629,32 @@ def detect_adapter(d):
     return d.sparkSession.createDataFrame([(detect.find_adapter(d, adapters=dict.fromkeys(FOUR, "")),)], "adapter string")
 
 
+#: An adapter of no kit, which reads are made to end with.
+UNLISTED = "GTCATGACTGGATCCTTAGCATGCAACTGGTACCATTGCA"
+_GROWN = (
+    f"WITH s AS (SELECT concat(substr(seq1, 1, (20 + pair_id % 21)::INT), substr('{UNLISTED}', 1, (24 + pair_id % 17)::INT)) AS seq FROM reads WHERE pair_id < 262144), "
+    "m AS (SELECT kmer, count(*) AS n FROM (SELECT substr(seq, i + 1, 10) AS kmer FROM s, unnest(range(20, length(seq) - 10)) AS t(i)) WHERE regexp_full_match(kmer, '[ACGT]{10}') GROUP BY kmer), "
+    "f AS (SELECT * FROM m WHERE " + " AND ".join(f"10 - length(replace(kmer, '{b}', '')) < 6" for b in "ACGT") + " AND length(translate(kmer, 'AT', '')) < 8 AND kmer NOT LIKE 'GGGG%'), "
+    "z AS (SELECT kmer FROM (SELECT * FROM f ORDER BY n DESC, translate(kmer, 'ATCG', '0123') DESC LIMIT 10) WHERE n >= 10 AND n * 1048576 >= 20 * (SELECT sum(n) FROM f) AND len([j for j in range(1, 10) if substr(kmer, j, 1) <> substr(kmer, j + 1, 1)]) >= 3), "
+    "o AS (SELECT kmer, seq, i FROM (SELECT seq, i, substr(seq, i + 1, 10) AS kmer FROM s, unnest(range(20, least(length(seq) - 10, 500))) AS t(i)) JOIN z USING (kmer)), "
+    "x AS (SELECT kmer, 'after' AS side, split_part(substr(seq, i + 11, length(seq) - 11 - i), 'N', 1) AS t FROM o UNION ALL SELECT kmer, 'before', split_part(reverse(substr(seq, 1, i)), 'N', 1) FROM o), "
+    "node AS (SELECT kmer, side, substr(t, 1, d) AS p, count(*) AS n, count(*) FILTER (length(t) > d) AS longer FROM x, unnest(range(0, length(t) + 1)) AS u(d) GROUP BY ALL), "
+    "good AS (SELECT c.kmer, c.side, c.p FROM node c JOIN node f ON f.kmer = c.kmer AND f.side = c.side AND f.p = substr(c.p, 1, length(c.p) - 1) WHERE c.p <> '' AND f.longer >= 50 AND c.n >= 0.95 * f.longer), "
+    "whole AS (SELECT c.kmer, c.side, c.p FROM good c JOIN good g ON g.kmer = c.kmer AND g.side = c.side AND starts_with(c.p, g.p) GROUP BY ALL HAVING count(*) = length(c.p)), "
+    "path AS (SELECT kmer, side, coalesce(max_by(p, length(p)), '') AS p FROM (SELECT kmer, side, p FROM whole UNION ALL SELECT DISTINCT kmer, side, '' FROM x) GROUP BY ALL), "
+    "e AS (SELECT kmer, side, p, longer < 50 AS leaf FROM path JOIN node USING (kmer, side, p)) "
+    "SELECT a.kmer, concat(reverse(b.p), a.kmer, a.p) AS grown, a.leaf AS leaf_after, b.leaf AS leaf_before FROM e a JOIN e b USING (kmer) WHERE a.side = 'after' AND b.side = 'before'"
+)
+
+
+@query(f"SELECT * FROM ({_GROWN})", single)
+def detect_unlisted_adapter(d):
+    """What grows from the 10-mers that stand out where reads end with an adapter that is not known."""
+    own = F.expr(f"concat(substr(seq, 1, cast(20 + read_id % 21 as int)), substr('{UNLISTED}', 1, cast(24 + read_id % 17 as int)))")
+    found = detect.grown_adapters(d.where(F.col("read_id") < detect.ADAPTER_SAMPLE).select("read_id", own.alias("seq")))
+    return d.sparkSession.createDataFrame([tuple(r.values()) for r in found], "kmer string, grown string, leaf_after boolean, leaf_before boolean")
+
+
 # Routing and whole runs
 
 ROUTED = Options(paired=True, adapter_trimming=False, unpaired1="u1", unpaired2="u2", failed_out="f", eval_duplication=False)

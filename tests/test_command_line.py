@@ -5,6 +5,7 @@ import io
 import json
 import random
 import sys
+from collections import Counter
 
 import pytest
 
@@ -113,6 +114,33 @@ def test_votes_by_restatement(spark):
     assert got == restated_votes(seqs, adapters)
 
 
+def restated_path(texts, share=0.95, least=50):
+    """The rule one level at a time."""
+    path = ""
+    while True:
+        live = [t for t in texts if t.startswith(path) and len(t) > len(path)]
+        counts = Counter(t[len(path)] for t in live)
+        if len(live) < least:
+            return path, True
+        base, n = counts.most_common(1)[0]
+        if n < share * len(live):
+            return path, False
+        path += base
+
+
+def test_tree_paths(spark):
+    fixed = ["AAAATTTT", "AAAATTTTGGGG", "AAAATTTTGGGGCCCC", "AAAATTTTGGGGCCAA"] * 100 + ["AAAATTTTGGGACCCC"]
+    rnd, texts = random.Random(8), {"fixed": fixed, "few": ["ACGT"] * 49, "just": ["ACGT"] * 50, "empty": [""] * 60}
+    for i in range(12):
+        base = "".join(rnd.choice("ACGT") for _ in range(70))
+        wrong = rnd.choice((0.0, 0.01, 0.05, 0.06))
+        texts[f"r{i}"] = ["".join(rnd.choice("ACGT") if rnd.random() < wrong else c for c in base[: rnd.randint(0, 70)]) for _ in range(rnd.choice((50, 52, 120, 400)))]
+    d = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "key string, text string").repartition(3)
+    want = {k: restated_path(ts) for k, ts in texts.items()}
+    assert want["fixed"] == ("AAAATTTTGGGGCC", False) and want["just"] == ("ACGT", True)
+    assert detect.dominant_paths(d) == detect.dominant_paths(d, step=3) == want
+
+
 def test_an_unknown_adapter_is_grown(spark):
     rnd = random.Random(6)
     adapter = "GTCATGACTGGATCCTTAGCATGCAACTGGTACCATTGCA"
@@ -122,7 +150,7 @@ def test_an_unknown_adapter_is_grown(spark):
         rows.append((i, frag + adapter[: rnd.randint(20, len(adapter))]))
     d = spark.createDataFrame(rows, "read_id long, seq string")
     assert adapter.startswith(detect.find_adapter(d)[:30]) and len(detect.find_adapter(d)) >= 30
-    assert detect.find_adapter(d.where("read_id < 9000")) == ""
+    assert detect.find_adapter(d.where("read_id < 9000")) == detect.find_adapter(d, literal=True) == ""  # fragments before it fork
     known = {adapter[:24]: "own"}
     assert detect.find_adapter(d, adapters=known) == adapter[:24]
     want = next(n for n in range(100) if sum(len(s) for _, s in rows[:n]) >= 1000)

@@ -7,7 +7,6 @@ import pyarrow as pa
 import pytest
 
 from strandflow.operators import kernels as k
-from strandflow.operators.detect import dominant_path
 from strandflow.plans.options import Options
 
 
@@ -68,10 +67,6 @@ def test_homopolymers():
     assert n[0] == 5 and base[0] == 0
 
 
-def test_tree_path():
-    assert dominant_path(["AAAATTTT", "AAAATTTTGGGG", "AAAATTTTGGGGCCCC", "AAAATTTTGGGGCCAA"] * 100 + ["AAAATTTTGGGACCCC"])[0] == "AAAATTTTGGGGCC"
-
-
 def scalar_cut(s, q, front, tail, how):
     """The rules one read and one base at a time."""
     n = len(s)
