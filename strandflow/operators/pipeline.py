@@ -30,7 +30,7 @@ def prepared(df: DataFrame, o: Options) -> DataFrame:
     """The steps before kernels, on read_id, name1, seq1, qual1 (and the same of mate 2), with is_dup."""
     mates = (1, 2) if o.paired else (1,)
     df = taken(df, o)
-    df = mark_duplicates(df, [f"seq{m}" for m in mates]) if o.eval_duplication else df.withColumn("is_dup", F.lit(False))
+    df = mark_duplicates(df, [f"seq{m}" for m in mates]) if o.eval_duplication and (o.dedup or not o.dup_calc_accuracy) else df.withColumn("is_dup", F.lit(False))
     listed = F.lit(False)
     if o.index_blacklist1:
         listed = listed | ex.index_matches(ex.first_index(F.col("name1")), o.index_blacklist1, o.index_threshold)

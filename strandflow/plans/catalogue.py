@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import expressions as ex
-from strandflow.operators import detect, stats
+from strandflow.operators import bit_filter, detect, stats
 from strandflow.operators import kernels as k
 from strandflow.operators import pipeline as run
 from strandflow.operators import single_steps as step
@@ -577,6 +577,27 @@ def detect_two_color(d):
     return detect.two_colour(d)
 
 
+#: Bits of the filters of a query: few, so that the first ones are full, and those of two levels.
+_BITS = (10, 20, 25)
+_FILTERS = " UNION ALL ".join(
+    f"SELECT {b} AS bits, scale::INT AS scale, n AS reads, ones FROM (SELECT scale, count(*) AS n, count(DISTINCT h & {(1 << b) - 1}) AS ones FROM k JOIN range(0, 41) AS t(scale) ON z >= scale GROUP BY scale) WHERE ones <= {int(0.86 * (1 << b))} QUALIFY scale = min(scale) OVER ()" for b in _BITS
+)
+
+
+@query(
+    "SELECT bits, scale, reads, ones, round(greatest(0, 1 + (1 << bits) * ln(1 - ones / (1 << bits)::DOUBLE) / reads), 6) AS rate FROM (WITH h AS (SELECT ('0x' || substr(sha256(regexp_replace(seq1 || seq2, '[^ACGT]', 'N', 'g')), 1, 15))::BIGINT AS h FROM reads), "
+    f"k AS (SELECT h, CASE WHEN h >> 20 = 0 THEN 40 ELSE 40 - length(bin(h >> 20)) END AS z FROM h) {_FILTERS})"
+)
+def dup_rate_filters(d):
+    """The filter that the share of duplicates is estimated from, at sizes of few bits and of levels 1 and 6, and that estimate."""
+    out = []
+    for bits in _BITS:
+        rows = bit_filter.filters(d, ["seq1", "seq2"], bits).collect()
+        r, rate = bit_filter.used(rows, bits)
+        out.append((bits, r.scale, r.reads, r.ones, round(rate, 6)))
+    return d.sparkSession.createDataFrame(out, "bits int, scale int, reads long, ones long, rate double")
+
+
 _TEN = (
     "SELECT kmer, n FROM (SELECT kmer, count(*) AS n FROM (SELECT substr(seq1, i + 1, 10) AS kmer FROM reads, unnest(range(20, length(seq1) - 10)) AS t(i) WHERE pair_id < 262144) "
     "WHERE regexp_full_match(kmer, '[ACGT]{10}') GROUP BY kmer) WHERE "

@@ -52,6 +52,8 @@ class Options:
     # duplicates
     dedup: bool = False
     eval_duplication: bool = True
+    #: 0: duplicates are found exactly; 1 to 6: where they stay, their share is estimated by filters, the finer the higher.
+    dup_calc_accuracy: int = 0
     # homopolymer tails
     poly_g: bool | None = None  # None: on where names are of a two-colour instrument
     poly_g_min: int = 10
@@ -123,7 +125,7 @@ class Options:
             ("compression", 1, 9), ("poly_g_min", 1, 1000), ("poly_x_min", 1, 1000), ("qualified_quality", 0, 93), ("unqualified_percent", 0, 100),
             ("n_base_limit", 0, 1000), ("average_quality", 0, 93), ("complexity_percent", 0, 100), ("overlap_diff_percent", 0, 100),
             ("overrep_sampling", 1, 10000), ("overlap_require", 0, 10**6), ("overlap_diff_limit", 0, 10**6), ("reads_to_process", 0, 2**62),
-            ("trim_front1", 0, 10**6), ("trim_tail1", 0, 10**6), ("length_required", 0, 10**6), ("length_limit", 0, 10**6),
+            ("dup_calc_accuracy", 0, 6), ("trim_front1", 0, 10**6), ("trim_tail1", 0, 10**6), ("length_required", 0, 10**6), ("length_limit", 0, 10**6),
         ):
             need(low <= getattr(o, name) <= high, f"{name}: {low} to {high}")
         for name in ("cut_front", "cut_tail", "cut_right"):

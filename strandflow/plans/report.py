@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandflow.operators import pipeline as run
 from strandflow.operators import stats
+from strandflow.operators.bit_filter import approximate_rates
 from strandflow.operators.dedup import duplicate_counts
 from strandflow.operators.summary import Block, Figures, figures, summarize
 from strandflow.plans.options import Options
@@ -82,7 +83,9 @@ def build_samples(raw: DataFrame, done: DataFrame, options: dict[str, Options],
     states = [settle(summarize(raw, {f"read{m}_before_filtering": block(m, f"seq{m}", f"qual{m}") for m in mates})), settle(summarize(done, kept, o))]
     first, then = figures(states[0]), figures(states[1], done)
     rates = {}
-    if o.eval_duplication and (o.index_blacklist1 or o.index_blacklist2):
+    if o.eval_duplication and o.dup_calc_accuracy and not o.dedup:
+        rates = dict.fromkeys(options, 0.0) | approximate_rates(raw, [f"seq{m}" for m in mates], o.dup_calc_accuracy)
+    elif o.eval_duplication and (o.index_blacklist1 or o.index_blacklist2):
         rates = {r["sample"] if "sample" in raw.columns else "": r.rate for r in duplicate_counts(raw, [f"seq{m}" for m in mates]).collect()}
     discard(*states)
     none = Figures()
