@@ -8,13 +8,15 @@ windows have equal anchors at the same place, and neighbouring windows mostly sh
 2. confirm: documents are dealt into shards of about `shard_bytes` of text by a hash. Neighbouring windows of one
    repeated anchor make a stretch of words; each shard sends its different stretches, dealt by their anchors. Where
    all stretches of an anchor meet, their windows are counted, and what recurs goes back to the shards it came
-   from, as passages of words with the place of their anchor;
-3. locate: each shard compiles an automaton of its passages' anchors over word numbers, and all its documents stream
+   from, as passages of words with the place of their anchor. Stretches around anchors that more than `hot_shards` shards have stay
+   with their shard: their windows' digests are counted instead, each window by itself, and those that recur go back;
+3. locate: each shard cuts passages out of the stretches that stayed, compiles an automaton of its passages' anchors over word numbers, and all its documents stream
    through it. Every occurrence is extended to both sides, word by word, along the passages with that anchor; where
    `window` words or more agree, they are removed. Nothing but the automaton says where passages stand.
 
-Documents travel to their shards twice, compressed in packs; nothing else of their size does. A shard sends a stretch once, however often it occurs there, so hot passages travel once for each shard. Windows are
-counted by digests of 96 bits, and words compared by hashes of 64.
+Documents travel to their shards twice, compressed in packs; nothing else of their size does. A shard sends a stretch once, however often it occurs there. No task gets more of an anchor
+than `hot_shards` shards have of it: where an anchor or a window has many rows, sums are made within tasks first, and are joined with the rows
+by salted keys. Windows are counted by digests of 96 bits, and words compared by hashes of 64.
 
 Defined cases: a null or empty text has no words; a text shorter than a window keeps all its words; repeated
 rows are documents of their own, so their windows recur, and where they are so many that they would fill a shard they
@@ -28,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
-from strandflow.llm.common import batch_of, free_names, id_text, map_batches, releasing, releasing2
+from strandflow.llm.common import batch_of, discard, free_names, id_text, map_batches, release, releasing, releasing2, salted_join, settle
 from strandflow.llm.words import Words, gather, mix, sliding_argmin, window_hashes
 
 WINDOW, PHRASE, SHARD_BYTES = 35, 8, 4 << 20
+#: Shards whose stretches around one anchor meet in one task at most.
+HOT_SHARDS = 64
 #: Bytes of text that a task deals out over shards at a time.
 DEAL_BYTES = 8 << 20
 #: Parts of the hash range in which text is added up to find rows that repeat very often.
@@ -85,6 +89,41 @@ def windows_of(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return key_array(window_hashes(h, window, 1)[at], mix(window_hashes(h, window, 3)[at]) >> np.uint64(32))
 
 
+def recurring(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which digests have a weight above one, all of the same digest together."""
+    order, fresh = ordered(keys)
+    new = np.flatnonzero(fresh)
+    out = np.zeros(len(keys), bool)
+    if len(new):
+        out[order] = np.repeat(np.add.reduceat(weight[order], new) > 1, np.diff(np.append(new, len(keys))))
+    return out
+
+
+class Stretches:
+    """Packed stretches with their marks (words before the anchor, whether they occur twice), and all their windows."""
+
+    def __init__(self, packs: list[bytes], marks: list[bytes], window: int):
+        lines, self.counts = lines_of(packs)
+        self.marks = np.concatenate([np.frombuffer(m, "<i4").reshape(-1, 2) for m in marks])
+        self.words, self.window = Words(lines), window
+        many = self.words.counts - window + 1  # windows of each stretch
+        self.of = np.repeat(np.arange(len(many)), many)
+        self.start = self.words.first[:-1][self.of] + np.arange(len(self.of)) - np.repeat(np.cumsum(many) - many, many)
+        self.keys = windows_of(self.words.hashes(), self.start, window)
+        self.times = 1 + self.marks[self.of, 1].astype(np.int64)
+
+    def passages(self, again: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """For each pack the runs of windows that are `again`, packed as words, and how many words come before their anchors."""
+        of, start, words = self.of, self.start, self.words
+        edge = np.r_[True, of[1:] != of[:-1]]
+        begin = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
+        end = np.flatnonzero(again & (np.r_[edge[1:], True] | ~np.r_[again[1:], False]))
+        text, line = texts_of(words, start[begin], start[end] + self.window)
+        place = (words.first[:-1][of[begin]] + self.marks[of[begin], 0] - start[begin]).astype("<i4")
+        bounds = np.searchsorted(of[begin], np.concatenate([[0], np.cumsum(self.counts)]))
+        return packed(text, line[bounds]), [place[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def texts_of(words: Words, first: np.ndarray, stop: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Runs of words as lines of words between single blanks: the bytes of all lines, and where each begins."""
     count = stop - first
@@ -118,6 +157,18 @@ def key_array(w: np.ndarray, s: np.ndarray) -> np.ndarray:
     return out
 
 
+def binary_keys(keys: np.ndarray) -> pa.Array:
+    """Digests as binary values."""
+    offsets = np.arange(len(keys) + 1, dtype="<i4") * _KEY.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
+
+
+def repeats_of(seen: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """seen (a key, shard and n, once for each key and shard) as a written table, and the keys whose n is above one in all, with the size: their shards."""
+    seen = settle(seen)
+    return seen, settle(seen.groupBy(on).agg(F.sum("n").alias("all"), F.count("*").alias("size")).where(F.col("all") > 1).select(on, "size"))
+
+
 def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal digests together, and where in it a new digest begins."""
     order = np.argsort(keys["w"], kind="stable")
@@ -137,17 +188,17 @@ def column(t: pa.Table, name: str) -> pa.Array:
     return c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
     """doc_id, n_words, n_removed, text (the words that stay, joined by one space) and removed (runs of word places)."""
-    return _located(id_text(docs), window, phrase, shard_bytes).drop("row")
+    return _located(id_text(docs), window, phrase, shard_bytes, hot_shards).drop("row")
 
 
-def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def clean(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES, hot_shards: int = HOT_SHARDS) -> DataFrame:
     """docs with all its columns, the text of documents with repeats replaced by the words that stay (n_chars follows)."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     null, own = free_names(docs, "null", "id")
     row = F.struct(F.col("text").isNull().alias(null), F.col("doc_id").alias(own), *(F.col(f"`{c}`") for c in others))
-    out = _located(id_text(docs.withColumn("__row", row), "__row").withColumnRenamed("__row", "row"), window, phrase, shard_bytes, False)
+    out = _located(id_text(docs.withColumn("__row", row), "__row").withColumnRenamed("__row", "row"), window, phrase, shard_bytes, hot_shards, False)
     touched = F.col("n_removed") > 0
     new = {"doc_id": F.col(f"row.{own}"), "text": F.when(~F.col(f"row.{null}"), F.col("text")), **{c: F.col(f"row.`{c}`") for c in others}}
     if "n_chars" in others:
@@ -193,7 +244,7 @@ def rows_of(t: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(unpack(p)).read_all() for p in t.column("pack").to_pylist()])
 
 
-def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: bool = True) -> DataFrame:
+def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, hot_shards: int, tidy: bool = True) -> DataFrame:
     """As remove_repeats, with the column row of d if it has one; unless tidy, a text without repeats stays as it is."""
     phrase = min(phrase, window)
     if "row" not in d.columns:
@@ -221,7 +272,8 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
         return batch_of(phrase=pa.array(scan.phrase[at] >> drop, pa.int64()), shard=pa.array(shard, pa.int32()), n=pa.array(times, pa.int64()))
 
     seen = map_batches(d.select("shard", "text", "times"), anchors, "phrase long, shard int, n long").groupBy("phrase", "shard").agg(F.sum("n").alias("n"))
-    repeated = seen.withColumn("all", F.sum("n").over(Window.partitionBy("phrase"))).where(F.col("all") > 1).select("shard", "phrase")
+    seen, twice = repeats_of(seen, "phrase")
+    repeated = salted_join(seen, twice, "phrase", "size", ["shard"]).select("shard", "phrase", (F.col("size") > hot_shards).alias("hot"))
     ranges = max(1, shards // 2)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -229,16 +281,20 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
             return sent([], [], [], [])
         shard, left = left.column("shard")[0].as_py(), rows_of(left)
         scan = Scan(column(left, "text"), window, phrase)
-        known = np.sort(column(right, "phrase").to_numpy())
+        known = column(right, "phrase").to_numpy()
+        by = np.argsort(known)
+        known, hot = known[by], column(right, "hot").to_numpy(zero_copy_only=False)[by]
         value = scan.phrase[scan.anchor] >> drop
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+        is_hot = np.zeros(len(scan.hash), bool)  # by the anchor's place
+        is_hot[scan.anchor] = hot[at]
         first, last, anchor = scan.stretches(known[at] == value)
         times = column(left, "times").to_numpy()[scan.row[first]]
         order, fresh = ordered(scan.digests(first, last))
         new = np.flatnonzero(fresh)
         twice = (np.add.reduceat(times[order], new) > 1) if len(new) else np.zeros(0, bool)
         first, last, anchor = first[order][new], last[order][new], anchor[order][new]
-        part = (scan.phrase[anchor].view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+        part = np.where(is_hot[anchor], -1, (scan.phrase[anchor].view(np.uint64) % np.uint64(ranges)).astype(np.int64))
         by = np.argsort(part, kind="stable")
         first, last, anchor, twice, part = first[by], last[by], anchor[by], twice[by], part[by]
         begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
@@ -250,30 +306,49 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
     def sent(shard: list, part: list, words: list, marks: list) -> pa.Table:
         return pa.table({"shard": pa.array(shard, pa.int32()), "part": pa.array(part, pa.int64()), "words": pa.array(words, pa.binary()), "marks": pa.array(marks, pa.binary())})
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words, marks in zip(*(batch.column(c).to_pylist() for c in ("shard", "words", "marks")), strict=True):
+                s = Stretches([words], [marks], window)
+                order, fresh = ordered(s.keys)
+                new = np.flatnonzero(fresh)
+                n = np.add.reduceat(s.times[order], new)
+                yield batch_of(window=binary_keys(s.keys[order[new]]), shard=pa.array(np.full(len(new), shard, np.int32)), n=pa.array(n))
+        release()
+
     packs = dealt(d.select("shard", "text", "times")).groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(releasing2(candidates), "shard int, part long, words binary, marks binary")
 
-    def confirm(t: pa.Table) -> pa.Table:
-        lines, counts = lines_of(t.column("words").to_pylist())
-        marks = np.concatenate([np.frombuffer(m, "<i4").reshape(-1, 2) for m in t.column("marks").to_pylist()])
-        words = Words(lines)
-        many = words.counts - window + 1  # windows of each stretch
-        of = np.repeat(np.arange(len(many)), many)
-        start = words.first[:-1][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        order, fresh = ordered(windows_of(words.hashes(), start, window))
-        new = np.flatnonzero(fresh)
-        enough = np.add.reduceat(1 + marks[of[order], 1].astype(np.int64), new) > 1
-        again = np.empty(len(of), bool)
-        again[order] = np.repeat(enough, np.diff(np.append(new, len(of))))
-        edge = np.r_[True, of[1:] != of[:-1]]
-        begin = np.flatnonzero(again & (edge | ~np.r_[False, again[:-1]]))
-        end = np.flatnonzero(again & (np.r_[edge[1:], True] | ~np.r_[again[1:], False]))
-        text, line = texts_of(words, start[begin], start[end] + window)
-        place = (words.first[:-1][of[begin]] + marks[of[begin], 0] - start[begin]).astype("<i4")
-        bounds = np.searchsorted(of[begin], np.concatenate([[0], np.cumsum(counts)]))
-        back = [place[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.table({"shard": t.column("shard"), "words": pa.array(packed(text, line[bounds]), pa.binary()), "places": pa.array(back, pa.binary())})
+    packs = settle(packs)
+    discard(seen, twice)
+    cold, stay = packs.where("part >= 0"), packs.where("part < 0")  # a shard has one pack that stays
 
-    confirmed = packs.groupBy("part").applyInArrow(releasing(confirm), "shard int, words binary, places binary").where(F.octet_length("places") > 0)
+    def confirm(t: pa.Table) -> pa.Table:
+        s = Stretches(t.column("words").to_pylist(), t.column("marks").to_pylist(), window)
+        words, places = s.passages(recurring(s.keys, s.times))
+        return pa.table({"shard": t.column("shard"), "words": pa.array(words, pa.binary()), "places": pa.array(places, pa.binary())})
+
+    confirmed = cold.groupBy("part").applyInArrow(releasing(confirm), "shard int, words binary, places binary").where(F.octet_length("places") > 0)
+    none = F.lit(None).cast("binary")
+    confirmed = confirmed.select("shard", "words", "places", none.alias("marks"), none.alias("window"))
+    if shards > hot_shards:
+        found, twice = repeats_of(stay.mapInArrow(windows, "window binary, shard int, n long"), "window")
+        found = salted_join(found, twice, "window", "size", ["shard"], 32)
+        confirmed = confirmed.unionByName(stay.select("shard", "words", none.alias("places"), "marks", none.alias("window")))
+        confirmed = confirmed.unionByName(found.select("shard", none.alias("words"), none.alias("places"), none.alias("marks"), "window"))
+
+    def passages(t: pa.Table) -> tuple[list[bytes], list[bytes]]:
+        """The packs of passages that came to a shard or are cut out of its own stretches, and the places of their anchors."""
+        came = t.filter(pa.compute.is_valid(t.column("places")))
+        words, places = came.column("words").to_pylist(), came.column("places").to_pylist()
+        own, twice = t.filter(pa.compute.is_valid(t.column("marks"))), t.filter(pa.compute.is_valid(t.column("window")))
+        if own.num_rows and twice.num_rows:
+            s = Stretches(own.column("words").to_pylist(), own.column("marks").to_pylist(), window)
+            known = np.frombuffer(b"".join(twice.column("window").to_pylist()), _KEY)
+            weight = np.concatenate([np.zeros(len(s.keys), np.int64), np.full(len(known), 2)])
+            more = s.passages(recurring(np.concatenate([s.keys, known]), weight)[: len(s.keys)])
+            some = [(w, p) for w, p in zip(*more, strict=True) if p]
+            words, places = words + [w for w, _ in some], places + [p for _, p in some]
+        return words, places
 
     def locate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -281,10 +356,11 @@ def _located(d: DataFrame, window: int, phrase: int, shard_bytes: int, tidy: boo
         left = rows_of(left)
         scan = Scan(column(left, "text"), window, phrase, anchors=False)
         covered = np.zeros(len(scan.hash) + 1, np.int64)
-        if right.num_rows:
-            passages = Words(lines_of(right.column("words").to_pylist())[0])
-            places = np.concatenate([np.frombuffer(b, "<i4") for b in right.column("places").to_pylist()]).astype(np.int64)
-            for begin, end in occurrences(scan, passages, places, phrase):
+        words, places = passages(right)
+        if words:
+            passage = Words(lines_of(words)[0])
+            places = np.concatenate([np.frombuffer(b, "<i4") for b in places]).astype(np.int64)
+            for begin, end in occurrences(scan, passage, places, phrase):
                 np.add.at(covered, begin, 1)
                 np.subtract.at(covered, end, 1)
         gone = np.cumsum(covered[:-1]) > 0

@@ -40,8 +40,8 @@ def removed_restated(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window,phrase,shard", [(35, 12, 8 << 20), (35, 12, 3000), (7, 3, 2000), (4, 4, 1500)])
-def test_repeats_by_brute_force(spark, window, phrase, shard):
+@pytest.mark.parametrize("window,phrase,shard,hot", [(35, 12, 8 << 20, 64), (35, 12, 3000, 64), (35, 12, 3000, 2), (7, 3, 2000, 64), (7, 3, 2000, 1), (4, 4, 1500, 64), (4, 4, 1500, 0)])
+def test_repeats_by_brute_force(spark, window, phrase, shard, hot):
     rnd = random.Random(window)
     vocab = [f"w{i}é" for i in range(40)] if window < 10 else [f"word{i}" for i in range(4000)]
     passages = [" ".join(rnd.choice(vocab) for _ in range(n)) for n in (34, 35, 36, 60, 90)]
@@ -53,7 +53,7 @@ def test_repeats_by_brute_force(spark, window, phrase, shard):
         rows.append((i, "  ".join(parts)))
     rows.append((60, rows[-1][1]))
     rows.append((60, rows[-1][1]))
-    got = phrase_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int"), window, phrase, shard).collect()
+    got = phrase_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int"), window, phrase, shard, hot).collect()
     want = [(i, *x) for (i, _), x in zip(rows, removed_restated([t for _, t in rows], window), strict=True)]
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == sorted(want)
     for r in got:
