@@ -25,10 +25,12 @@ def expose(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is absent (tests on one machine) is a folder of our own set.
+    Only where the setting is absent on one machine (tests) is a folder of our own set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints/strandflow"
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():

@@ -1,6 +1,7 @@
 """Joins of keys that hold many rows, tables in the shared folder, and duplicates by them."""
 
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,10 @@ def test_places_are_numbered_over_ranges(spark):
     assert n == 1000 and all(r.place == r.read_id // 3 for r in out.collect())
     none, n = placed(d.limit(0))
     assert n == 0 and none.count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    spark = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)
