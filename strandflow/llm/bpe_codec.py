@@ -13,7 +13,7 @@ some overlap has no common boundary (say, a word longer than the overlap), the d
 
 Defined cases: a null text counts as empty and has no ids; special tokens' strings are ordinary text; repeated
 rows are encoded alike, each its own row. Columns besides doc_id and text are ignored. Decoding joins the ids'
-raw bytes, which for null ids are none; an id without bytes is an error.
+raw bytes, which for null ids are none; an id that the ranks leave out has no bytes, one beyond the last is an error.
 """
 
 from __future__ import annotations

@@ -47,6 +47,16 @@ def test_round_trip_in_chunks(spark, library, chunk, overlap):
     assert got == want
 
 
+def test_ids_without_bytes(spark, tmp_path):
+    ranks = tmp_path / "gap.tiktoken"
+    ranks.write_text("YQ== 0\nYg== 2\n")
+    rows = spark.createDataFrame([(1, bytearray(np.array([0, 1, 2], "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
+    assert {r.doc_id: bytes(r.data) for r in bpe_codec.decode_documents(rows, str(ranks)).collect()} == {1: b"ab", 2: b""}
+    beyond = spark.createDataFrame([(1, bytearray(np.array([3], "<u4").tobytes()))], "doc_id long, ids binary")
+    with pytest.raises(Exception, match="IndexError"):
+        bpe_codec.decode_documents(beyond, str(ranks)).collect()
+
+
 def test_texts_in_local_chunks(library):
     rnd, enc = random.Random(6), bpe.encoder(PATH)
     parts = ["the", " ", "   ", "'ll", "'s", "1", "é", "\n", "!", " word", "漢字", "x" * 30, "\r\n\n"]
