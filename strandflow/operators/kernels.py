@@ -24,6 +24,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bases of an overlap in which mismatches are bounded.
 _PROTECTED = 50
+#: Reads that are compared at a time, so that what each step touches stays in a core's cache.
+_ROWS = 2048
 
 
 @dataclass
@@ -291,38 +293,84 @@ def adapter_at(r: Reads, adapter: bytes, least: int = 4, literal: bool = False,
     First without gaps, then with one base more in the read, then with one less. literal: the gapped comparisons
     look at the read's start whatever the place, as the tool that this follows does.
     """
-    n, alen = len(r.length), len(adapter)
-    out, found = r.length.copy(), np.zeros(n, bool)
-    if alen < least or not n:
+    out = r.length.copy()
+    if len(adapter) < least:
         return out
-    ad = np.frombuffer(adapter, np.uint8)
-    s = np.pad(r.seq, ((0, 0), (0, alen + 2)))
-    begin = -4 if alen >= 16 else -3 if alen >= 12 else -2 if alen >= 8 else 0
-    top = int(r.length.max(initial=0)) - least
-
-    def note(rows: np.ndarray, pos: int) -> None:
-        out[rows], found[rows] = pos, True
-
-    for pos in range(begin, top):
-        live = np.flatnonzero(~found & (pos < r.length - least))
-        size = np.minimum(r.length[live] - pos, alen)
-        skip = max(0, -pos)
-        part = s[live, pos + skip : pos + alen]
-        wrong = ((part != ad[skip:]) & (np.arange(skip, alen) < size[:, None])).sum(axis=1)
-        note(live[wrong <= size // 8], pos)
-    for kind in ("more", "less") if gaps else ():
-        for pos in range(0, top - (kind == "more")):
-            live = np.flatnonzero(~found & (pos < r.length - least - (kind == "more")))
-            if not len(live):
-                continue
-            at = 0 if literal else pos
-            size = np.minimum(r.length[live] - pos - 1, alen) if kind == "more" else np.minimum(r.length[live] - pos, alen - 1)
-            part, whole = s[live, at : at + alen + 1], np.broadcast_to(np.append(ad, 0), (len(live), alen + 1)).astype(np.uint8)
-            d = one_insertion(*((part, whole) if kind == "more" else (whole, part)), size, size // 8 - 1, True)
-            note(live[(d >= 0) & (d <= size // 8 - 1)], pos)
+    for start in range(0, len(out), _ROWS):
+        length = r.length[start : start + _ROWS]
+        wide = int(length.max(initial=0)) + len(adapter)
+        s = np.zeros((wide, len(length)), np.uint8)  # a column for each read
+        s[: r.seq.shape[1]] = r.seq[start : start + _ROWS, :wide].T
+        # Beyond a read nothing counts as a mismatch.
+        inside = np.arange(wide, dtype=np.int32)[:, None] < length.astype(np.int32)
+        wrong = {c: ((s != c) & inside).view(np.uint8) for c in set(adapter)}
+        left = np.arange(len(length))
+        for kind in ("plain", "more", "less") if gaps else ("plain",):
+            if kind == "plain" or not literal:
+                at, hit = _adapter_places(wrong, length[left], adapter, least, kind)
+            else:
+                at, hit = _literal_places(r.seq[start + left], length[left], adapter, least, kind)
+            out[start + left[hit]] = at[hit]
+            if hit.all():
+                break
+            if hit.any():
+                left = left[~hit]
+                wrong = {c: w[:, ~hit] for c, w in wrong.items()}
     return out
 
 
+def _adapter_places(wrong: dict[int, np.ndarray], length: np.ndarray, adapter: bytes, least: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of the adapter in each read, and whether there is one.
+
+    wrong: for each base of the adapter where a read (a column) has another one. All places are compared at once, base after base
+    of the adapter. `gapped` has the least mismatches of a comparison in which the base left out has been passed, which must
+    not be the first and not come behind the last base compared.
+    """
+    alen, at = len(adapter), length.copy()
+    begin = (-4 if alen >= 16 else -3 if alen >= 12 else -2 if alen >= 8 else 0) if kind == "plain" else 0
+    shorter, size = {"plain": (0, alen), "more": (1, alen), "less": (0, alen - 1)}[kind]
+    top = int(length.max(initial=0)) - least - shorter
+    if top <= begin:
+        return at, np.zeros(len(length), bool)
+    length = length.astype(np.int32)
+    total = np.zeros((top - begin, len(length)), np.uint16 if alen > 255 else np.uint8)
+    if kind == "plain":
+        for j, c in enumerate(adapter):
+            first = max(begin + j, 0)  # before the read nothing counts
+            total[first - j - begin :] += wrong[c][first : max(top + j, first)]
+    else:
+        so_far, most = wrong[adapter[0]][:top].astype(total.dtype), np.iinfo(total.dtype).max
+        closed = np.negative((np.arange(top + size, dtype=np.int32)[:, None] >= length - shorter).astype(total.dtype))
+        gapped, spare = total, np.empty_like(total)
+        gapped += most // 2
+        for j in range(1, size):
+            np.minimum(gapped, np.bitwise_or(so_far, closed[j : j + top], out=spare), out=gapped)
+            gapped += wrong[adapter[j]][j + 1 : j + 1 + top] if kind == "more" else wrong[adapter[j + 1]][j : j + top]
+            so_far += wrong[adapter[j]][j : j + top]
+    rest = length - np.arange(begin, top, dtype=np.int32)[:, None] - shorter
+    ok = (rest > least) & (total <= (np.minimum(rest, size) >> 3) - (kind != "plain"))
+    hit = np.logical_or.reduce(ok, axis=0)
+    at[hit] = ok[:, hit].argmax(axis=0) + begin
+    return at, hit
+
+
+def _literal_places(s: np.ndarray, length: np.ndarray, adapter: bytes, least: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first place for which the read's start fits the adapter with a gap, and whether there is one; only the bases compared depend on the place."""
+    alen, n = len(adapter), len(length)
+    out, found = length.copy(), np.zeros(n, bool)
+    part = np.pad(s, ((0, 0), (0, alen + 2)))[:, : alen + 1]
+    whole = np.broadcast_to(np.append(np.frombuffer(adapter, np.uint8), 0), (n, alen + 1)).astype(np.uint8)
+    for pos in range(0, int(length.max(initial=0)) - least - (kind == "more")):
+        live = np.flatnonzero(~found & (pos < length - least - (kind == "more")))
+        if not len(live):
+            continue
+        size = np.minimum(length[live] - pos - 1, alen) if kind == "more" else np.minimum(length[live] - pos, alen - 1)
+        d = one_insertion(*((part[live], whole[live]) if kind == "more" else (whole[live], part[live])), size, size // 8 - 1, True)
+        hit = live[(d >= 0) & (d <= size // 8 - 1)]
+        out[hit], found[hit] = pos, True
+    return out, found
+
+
 def adapters_least(n: int) -> int:
     """Bases that must match when n adapters are tried one after the other."""
     return 4 + (n > 16) + (n > 256)
