@@ -204,38 +204,59 @@ def no_overlap(n: int) -> Overlap:
 
 def overlap(r1: Reads, r2: Reads, limit: int = 5, least: int = 30, percent: float = 0.2, gaps: bool = False) -> Overlap:
     """The first offset at which the first mate and the second's reverse complement agree: forward offsets, then backward, then with one gap."""
+    parts = [_overlap(r1.rows(p), r2.rows(p), limit, least, percent, gaps) for p in (slice(i, i + _ROWS) for i in range(0, len(r1.length), _ROWS))]
+    if len(parts) < 2:
+        return parts[0] if parts else no_overlap(0)
+    return Overlap(*(np.concatenate(x) for x in zip(*((p.found, p.offset, p.length, p.diff, p.gap) for p in parts), strict=True)))
+
+
+def _overlap(r1: Reads, r2: Reads, limit: int, least: int, percent: float, gaps: bool) -> Overlap:
     n = len(r1.length)
     out = no_overlap(n)
     a, b = r1, r2.complemented()
     wide = max(a.seq.shape[1], b.seq.shape[1])
     s1, s2 = (np.pad(m, ((0, 0), (0, 2 * wide - m.shape[1]))) for m in (a.seq, b.seq))
-    n1, n2 = a.length, b.length
-    offsets = [*range(0, max(int(n1.max(initial=0)) - least, 0)), *(-o for o in range(0, max(int(n2.max(initial=0)) - least, 0)))]
+    near = min(_PROTECTED, wide)
+    ends = max(int(a.length.max(initial=0)) - least, 0), max(int(b.length.max(initial=0)) - least, 0)
+    offsets = [*((o, True) for o in range(ends[0])), *((-o, False) for o in range(ends[1]))]
     for gap in (False, True)[: 1 + gaps]:
-        turn = 0
-        for k, o in enumerate(offsets):
-            turn += o == 0
-            forward = turn == 1 and o >= 0 and k < max(int(n1.max(initial=0)) - least, 0)
-            live = np.flatnonzero(~out.found & ((o < n1 - least) if forward else (-o < n2 - least)))
-            if not len(live):
+        rows = np.flatnonzero(~out.found)
+        t1, t2 = (np.ascontiguousarray(m[rows].T) for m in (s1, s2))  # a column for each pair
+        n1, n2 = a.length[rows], b.length[rows]
+        for o, forward in offsets:
+            if 4 * np.count_nonzero(~out.found[rows]) < 3 * len(rows):
+                keep = np.flatnonzero(~out.found[rows])
+                rows, n1, n2 = rows[keep], n1[keep], n2[keep]
+                t1, t2 = t1[:, keep], t2[:, keep]
+            if not len(rows):
+                break
+            live = ~out.found[rows] & ((o < n1 - least) if forward else (-o < n2 - least))
+            ol = np.minimum(n1 - o, n2) if forward else np.minimum(n1, n2 + o)
+            if gap:
+                # What the first bases of all offsets told already leaves only overlaps of hardly more bases than those.
+                live &= ol - 2 < near
+            if not live.any():
                 continue
-            ol = np.minimum(n1[live] - o, n2[live]) if forward else np.minimum(n1[live], n2[live] + o)
             most = np.minimum(limit, (ol * percent).astype(np.int64))
             at1, at2 = max(o, 0), max(-o, 0)
+            wrong = t1[at1 : at1 + near] != t2[at2 : at2 + near]
+            # With a gap all but the last two bases must agree as they stand (one_insertion).
+            inside = ol - 2 if gap else ol
+            if int(inside[live].min()) < near:
+                wrong &= np.arange(near)[:, None] < inside
+            head = np.add.reduce(wrong.view(np.uint8), axis=0, dtype=np.uint8)
+            at = np.flatnonzero(live & (head <= most))
+            if not len(at):
+                continue
+            own, ol, most = rows[at], ol[at], most[at]
+            x, y = s1[own, at1 : at1 + wide], s2[own, at2 : at2 + wide]
             if gap:
-                x, y = s1[live, at1 : at1 + wide], s2[live, at2 : at2 + wide]
                 d = one_insertion(x, y, ol - 1, most)
                 d = np.where(d < 0, one_insertion(y, x, ol - 1, most), d)
                 ok = (d >= 0) & (d <= most)
-                _note(out, live[ok], o, ol[ok], d[ok], True)
-                continue
-            near = min(_PROTECTED, wide)
-            head = ((s1[live, at1 : at1 + near] != s2[live, at2 : at2 + near]) & (np.arange(near) < ol[:, None])).sum(axis=1)
-            ok = np.flatnonzero(head <= most)
-            if len(ok):
-                x, y = s1[live[ok], at1 : at1 + wide], s2[live[ok], at2 : at2 + wide]
-                d = ((x != y) & (np.arange(wide) < ol[ok][:, None])).sum(axis=1)
-                _note(out, live[ok], o, ol[ok], d, False)
+                _note(out, own[ok], o, ol[ok], d[ok], True)
+            else:
+                _note(out, own, o, ol, ((x != y) & (np.arange(wide) < ol[:, None])).sum(axis=1), False)
     return out
 
 

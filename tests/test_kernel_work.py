@@ -56,6 +56,14 @@ def test_adapter_places_are_those_of_scalar_comparisons(compared):
 def test_chunks_do_not_matter(monkeypatch):
     col = pa.array(some_reads(300))
     r = k.reads(col, col)
-    want = k.adapter_at(r, R1.encode()).tolist()
+    want = k.adapter_at(r, R1.encode()).tolist(), k.overlap(r, r, gaps=True)
     monkeypatch.setattr(k, "_ROWS", 7)
-    assert k.adapter_at(r, R1.encode()).tolist() == want
+    assert k.adapter_at(r, R1.encode()).tolist() == want[0]
+    assert k.overlap(r, r, gaps=True).offset.tolist() == want[1].offset.tolist()
+
+
+def test_few_overlaps_are_compared_with_gaps(compared):
+    rng = np.random.default_rng(4)
+    mates = [pa.array(["".join(x) for x in rng.choice(list("ACGT"), (300, 100))]) for _ in range(2)]
+    assert not k.overlap(*(k.reads(m, m) for m in mates), gaps=True).found.any()
+    assert sum(compared) < 300, "more than the pairs themselves"
