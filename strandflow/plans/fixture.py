@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.operators.detect import ADAPTER_SAMPLE
 from strandflow.plans.session import shared_dir, spread
 
 READS = r"""
@@ -37,8 +38,8 @@ from h
 """
 
 
-#: The tables of reads written so far, by application and input.
-_written: dict[tuple[str, str], str] = {}
+#: The tables of reads written so far, by application, input and the bound of pair_id (None: all).
+_written: dict[tuple[str, str, int | None], str] = {}
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,23 +51,33 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(pairs_folder(spark, sf_dir)[1])
 
 
-def pairs_folder(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, str]:
-    """The session and the folder that the pairs were written to."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def derived(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+    """The pairs, of keys that are spread over the cores before anything is made of them: a key has 8 bytes, a pair some 500."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return spark.sql(READS, orders=spread(keys if below is None else keys.where(F.col("o_orderkey") < below)))
+
+
+def pairs_folder(spark: SparkSession, sf_dir: str, below: int | None = None) -> tuple[SparkSession, str]:
+    """The session and the folder that the pairs were written to, packed with zstd (190 bytes a pair)."""
+    key = (spark.sparkContext.applicationId, sf_dir, below)
     if key not in _written:
         path = shared_dir(spark)
-        made = spark.sql(READS.replace("{orders}", f"parquet.`{sf_dir}/orders.parquet`"))
-        spread(made).write.parquet(path)
+        derived(spark, sf_dir, below).write.option("compression", "zstd").parquet(path)
         _written[key] = path
     return spark, _written[key]
 
 
-def single(spark: SparkSession, sf_dir: str) -> DataFrame:
+def single(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
     """read_id, name, seq, qual: the first mates."""
-    d = pairs(spark, sf_dir)
+    d = spark.read.parquet(pairs_folder(spark, sf_dir, below)[1])
     return d.select(F.col("pair_id").alias("read_id"), F.col("name1").alias("name"), F.col("seq1").alias("seq"), F.col("qual1").alias("qual"))
 
 
+def first_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As single(), of the reads that detection looks at: those below detect.ADAPTER_SAMPLE, which are all that its queries ask for."""
+    return single(spark, sf_dir, ADAPTER_SAMPLE)
+
+
 def oracle(query: str) -> str:
     """DuckDB SQL over `reads`, the same pairs."""
     return f"WITH reads AS ({READS.replace('{orders}', 'orders')}) {query}"
