@@ -18,7 +18,7 @@ from strandflow.operators.adapters import known_adapters
 from strandflow.operators.dedup import duplication_rate, mark_duplicates
 from strandflow.operators.summary import Block, summarize
 from strandflow.plans import report
-from strandflow.plans.fixture import oracle, pairs, pairs_folder, single
+from strandflow.plans.fixture import first_single, oracle, pairs, pairs_folder, single
 from strandflow.plans.options import UMI_PLACES, Options
 from strandflow.plans.session import expose, shared_dir
 from strandflow.streaming import stream
@@ -567,12 +567,12 @@ def overrep_places(d):
 # Detection
 
 
-@query("SELECT max(length(seq1)) FILTER (pair_id < 1000)::INT AS seq_len FROM reads", single)
+@query("SELECT max(length(seq1)) FILTER (pair_id < 1000)::INT AS seq_len FROM reads", first_single)
 def detect_seq_len(d):
     return detect.read_length(d)
 
 
-@query("SELECT regexp_matches(arg_min(name1, pair_id), '^(" + "|".join(detect.TWO_COLOUR) + ")') AS two_colour FROM reads", single)
+@query("SELECT regexp_matches(arg_min(name1, pair_id), '^(" + "|".join(detect.TWO_COLOUR) + ")') AS two_colour FROM reads", first_single)
 def detect_two_color(d):
     return detect.two_colour(d)
 
@@ -606,7 +606,7 @@ _TEN = (
 )
 
 
-@query(f"SELECT * FROM ({_TEN})", single)
+@query(f"SELECT * FROM ({_TEN})", first_single)
 def detect_kmer10_top(d):
     return detect.ten_mers(d)
 
@@ -620,7 +620,7 @@ _VOTES = (
 )
 
 
-@query(_VOTES, single)
+@query(_VOTES, first_single)
 def detect_known_adapter(d):
     return detect.adapter_votes(d, dict.fromkeys(FOUR, ""))
 
@@ -636,7 +636,7 @@ _ALL_VOTES = (
 )
 
 
-@query(f"SELECT * FROM ({_ALL_VOTES})", single)
+@query(f"SELECT * FROM ({_ALL_VOTES})", first_single)
 def detect_known_adapters(d):
     """The vote of all adapters that detection knows."""
     return detect.adapter_votes(d)
@@ -644,7 +644,7 @@ def detect_known_adapters(d):
 
 # These reads hold a known adapter, so that the vote decides; detect_unlisted_adapter grows one from 10-mers.
 @query(
-    f"SELECT CASE WHEN n < 10000 OR NOT (hits > n / 50.0 OR hits > n / 200.0 AND mismatches < hits) THEN '' ELSE adapter END AS adapter FROM ({_VOTES}), (SELECT count(*) AS n FROM reads WHERE pair_id < 100000) ORDER BY hits DESC, adapter LIMIT 1", single
+    f"SELECT CASE WHEN n < 10000 OR NOT (hits > n / 50.0 OR hits > n / 200.0 AND mismatches < hits) THEN '' ELSE adapter END AS adapter FROM ({_VOTES}), (SELECT count(*) AS n FROM reads WHERE pair_id < 100000) ORDER BY hits DESC, adapter LIMIT 1", first_single
 )
 def detect_adapter(d):
     return d.sparkSession.createDataFrame([(detect.find_adapter(d, adapters=dict.fromkeys(FOUR, "")),)], "adapter string")
@@ -668,7 +668,7 @@ _GROWN = (
 )
 
 
-@query(f"SELECT * FROM ({_GROWN})", single)
+@query(f"SELECT * FROM ({_GROWN})", first_single)
 def detect_unlisted_adapter(d):
     """What grows from the 10-mers that stand out where reads end with an adapter that is not known."""
     own = F.expr(f"concat(substr(seq, 1, cast(20 + read_id % 21 as int)), substr('{UNLISTED}', 1, cast(24 + read_id % 17 as int)))")
