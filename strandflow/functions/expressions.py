@@ -70,11 +70,20 @@ def duplicate_key(*seqs: Column) -> Column:
 
 
 def index_matches(index: Column, barcodes: tuple[str, ...], threshold: int) -> Column:
-    """Whether some barcode differs from the index in at most `threshold` places of their common length."""
-    pads = F.lit(False)
-    for b in barcodes:
-        wrong = F.lit(0)
-        for i, base in enumerate(b, 1):
-            wrong = wrong + F.when((F.length(index) >= i) & (F.substring(index, i, 1) != base), 1).otherwise(0)
-        pads = pads | (wrong <= threshold)
-    return pads
+    """Whether some barcode differs from the index in at most `threshold` places of their common length.
+
+    The index is bound once, as an array of one: written out for each place of each barcode it would make code that is too long to compile.
+    """
+    if not barcodes:
+        return F.lit(False)
+
+    def matches(own: Column) -> Column:
+        hit = F.lit(False)
+        for b in barcodes:
+            wrong = F.lit(0)
+            for i, base in enumerate(b, 1):
+                wrong = wrong + F.when((F.length(own) >= i) & (F.substring(own, i, 1) != base), 1).otherwise(0)
+            hit = hit | (wrong <= threshold)
+        return hit
+
+    return F.exists(F.array(index), matches)

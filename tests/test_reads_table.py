@@ -28,3 +28,15 @@ def test_detection_writes_no_whole_table(spark, sf, monkeypatch, name):
     catalogue.QUERIES[name](spark, sf).collect()
     assert [k[2] for k in fixture._written] == [1200]
     assert fixture.single(spark, sf, 1200).count() == 1200 < fixture.pairs(spark, sf).count()
+
+
+def test_an_index_is_written_out_once(spark, sf):
+    from pyspark.sql import functions as F
+
+    from strandflow.functions import expressions as ex
+
+    d = spark.createDataFrame([("ACGT",), ("ACGTACGA",), ("GGGGGGGG",), ("",), (None,)], "ix string")
+    long = F.concat(*(F.upper("ix") for _ in range(20)))
+    plan = d.select(ex.index_matches(long, ("ACGTACGT", "AAAAAAAA", "CCGT"), 2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("upper(") <= 60
+    assert [r[0] for r in d.select(ex.index_matches(F.col("ix"), ("ACGTACGT",), 2)).collect()] == [True, True, False, True, True]
