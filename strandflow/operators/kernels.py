@@ -56,10 +56,13 @@ class Reads:
 
     def complemented(self) -> Reads:
         """Reverse complement; whatever is not A, C, G or T becomes N."""
-        at = self.length[:, None] - 1 - self.steps
-        inside = at >= 0
-        at = np.maximum(at, 0)
-        pick = lambda m: np.where(inside, np.take_along_axis(m, at, 1), 0)
+        inside = self.steps < self.length[:, None]
+
+        def pick(m: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(m)
+            out[inside] = m[:, ::-1][inside[:, ::-1]]
+            return out
+
         return Reads(_COMPLEMENT[pick(self.seq)], pick(self.qual), self.length)
 
     def rows(self, some: np.ndarray) -> Reads:
@@ -75,10 +78,10 @@ def matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.n
     offsets = np.frombuffer(off, f"<i{width_of}", len(column) + 1, column.offset * width_of).astype(np.int64)
     length = np.diff(offsets)
     wide = max(int(length.max(initial=0)), width or 1, 1)
-    values = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
-    at = offsets[:-1, None] + np.arange(wide)
-    inside = np.arange(wide) < length[:, None]
-    return np.where(inside, values[np.minimum(at, len(values) - 1)], 0).astype(np.uint8), length
+    values = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    out = np.zeros((len(column), wide), np.uint8)
+    out[np.arange(wide) < length[:, None]] = values[offsets[0] : offsets[-1]]
+    return out, length
 
 
 def reads(seq: pa.Array, qual: pa.Array) -> Reads:

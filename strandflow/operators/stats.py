@@ -23,24 +23,35 @@ def cycle_sums(r: k.Reads) -> tuple[np.ndarray, list[np.ndarray]]:
     """256 times the cycle plus the base for each that occurs, with the reads, those of quality 20 and 30 and the sum of quality."""
     wide = r.seq.shape[1]
     inside = r.steps < r.length[:, None]
-    key = (np.arange(wide) * 256 + r.seq)[inside]
-    q = r.qual[inside].astype(np.int64) - 33
-    sums = [np.bincount(key, w, minlength=wide * 256) for w in (None, q >= 20, q >= 30, q)]
+    seq, qual = r.seq[inside], r.qual[inside]
+    # Counted together by cycle, base and quality, of those that occur.
+    bases, quals = (np.flatnonzero(np.bincount(x, minlength=256)) for x in (seq, qual))
+    codes = [np.zeros(256, np.int64) for _ in range(2)]
+    for code, known in zip(codes, (bases, quals), strict=True):
+        code[known] = np.arange(len(known))
+    cycle = np.broadcast_to(np.arange(wide) * (len(bases) * len(quals)), inside.shape)[inside]
+    n = np.bincount(cycle + (codes[0] * len(quals))[seq] + codes[1][qual], minlength=wide * len(bases) * len(quals))
+    n = n.reshape(wide * len(bases), len(quals))
+    sums = [n @ w.astype(np.int64) for w in (np.ones(len(quals)), quals >= 53, quals >= 63, quals - 33)]
     at = np.flatnonzero(sums[0])
-    return at, [s[at].astype(np.int64) for s in sums]
+    key = (np.arange(wide)[:, None] * 256 + bases).ravel()
+    return key[at], [s[at] for s in sums]
 
 
 def kmer_sums(m: np.ndarray, size: int = 5) -> tuple[list[str], np.ndarray]:
     """The k-mers of A, C, G and T that occur in a matrix of reads, and how often."""
-    code = np.full(256, -1, np.int64)
+    code = np.full(256, 4, np.uint8)
     for i, b in enumerate(b"ATCG"):
         code[b] = i
     c, total = code[m], np.zeros(4**size, np.int64)
     if c.shape[1] >= size:
-        key, ok = np.zeros((len(c), c.shape[1] - size + 1), np.int64), np.ones((len(c), c.shape[1] - size + 1), bool)
+        wide = c.shape[1] - size + 1
+        key, ok = np.zeros((len(c), wide), np.int32), np.ones((len(c), wide), bool)
         for i in range(size):
-            part = c[:, i : c.shape[1] - size + 1 + i]
-            key, ok = key * 4 + part, ok & (part >= 0)
+            part = c[:, i : wide + i]
+            key <<= 2
+            key += part
+            ok &= part < 4
         total += np.bincount(key[ok], minlength=len(total))
     at = np.flatnonzero(total)
     return ["".join("ATCG"[(x >> 2 * (size - 1 - i)) & 3] for i in range(size)) for x in at.tolist()], total[at]

@@ -67,3 +67,21 @@ def test_few_overlaps_are_compared_with_gaps(compared):
     mates = [pa.array(["".join(x) for x in rng.choice(list("ACGT"), (300, 100))]) for _ in range(2)]
     assert not k.overlap(*(k.reads(m, m) for m in mates), gaps=True).found.any()
     assert sum(compared) < 300, "more than the pairs themselves"
+
+
+def test_statistics_of_mixed_reads(monkeypatch):
+    from strandflow.operators import stats
+
+    seqs, quals = ["ACGTN", "", "ac", "GGGGGGG"], ["I5?!#", "", "II", "?5I?5I!"]
+    weighted = []
+    plain = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0: weighted.append(weights is not None) or plain(x, weights, minlength))
+    at, sums = stats.cycle_sums(k.reads(pa.array(seqs), pa.array(quals)))
+    want = {}
+    for s, q in zip(seqs, quals, strict=True):
+        for i, (b, x) in enumerate(zip(s, q, strict=True)):
+            own = want.setdefault(i * 256 + ord(b), [0, 0, 0, 0])
+            for j, v in enumerate((1, x >= "5", x >= "?", ord(x) - 33)):
+                own[j] += v
+    assert {a: list(v) for a, v in zip(at.tolist(), np.array(sums).T.tolist(), strict=True)} == want
+    assert not any(weighted), "each sum was a pass of its own over all bases"
