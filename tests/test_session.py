@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from strandflow.operators import dedup
 from strandflow.operators.dedup import mark_duplicates
 from strandflow.operators.single_steps import placed
 from strandflow.plans import session
@@ -57,6 +58,26 @@ def test_duplicates_of_a_hot_key(spark, monkeypatch, broadcast):
         seen.add(s)
 
 
+@pytest.mark.parametrize("marks", [64 << 20, 0])
+def test_reads_are_not_shuffled_for_many_duplicates(spark, monkeypatch, marks):
+    """Only digests, ids and marks are: of keys of two reads, of more, of ids around 0 and far apart, and of samples that number reads alike, one without a name."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(dedup, "MARKS_BROADCAST", marks)
+    ids = [-130, -65, -64, -1, 0, 1, 62, 63, 64, 1 << 40, (1 << 40) + 63]
+    rows = [(s, i, "ACGT"[j % 4] * (1 + j % n), "I") for s, n in (("a", 1), ("b", 3), (None, 2)) for j, i in enumerate(ids)] + [("a", 5, None, "I")]
+    d = session.settle(spark.createDataFrame(rows, "sample string, read_id long, seq string, qual string"))
+    out = mark_duplicates(d, ["seq"])
+    assert out.columns == [*d.columns, "is_dup"]
+    firsts: dict = {}
+    for s, i, q, _ in sorted(rows, key=lambda r: r[1]):
+        firsts.setdefault((s, q), i)
+    want = {(s, i): q is not None and i > firsts[s, q] for s, i, q, _ in rows}
+    assert {(r.sample, r.read_id): r.is_dup for r in out.collect()} == want and sum(want.values()) > 10
+    if marks:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_places_are_numbered_over_ranges(spark):
     d = spark.range(0, 3000, 3).repartition(7).toDF("read_id")
     out, n = placed(d)
