@@ -259,6 +259,18 @@ def filter_counts(done: DataFrame, o: Options) -> DataFrame:
     return d.select("result", "reads")
 
 
+def routed_columns(df: DataFrame, o: Options) -> tuple[str, ...]:
+    """The columns of process(df, o) that routes() reads."""
+    mates = (1, 2) if o.paired else (1,)
+    own = [c for c in ("sample", *(f"strand{m}" for m in mates)) if c in df.columns]
+    out = ["read_id", "is_dup", *own, *(f"{c}{m}" for m in mates for c in ("name", "seq", "qual", "result"))]
+    if not o.paired:
+        return (*out, "result")
+    if o.merge:
+        out += ["lost1", "lost2", *(f"merged_{c}" for c in ("name", "seq", "qual", "result"))]
+    return (*out, *(("overlap_seq", "overlap_qual") if o.overlapped_out else ()))
+
+
 def routes(done: DataFrame, o: Options) -> DataFrame:
     """One row for each record written: (sample,) read_id, mate (0: merged), target, name (with its tag in failed), seq, strand, qual.
 

@@ -830,7 +830,7 @@ def stream_dedup(folder):
     spark, path = folder
     source = stream.read_stream(spark, path, "pair_id long, name1 string, name2 string, seq1 string, qual1 string, seq2 string, qual2 string", 2).withColumnRenamed("pair_id", "read_id")
     o, out = Options(paired=True, dedup=True, adapter_trimming=False, quality_filter=False, length_filter=False), shared_dir(spark)
-    stream.process_stream(source, o, shared_dir(spark), lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+    stream.process_stream(source, o, shared_dir(spark), lambda batch, number: batch.select("read_id", "mate", "seq").write.mode("overwrite").parquet(f"{out}/batch={number}"))
     d = spark.read.parquet(out)
     both = d.groupBy("read_id").agg(*(F.max(F.when(F.col("mate") == m, F.col("seq"))).alias(f"seq{m}") for m in (1, 2)))
     return both.groupBy("seq1", "seq2").agg(F.count("*").cast("int").alias("copies"))

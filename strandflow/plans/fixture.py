@@ -38,6 +38,8 @@ from h
 """
 
 
+#: Bytes of a row group before packing: some 50,000 pairs, so that a file can be read by several tasks.
+ROW_GROUP = 32 << 20
 #: The tables of reads written so far, by application, input and the bound of pair_id (None: all).
 _written: dict[tuple[str, str, int | None], str] = {}
 
@@ -58,11 +60,11 @@ def derived(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataF
 
 
 def pairs_folder(spark: SparkSession, sf_dir: str, below: int | None = None) -> tuple[SparkSession, str]:
-    """The session and the folder that the pairs were written to, packed with zstd (190 bytes a pair)."""
+    """The session and the folder that the pairs were written to, packed with zstd (190 bytes a pair), in groups that tasks read by themselves."""
     key = (spark.sparkContext.applicationId, sf_dir, below)
     if key not in _written:
         path = shared_dir(spark)
-        derived(spark, sf_dir, below).write.option("compression", "zstd").parquet(path)
+        derived(spark, sf_dir, below).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         _written[key] = path
     return spark, _written[key]
 

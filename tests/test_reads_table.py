@@ -21,6 +21,15 @@ def test_reads_are_written_packed(spark, sf):
     assert pq.ParquetFile(part).metadata.row_group(0).column(1).compression == "ZSTD"
 
 
+def test_a_file_of_reads_has_groups_for_several_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(fixture, "_written", {})
+    monkeypatch.setattr(fixture, "ROW_GROUP", 64 << 10)
+    _, path = fixture.pairs_folder(expose(spark), sf)
+    from pathlib import Path
+
+    assert all(pq.ParquetFile(p).metadata.num_row_groups > 1 for p in Path(path.removeprefix("file://")).glob("*.parquet"))
+
+
 @pytest.mark.parametrize("name", ["detect_two_color", "detect_seq_len", "detect_kmer10_top"])
 def test_detection_writes_no_whole_table(spark, sf, monkeypatch, name):
     monkeypatch.setattr(fixture, "_written", {})

@@ -4,8 +4,10 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandflow.operators import pipeline as run
+from strandflow.plans import fixture
 from strandflow.plans.options import Options
 from strandflow.sources import fastq
 from strandflow.streaming import stream
@@ -64,6 +66,39 @@ def test_state_is_bounded_by_default(spark, tmp_path):
     assert stream.without_duplicates(source, ["seq1"]).columns == source.columns
 
 
+@pytest.mark.parametrize("given", [None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"])
+def test_state_is_kept_on_disk(spark, tmp_path, given):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("a", "b"):
+        (folder / f"{name}.fq").write_text(fq(*rows(8, name)))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    try:
+        if given:
+            spark.conf.set(provider, given)
+        got, _ = routed_by_stream(spark, folder, tmp_path, Options(dedup=True, adapter_trimming=False), 1)
+        assert spark.conf.get(provider, None) == given and len(got) == 8
+    finally:
+        spark.conf.unset(provider)
+    kinds = {p.suffix for p in (tmp_path / "c" / "state").rglob("[0-9]*.*")}
+    assert (".delta" in kinds) == bool(given) and (".changelog" in kinds) != bool(given)
+
+
+@pytest.mark.parametrize("o", [Options(), Options(paired=True), Options(paired=True, merge=True, include_unmerged=True, overlapped_out="o", failed_out="f", unpaired1="u")])
+def test_a_stream_makes_only_what_it_routes(spark, sf, tmp_path, o):
+    d = fixture.pairs(spark, sf).withColumnRenamed("pair_id", "read_id").withColumns({f"strand{m}": F.lit("+") for m in (1, 2)})
+    d.write.parquet(str(tmp_path / "in"))
+    plans, got = [], []
+
+    def sink(batch, number):
+        plans.append(batch._jdf.queryExecution().analyzed().toString())
+        got.extend(batch.collect())
+
+    stream.process_stream(stream.read_stream(spark, str(tmp_path / "in"), d.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), o, str(tmp_path / "c"), sink)
+    assert plans and not any("adapters1" in p or "corrections" in p or "front1" in p for p in plans)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, run.routes(run.process(d, o), o).collect()), key=repr)
+
+
 def test_offsets_forget_old_files(tmp_path):
     source = fastq._Stream({"path": str(tmp_path), "maxFilesPerTrigger": "1", "maxFileAge": "100"})
     start, sizes, seen = source.initialOffset(), [], []
